@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash
+from . import language, mixing, quality, simhash
 from .shared import Scratch, crc_mod, table
 
 
@@ -20,6 +20,24 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, Scratch(spark, "mixing")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs, crc_mod(F.col("doc_id"), 4) != 2)
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held(4, 2), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), allowed=crc_mod(F.col("doc_id"), 5) != 0)
+    score = F.col("quality_score").alias("score")
+    return quality.score(docs, model).select("doc_id", held(5, 0), score, (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def held(mod: int, rest: int):
+    return F.coalesce(crc_mod(F.col("doc_id"), mod) == rest, F.lit(False)).alias("held_out")
+
+
 OP7_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT AS k,
@@ -56,7 +74,7 @@ LEFT JOIN keys k ON k.source IS NOT DISTINCT FROM e.source AND k.k = e.k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and "_" in k and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:

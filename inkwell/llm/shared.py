@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -158,3 +159,9 @@ def ngram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def letters(text: str) -> bool:
     return bool(re.search(r"[^\W\d_]", text))
+
+
+def with_fields(df: DataFrame, **fields: str) -> StructType:
+    """The schema of df with more fields, given by name and type."""
+    more = "".join(f", `{k}` {v}" for k, v in fields.items())[2:]
+    return StructType(df.schema.fields + StructType.fromDDL(more).fields)
