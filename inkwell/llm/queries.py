@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, simhash
+from . import decontaminate, language, mixing, quality, simhash, suffixes
 from .shared import Scratch, crc_mod, table
 
 
@@ -20,6 +20,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, Scratch(spark, "mixing")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents"), Scratch(spark, "suffixes"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.learn(docs, crc_mod(F.col("doc_id"), 4) != 2)
