@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language, mixing, quality, simhash, suffixes
+from . import ann, decontaminate, language, mixing, quality, simhash, suffixes, toxicity
 from .shared import Scratch, crc_mod, table
 
 
@@ -37,6 +37,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), allowed=crc_mod(F.col("doc_id"), 4) != 2)
+    score = F.col("toxicity").alias("score")
+    return toxicity.score(docs, model).select("doc_id", held(4, 2), score, (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, Scratch(spark, "ann"))
 
