@@ -62,6 +62,15 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
+def _tokens(column: pa.Array, reach: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    if not len(column):
+        return np.zeros((0, reach), "<u4")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[column.offset] : offsets[column.offset + len(column)]].view("<u4").reshape(-1, reach)
+
+
 def _contexts(length, gram):
     reach = length - gram
 
@@ -114,10 +123,9 @@ def _repeats(length, gram):
         table = table.combine_chunks()
         get = lambda c: table.column(c).to_numpy()
         doc, uid, at, key = table.column("doc_id").fill_null((1 << 63) - 1).to_numpy(), get("uid"), get("at").astype(np.int64), get("gram")
-        side = lambda c: np.frombuffer(b"".join(table.column(c).to_pylist()), "<u4").reshape(len(at), reach)
         order = np.lexsort((at, uid, doc))
         doc, uid, at, key = doc[order], uid[order], at[order], key[order]
-        left, right = side("left")[order], side("right")[order]
+        left, right = (_tokens(table.column(c).combine_chunks(), reach)[order] for c in ("left", "right"))
         nl, nr = (left > 0).sum(1), (right > 0).sum(1)
         before, after = _classes(key, left), _classes(key, right)
         first = np.full((len(at), reach + 1), -1)
@@ -127,15 +135,16 @@ def _repeats(length, gram):
             _, head, of = np.unique(both, return_index=True, return_inverse=True)
             repeat = rows[head][of] != rows
             first[rows[repeat], a] = rows[head][of][repeat]
-        # Neighbouring reaches with one earliest copy are one span.
-        edge = np.ones((len(at), reach + 1), bool)
-        edge[:, 1:] = first[:, 1:] != first[:, :-1]
-        row, a = np.nonzero(edge & (first >= 0))
-        stop = np.ones((len(at), reach + 1), bool)
-        stop[:, :-1] = first[:, 1:] != first[:, :-1]
-        _, z = np.nonzero(stop & (first >= 0))
-        source = doc[first[row, a]]
-        return pa.table({"uid": uid[row], "start": (at[row] - z).astype(np.int32), "end": (at[row] - a + length).astype(np.int32), "first_doc_id": pa.array(source, mask=source == (1 << 63) - 1)})
+        # Neighbouring reaches are one span, with the smallest of their earliest copies' documents.
+        hit = np.zeros((len(at), reach + 3), np.int8)
+        hit[:, 1:-1] = first >= 0
+        edge = np.diff(hit, axis=1)
+        row, a = np.nonzero(edge == 1)
+        _, z = np.nonzero(edge == -1)
+        flat = np.append(np.where(first >= 0, doc[first], (1 << 63) - 1).ravel(), (1 << 63) - 1)
+        bounds = np.stack((row * (reach + 1) + a, row * (reach + 1) + z), 1).ravel()
+        source = np.minimum.reduceat(flat, bounds)[::2] if len(bounds) else np.zeros(0, np.int64)
+        return pa.table({"uid": uid[row], "start": (at[row] - z + 1).astype(np.int32), "end": (at[row] - a + length).astype(np.int32), "first_doc_id": pa.array(source, mask=source == (1 << 63) - 1)})
 
     return run
 
@@ -146,8 +155,8 @@ def _runs(length, gram):
 
     def run(batches):
         for b in batches:
-            side = lambda c: np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(b.num_rows, reach)  # noqa: B023, E731
-            left, right, key = side("left"), side("right"), b.column("gram").to_numpy().view(np.uint64)
+            left, right = (_tokens(b.column(c), reach) for c in ("left", "right"))
+            key = b.column("gram").to_numpy().view(np.uint64)
             at = b.column("at").to_numpy()
             for a in range(reach + 1):
                 rows = np.flatnonzero(((left > 0).sum(1) >= a) & ((right > 0).sum(1) >= reach - a))
@@ -160,18 +169,19 @@ def _runs(length, gram):
 
 
 def _merged(batches):
+    """Overlapping spans of each document as one, with the smallest first_doc_id."""
     for b in batches:
-        uid, start, end, first = [], [], [], []
-        for u, spans in zip(b.column("uid").to_pylist(), b.column("spans").to_pylist()):
-            open_ = None
-            for x in sorted(spans, key=lambda x: (x["start"], x["end"])):
-                source = (1 << 63) - 1 if x["first_doc_id"] is None else x["first_doc_id"]
-                if open_ and x["start"] <= open_[1]:
-                    open_[1], open_[2] = max(open_[1], x["end"]), min(open_[2], source)
-                else:
-                    open_ = [x["start"], x["end"], source]
-                    uid.append(u), start.append(open_)
-        yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array([x[0] for x in start], pa.int32()), pa.array([x[1] for x in start], pa.int32()), pa.array([None if x[2] == (1 << 63) - 1 else x[2] for x in start], pa.int64())], ["uid", "start", "end", "first_doc_id"])
+        lists = b.column("spans")
+        own = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+        span = lists.flatten()
+        start, end = (span.field(c).to_numpy().astype(np.int64) + (own << 32) for c in ("start", "end"))
+        first = span.field("first_doc_id").fill_null((1 << 63) - 1).to_numpy()
+        order = np.argsort(start, kind="stable")
+        own, start, end, first = own[order], start[order], end[order], first[order]
+        head = np.flatnonzero(np.concatenate(([True], start[1:] > np.maximum.accumulate(end)[:-1]))) if len(own) else np.zeros(0, int)
+        end, first = (f.reduceat(x, head) if len(head) else x for f, x in ((np.maximum, end), (np.minimum, first)))
+        of = own[head]
+        yield pa.RecordBatch.from_arrays([b.column("uid").take(pa.array(of)), pa.array((start[head] - (of << 32)).astype(np.int32)), pa.array((end - (of << 32)).astype(np.int32)), pa.array(first, mask=first == (1 << 63) - 1)], ["uid", "start", "end", "first_doc_id"])
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -197,7 +207,7 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int =
     context = scratch.keep(context, "context")
     spans = "uid long, start int, end int, first_doc_id long"
     bucketed = context.join(hot_grams, "gram", "left_anti") if any_hot else context
-    bucketed = bucketed.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(1 + n // 40_000)))
+    bucketed = bucketed.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(1 + n // 25_000)))
     found = bucketed.groupBy("bucket").applyInArrow(_repeats(length, gram), spans)
     if any_hot:
         runs = context.join(hot_grams, "gram").mapInArrow(_runs(length, gram), "run long, doc_id long, uid long, start int")
