@@ -86,14 +86,69 @@ def norms(size: np.ndarray) -> np.ndarray:
     return np.sqrt(sum(np.maximum(0, size - p[2]) * w * w for p, w in zip(PATTERNS, WEIGHTS)) + 1e-12)
 
 
-def kernel_rows(words: list[str]) -> np.ndarray:
-    """Dense f(s) / c(s) of a few words, over the table places that they use (returned beside)."""
-    chars, start, size, _ = segments(words)
-    seg, place, w = subsequences(chars, start, size)
-    used, col = np.unique(place, return_inverse=True)
-    x = np.zeros((len(size), len(used)))
-    np.add.at(x, (seg, col), w)
-    return x / norms(size)[:, None], used
+class Landmarks:
+    """f(l) / c(l) of the landmarks over the table places that they use."""
+
+    def __init__(self, words: list[str]):
+        chars, start, size, _ = segments(words)
+        seg, place, w = subsequences(chars, start, size)
+        self.used, col = np.unique(place, return_inverse=True)
+        self.rows = np.zeros((len(size), len(self.used)))
+        np.add.at(self.rows, (seg, col), w)
+        self.rows /= norms(size)[:, None]
+
+    def kernel(self, words: list[str], step: int = 400) -> np.ndarray:
+        """k(word, landmark), a few words at a time."""
+        out = []
+        for i in range(0, len(words), step):
+            chars, start, size, _ = segments(words[i : i + step])
+            seg, place, w = subsequences(chars, start, size)
+            col = np.minimum(np.searchsorted(self.used, place), len(self.used) - 1)
+            hit = self.used[col] == place
+            x = np.zeros((len(size), len(self.used)))
+            np.add.at(x, (seg[hit], col[hit]), w[hit])
+            out.append(x @ self.rows.T / norms(size)[:, None])
+        return np.concatenate(out)
+
+
+class Vocabulary:
+    """The distinct segments of many texts, and each text's segments in order by number; built in bounded steps."""
+
+    def __init__(self, texts: list[str | None], step: int = 1_000_000):
+        keys, docs, chars, sizes, known = [], [], [], [], np.zeros(0, np.uint64)
+        size = np.cumsum([len(t or "") + 1 for t in texts])
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + step)))
+            sentences, of = [], []
+            for i in range(first, min(last, len(texts))):
+                parts = _SENTENCE.split(texts[i] or "")
+                sentences += parts
+                of += [i] * len(parts)
+            c, start, n, sentence = segments(sentences)
+            key = hash_spans(c.view(np.uint8), start * 2, n * 2)
+            unique, head = np.unique(key, return_index=True)
+            new = head[~np.isin(unique, known)]
+            known = np.union1d(known, unique)
+            inner = np.arange(int(n[new].sum())) - np.repeat(np.cumsum(n[new]) - n[new], n[new])
+            chars.append(c[np.repeat(start[new], n[new]) + inner])
+            sizes.append(n[new])
+            keys.append(key)
+            docs.append(np.array(of, np.int64)[sentence])
+            first = last
+        self.chars, self.size = np.concatenate(chars), np.concatenate(sizes)
+        self.start = np.cumsum(self.size) - self.size
+        own = hash_spans(self.chars.view(np.uint8), self.start * 2, self.size * 2)
+        order = np.argsort(own)
+        key = np.concatenate(keys)
+        self.doc, self.word = np.concatenate(docs), order[np.searchsorted(own[order], key)] if len(key) else np.zeros(0, np.int64)
+
+    def texts(self, words) -> list[str]:
+        return [self.chars[self.start[w] + 1 : self.start[w] + self.size[w] - 1].tobytes().decode("utf-16-le", "replace") for w in words]
+
+    def margins(self, model: KernelMachine, step: int = 20_000) -> np.ndarray:
+        n = len(self.size)
+        return np.concatenate([np.zeros(0), *(model.segment_margins(self.chars, self.start[i : i + step], self.size[i : i + step]) for i in range(0, n, step))])
 
 
 @dataclass
@@ -122,10 +177,6 @@ class KernelMachine:
         return 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
 
 
-def _text(chars: np.ndarray, start: int, size: int) -> str:
-    return chars[start + 1 : start + size - 1].tobytes().decode("utf-16-le", "replace")
-
-
 def _variants(word: str, rng: np.random.Generator) -> list[str]:
     """The word with one character more inside: each doubled, and a random one in each place."""
     more = [word[: i + 1] + word[i:] for i in range(len(word))]
@@ -176,44 +227,38 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Colum
     y, texts = got["y"].to_numpy(float), list(got["text"])
     if not 0 < y.sum() < len(y):
         return float(y.mean()) if len(y) else 0.5
-    sentences, of = [], []
-    for i, t in enumerate(texts):
-        parts = _SENTENCE.split(t or "")
-        sentences += parts
-        of += [i] * len(parts)
-    chars, start, size, sentence = segments(sentences)
-    if not len(size):
+    words = Vocabulary(texts)
+    if not len(words.word):
         return float(y.mean())
-    _, head, word = np.unique(hash_spans(chars.view(np.uint8), start * 2, size * 2), return_index=True, return_inverse=True)
-    doc = np.array(of)[sentence]
+    doc, word = words.doc, words.word
     found = witnesses(doc, word, y)
     if not len(found):
         return float(y.mean())
     rng = np.random.default_rng(seed)
-    chosen = [_text(chars, start[head[w]], size[head[w]]) for w in found]
+    chosen = words.texts(found)
     more = [v for w in chosen for v in _variants(w, rng)]
     clean = np.setdiff1d(word[y[doc] < 0.5], found)
-    name = lambda ws: [_text(chars, start[head[w]], size[head[w]]) for w in ws]
     picked = dict.fromkeys(clean[rng.permutation(len(clean))[:1500]].tolist())
-    marks = [*chosen, *name([*picked][: max(1, landmarks - len(chosen))])]
+    marks = [*chosen, *words.texts([*picked][: max(1, landmarks - len(chosen))])]
     for _ in range(4):
-        every = [*chosen, *more, *name(picked)]
-        phi, used = kernel_rows([*marks, *every])
-        l, x = phi[: len(marks)], phi[len(marks) :]
-        values, vectors = np.linalg.eigh(l @ l.T)
+        every = [*chosen, *more, *words.texts(picked)]
+        near = Landmarks(marks)
+        values, vectors = np.linalg.eigh(near.rows @ near.rows.T)
         root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-        z = np.concatenate((x @ l.T @ root, np.ones((len(x), 1))), 1)
+        z = np.concatenate((near.kernel(every) @ root, np.ones((len(every), 1))), 1)
         part = np.repeat((0, 1, 2), (len(chosen), len(more), len(every) - len(chosen) - len(more)))
         w = _svm(z, np.where(part < 2, 1.0, -1.0), np.array([100.0, 2.0, 4.0])[part])
         table = np.zeros(TABLE)
-        table[used] = l.T @ (root @ w[:-1])
+        table[near.used] = near.rows.T @ (root @ w[:-1])
         model = KernelMachine(table.astype(np.float32), float(w[-1]), (1.0, 0.0))
-        margin = model.segment_margins(chars, start[head[clean]], size[head[clean]])
-        hard = clean[np.argsort(-margin, kind="stable")[:600]].tolist()
-        marks = list(dict.fromkeys([*marks, *name([w for w in hard if w not in picked][:80])]))
+        margin = words.margins(model)
+        own = margin[clean]
+        hard = clean[np.argsort(-own, kind="stable")[:600]].tolist()
+        marks = list(dict.fromkeys([*marks, *words.texts([w for w in hard if w not in picked][:80])]))
         picked |= dict.fromkeys(hard)
     # The sigmoid is 0.3 just above what clean documents reach, or half way to the witnesses if that is less.
-    m = np.clip(model.margins(texts), -1e3, 1e3)
+    m = np.full(len(y), -1e3)
+    np.maximum.at(m, doc, words.margins(model)[word])
     reach = np.median(m[y == 1])
     edge = min(max(0.0, float(np.quantile(m[y == 0], 0.998))) + 0.02, float(reach) / 2)
     slope = 5 / max(0.1, reach - edge)
