@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language, mixing, quality, simhash, suffixes, toxicity
+from . import ann, decontaminate, language, mixing, quality, quotes, simhash, suffixes, toxicity
 from .shared import Scratch, crc_mod, table
 
 
@@ -20,6 +20,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, Scratch(spark, "mixing")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_conversations(table(spark, sf_dir, "conversations"), Scratch(spark, "quotes"))
+
+
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(table(spark, sf_dir, "documents"), Scratch(spark, "suffixes"))
 
