@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language, mixing, quality, quotes, simhash, suffixes, toxicity
+from . import ann, decontaminate, language, mixing, pitman_yor, quality, quotes, simhash, suffixes, toxicity
 from .shared import Scratch, crc_mod, table
 
 
@@ -35,6 +35,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held(4, 2), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pitman_yor.score(docs, crc_mod(F.col("doc_id"), 7) == 2, Scratch(spark, "pitman-yor"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -42,6 +43,11 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def sweep(self) -> None:
+        """Let Spark remove the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Remove a table that no later plan reads."""
         jvm = self.spark._jvm
