@@ -1,26 +1,68 @@
-"""A corpus pipeline of five stages, each of which reads what the one before it wrote."""
+"""A corpus pipeline of five stages; each reads what the one before it wrote, and all of it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkwell.llm import mixing
-from inkwell.llm.shared import Scratch
+from inkwell.llm import decontaminate, mixing, quality, simhash, suffixes
+from inkwell.llm.shared import Scratch, table
 
+#: The stages fit a classifier and tile passages, which SQL can't express; tests use brute force.
 ORACLE_SQL = None
+QUALITY_AT_LEAST = 0.3
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on all labels, accepts."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).filter(F.col("quality_score") >= QUALITY_AT_LEAST).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the
+    smallest doc_id, ties by a hash of the text; of equal rows one. Texts without a word all stay."""
+    worded = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    some = docs.filter(worded)
+    groups = simhash.similar_groups(some, Scratch(spark, "one-of-each"))
+    rest = groups.filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))))
+    rest = rest.select(F.col("doc_id").alias("id"), "th").distinct()
+    hashed = some.withColumn("_th", F.xxhash64("text"))
+    kept = hashed.join(rest, F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left_anti")
+    once = kept.dropDuplicates(["doc_id", "_th"]).drop("_th")
+    return once.unionByName(docs.filter(~worded))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that an earlier document has."""
+    return suffixes.without_repeats(docs, Scratch(spark, "cut-repeats"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("leaks") == 0).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix over what the stages before it kept; documents that it takes no word of go."""
-    return mixing.mix(docs, Scratch(spark, "mixed")).filter("taken > 0")
+    """The documents that the mix takes, with their texts and how many words it takes of each."""
+    with_text = mixing.mix(docs.withColumn("body", F.col("text")), Scratch(spark, "mixed"))
+    return with_text.filter("taken > 0").withColumnRenamed("body", "text")
 
 
-STAGES = [("mixing", mixed)]
+STAGES = [
+    ("quality classifier", keep_good),
+    ("SimHash near-dedup", keep_one_of_each),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources to target weights", mixed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents; each stage's result is a table in the shared folder."""
     scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
