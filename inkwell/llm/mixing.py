@@ -87,6 +87,7 @@ def mix(docs: DataFrame, scratch, size: Column | None = None, weights: tuple[int
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0).cast("long"))
     wanted = scratch.keep(targets(sized, weights, share, most).withColumn("passes", passes).withColumn("extra", F.col("target") - F.col("passes") * F.col("source_size")), "targets")
     plan = wanted.join(thresholds(sized, wanted), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "passes", "threshold")
+    plan = scratch.keep(plan, "plan")  # small, so that its size is known when the join is planned
     once_more = F.coalesce(F.col("key") < F.col("threshold"), F.lit(False)).cast("long")
     out = sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
     return out.select(*rest, "size", "source_size", "target", (F.col("size") * (F.col("passes") + once_more)).alias("taken"))
