@@ -11,7 +11,7 @@ Layout: texts are cut into blocks of a few MB. A block asks for what it needs on
 word and pair of words, in packed sorted arrays dealt out by hash range; a bucket merges the
 requests of all blocks and answers each block in its own order. So a word or pair as frequent as it
 may be has one entry a block in its bucket, counts cover all training tokens, and no table of words
-is ever held in one place. The block in which a pair comes first owns it and seats its customers;
+is ever held in one place. One of the blocks that have a pair, drawn by a hash, owns it and seats its customers;
 context restaurants are conditionally independent given the parent, so all blocks sample at once,
 then the parent is seated anew from the sampled tables.
 """
@@ -143,11 +143,11 @@ def _requests(word_buckets: int, pair_buckets: int):
 
 
 def _merge(rows: list[dict], column: str = "a"):
-    """The blocks' keys of one bucket merged: rows' cuts, number of distinct keys, first entry of each, key of each entry."""
+    """The blocks' keys of one bucket merged: rows' cuts, number of distinct keys, number of each entry's key."""
     keys = [unpack_sorted(r[column]) for r in rows]
     cut = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-    distinct, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    return cut, len(distinct), first, of
+    distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+    return cut, len(distinct), of
 
 
 def _sorted(table: pa.Table) -> list[dict]:
@@ -157,14 +157,19 @@ def _sorted(table: pa.Table) -> list[dict]:
 def _count(table: pa.Table) -> pa.Table:
     """Counts over all blocks, and for pairs which entry owns the pair; column e holds sums for the driver."""
     rows, out = _sorted(table), []
-    cut, n, first, of = _merge(rows)
+    cut, n, of = _merge(rows)
     count = np.bincount(of, np.concatenate([unpack(r["b"]) for r in rows]), n).astype(np.int64)
     if rows[0]["kind"] == 0:
         sums = [(count > 0).sum(), count.sum(), 0, 0]
     else:
         sums = [0, 0, (count == 1).sum(), (count == 2).sum()]
     owner = np.zeros(cut[-1], np.uint8)
-    owner[first[count > 0]] = 1
+    if rows[0]["kind"]:
+        # Owners are drawn among the blocks that have the pair, or the first block would seat all frequent ones.
+        block = np.repeat(np.array([r["block"] for r in rows], np.int64).astype(np.uint64), np.diff(cut))
+        draw = mix(mix(of.astype(np.uint64)) ^ (block * np.uint64(0x9E3779B97F4A7C15)))
+        order = np.lexsort((draw, of))
+        owner[order[np.searchsorted(of[order], np.flatnonzero(count > 0))]] = 1
     for i, r in enumerate(rows):
         s = slice(cut[i], cut[i + 1])
         out.append((r["kind"], r["bucket"], r["block"], pack(count[of[s]].astype(np.uint64)), pack(np.packbits(owner[s])) if r["kind"] else None, None, None, np.array(sums if not i else [0] * 4, np.int64).tobytes()))
@@ -275,7 +280,7 @@ def _parent(vocabulary: int, d0: float, sweeps: int, seed: int):
     """The parent restaurant's dishes of one bucket: customers, tables and contexts' tables, for every sample."""
 
     def answer(rows: list[dict], k: list[list[np.ndarray]], t: list[list[np.ndarray]]) -> list[tuple]:
-        cut, n, _, of = _merge(rows)
+        cut, n, of = _merge(rows)
         samples = len(k[0])
         out = [[] for _ in rows]
         sums = []
@@ -352,7 +357,7 @@ def _tables(samples: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = _sorted(table)
-        cut, n, _, of = _merge(rows)
+        cut, n, of = _merge(rows)
         own = np.concatenate([unpack(r["b"], np.uint8) for r in rows]).astype(bool)
         given = np.concatenate([unpack(r["c"]).reshape(samples, -1) for r in rows], 1)
         tables = np.zeros((samples, n), np.uint32)
