@@ -31,7 +31,7 @@ def read_entries(spark: SparkSession, path: str, schema: str = ENTRY) -> DataFra
 
 def refuse_blank(entries: DataFrame) -> DataFrame:
     """Raises when a file with rows gives no readable one; else the readable rows."""
-    files = entries.groupBy("source", "file_stem").agg(F.count_if(F.col("_corrupt_record").isNull()).alias("good"))
+    files = entries.groupBy("source", "file_stem").agg(F.count_if(F.col("_corrupt_record").isNull() | F.col("qid").isNotNull()).alias("good"))
     bad = files.filter("good = 0").limit(1).collect()
     if bad:
         raise ValueError(f"no readable row in {bad[0]['source']}/{bad[0]['file_stem']}")
