@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,17 +46,39 @@ def minimisers(words: np.ndarray, cut: np.ndarray, length: int = LENGTH, gram: i
 
 
 def _sampled(length, gram):
+    """The suffixes of a few MB of texts in one row: grams, texts (index into uids) and positions; and each distinct gram with its count."""
+
     def run(batches):
+        n = 0
         for b in batches:
             for part in slices(b):
                 words, cut = hashed_words(part.column("text"))
                 at, grams = minimisers(words, cut, length, gram)
                 doc = np.searchsorted(cut, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([part.column("uid").take(pa.array(doc)), pa.array(grams[at].view(np.int64)), pa.array((at - cut[doc]).astype(np.int32))], ["uid", "gram", "at"])
+                key = grams[at].view(np.int64)
+                distinct, count = np.unique(key, return_counts=True)
+                one = lambda x, t: pa.array([x], pa.list_(t))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([(TaskContext.get().partitionId() << 32) + n]), one(part.column("uid").to_numpy(zero_copy_only=False), pa.int64()), one(key, pa.int64()), one(doc.astype(np.int32), pa.int32()), one((at - cut[doc]).astype(np.int32), pa.int32()), one(distinct, pa.int64()), one(count, pa.int64())],
+                    ["slice", "uids", "grams", "texts", "at", "distinct", "counts"],
+                )
+                n += 1
 
     return run
 
 
+def _shared(batches):
+    """Of each text the positions of its suffixes whose grams occur elsewhere too (a slice's row, with those grams)."""
+    for b in batches:
+        for i in range(b.num_rows):
+            get = lambda c: b.column(c)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            keep = np.isin(get("grams"), get("shared"))
+            text, at = get("texts")[keep], get("at")[keep]
+            first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, int)
+            offsets = np.append(first, len(text)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(get("uids")[text[first]], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32()))], ["uid", "at"])
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     n, width = rows.shape
     offsets = np.arange(n + 1, dtype=np.int32) * (width * 4)
@@ -196,14 +219,18 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int =
     keeps its words; null doc_ids come last; an empty table gives none.
     """
     keyed = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    suffixes = scratch.keep(keyed.select("uid", "text").mapInArrow(_sampled(length, gram), "uid long, gram long, at int"), "suffixes")
-    shared = suffixes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = scratch.keep(suffixes.join(shared, "gram"), "shared")
-    per_doc = shared.groupBy("uid").agg(F.array_distinct(F.collect_list("at")).alias("at"))
-    texts = keyed.join(per_doc, "uid").dropDuplicates(["uid"])
+    kinds = "slice long, uids array<long>, grams array<long>, texts array<int>, at array<int>, distinct array<long>, counts array<long>"
+    suffixes = scratch.keep(keyed.select("uid", "text").mapInArrow(_sampled(length, gram), kinds), "suffixes")
+    # A gram is counted, and its count sent back, once for each slice that has it, however many suffixes begin with it.
+    each = suffixes.select("slice", F.explode(F.arrays_zip("distinct", "counts")).alias("x")).select("slice", F.col("x.distinct").alias("gram"), F.col("x.counts").alias("n"))
+    grams = scratch.keep(each.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1"), "grams")
+    back = each.select("slice", "gram").join(grams.select("gram"), "gram").groupBy("slice").agg(F.collect_list("gram").alias("shared"))
+    per_doc = suffixes.select("slice", "uids", "grams", "texts", "at").join(back, "slice").mapInArrow(_shared, "uid long, at array<int>")
+    per_doc = scratch.keep(per_doc, "shared")
+    texts = keyed.join(per_doc.dropDuplicates(["uid"]), "uid").dropDuplicates(["uid"])
     context = texts.select("uid", "doc_id", "text", "at").mapInArrow(_contexts(length, gram), "uid long, doc_id long, gram long, at int, left binary, right binary")
-    hot_grams = shared.filter(F.col("n") > hot).select("gram").distinct()
-    n, any_hot = shared.count(), not hot_grams.isEmpty()
+    hot_grams = grams.filter(F.col("n") > hot).select("gram")
+    n, any_hot = grams.agg(F.sum("n")).first()[0] or 0, not hot_grams.isEmpty()
     context = scratch.keep(context, "context")
     spans = "uid long, start int, end int, first_doc_id long"
     bucketed = context.join(hot_grams, "gram", "left_anti") if any_hot else context
