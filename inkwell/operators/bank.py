@@ -102,3 +102,23 @@ def page_map(steps: DataFrame, spark) -> DataFrame:
           UNION ALL
           SELECT l.output, l.page, s.source, s.source_page, l.depth + 1 FROM lineage l JOIN _inkwell_steps s ON s.output = l.source AND s.page = l.source_page)
         SELECT output, page, max_by(source, depth) AS source, max_by(source_page, depth) AS source_page, max(depth) AS depth FROM lineage GROUP BY output, page""")
+
+
+def topic_bank(entries: DataFrame, topics: list[str]) -> DataFrame:
+    """Entries that share a topic with the targets."""
+    return entries.filter(F.arrays_overlap("topics", F.array(*map(F.lit, topics))))
+
+
+def examples(entries: DataFrame, topics: list[str], k: int, seed: str = "0", difficulty: str | None = None, type_: str | None = None) -> DataFrame:
+    """k entries of the topics (and difficulty, and type), at random by a seeded hash of qid."""
+    some = topic_bank(entries, topics)
+    some = some.filter(F.col("difficulty") == difficulty) if difficulty else some
+    some = some.filter(F.col("type") == type_) if type_ else some
+    return some.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col("qid").cast("string")))).orderBy("_h").limit(max(0, min(20, k))).drop("_h")
+
+
+def pipeline_status(files: DataFrame, *reports: tuple[str, DataFrame]) -> DataFrame:
+    """files (stem) with each report's columns, prefixed by its name."""
+    for name, r in reports:
+        files = files.join(r.select("stem", *(F.col(c).alias(f"{name}_{c}") for c in r.columns if c != "stem")), "stem", "left")
+    return files

@@ -38,7 +38,7 @@ def question_total(marks: Column, parts: Column) -> Column:
 
 def answer_slots(parts: Column) -> Column:
     """Paths that an answer is due for: the leaves, and parents that have one."""
-    leaf = lambda p: ~F.exists(parts, lambda c: c["parent_path"] == p["path"])
+    leaf = lambda p: ~F.exists(parts, lambda c: c["parent_path"].eqNullSafe(p["path"]))
     return F.transform(F.filter(parts, lambda p: leaf(p) | p["answer"].isNotNull()), lambda p: p["path"])
 
 

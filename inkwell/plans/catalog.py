@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrow, html, labels, options, similarity, text
+from ..functions import arrow, html, labels, options, parts, similarity, text
 from ..operators import answers, bank, model, novelty, records, segment, worksheet
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -529,6 +529,50 @@ def worksheet_layout(spark, sf_dir):
     return worksheet.layout(q)
 
 
+_PART = "array<struct<path:string,parent_path:string,text:string,marks:int,answer:string,solution:string,answer_area:string>>"
+
+
+def _order_parts(spark, sf_dir):
+    """Orders as questions: a part a line, the second of which lies under the first."""
+    none = F.lit(None).cast("string")
+    name = lambda n: F.concat(F.lit("("), n.cast("string"), F.lit(")"))
+    parent = F.when(F.col("l_linenumber") == 2, "(1)")
+    path = F.concat(F.coalesce(parent, F.lit("")), name(F.col("l_linenumber")))
+    p = F.struct(path.alias("path"), parent.alias("parent_path"), F.concat(F.col("l_linestatus"), F.lit("\n____ km")).alias("text"), F.col("l_quantity").cast("int").alias("marks"), F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")).alias("answer"), none.alias("solution"), none.alias("answer_area"))
+    return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(p)).cast(_PART).alias("parts"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber AS n, l_returnflag = 'R' AS has, CASE WHEN l_linenumber = 2 THEN '(1)' ELSE '' END || '(' || l_linenumber || ')' AS path FROM lineitem)
+SELECT l_orderkey, string_agg(path, ' ' ORDER BY path) AS slots FROM p WHERE has OR n <> 1 OR NOT EXISTS (SELECT 1 FROM p q WHERE q.l_orderkey = p.l_orderkey AND q.n = 2) GROUP BY 1""")
+def answer_slots(spark, sf_dir):
+    q = _order_parts(spark, sf_dir)
+    return q.select("l_orderkey", F.array_join(F.array_sort(worksheet.answer_slots(F.col("parts"))), " ").alias("slots"))
+
+
+@query("SELECT l_orderkey, bool_or(l_returnflag = 'R') AS answered, count(*)::INT AS areas, string_agg(l_linestatus, '|' ORDER BY CASE WHEN l_linenumber = 2 THEN '(1)' ELSE '' END || '(' || l_linenumber || ')', l_linestatus) AS texts FROM lineitem GROUP BY 1")
+def polish_parts(spark, sf_dir):
+    q = _order_parts(spark, sf_dir).withColumn("parts", parts.polish(F.col("parts")))
+    areas = F.size(F.filter("parts", lambda p: p["answer_area"] == "[ANSWER] km"))
+    return q.select("l_orderkey", parts.has_answer(F.lit(None).cast("string"), F.col("parts")).alias("answered"), areas.alias("areas"), F.array_join(F.transform("parts", lambda p: p["text"]), "|").alias("texts"))
+
+
+@query("SELECT doc_id, md5(text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '![](a.png)' ELSE ' ![](a.png)' END) AS restored FROM documents")
+def restore_markers(spark, sf_dir):
+    marker = F.lit(" ![](a.png)")
+    new = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", marker))
+    return t(spark, sf_dir, "documents").select("doc_id", F.md5(parts.restore_markers(F.concat("text", marker), new)).alias("restored"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang IN ('de', 'es')")
+def topic_bank(spark, sf_dir):
+    return bank.topic_bank(_bank(spark, sf_dir), ["de", "es"]).select("doc_id")
+
+
+@query("SELECT doc_id AS qid FROM documents WHERE lang = 'fr' ORDER BY md5('3' || doc_id) LIMIT 20")
+def bank_examples(spark, sf_dir):
+    return bank.examples(_bank(spark, sf_dir).withColumnRenamed("doc_id", "qid"), ["fr"], 20, "3").select("qid")
+
+
 # ---- model steps
 
 
