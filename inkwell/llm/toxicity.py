@@ -1,12 +1,13 @@
 """Toxicity: a support vector machine over a gap-weighted subsequence string kernel, with Nyström landmarks.
 
-The kernel counts common subsequences of three characters that lie within a span of five, each
+The kernel counts common subsequences of four characters that lie within a span of six, each
 skipped character weighing `DECAY`, so that inserted and missing characters cost little:
 k(s, t) = sum_u f_u(s) f_u(t) / (c(s) c(t)), f_u(s) the weight of u's occurrences in s and c(s) the root of
 the sum of all squared weights in s (a positive rescaling, so k stays positive definite).
 
 A text is a bag of segments: its sentences' words, of which ASCII punctuation is dropped, and runs of
-single characters ("i d i o t") joined to one word. A text's margin is that of its most toxic segment.
+single characters ("i d i o t") joined to one word. A text's margin is that of its most toxic segment,
+and half of the second one's if both are positive.
 With landmarks l_1..l_m and a linear SVM w in the Nyström space, w . K^(-1/2) (k(s, l_j))_j equals
 sum_u f_u(s) W_u / c(s) with W = sum_j a_j f(l_j) / c(l_j): scoring is one table lookup a subsequence.
 """
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from .labelled import labelled_sample
 from .shared import hash_spans, mix, slices, with_fields
 
-DECAY, TABLE = 0.5, 1 << 20
-#: Offsets of a subsequence's three characters within a span of five.
-PATTERNS = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4)]
-WEIGHTS = np.array([DECAY ** (p[2] - 2) for p in PATTERNS])
+DECAY, TABLE = 0.75, 1 << 20
+#: Offsets of a subsequence's four characters within a span of six.
+PATTERNS = [(0, i, j, k) for k in range(3, 6) for j in range(2, k) for i in range(1, j)]
+WEIGHTS = np.array([DECAY ** (p[-1] - 3) for p in PATTERNS])
 _SENTENCE = re.compile(r"[.!?\n]+")
 #: ASCII characters that are dropped within words; all others but white space count.
 _DROP = np.zeros(1 << 16, bool)
@@ -74,16 +75,16 @@ def subsequences(chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> tupl
     parts = []
     c = chars.astype(np.uint64)
     for p, w in zip(PATTERNS, WEIGHTS):
-        ok = np.flatnonzero(left > p[2])
+        ok = np.flatnonzero(left > p[-1])
         i = place[ok]
-        key = c[i] << np.uint64(32) | c[i + p[1]] << np.uint64(16) | c[i + p[2]]
+        key = c[i] << np.uint64(48) | c[i + p[1]] << np.uint64(32) | c[i + p[2]] << np.uint64(16) | c[i + p[3]]
         parts.append((seg[ok], (mix(key) & np.uint64(TABLE - 1)).astype(np.int64), np.full(len(ok), w)))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def norms(size: np.ndarray) -> np.ndarray:
     """c(s), which depends on the segment's length only."""
-    return np.sqrt(sum(np.maximum(0, size - p[2]) * w * w for p, w in zip(PATTERNS, WEIGHTS)) + 1e-12)
+    return np.sqrt(sum(np.maximum(0, size - p[-1]) * w * w for p, w in zip(PATTERNS, WEIGHTS)) + 1e-12)
 
 
 class Landmarks:
@@ -151,6 +152,17 @@ class Vocabulary:
         return np.concatenate([np.zeros(0), *(model.segment_margins(self.chars, self.start[i : i + step], self.size[i : i + step]) for i in range(0, n, step))])
 
 
+def text_margins(margin: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    """The largest margin of each text's segments, and half of the second one's if that is positive too."""
+    order = np.lexsort((margin, doc))
+    margin, doc = margin[order], doc[order]
+    last = np.flatnonzero(np.append(doc[1:] != doc[:-1], True))
+    out = np.full(texts, -np.inf)
+    second = np.where((last > 0) & (doc[np.maximum(last - 1, 0)] == doc[last]), margin[np.maximum(last - 1, 0)], 0)
+    out[doc[last]] = margin[last] + 0.5 * np.maximum(0, np.where(margin[last] > 0, second, 0))
+    return out
+
+
 @dataclass
 class KernelMachine:
     weights: np.ndarray  # W over the table
@@ -158,14 +170,13 @@ class KernelMachine:
     scale: tuple[float, float]  # of the sigmoid over a text's margin
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
-        """The largest segment margin of each text (-inf without a segment)."""
+        """The margin of each text (-inf without a segment)."""
         chars, start, size, doc = segments(texts)
-        out = np.full(len(texts), -np.inf)
-        if len(size):
-            key = hash_spans(chars.view(np.uint8), start * 2, size * 2)
-            _, head, of = np.unique(key, return_index=True, return_inverse=True)  # each distinct segment once
-            np.maximum.at(out, doc, self.segment_margins(chars, start[head], size[head])[of])
-        return out
+        if not len(size):
+            return np.full(len(texts), -np.inf)
+        key = hash_spans(chars.view(np.uint8), start * 2, size * 2)
+        _, head, of = np.unique(key, return_index=True, return_inverse=True)  # each distinct segment once
+        return text_margins(self.segment_margins(chars, start[head], size[head])[of], doc, len(texts))
 
     def segment_margins(self, chars, start, size) -> np.ndarray:
         seg, place, w = subsequences(chars, start, size)
@@ -177,10 +188,11 @@ class KernelMachine:
         return 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
 
 
-def _variants(word: str, rng: np.random.Generator) -> list[str]:
-    """The word with one character more inside: each doubled, and a random one in each place."""
+def _variants(word: str, rng: np.random.Generator, each: int) -> list[str]:
+    """The word with one character more inside: each doubled, and random ones in each place."""
     more = [word[: i + 1] + word[i:] for i in range(len(word))]
-    return more + [word[:i] + chr(rng.integers(97, 123)) + word[i:] for i in range(1, len(word)) for _ in range(3)]
+    more += [word[:i] + chr(rng.integers(97, 123)) + word[i:] for i in range(1, len(word)) for _ in range(3)]
+    return [more[i] for i in rng.permutation(len(more))[:each]]
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40, seed: int = 2) -> np.ndarray:
@@ -196,22 +208,24 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40, seed:
     return w
 
 
-def witnesses(doc: np.ndarray, word: np.ndarray, y: np.ndarray, least: float = 0.2, odds: float = 3.0) -> np.ndarray:
-    """Words (by number) that mark the toxic documents; doc and word: of each segment, in order of the text.
+def witnesses(doc: np.ndarray, word: np.ndarray, y: np.ndarray, least: float = 0.04, odds: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """Words (by number) that mark the toxic documents, and how strongly beside the strongest; doc and word: of each segment, in order of the text.
 
-    A witness is far more frequent in toxic documents than in others, and stands there after many
-    different words (words of one toxic text and its copies always have the same neighbours): after
-    three at least, and a share `least` of what the most frequent witness has.
+    A witness is far more frequent in toxic documents than in others, and stands there between many
+    different words (words of one toxic text and its copies always have the same neighbours): three
+    on each side at least, and a share `least` of what the most frequent witness has.
     """
     n = int(word.max()) + 1
-    before = np.concatenate(([n], np.where(doc[1:] == doc[:-1], word[:-1], n)))
+    same = doc[1:] == doc[:-1]
+    before, after = np.concatenate(([n], np.where(same, word[:-1], n))), np.concatenate((np.where(same, word[1:], n), [n]))
     d, w = np.unique(np.stack((doc, word)), axis=1)
     ones, zeros = np.bincount(w, y[d], n), np.bincount(w, 1 - y[d], n)
     ratio = np.log((ones + 0.1) / (y.sum() + 1)) - np.log((zeros + 0.1) / ((1 - y).sum() + 1))
     toxic = y[doc] > 0.5
-    support = np.bincount(np.unique(np.stack((word[toxic], before[toxic])), axis=1)[0], minlength=n)
-    strength = np.where(ratio > odds, np.minimum(ones, support), 0)
-    return np.flatnonzero(strength >= max(3, least * strength.max()))
+    support = [np.bincount(np.unique(np.stack((word[toxic], x[toxic])), axis=1)[0], minlength=n) for x in (before, after)]
+    strength = np.where(ratio > odds, np.minimum(ones, np.minimum(*support)), 0)
+    found = np.flatnonzero(strength >= max(3, least * strength.max()))
+    return found, strength[found] / max(1, strength.max())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Column | None = None, per_class: int = 2000, landmarks: int = 128, seed: int = 4) -> KernelMachine | float:
@@ -231,12 +245,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Colum
     if not len(words.word):
         return float(y.mean())
     doc, word = words.doc, words.word
-    found = witnesses(doc, word, y)
+    found, strength = witnesses(doc, word, y)
     if not len(found):
         return float(y.mean())
     rng = np.random.default_rng(seed)
     chosen = words.texts(found)
-    more = [v for w in chosen for v in _variants(w, rng)]
+    some = [i for i, k in enumerate(strength) if k >= 0.3]
+    more = [v for w in (chosen[i] for i in some) for v in _variants(w, rng, max(4, 500 // max(1, len(some))))]
     clean = np.setdiff1d(word[y[doc] < 0.5], found)
     picked = dict.fromkeys(clean[rng.permutation(len(clean))[:1500]].tolist())
     marks = [*chosen, *words.texts([*picked][: max(1, landmarks - len(chosen))])]
@@ -247,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Colum
         root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
         z = np.concatenate((near.kernel(every) @ root, np.ones((len(every), 1))), 1)
         part = np.repeat((0, 1, 2), (len(chosen), len(more), len(every) - len(chosen) - len(more)))
-        w = _svm(z, np.where(part < 2, 1.0, -1.0), np.array([100.0, 2.0, 4.0])[part])
+        w = _svm(z, np.where(part < 2, 1.0, -1.0), np.concatenate((100 * strength**1.3, np.array([100.0, 5.0, 4.0])[part[len(chosen) :]])))
         table = np.zeros(TABLE)
         table[near.used] = near.rows.T @ (root @ w[:-1])
         model = KernelMachine(table.astype(np.float32), float(w[-1]), (1.0, 0.0))
@@ -256,12 +271,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Colum
         hard = clean[np.argsort(-own, kind="stable")[:600]].tolist()
         marks = list(dict.fromkeys([*marks, *words.texts([w for w in hard if w not in picked][:80])]))
         picked |= dict.fromkeys(hard)
-    # The sigmoid is 0.3 just above what clean documents reach, or half way to the witnesses if that is less.
-    m = np.full(len(y), -1e3)
-    np.maximum.at(m, doc, words.margins(model)[word])
-    reach = np.median(m[y == 1])
-    edge = min(max(0.0, float(np.quantile(m[y == 0], 0.998))) + 0.02, float(reach) / 2)
-    slope = 5 / max(0.1, reach - edge)
+    # The sigmoid is 0.3 where the share of toxic documents above exceeds four times that of clean ones by most.
+    m = np.maximum(-1e3, text_margins(words.margins(model)[word], doc, len(y)))
+    edges = np.unique(np.clip(m, 0, None))
+    above = lambda some: 1 - np.searchsorted(np.sort(m[some]), edges) / some.sum()
+    edge = float(edges[np.argmax(above(y == 1) - 4 * above(y == 0))])
+    below = m[m < edge]
+    edge = (edge + max(0.0, float(below.max()) if len(below) else 0.0)) / 2
+    slope = 4 / max(0.2, float(np.median(m[y == 1])) - edge)
     model.scale = (float(slope), float(np.log(0.3 / 0.7) - slope * edge))
     return model
 

@@ -298,12 +298,13 @@ def test_kernel_by_definition():
         s, out = f" {word} ", collections.Counter()
         for i in range(len(s)):
             for j in range(i + 1, len(s)):
-                for k in range(j + 1, min(len(s), i + 5)):
-                    out[s[i] + s[j] + s[k]] += 0.5 ** (k - i - 2)
+                for k in range(j + 1, len(s)):
+                    for m in range(k + 1, min(len(s), i + 6)):
+                        out[s[i] + s[j] + s[k] + s[m]] += toxicity.DECAY ** (m - i - 3)
         return out
 
     a, b = weights("idiot"), weights("idxiot")
-    occurrences = lambda n: sum(max(0, n - p[2]) * 0.25 ** (p[2] - 2) for p in toxicity.PATTERNS)
+    occurrences = lambda n: sum(max(0, n - p[-1]) * toxicity.DECAY ** (2 * (p[-1] - 3)) for p in toxicity.PATTERNS)
     want = sum(a[u] * b[u] for u in a) / math.sqrt(occurrences(7) * occurrences(8))
     assert abs(toxicity.Landmarks(["idiot"]).kernel(["idxiot"])[0, 0] - want) < 1e-9
 
