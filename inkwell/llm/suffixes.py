@@ -24,6 +24,7 @@ from .shared import Scratch, hash_spans, hashed_words, ngram_hashes, slices, wor
 
 LENGTH, GRAM = 50, 12
 HOT = 100_000  # suffixes with one gram that a task sorts at once; more are compared by an exact aggregate
+FEW = 1000
 
 
 def minimisers(words: np.ndarray, cut: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -230,14 +231,17 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int =
     texts = keyed.join(per_doc.dropDuplicates(["uid"]), "uid").dropDuplicates(["uid"])
     context = texts.select("uid", "doc_id", "text", "at").mapInArrow(_contexts(length, gram), "uid long, doc_id long, gram long, at int, left binary, right binary")
     hot_grams = grams.filter(F.col("n") > hot).select("gram")
-    n, any_hot = grams.agg(F.sum("n")).first()[0] or 0, not hot_grams.isEmpty()
+    n, few = grams.agg(F.sum("n")).first()[0] or 0, [r[0] for r in hot_grams.limit(FEW + 1).collect()]
+    any_hot, listed = bool(few), len(few) <= FEW
     context = scratch.keep(context, "context")
     spans = "uid long, start int, end int, first_doc_id long"
-    bucketed = context.join(hot_grams, "gram", "left_anti") if any_hot else context
+    is_hot = F.col("gram").isin(few[:FEW])  # up to FEW of them stand in the plan, more are joined
+    bucketed = context.filter(~is_hot) if listed else context.join(hot_grams, "gram", "left_anti")
     bucketed = bucketed.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(1 + n // 25_000)))
     found = bucketed.groupBy("bucket").applyInArrow(_repeats(length, gram), spans)
     if any_hot:
-        runs = context.join(hot_grams, "gram").mapInArrow(_runs(length, gram), "run long, doc_id long, uid long, start int")
+        hottest = context.filter(is_hot) if listed else context.join(hot_grams, "gram")
+        runs = hottest.mapInArrow(_runs(length, gram), "run long, doc_id long, uid long, start int")
         runs = scratch.keep(runs.withColumn("place", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "uid", "start")), "runs")
         first = runs.groupBy("run").agg(F.min("place").alias("first"))
         more = runs.join(first, "run").filter("place > first").withColumn("doc", F.col("first.doc"))
