@@ -127,8 +127,9 @@ def test_quotes(spark, scratch):
     assert quotes.link_conversations(df.limit(0), scratch).count() == 0
 
 
-@pytest.mark.parametrize("hot", [suffixes.HOT, 2])
-def test_suffixes(spark, docs, scratch, hot):
+@pytest.mark.parametrize("hot, few", [(suffixes.HOT, suffixes.FEW), (2, suffixes.FEW), (2, 0)])
+def test_suffixes(spark, docs, scratch, monkeypatch, hot, few):
+    monkeypatch.setattr(suffixes, "FEW", few)
     got = collections.defaultdict(set)
     for r in suffixes.repeated_spans(docs, scratch, hot=hot).collect():
         got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
