@@ -31,7 +31,7 @@ from .shared import Scratch, hashed_words, mix, slices
 BEGIN, END = np.uint64(0x5BF0_3635_DCA9_2B1D), np.uint64(0xA0761D6478BD642F)
 BLOCK_BYTES, WORDS_IN_BUCKET, PAIRS_IN_BUCKET = 8_000_000, 1_000_000, 1_500_000
 PAIR_BITS = 56
-FLOOR = 1024  # customers of a dish are seated on floors of so many, which share dishes, not tables
+SEATED = 4096  # dishes of up to so many customers are seated one by one; of larger ones the number of tables is drawn from its law
 THETA, ROOT_THETA = 1.0, 1.0
 
 
@@ -212,22 +212,88 @@ def _own(word_buckets: int, pair_buckets: int):
     return run
 
 
+_KNOTS, _STEP = 24, 0.06
+_STRETCH = np.sinh(np.arange(0, 6, _STEP) + _STEP / 2)
+_SLOPE = np.cosh(np.arange(0, 6, _STEP) + _STEP / 2)
+_CHEBYSHEV = np.cos((2 * np.arange(_KNOTS) + 1) * np.pi / (2 * _KNOTS))
+_BARYCENTRIC = (-1.0) ** np.arange(_KNOTS) * np.sin((2 * np.arange(_KNOTS) + 1) * np.pi / (2 * _KNOTS))
+
+
+def _root_of(f, shape) -> np.ndarray:
+    """Where in (0, 1) an increasing function changes sign, by bisection of the logarithm."""
+    low, high = np.full(shape, -700.0), np.zeros(shape)
+    for _ in range(60):
+        at = (low + high) / 2
+        up = f(np.exp(at)) > 0
+        low, high = np.where(up, low, at), np.where(up, at, high)
+    return np.exp((low + high) / 2)
+
+
+def log_sibuya(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log [z^c] (1 - (1 - z)^d)^t: the chance that t Sibuya(d) sizes sum to c, also for a t between whole numbers.
+
+    Cauchy's integral, over a parabola around the cut from 1 that passes the saddle point. Where
+    the saddle is close to the cut, the power less 1 is taken: its coefficient is the same and nothing cancels.
+    """
+    y = _root_of(lambda y: c * (1 - y**d) - t * d * y ** (d - 1) * (1 - y), c.shape)
+    mid = np.clip(np.maximum(y, 1 / c), 0, 1 - 1e-12)
+    bend = t * d * mid**d * ((1 - d) * (1 - mid**d) - d * mid**d) / (1 - mid**d) ** 2 + (c + 1) * mid**2 / (1 - mid) ** 2
+    width = 0.5 / np.sqrt(np.maximum(bend, 1.0))
+    w = width[..., None] * _STRETCH
+    at = mid[..., None] * (1 + 1j * w) ** 2
+    top = t * np.log1p(-(mid**d)) - (c + 1) * np.log1p(-mid)
+    inside, outside = t[..., None] * np.log(1 - at**d), -(c[..., None] + 1) * np.log(1 - at)
+    value = np.exp(inside + outside - top[..., None])
+    value -= np.where((t * mid**d < 2)[..., None], np.exp(np.minimum(outside.real - top[..., None], 50) + 1j * outside.imag), 0)
+    part = (value * (1 + 1j * w)).real * _SLOPE
+    return top + np.log(np.maximum(part.sum(-1), 1e-300) * width * mid * 2 * _STEP / np.pi)
+
+
+def draw_tables(count: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator, samples: int) -> np.ndarray:
+    """Numbers of tables from the law that seating all customers of a dish against each other has in the long run.
+
+    A seating has weight new for every table and (1 - d) (2 - d) .. (size - 1 - d) for its size, so
+    P(t) is in proportion to (new / d)^t / t! times the chance that t Sibuya sizes sum to count.
+    """
+    out = np.zeros((samples, len(count)), np.int64)
+    for at in range(0, len(count), 64):
+        c, a = count[at : at + 64].astype(float), new[at : at + 64]
+        y = _root_of(lambda y: c * y ** (1 - d) - a * (1 - y), c.shape)
+        mean = np.clip(a / d * (1 - y**d), 1, c)
+        low = np.maximum(1, np.floor(mean - 10 * np.sqrt(mean) - 20))
+        high = np.minimum(c, np.ceil(mean + 10 * np.sqrt(mean) + 30))
+        knots = (low + high)[:, None] / 2 + (high - low)[:, None] / 2 * _CHEBYSHEV
+        smooth = log_sibuya(np.broadcast_to(c[:, None], knots.shape), knots, d) - np.log(knots)
+        for i in range(len(c)):
+            t = np.arange(low[i], high[i] + 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                near = _BARYCENTRIC / (t[:, None] - knots[i])
+                p = near @ smooth[i] / near.sum(1)
+            hit = np.isin(t, knots[i])
+            p[hit] = smooth[i][np.argmin(np.abs(t[hit][:, None] - knots[i]), 1)]
+            # log of (new / d)^t / (t - 1)!, the t of it being in p's logarithm
+            p += t * np.log(a[i] / d) - np.concatenate(([0.0], np.cumsum(np.log(t[1:] - 1))))
+            share = np.cumsum(np.exp(p - p.max()))
+            out[:, at + i] = t[np.searchsorted(share, rng.random(samples) * share[-1], "right")]
+    return out
+
+
 def seat(count: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator, sweeps: int, samples: int) -> np.ndarray:
     """Sampled numbers of tables of dishes with count customers each: samples x dishes.
 
     new: weight of a new table, (theta + d T) P_parent of the dish. Customers are first seated one after
     another, then in each sweep every customer of every dish leaves and is seated again; the last
-    `samples` sweeps are kept. All dishes take their turns side by side.
+    `samples` sweeps are kept. All dishes take their turns side by side. Of dishes with more than SEATED
+    customers the number of tables is drawn from the law that such sweeps lead to.
     """
     out = np.zeros((samples, len(count)), np.int64)
-    if not len(count):
+    large = np.flatnonzero(count > SEATED)
+    out[:, large] = draw_tables(count[large], new[large], d, rng, samples)
+    dish = np.flatnonzero(count <= SEATED)
+    if not len(dish):
         return out
-    floors = -(-count // FLOOR)
-    dish = np.repeat(np.arange(len(count)), floors)
-    nth = np.arange(len(dish)) - np.repeat(np.cumsum(floors) - floors, floors)
-    size = np.minimum(FLOOR, count[dish] - nth * FLOOR)
-    order = np.argsort(-size, kind="stable")
-    dish, size = dish[order], size[order]
+    dish = dish[np.argsort(-count[dish], kind="stable")]
+    size = count[dish]
     weight = new[dish]
     start = np.cumsum(size) - size
     table = np.zeros(int(size.sum()), np.int32)  # of each customer
@@ -272,7 +338,7 @@ def seat(count: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator,
             free_n[gone] += 1
             place(j, m, size[:m] - 1, True)
         if sweep >= sweeps - samples:
-            out[sweep - sweeps + samples] = np.bincount(dish, size - free_n, len(count)).astype(np.int64)
+            out[sweep - sweeps + samples, dish] = size - free_n
     return out
 
 

@@ -184,6 +184,30 @@ def test_seating_follows_the_model():
     assert abs((t == 1).mean() - (1 - d) / (1 - d + new)) < 0.02
 
 
+def test_large_dishes_are_seated_whole(monkeypatch):
+    """Tables of dishes far above 1,024 customers: the law's own recursion; the same law by seating one by one."""
+    c, new, d = 6000, 60.0, 0.74
+    log = np.full(700, -np.inf)  # of the generalised Stirling numbers of n customers at 0, 1, .. tables
+    log[1], t = 0.0, np.arange(700)
+    for n in range(1, c):
+        with np.errstate(divide="ignore"):
+            log = np.logaddexp(np.concatenate(([-np.inf], log[:-1])), np.where(t <= n, np.log(np.maximum(n - d * t, 0)), -np.inf) + log)
+    p = np.exp(log + t * np.log(new) - (log + t * np.log(new)).max())
+    p /= p.sum()
+    mean = p @ t
+    got = pitman_yor.seat(np.full(2000, c), np.full(2000, new), d, np.random.default_rng(0), 1, 1)[0]
+    assert abs(got.mean() - mean) < 0.6 and abs(got.std() - (p @ (t - mean) ** 2) ** 0.5) < 0.6
+    few = lambda sweeps: pitman_yor.seat(np.full(4000, 60), np.full(4000, 3.0), d, np.random.default_rng(1), sweeps, 1)[0]
+    one_by_one = few(40)
+    monkeypatch.setattr(pitman_yor, "SEATED", 59)
+    assert abs(one_by_one.mean() - few(1).mean()) < 0.15
+
+
+def test_tables_grow_sublinearly():
+    t = pitman_yor.seat(np.array([11_830, 1_000_000]), np.array([696.0, 696.0]), 0.74, np.random.default_rng(0), 4, 2)
+    assert (abs(t - 941) < 200).all()
+
+
 def test_pitman_yor(spark, docs, scratch):
     got = pitman_yor.score(docs, crc_mod(F.col("doc_id"), 7) == 2, scratch).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
