@@ -14,13 +14,12 @@ spanning forest of its links, never all of its pairs.
 
 A radius of 3 finds copies with hardly a word changed: of pairs with a shingle similarity of 0.8, few
 are that close. `similar_groups` therefore adds, for a stated similarity, candidates from bands of
-min-wise hashes, compared by SimHash fingerprints of 1,024 bits, long enough to estimate it.
+min-wise hashes, and links a candidate pair only if its sets of shingles have that Jaccard similarity.
 """
 
 from __future__ import annotations
 
 from itertools import repeat
-from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -136,9 +135,9 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-WIDE, BANDS, ROWS, GROUP = 16, 16, 5, 4096
+BANDS, ROWS = 16, 5
+GROUP, SHINGLES = 4096, 500_000  # nodes and shingles of a block of a band's group
 _ODD = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = np.random.default_rng(19).integers(0, 1 << 63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -149,50 +148,66 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, max(1, len(w) - words + 1))
 
 
-def sketch(h: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """The 64-bit SimHash, one of WIDE x 64 bits, and the keys of the min-wise bands of shingle hashes."""
+def sketch(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """The 64-bit SimHash and the keys of the min-wise bands of shingle hashes."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(h), 1024):
         least = np.minimum(least, (mix(h[i : i + 1024, None] * _ODD)).min(0))
     bands = mix((least.reshape(BANDS, ROWS) * _ODD[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-    ones = np.zeros(WIDE * 64, np.int64)
-    for i in range(0, len(h), 1024):
-        bits = mix(h[i : i + 1024, None] * _MIX).astype("<u8").view(np.uint8)
-        ones += np.unpackbits(bits, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return majority(h), np.packbits(2 * ones > len(h), bitorder="little"), bands
+    return majority(h), bands
+
 
+def _sketches(words: int, radius: int):
+    codes = np.array(masks(radius, 0), np.int64)
 
-def _sketches(words: int):
     def run(batches):
         for b in batches:
-            got = [sketch(shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
-            fp = np.array([x[0] for x in got], np.uint64).view(np.int64)
-            wide = pa.array([x[1].tobytes() for x in got], pa.binary())
-            bands = pa.array([x[2].view(np.int64) for x in got], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp), wide, bands], ["doc_id", "th", "fp", "wide", "bands"])
+            out = []
+            for t in b.column("text").to_pylist():
+                h = shingle_hashes(t, words)
+                one = np.unique(h)
+                fp, bands = sketch(h)
+                close = mix((np.int64(fp - (fp >> 63 << 64)) & codes).view(np.uint64) ^ mix(codes.view(np.uint64)))
+                out.append((xxh64_intdigest(one.tobytes(), SEED), len(one), np.concatenate((bands, close)).view(np.int64)))
+            node = pa.array(np.array([x[0] for x in out], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), node, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["doc_id", "th", "node", "size", "keys"])
 
     return run
 
 
-def _wide_forest(most: int):
-    """Links of a spanning forest of the nodes that differ in `most` bits or less; of two blocks, if there are two."""
+def _similar_forest(words: int, similarity: float):
+    """Links of a spanning forest of the nodes whose sets of shingles are similar; of two blocks, if there are two."""
 
     def run(batches):
         for b in batches:
             out = [np.zeros((2, 0), np.int64)]
             for members in b.column("members"):
                 ids = members.values.field("node").to_numpy()
-                bits = np.frombuffer(b"".join(members.values.field("wide").to_pylist()), "<u8").reshape(len(ids), WIDE)
-                left = np.arange(len(ids))
-                while len(left) > 1:
-                    front, left = [left[0]], left[1:]
-                    while front and len(left):
-                        i = front.pop()
-                        near = np.bitwise_count(bits[left] ^ bits[i]).sum(1) <= most
-                        if near.any():
-                            hit, left = left[near], left[~near]
-                            front.extend(hit.tolist())
-                            out.append(np.stack((np.full(len(hit), ids[i]), ids[hit])))
+                sets = [np.unique(shingle_hashes(t, words)) for t in members.values.field("text").to_pylist()]
+                size = np.array([len(x) for x in sets])
+                known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                start = np.cumsum(size) - size
+                has = np.zeros(len(known), bool)
+                left = np.flatnonzero(size)
+                for i in np.flatnonzero(size == 0)[1:]:
+                    out.append(np.array([[ids[np.flatnonzero(size == 0)[0]]], [ids[i]]]))
+                front = []
+                while len(left):
+                    if not front:
+                        front, left = [left[0]], left[1:]
+                        flat_left = np.concatenate([flat[start[x] : start[x] + size[x]] for x in left]) if len(left) else flat[:0]
+                        continue
+                    i = front.pop()
+                    own = flat[start[i] : start[i] + size[i]]
+                    has[own] = True
+                    common = np.add.reduceat(has[flat_left], np.cumsum(size[left]) - size[left], dtype=np.int64)
+                    has[own] = False
+                    near = common >= similarity * (size[i] + size[left] - common)
+                    if near.any():
+                        flat_left = flat_left[np.repeat(~near, size[left])]
+                        hit, left = left[near], left[~near]
+                        front.extend(hit.tolist())
+                        out.append(np.stack((np.full(len(hit), ids[i]), ids[hit])))
             a, c = np.concatenate(out, 1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
 
@@ -202,30 +217,30 @@ def _wide_forest(most: int):
 def similar_groups(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """doc_id, th (xxhash64 of the text) and first (doc_id and th of the group's first row) of every row of docs.
 
-    Rows are linked if their texts' shingles have about that Jaccard similarity or more. For sets of
-    equal size it is a cosine of 2 s / (1 + s), hence an expected share acos(cosine) / pi of differing
-    bits in the long fingerprint. Bands of 16 x 5 min-wise hashes miss one pair in 500 at 0.8. A
-    band's group of over GROUP nodes is compared block by block, each pair of blocks in its own task.
-    Null and word-free texts have one fingerprint and are linked; see near_duplicates for other cases.
+    Rows are linked if their texts' sets of shingles have that Jaccard similarity or more. Candidates
+    share a band of min-wise hashes (16 x 5 of them miss one pair in 500 at 0.8) or have SimHashes
+    within the radius (a covering code's key each); every candidate is decided by its sets. Texts of
+    equal sets are one node, groups of equal members are compared once. A group of over GROUP nodes
+    or SHINGLES shingles is compared block by block, each pair of blocks in its own task. Null and
+    word-free texts have one, empty set and are linked; see near_duplicates for other cases.
     """
-    most = round((acos(2 * similarity / (1 + similarity)) / pi + 0.006) * 64 * WIDE)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    rows = scratch.keep(rows.mapInArrow(_sketches(words), "doc_id long, th long, fp long, wide binary, bands array<long>").withColumn("node", F.xxhash64("wide")), "sketches")
-    nodes = scratch.keep(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("least"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("bands").alias("bands")), "nodes")
-    dealt = nodes.select("node", F.explode("bands").alias("band"))
-    sizes = dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / GROUP).cast("int"))
-    dealt = dealt.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    rows = scratch.keep(texts.mapInArrow(_sketches(words, radius), "doc_id long, th long, node long, size long, keys array<long>"), "sketches")
+    nodes = scratch.keep(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    dealt = nodes.select("node", "size", F.explode("keys").alias("key"))
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.hash("node", F.lit(2))).alias("y")).filter("n > 1")
+    sizes = sizes.groupBy("n", "shingles", "x", "y").agg(F.min("key").alias("key"))
+    blocks = F.greatest(F.ceil(F.col("n") / GROUP), F.ceil(F.col("shingles") / SHINGLES)).cast("int")
+    dealt = dealt.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select("node", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    groups = dealt.join(nodes.select("node", "wide"), "node").groupBy("band", "x", "y").agg(F.collect_list(F.struct("node", "wide")).alias("members"))
-    wide = groups.select("members").mapInArrow(_wide_forest(most), "a long, b long")
-    prints = nodes.select("fp", "node")
-    close = links(prints.select("fp").distinct(), scratch, radius)
-    least = scratch.keep(prints.groupBy("fp").agg(F.min("node").alias("m")), "prints")
-    at = lambda c: least.select(F.col("fp").alias(c), F.col("m").alias(c + "_node"))
-    close = close.join(at("a"), "a").join(at("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    same = prints.join(least, "fp").filter("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
-    of = components(wide.union(close).union(same), scratch)
+    dealt = dealt.withColumn("other", other).select("node", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    dealt = scratch.keep(dealt, "dealt")
+    asked = nodes.join(dealt.select("node").distinct(), "node").select("node", "least.doc_id", "least.th")
+    bodies = asked.join(texts.withColumnsRenamed({"doc_id": "id", "th": "of"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("of")))
+    bodies = bodies.groupBy("node").agg(F.first("text").alias("text"))
+    groups = dealt.join(bodies, "node").groupBy("key", "x", "y").agg(F.collect_list(F.struct("node", "text")).alias("members"))
+    linked = groups.select("members").mapInArrow(_similar_forest(words, similarity), "a long, b long")
+    of = components(linked, scratch)
     named = nodes.join(of, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     named = scratch.keep(named, "named")
     first = named.groupBy("component").agg(F.min("least").alias("first"))

@@ -110,6 +110,45 @@ def test_similar_groups(spark, scratch):
     assert got == {i: i % 8 for i in range(16)} | {99: 99}
 
 
+def test_similar_groups_are_exact(spark, scratch):
+    """Short and long pairs just below 0.8 stay apart, those at 0.8 or just above are linked."""
+    data, want, rng = [], {}, random.Random(5)
+    fresh = (f"w{i}" for i in range(10**6))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    for k in range(30):
+        for n in (4, 5, 6):  # one word appended: J = n / (n + 1)
+            t = take(n + 4)
+            data += [(len(data), " ".join(t)), (len(data) + 1, " ".join(t + take(1)))]
+            want[len(data) - 1] = len(data) - 2
+        for n in (6, 7, 8):  # the last word changed: J = (n - 1) / (n + 1)
+            t = take(n + 4)
+            data += [(len(data), " ".join(t)), (len(data) + 1, " ".join(t[:-1] + take(1)))]
+            want[len(data) - 1] = len(data) - 1
+        for changed, linked in ((112, False), (124, False), (80, True)):  # J = (1000 - m) / (1000 + m), m shingles changed at the end
+            t = take(1004)
+            data += [(len(data), " ".join(t)), (len(data) + 1, " ".join(t[: 1004 - changed] + take(changed)))]
+            want[len(data) - 1] = len(data) - 2 if linked else len(data) - 1
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["first_id"] for r in simhash.similar_groups(df, scratch).collect()}
+    assert all(got[i] == i for i, _ in data if want.get(i, i) == i)
+    missed = sum(got[i] != j for i, j in want.items())  # the bands miss one in 500 at 0.8
+    assert missed <= 2
+
+
+def test_groups_in_blocks(spark, scratch, monkeypatch):
+    """Cutting a group into blocks changes nothing."""
+    base = prose(60, 1).split()
+    data = [(i, " ".join(base[: 60 - i % 7] + [f"x{i}"])) for i in range(60)] + [(100, ""), (101, None), (102, " ")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    whole = {r["doc_id"]: r["first_id"] for r in simhash.similar_groups(df, scratch).collect()}
+    monkeypatch.setattr(simhash, "SHINGLES", 500)
+    assert {r["doc_id"]: r["first_id"] for r in simhash.similar_groups(df, scratch).collect()} == whole
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in data}
+    alike = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert whole == brute_components(list(sets), alike)
+
+
 def test_quotes(spark, scratch):
     data = [
         (1, 0, "user", "Hello there, how are you?\nSecond line here"), (1, 1, "assistant", "On Monday Bob wrote:\n> Hello there, how are YOU?\n\nFine thanks."),
