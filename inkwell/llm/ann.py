@@ -23,6 +23,7 @@ from .labelled import unit_hash
 from .shared import Scratch
 
 BLOCK, PART = 16, 8192
+HELD, EACH = 400, 40  # queries that measure the lists to visit, sampled vectors a list
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -52,22 +53,17 @@ class Index:
             np.add.at(s, near, x)
             c = np.where(n[:, None] > 0, s / np.maximum(1, n)[:, None], c)
         self.centroids, self.sizes = c, np.zeros(len(c), np.int64)
-        self._fitted = sample
-
-    def probes_for(self, recall: float, k: int, asked: int = 400) -> int:
-        """Lists that a query must visit for that share of its neighbours, as measured within the sample."""
-        x = self._fitted
-        own = self.lists_of(x)
-        share = []
-        for i in np.random.default_rng(3).permutation(len(x))[:asked]:
-            score = x @ x[i]
-            score[i] = -np.inf
-            near = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]
-            place = np.empty(len(self.centroids), np.int64)
-            place[self.order(x[i : i + 1])[0]] = np.arange(len(self.centroids))
-            share.append(place[own[near]] + 1)
-        share = np.sort(np.concatenate(share)) if share else np.zeros(0)
-        return int(share[min(len(share) - 1, int(recall * len(share)))]) if len(share) else 1
+
+    def probes_for(self, recall: float, queries: np.ndarray, of: np.ndarray, lists: np.ndarray) -> int:
+        """Lists that a query must visit for that share of the neighbours; of: their queries, lists: where they are.
+
+        The queries must be none of the vectors that the centroids were fitted on. All lists if there are none.
+        """
+        if not len(of):
+            return len(self.centroids)
+        place = np.argsort(self.order(queries), 1)  # of each list in a query's order
+        share = np.sort(place[of, lists]) + 1
+        return int(share[min(len(share) - 1, int(recall * len(share)))])
 
     @staticmethod
     def _nearest(x, c):
@@ -162,13 +158,36 @@ def _scanner(index, k: int, epsilon: float):
     return run
 
 
+def _truth(rids: np.ndarray, queries: np.ndarray, k: int):
+    """The k best of the task's vectors for each query, by brute force, and the lists they are in."""
+
+    def run(batches):
+        score, lists = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
+        for b in batches:
+            x, rid = _matrix(b.column("embedding")), b.column("rid").to_numpy()
+            if not len(x):
+                continue
+            s = queries @ x.T
+            i, j = np.nonzero(rids[:, None] == rid)
+            own = (queries[i] == x[j]).all(1)
+            s[i[own], j[own]] = -np.inf
+            s, at = np.concatenate((score, s), 1), np.concatenate((lists, np.broadcast_to(b.column("list").to_numpy(), s.shape)), 1)
+            top = np.argpartition(-s, k - 1, 1)[:, :k]
+            score, lists = np.take_along_axis(s, top, 1), np.take_along_axis(at, top, 1)
+        i, j = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(score[i, j]), pa.array(lists[i, j].astype(np.int32))], ["query", "score", "list"])
+
+    return run
+
+
 def neighbours(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 20, recall: float = 0.96, lists: int | None = None, sample: int = 16_384, epsilon: float = 2.1) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query (rows of vectors for which is_query, on vec_id, holds).
 
     All other rows are candidates, copies of the query too; ties go to the smaller vec_id, a vec_id that
     occurs with several vectors counts as each. The index (rotation and 2 * sqrt(n) centroids, at most
-    8,192) is fitted on a sample of about `sample` vectors and holds every vector. How many lists a
-    query visits follows from the data: as many as hold the share `recall` of neighbours in the sample.
+    8,192) is fitted on a sample of about `sample` vectors, 40 a list at least, and holds every vector.
+    How many lists a query visits follows from the data: as many as hold the share `recall` of the true
+    neighbours, in the whole table, of about `HELD` vectors that are kept out of the sample.
     """
     spark = vectors.sparkSession
     rows = usable(vectors).withColumns({"h1": F.xxhash64("embedding"), "h2": F.hash("embedding")})
@@ -179,11 +198,13 @@ def neighbours(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int =
     n, longest = entries.agg(F.count("*"), F.max(norm)).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    taken = entries.filter(unit_hash(F.col("h1")) < sample / n).select("embedding").limit(2 * sample).toPandas()
+    lists = lists or int(min(8192, max(1, 2 * np.sqrt(n))))
+    sample, out = max(sample, EACH * lists), min(0.1, HELD / n)
+    u = unit_hash(F.col("h1"))
+    taken = entries.filter((u < sample / n) & (u < 1 - out)).select("embedding").limit(2 * sample).toPandas()
     taken = np.stack(list(taken["embedding"])) if len(taken) else np.array([entries.first()["embedding"]])
-    index = Index(taken, lists or int(min(8192, max(1, 2 * np.sqrt(n)))), longest)
-    probes = index.probes_for(recall, k)
-    index._fitted = None
+    index = Index(taken, lists, longest)
+    del taken
     held = spark.sparkContext.broadcast(index)
 
     def assign(batches):
@@ -191,6 +212,12 @@ def neighbours(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held.value.lists_of(_matrix(b.column("embedding"))).astype(np.int32))], [*b.schema.names, "list"])
 
     placed = scratch.keep(entries.select("rid", "asks", "embedding").mapInArrow(assign, "rid long, asks boolean, embedding array<double>, list int"), "placed")
+    asking = entries.filter(u >= 1 - out).select("rid", "embedding").limit(2 * HELD).toPandas()
+    queries = np.stack(list(asking["embedding"])) if len(asking) else np.zeros((0, 1))
+    true = placed.mapInArrow(_truth(asking["rid"].to_numpy(np.int64), queries, k), "query long, score double, list int") if len(asking) else None
+    best_of = W.partitionBy("query").orderBy(F.desc("score"), "list")
+    true = true.withColumn("r", F.row_number().over(best_of)).filter(F.col("r") <= k).select("query", "list").toPandas() if true is not None else None
+    probes = index.probes_for(recall, queries, *(true[c].to_numpy() if true is not None else np.zeros(0, np.int64) for c in ("query", "list")))
     sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     for i, size in sizes.items():
         index.sizes[i] = size
