@@ -54,9 +54,10 @@ class LanguageFilter:
     languages: list[str]
     cells: np.ndarray  # CELLS x planes, of unsigned integers with a bit a language
     false: np.ndarray  # rate of false positives of each language
+    common: int = 0  # the most frequent language
 
     @classmethod
-    def build(cls, languages: list[str], grams: np.ndarray, members: np.ndarray) -> LanguageFilter:
+    def build(cls, languages: list[str], grams: np.ndarray, members: np.ndarray, common: int = 0) -> LanguageFilter:
         """grams: hashes; members: index of a language that contains the n-gram beside it."""
         width = next((w for w in (8, 16, 32, 64) if len(languages) <= w), 64)
         planes = -(-max(1, len(languages)) // width)
@@ -64,7 +65,7 @@ class LanguageFilter:
         for at in _places(grams):
             np.bitwise_or.at(cells, (at, members // width), np.left_shift(np.ones(len(members), cells.dtype), (members % width).astype(cells.dtype)))
         fill = np.array([np.count_nonzero(cells[:, i // width] >> cells.dtype.type(i % width) & 1) for i in range(len(languages))]) / CELLS
-        return cls(languages, cells, fill**HASHES)
+        return cls(languages, cells, fill**HASHES, common)
 
     def shares(self, texts: pa.Array) -> np.ndarray:
         """Corrected share of each text's n-grams that each language contains: texts x languages, at least 0."""
@@ -114,15 +115,16 @@ def learn(docs: DataFrame, allowed: Column, per_language: int = 2000, least: flo
     grams = grams.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("lang"))).filter(F.col("share") >= least)
     grams = grams.withColumn("most", F.max("share").over(W.partitionBy("gram"))).filter(F.col("share") >= ratio * F.col("most"))
     got = grams.select("lang", "gram").toPandas()
-    return LanguageFilter.build(languages, got["gram"].to_numpy(np.int64).view(np.uint64), got["lang"].to_numpy(np.int64))
+    return LanguageFilter.build(languages, got["gram"].to_numpy(np.int64).view(np.uint64), got["lang"].to_numpy(np.int64), max(range(len(languages)), key=lambda i: counts[languages[i]]))
 
 
 def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """docs with lang_pred and lang_score (0 to 1: the winner's part of all languages' corrected shares).
 
     Null texts, texts without a letter, and every text if no language was learned, are `und` with
-    score 0; so is a text none of whose n-grams any language contains. Ties go to the language
-    first in order. Columns of the same names are replaced.
+    score 0. A text none of whose n-grams any language contains (one of a single letter has none) gets
+    the most frequent language learned, with a score below that of any hit: 1 / (languages + 1). Ties
+    go to the language first in order. Columns of the same names are replaced.
     """
     rest = docs.drop("lang_pred", "lang_score")
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: CELLS x planes
@@ -134,9 +136,11 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
             for part in slices(b):
                 share = m.shares(part.column("text")) if m.languages else np.zeros((part.num_rows, 1))
                 best, top, total = share.argmax(1), share.max(1), share.sum(1)
-                none = np.array([not t or not letters(t) for t in part.column("text").to_pylist()]) | (top <= 0)
+                none = np.array([not m.languages or not t or not letters(t) for t in part.column("text").to_pylist()])
+                blind = top <= 0
+                best = np.where(blind, m.common, best)
                 name = [None if x else m.languages[i] for x, i in zip(none, best)]
-                s = np.where(none, 0, top / np.maximum(total, 1e-300))
+                s = np.where(none, 0, np.where(blind, 1 / (len(m.languages) + 1), top / np.maximum(total, 1e-300)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x or "und" for x in name], pa.string()), pa.array(s)], names=[*part.schema.names, "lang_pred", "lang_score"])
 
     return rest.mapInArrow(run, schema)

@@ -211,6 +211,14 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.identify(d, none).collect()} == {"und"}
 
 
+def test_texts_without_known_grams_get_a_language(spark):
+    learned = spark.createDataFrame([(i, prose(40, i), "xx" if i % 3 else "aa") for i in range(60)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, "A."), (2, "Щит и меч"), (3, "qqqqqq"), (4, "7 !"), (5, None), (6, ""), (7, "é")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in language.identify(odd, language.learn(learned, F.lit(True))).collect()}
+    assert {i for i, (name, s) in got.items() if name == "und" and s == 0} == {4, 5, 6}
+    assert all(got[i] == ("xx", 1 / 3) for i in (1, 2, 3, 7))
+
+
 def test_seating_keeps_customers():
     t = pitman_yor.seat(np.array([1, 2, 3000]), np.array([0.1, 0.1, 5.0]), 0.5, np.random.default_rng(0), 5, 3)
     assert (t[:, 0] == 1).all() and ((t[:, 1] >= 1) & (t[:, 1] <= 2)).all() and (t[:, 2] < 400).all() and (t[:, 2] > 10).all()
