@@ -209,7 +209,8 @@ def _merged(batches):
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("uid", F.xxhash64("doc_id", "text"))
+    """docs with uid, the same for a doc_id of any type that casts to the same long."""
+    return docs.withColumn("uid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
 def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:

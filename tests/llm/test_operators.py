@@ -192,6 +192,13 @@ def test_cut_texts(spark, docs, scratch):
     assert suffixes.without_repeats(docs.limit(0), scratch).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_cut_texts_whatever_the_type_of_id(spark, docs, scratch, kind):
+    want = sorted((str(i), t) for i, t in local(suffixes.without_repeats(docs, scratch)))
+    typed = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+    assert sorted((str(i), t) for i, t in local(suffixes.without_repeats(typed, scratch))) == want
+
+
 def test_minimisers_cover_every_window():
     words = np.random.default_rng(0).integers(0, 50, 5000).astype(np.uint64)
     at, _ = suffixes.minimisers(words, np.array([0, 5000]))
