@@ -2,18 +2,23 @@
 
 Every word is the context of a restaurant whose dishes are the words that follow it; all context
 restaurants share one parent, the unigram restaurant, whose base is uniform over the vocabulary and
-one unknown word. Each table of a context restaurant is a customer of the parent (Teh, 2006). Seatings
-are sampled by Gibbs: a customer leaves its table and joins a table of its dish with weight (size - d)
-or opens one with weight (theta + d T) P_parent. Predictive probabilities are averaged over samples:
+one unknown word. Each table of a context restaurant is a customer of the parent (Teh, 2006).
+
+Seatings are sampled by Gibbs, one dish of a restaurant at a time: the c customers of a dish leave and
+are seated anew given everyone else. What they leave behind is t tables with probability in proportion to
+S(c, t) prod_j (theta + d (T + j)) P_j, with S the sum over all ways to seat c customers at t tables of
+prod (1 - d) (2 - d) .. (size - 1 - d), T the other tables of the restaurant, and P_j the parent's
+predictive probability after j of these tables. The parent's dishes are seated in the same way, between
+the rounds of the context restaurants. Predictive probabilities are averaged over the last rounds:
 P(w|u) = (c_uw - d t_uw + (theta + d T_u) P(w)) / (theta + c_u).
 
-Layout: texts are cut into blocks of a few MB. A block asks for what it needs once for each distinct
-word and pair of words, in packed sorted arrays dealt out by hash range; a bucket merges the
-requests of all blocks and answers each block in its own order. So a word or pair as frequent as it
-may be has one entry a block in its bucket, counts cover all training tokens, and no table of words
-is ever held in one place. One of the blocks that have a pair, drawn by a hash, owns it and seats its customers;
-context restaurants are conditionally independent given the parent, so all blocks sample at once,
-then the parent is seated anew from the sampled tables.
+Layout: texts are cut into blocks of a few MB. A block asks the word buckets once for each of its
+distinct words, and gets the word's number and counts; it then sends its distinct pairs of numbers to the pair
+buckets, which merge those of all blocks. All pairs of a context lie in one bucket, those of a
+context with over HOT tokens are spread over all buckets by a hash of the pair. A pair bucket seats its
+restaurants, and asks the word buckets for what it needs of the parent once for each distinct word.
+At last each block gets the probability of each of its pairs. So a word or pair as frequent as it may be has
+one entry a block, counts cover all training tokens, and no table of words is ever held in one place.
 """
 
 from __future__ import annotations
@@ -30,8 +35,9 @@ from .shared import Scratch, hashed_words, mix, slices
 #: The words that stand before and after every text; no word hashes to them but by chance.
 BEGIN, END = np.uint64(0x5BF0_3635_DCA9_2B1D), np.uint64(0xA0761D6478BD642F)
 BLOCK_BYTES, WORDS_IN_BUCKET, PAIRS_IN_BUCKET = 8_000_000, 1_000_000, 1_500_000
-PAIR_BITS = 56
-SEATED = 4096  # dishes of up to so many customers are seated one by one; of larger ones the number of tables is drawn from its law
+RANK_BITS = 26  # of a word's number: its place in its bucket
+HOT = 100_000  # tokens of a context beyond which its pairs are spread over all buckets
+SMALL = 64  # dishes of up to so many customers use the table of S, larger ones its integral
 THETA, ROOT_THETA = 1.0, 1.0
 
 
@@ -47,169 +53,233 @@ def unpack(b: bytes, kind=np.uint32) -> np.ndarray:
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
-    return pack(np.diff(x, prepend=np.uint64(0)))
+    return pack(np.diff(x.astype(np.uint64), prepend=np.uint64(0)))
 
 
 def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
 
-def _cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
-    """Where each bucket's range of sorted keys starts, and the end."""
-    edges = [(i << bits) // buckets for i in range(1, buckets)]
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's range of sorted hashes starts, and the end."""
+    edges = [(i << 64) // buckets for i in range(1, buckets)]
     return np.concatenate(([0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)])).astype(np.int64)
 
 
-PACKED = "kind int, bucket int, block long, a binary, b binary, c binary, d binary, e binary"
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
-_NAMES = ["kind", "bucket", "block", "a", "b", "c", "d", "e"]
+#: kind, the bucket that a row goes to or comes from, its source (a block or a pair bucket), packed arrays, sums.
+PACKED = "kind int, bucket long, source long, a binary, b binary, c binary, d binary, e binary, f binary, sums array<long>"
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int64())]
+_NAMES = ["kind", "bucket", "source", "a", "b", "c", "d", "e", "f", "sums"]
+NUMBER, PAIRS, INDEX, TABLES, DISHES, PARENT, CHANCE = range(7)
+
+
+def _row(kind: int, bucket: int, source: int, *packed, sums=None) -> tuple:
+    return (kind, int(bucket), int(source), *packed, *[None] * (6 - len(packed)), None if sums is None else [int(x) for x in sums])
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
-    full = [(*r, *[None] * (8 - len(r))) for r in rows]
-    return pa.table([pa.array([r[i] for r in full], t) for i, t in enumerate(_TYPES)], _NAMES)
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], _NAMES)
 
 
-def _blocks(held: str):
-    def run(batches):
-        n = 0
-        for b in batches:
-            for part in slices(b, size=BLOCK_BYTES):
-                h, cut = hashed_words(part.column("text"))
-                keys = np.unique(np.concatenate((h, [BEGIN, END])))
-                at = np.searchsorted(keys, h)
-                # Numbers by frequency compress best.
-                count = np.bincount(at, minlength=len(keys))
-                rank = np.empty(len(keys), np.uint32)
-                rank[np.argsort(-count, kind="stable")] = np.arange(len(keys))
-                doc = part.column("doc_id")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([(TaskContext.get().partitionId() << 32) + n]), pa.array([doc.to_pylist()], pa.list_(pa.int64())), pa.array([part.column(held).to_pylist()], pa.list_(pa.bool_())),
-                     pa.array([pack(np.diff(cut).astype(np.uint32))], pa.binary()), pa.array([pack_sorted(keys)], pa.binary()), pa.array([pack(rank)], pa.binary()), pa.array([pack(rank[at])], pa.binary()), pa.array([len(h) + part.num_rows]), pa.array([len(keys)])],
-                    ["block", "doc_ids", "held", "sizes", "keys", "ranks", "ids", "events", "words"],
-                )
-                n += 1
+def _of(table: pa.Table, kind: int, by: str = "bucket") -> list[dict]:
+    return sorted((r for r in table.to_pylist() if r["kind"] == kind), key=lambda r: r[by])
+
+
+def _sums(df: DataFrame, n: int) -> list[int]:
+    """The sums that buckets left in their first rows, added up by Spark."""
+    return [int(x or 0) for x in df.agg(*(F.sum(F.col("sums")[i]) for i in range(n))).first()]
 
-    return run
+
+def _joined(parts: list[np.ndarray], kind=np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+
+
+def _blocks(batches):
+    n = 0
+    for b in batches:
+        for part in slices(b, size=BLOCK_BYTES):
+            h, cut = hashed_words(part.column("text"))
+            keys = np.unique(np.concatenate((h, [BEGIN, END])))
+            at = np.searchsorted(keys, h)
+            size, held = np.diff(cut), np.array(part.column("_held").to_pylist(), bool)
+            every = np.bincount(at, minlength=len(keys))
+            train = np.bincount(at[np.repeat(~held, size)], minlength=len(keys))
+            end = np.searchsorted(keys, END)
+            every[end], train[end] = every[end] + len(held), train[end] + (~held).sum()
+            # Numbers by frequency compress best.
+            rank = np.empty(len(keys), np.uint32)
+            rank[np.argsort(-every, kind="stable")] = np.arange(len(keys))
+            columns = {
+                "block": pa.array([(TaskContext.get().partitionId() << 32) + n]), "doc_ids": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), "held": pa.array([held.tolist()], pa.list_(pa.bool_())),
+                "sizes": pack(size.astype(np.uint32)), "keys": pack_sorted(keys), "train": pack(train.astype(np.uint32)), "every": pack(every.astype(np.uint32)), "ranks": pack(rank), "tokens": pack(rank[at]),
+                "n_tokens": pa.array([len(h) + part.num_rows]), "n_words": pa.array([len(keys)]),
+                "ends": pa.array([[int(np.searchsorted(keys, BEGIN)), int(end)]], pa.list_(pa.int64())),
+            }
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) if isinstance(v, bytes) else v for v in columns.values()], list(columns))
+            n += 1
+
+
+BLOCK = "block long, doc_ids array<long>, held array<boolean>, sizes binary, keys binary, train binary, every binary, ranks binary, tokens binary, n_tokens long, n_words long, ends array<long>"
 
 
 class Block:
-    """A decoded block: local words, events (previous word, word) and distinct pairs."""
+    """A decoded block: its events (previous word, word), by number of the word in the block."""
 
     def __init__(self, row: dict):
-        self.block, self.doc_ids = row["block"], row["doc_ids"]
-        self.held = np.array(row["held"], bool)
-        self.sizes, self.keys = unpack(row["sizes"]).astype(np.int64), unpack_sorted(row["keys"])
-        rank = unpack(row["ranks"])
+        self.block, self.held = row["block"], np.array(row["held"], bool)
+        self.sizes, rank = unpack(row["sizes"]).astype(np.int64), unpack(row["ranks"])
         of = np.empty(len(rank), np.int32)
         of[rank] = np.arange(len(rank), dtype=np.int32)
-        ids = of[unpack(row["ids"])]
-        begin, end = np.searchsorted(self.keys, np.array([BEGIN, END]))
+        self.begin, self.end = row["ends"]
         total = self.sizes + 1
         self.cut = np.concatenate(([0], np.cumsum(total)))
-        self.next = np.full(self.cut[-1], end, np.int32)
+        self.next = np.full(self.cut[-1], self.end, np.int32)
         inner = np.ones(self.cut[-1], bool)
         inner[self.cut[1:] - 1] = False
-        self.next[inner] = ids
-        self.prev = np.concatenate(([begin], self.next[:-1])).astype(np.int32)
-        self.prev[self.cut[:-1]] = begin
-        self.begin, self.end = int(begin), int(end)
+        self.next[inner] = of[unpack(row["tokens"])]
+        self.prev = np.concatenate(([self.begin], self.next[:-1])).astype(np.int32)
+        self.prev[self.cut[:-1]] = self.begin
         self.train = np.repeat(~self.held, total)
 
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.next[self.train], minlength=len(self.keys)).astype(np.uint32)
-
     def pairs(self):
-        """Sorted distinct pair keys, one event of each, and the pair of each event."""
+        """Distinct pairs, sorted: previous word, word; and the pair of each event."""
+        keys, of = np.unique(self.prev.astype(np.uint64) << np.uint64(32) | self.next.astype(np.uint64), return_inverse=True)
+        return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), of
+
+    def numbers(self, rows: list[dict]):
+        """Global numbers of the block's words, their counts in training, and in all texts."""
+        ids = _joined([unpack_sorted(r["a"]) + (np.uint64(r["bucket"]) << np.uint64(RANK_BITS)) for r in rows], np.uint64)
+        return ids, *(_joined([unpack(r[c], np.uint64) for r in rows]) for c in "bc")
+
+    def dealt(self, ids, u, w, every, buckets: int):
+        """The bucket of each pair, and an order of the pairs by bucket."""
         with np.errstate(over="ignore"):
-            key = mix(self.keys[self.prev] * np.uint64(0xD6E8FEB86659FD93) + self.keys[self.next]) >> np.uint64(64 - PAIR_BITS)
-        keys, first, of = np.unique(key, return_index=True, return_inverse=True)
-        return keys, first, of.astype(np.int32)
+            both = mix(ids[u] * np.uint64(0xD6E8FEB86659FD93) + ids[w])
+        bucket = (np.where(self.heat(u, every), both, mix(ids[u])) % np.uint64(buckets)).astype(np.int64)
+        return bucket, np.argsort(bucket, kind="stable")
 
+    def heat(self, u, every):
+        return every[np.where(u == self.begin, self.end, u)] > HOT
 
-def _requests(word_buckets: int, pair_buckets: int):
+
+def _ask_words(buckets: int):
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                x, out = Block(row), []
-                counts, (keys, _, of) = x.word_counts(), x.pairs()
-                pair_counts = np.bincount(of[x.train], minlength=len(keys)).astype(np.uint32)
-                for kind, k, n, buckets, bits in ((0, x.keys, counts, word_buckets, 64), (1, keys, pair_counts, pair_buckets, PAIR_BITS)):
-                    cut = _cuts(k, buckets, bits)
-                    out += [(kind, i, x.block, pack_sorted(k[s:e]), pack(n[s:e])) for i, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
-                yield from _rows(out).to_batches()
+                keys, train, every = unpack_sorted(row["keys"]), unpack(row["train"]), unpack(row["every"])
+                cut = _cuts(keys, buckets)
+                yield from _rows([_row(NUMBER, i, row["block"], pack_sorted(keys[s:e]), pack(train[s:e]), pack(every[s:e])) for i, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]).to_batches()
 
     return run
 
 
-def _merge(rows: list[dict], column: str = "a"):
-    """The blocks' keys of one bucket merged: rows' cuts, number of distinct keys, number of each entry's key."""
-    keys = [unpack_sorted(r[column]) for r in rows]
-    cut = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-    distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-    return cut, len(distinct), of
-
-
-def _sorted(table: pa.Table) -> list[dict]:
-    return sorted(table.to_pylist(), key=lambda r: (r["kind"], r["block"], r["bucket"]))
-
-
-def _count(table: pa.Table) -> pa.Table:
-    """Counts over all blocks, and for pairs which entry owns the pair; column e holds sums for the driver."""
-    rows, out = _sorted(table), []
-    cut, n, of = _merge(rows)
-    count = np.bincount(of, np.concatenate([unpack(r["b"]) for r in rows]), n).astype(np.int64)
-    if rows[0]["kind"] == 0:
-        sums = [(count > 0).sum(), count.sum(), 0, 0]
-    else:
-        sums = [0, 0, (count == 1).sum(), (count == 2).sum()]
-    owner = np.zeros(cut[-1], np.uint8)
-    if rows[0]["kind"]:
-        # Owners are drawn among the blocks that have the pair, or the first block would seat all frequent ones.
-        block = np.repeat(np.array([r["block"] for r in rows], np.int64).astype(np.uint64), np.diff(cut))
-        draw = mix(mix(of.astype(np.uint64)) ^ (block * np.uint64(0x9E3779B97F4A7C15)))
-        order = np.lexsort((draw, of))
-        owner[order[np.searchsorted(of[order], np.flatnonzero(count > 0))]] = 1
+def _merged(lists: list[np.ndarray]):
+    """Sorted lists merged: where each starts, the distinct keys, and the key of each entry."""
+    cut = np.concatenate(([0], np.cumsum([len(k) for k in lists])))
+    distinct, of = np.unique(_joined(lists, np.uint64), return_inverse=True)
+    return cut, distinct, of
+
+
+def _number(table: pa.Table) -> pa.Table:
+    """Numbers and counts of one bucket's words, to every block that asked. Sums: distinct words, tokens."""
+    rows = _of(table, NUMBER, "source")
+    cut, distinct, of = _merged([unpack_sorted(r["a"]) for r in rows])
+    train, every = (np.bincount(of, _joined([unpack(r[c]) for r in rows]), len(distinct)).astype(np.uint64) for c in "bc")
+    sums, out = [(train > 0).sum(), train.sum()], []
     for i, r in enumerate(rows):
-        s = slice(cut[i], cut[i + 1])
-        out.append((r["kind"], r["bucket"], r["block"], pack(count[of[s]].astype(np.uint64)), pack(np.packbits(owner[s])) if r["kind"] else None, None, None, np.array(sums if not i else [0] * 4, np.int64).tobytes()))
+        at = of[cut[i] : cut[i + 1]]
+        out.append(_row(NUMBER, r["bucket"], r["source"], pack_sorted(at), pack(train[at]), pack(every[at]), sums=None if i else sums))
     return _rows(out)
 
 
-def _gather(rows: list[dict], kind: int, column: str, type_=np.uint32) -> np.ndarray:
-    """A column of the answers to a block, in the order of its keys."""
-    got = [unpack(r[column], type_) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])]
-    return np.concatenate(got) if got else np.zeros(0, type_)
+def _ask_pairs(buckets: int):
+    """A block's distinct pairs for each bucket: contexts, pairs of each, words, training counts; tokens and heat of the contexts."""
 
+    def run(key, body: pa.Table, answers: pa.Table) -> pa.Table:
+        x = Block(body.to_pylist()[0])
+        ids, train, every = x.numbers(_of(answers, NUMBER))
+        u, w, of = x.pairs()
+        count = np.bincount(of[x.train], minlength=len(u))
+        tokens = np.where(u == x.begin, train[x.end], train[u]) * 2 + x.heat(u, every)
+        bucket, order = x.dealt(ids, u, w, every, buckets)
+        cut, out = np.searchsorted(bucket[order], np.arange(buckets + 1)), []
+        for i in range(buckets):
+            at = order[cut[i] : cut[i + 1]]
+            if len(at):
+                first = np.flatnonzero(np.concatenate(([True], u[at][1:] != u[at][:-1])))
+                out.append(_row(PAIRS, i, x.block, pack_sorted(ids[u[at][first]]), pack(np.diff(first, append=len(at)).astype(np.uint32)), pack(ids[w[at]]), pack(count[at].astype(np.uint32)), pack(tokens[at][first].astype(np.uint64))))
+        return _rows(out)
 
-def _owners(rows: list[dict], counts: list[int]) -> np.ndarray:
-    bits = [unpack(r["b"], np.uint8) for r in sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["bucket"])]
-    return np.concatenate([np.unpackbits(b, count=n) for b, n in zip(bits, counts)]).astype(bool) if bits else np.zeros(0, bool)
+    return run
 
 
-def _own(word_buckets: int, pair_buckets: int):
-    """What a block contributes before sampling (one table for each pair), the pairs that it seats, and which repeated pairs it has."""
+class Bucket:
+    """Pairs of one bucket: contexts with their tokens and heat, and of each pair the context, the word and the count."""
 
-    def run(key, body: pa.Table, answers: pa.Table) -> pa.Table:
-        x, got = Block(body.to_pylist()[0]), answers.to_pylist()
-        keys, first, _ = x.pairs()
-        cut = _cuts(keys, pair_buckets, PAIR_BITS)
-        count = _gather(got, 1, "a", np.uint64).astype(np.int64)
-        own = _owners(got, [e - s for s, e in zip(cut[:-1], cut[1:]) if e > s])
-        u, w = x.prev[first], x.next[first]
-        n = len(x.keys)
-        k, t = np.bincount(w[own], minlength=n).astype(np.uint32), np.bincount(u[own], minlength=n).astype(np.uint32)
-        seat, again = own & (count > 1), count > 1
-        out = [(2, -1, x.block, pack(u[seat].astype(np.uint32)), pack(w[seat].astype(np.uint32)), pack(count[seat].astype(np.uint64)), pack(k), pack(t))]
-        wcut = _cuts(x.keys, word_buckets, 64)
-        out += [(0, i, x.block, pack_sorted(x.keys[s:e]), pack(k[s:e]), pack(t[s:e])) for i, (s, e) in enumerate(zip(wcut[:-1], wcut[1:])) if e > s]
-        for i, (s, e) in enumerate(zip(cut[:-1], cut[1:])):
-            some = again[s:e]
-            if some.any():
-                out.append((1, i, x.block, pack_sorted(keys[s:e][some]), pack(own[s:e][some].astype(np.uint8))))
-        return _rows(out)
+    def __init__(self, row: dict):
+        self.bucket, self.contexts, self.words = row["bucket"], unpack_sorted(row["a"]), unpack_sorted(row["f"])
+        self.u = np.repeat(np.arange(len(self.contexts)), unpack(row["b"]))
+        self.w, self.count = unpack(row["c"]).astype(np.int64), unpack(row["d"], np.uint64).astype(np.int64)
+        tokens = unpack(row["e"], np.uint64).astype(np.int64)
+        self.tokens, self.hot = tokens >> 1, np.flatnonzero(tokens & 1)
+        #: Numbers that the bucket asks the parent for, and where its words and hot contexts are among them.
+        self.asks = np.union1d(self.words, self.contexts[self.hot])
+        self.word_at, self.hot_at = np.searchsorted(self.asks, self.words), np.searchsorted(self.asks, self.contexts[self.hot])
+
+    def dishes(self, tables: np.ndarray) -> list[tuple]:
+        """What the parent gets from a seating: customers of each dish, and tables in this bucket of each hot context."""
+        customers, seated = np.zeros(len(self.asks), np.uint64), np.zeros(len(self.asks), np.uint64)
+        customers[self.word_at] = np.bincount(self.w, tables, len(self.words)).astype(np.uint64)
+        seated[self.hot_at] = np.bincount(self.u, tables, len(self.contexts)).astype(np.uint64)[self.hot]
+        at = (self.asks >> np.uint64(RANK_BITS)).astype(np.int64)
+        cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
+        return [_row(DISHES, at[s], self.bucket, pack_sorted(self.asks[s:e]), pack(customers[s:e]), pack(seated[s:e])) for s, e in zip(cut[:-1], cut[1:])]
+
+    def parent(self, rows: list[dict], tables: np.ndarray):
+        """Customers and tables of each word in the parent, and the tables of each context in all buckets."""
+        k, s, t = (_joined([unpack(r[c], np.uint64) for r in rows]) for c in "abc")
+        every = np.bincount(self.u, tables, len(self.contexts)).astype(np.int64)
+        every[self.hot] = t[self.hot_at]
+        return k[self.word_at], s[self.word_at], every
+
+
+def _merge_pairs(table: pa.Table) -> pa.Table:
+    """One bucket's pairs of all blocks; of each block which of them it has. Every pair starts with one table. Sums: pairs seen once, twice."""
+    rows = _of(table, PAIRS, "source")
+    _, contexts, own = _merged([unpack_sorted(r["a"]) for r in rows])
+    size = _joined([unpack(r["b"]) for r in rows])
+    _, words, word = _merged([unpack(r["c"], np.uint64) for r in rows])
+    u = np.repeat(own, size)
+    keys, of = np.unique(u.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), return_inverse=True)
+    count = np.bincount(of, _joined([unpack(r["d"]) for r in rows]), len(keys)).astype(np.uint64)
+    tokens = np.zeros(len(contexts), np.uint64)
+    tokens[own] = _joined([unpack(r["e"], np.uint64) for r in rows], np.uint64)
+    state = _row(PAIRS, rows[0]["bucket"], -1, pack_sorted(contexts), pack(np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(contexts)).astype(np.uint32)), pack((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)), pack(count), pack(tokens), pack_sorted(words), sums=[(count == 1).sum(), (count == 2).sum()])
+    cut, at, out = 0, 0, [state]
+    for r in rows:
+        n = int(unpack(r["b"]).sum())
+        out.append(_row(INDEX, r["bucket"], r["source"], pack_sorted(of[at : at + n])))
+        at += n
+    x = Bucket(dict(zip(_NAMES, state)))
+    tables = (x.count > 0).astype(np.int64)
+    return _rows([*out, _row(TABLES, x.bucket, -1, pack(tables.astype(np.uint32)), pack(np.zeros(len(tables), np.float32))), *x.dishes(tables)])
+
+
+def log_stirling(most: int, d: float) -> np.ndarray:
+    """log S(c, t) for c and t up to `most`: S(c + 1, t) = S(c, t - 1) + (c - t d) S(c, t)."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0
+    for c in range(1, most):
+        t = np.arange(1, c + 1)
+        stay = out[c, 1 : c + 1] + np.log(c - t * d)
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], np.append(stay, -np.inf))
+    return out
 
-    return run
+
+def _categorical(logs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A column of each row, drawn by the row's unnormalised log probabilities."""
+    share = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
+    return (share < rng.random(len(logs))[:, None] * share[:, -1:]).sum(1)
 
 
 _KNOTS, _STEP = 24, 0.06
@@ -249,13 +319,13 @@ def log_sibuya(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return top + np.log(np.maximum(part.sum(-1), 1e-300) * width * mid * 2 * _STEP / np.pi)
 
 
-def draw_tables(count: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator, samples: int) -> np.ndarray:
-    """Numbers of tables from the law that seating all customers of a dish against each other has in the long run.
+def draw_large(count: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of dishes with many customers each: P(t) in proportion to new^t S(count, t).
 
-    A seating has weight new for every table and (1 - d) (2 - d) .. (size - 1 - d) for its size, so
-    P(t) is in proportion to (new / d)^t / t! times the chance that t Sibuya sizes sum to count.
+    S(count, t) is in proportion to d^-t / t! times the chance that t Sibuya sizes sum to count, which is
+    smooth in t and therefore computed at some t only.
     """
-    out = np.zeros((samples, len(count)), np.int64)
+    out = np.zeros(len(count), np.int64)
     for at in range(0, len(count), 64):
         c, a = count[at : at + 64].astype(float), new[at : at + 64]
         y = _root_of(lambda y: c * y ** (1 - d) - a * (1 - y), c.shape)
@@ -274,248 +344,188 @@ def draw_tables(count: np.ndarray, new: np.ndarray, d: float, rng: np.random.Gen
             # log of (new / d)^t / (t - 1)!, the t of it being in p's logarithm
             p += t * np.log(a[i] / d) - np.concatenate(([0.0], np.cumsum(np.log(t[1:] - 1))))
             share = np.cumsum(np.exp(p - p.max()))
-            out[:, at + i] = t[np.searchsorted(share, rng.random(samples) * share[-1], "right")]
+            out[at + i] = t[np.searchsorted(share, rng.random() * share[-1], "right")]
     return out
 
 
-def seat(count: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator, sweeps: int, samples: int) -> np.ndarray:
-    """Sampled numbers of tables of dishes with count customers each: samples x dishes.
+class Parent:
+    """The parent restaurant's predictive probabilities."""
 
-    new: weight of a new table, (theta + d T) P_parent of the dish. Customers are first seated one after
-    another, then in each sweep every customer of every dish leaves and is seated again; the last
-    `samples` sweeps are kept. All dishes take their turns side by side. Of dishes with more than SEATED
-    customers the number of tables is drawn from the law that such sweeps lead to.
-    """
-    out = np.zeros((samples, len(count)), np.int64)
-    large = np.flatnonzero(count > SEATED)
-    out[:, large] = draw_tables(count[large], new[large], d, rng, samples)
-    dish = np.flatnonzero(count <= SEATED)
-    if not len(dish):
-        return out
-    dish = dish[np.argsort(-count[dish], kind="stable")]
-    size = count[dish]
-    weight = new[dish]
-    start = np.cumsum(size) - size
-    table = np.zeros(int(size.sum()), np.int32)  # of each customer
-    people = np.zeros(int(size.sum()), np.int32)  # at each table of a dish, as many slots as customers
-    free = np.concatenate([np.zeros(0, np.int32), (np.arange(int(size.sum())) - np.repeat(start, size)).astype(np.int32)])
-    free_n = size.copy()  # slots free[start : start + free_n] have no one
-    live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")  # dishes with more than j customers
-
-    def place(j: int, m: int, others: np.ndarray, seated: bool) -> None:
-        s = start[:m]
-        tables = size[:m] - free_n[:m]
-        opens = rng.random(m) * (weight[:m] + others - d * tables) < weight[:m]
-        opens |= others == 0
-        joins = np.flatnonzero(~opens)
-        while len(joins):
-            # A table of (size - d) weight: that of a random other customer, kept with probability (size - d) / size.
-            i = (rng.random(len(joins)) * others[joins]).astype(np.int64)
-            i += (i >= j) & seated
-            to = table[s[joins] + i]
-            n = people[s[joins] + to]
-            ok = rng.random(len(joins)) * n < n - d
-            at = joins[ok]
-            table[s[at] + j] = to[ok]
-            people[s[at] + to[ok]] += 1
-            joins = joins[~ok]
-        at = np.flatnonzero(opens)
-        free_n[at] -= 1
-        slot = free[s[at] + free_n[at]]
-        table[s[at] + j] = slot
-        people[s[at] + slot] = 1
-
-    for j in range(len(live)):
-        place(j, live[j], np.full(live[j], j), False)
-    for sweep in range(sweeps):
-        for j in range(len(live)):
-            m = live[j]
-            s = start[:m]
-            was = table[s + j]
-            people[s + was] -= 1
-            gone = np.flatnonzero(people[s + was] == 0)
-            free[s[gone] + free_n[gone]] = was[gone]
-            free_n[gone] += 1
-            place(j, m, size[:m] - 1, True)
-        if sweep >= sweeps - samples:
-            out[sweep - sweeps + samples, dish] = size - free_n
-    return out
+    def __init__(self, d0: float, customers: int, tables: int, vocabulary: int):
+        self.d0, self.base, self.all = d0, (ROOT_THETA + d0 * tables) / (vocabulary + 1), ROOT_THETA + customers
 
+    def chance(self, k, s):
+        """Of words with k customers at s tables."""
+        return (k - self.d0 * s + self.base) / self.all
 
-def _parent(vocabulary: int, d0: float, sweeps: int, seed: int):
-    """The parent restaurant's dishes of one bucket: customers, tables and contexts' tables, for every sample."""
+    def seat(self, k: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Tables of the parent's own dishes with k customers, seated anew."""
+        out = np.minimum(k, 1)
+        table = log_stirling(SMALL, self.d0)
+        for c in np.unique(k[(k > 1) & (k <= SMALL)]):
+            at = np.flatnonzero(k == c)
+            out[at] = 1 + _categorical(np.tile(table[c, 1 : c + 1] + np.arange(1, c + 1) * np.log(self.base), (len(at), 1)), rng)
+        large = np.flatnonzero(k > SMALL)
+        out[large] = draw_large(k[large], np.full(len(large), self.base), self.d0, rng)
+        return out
 
-    def answer(rows: list[dict], k: list[list[np.ndarray]], t: list[list[np.ndarray]]) -> list[tuple]:
-        cut, n, of = _merge(rows)
-        samples = len(k[0])
-        out = [[] for _ in rows]
-        sums = []
-        for s in range(samples):
-            customers = np.bincount(of, np.concatenate([x[s] for x in k]), n).astype(np.int64)
-            tables = np.bincount(of, np.concatenate([x[s] for x in t]), n).astype(np.int64)
-            base = (ROOT_THETA + d0 * vocabulary) / (vocabulary + 1)
-            some = np.flatnonzero(customers)
-            seated = np.zeros(n, np.int64)
-            seated[some] = seat(customers[some], np.full(len(some), base), d0, np.random.default_rng([seed, rows[0]["bucket"], s]), sweeps, 1)[0]
-            sums += [customers.sum(), seated.sum()]
-            for i in range(len(rows)):
-                at = of[cut[i] : cut[i + 1]]
-                out[i].append((customers[at], seated[at], tables[at]))
-        return [(0, r["bucket"], r["block"], *(pack(np.concatenate([x[c] for x in out[i]]).astype(np.uint64)) for c in range(3)), None, np.array(sums if not i else [0] * len(sums), np.int64).tobytes()) for i, r in enumerate(rows)]
 
-    return answer
+def seat(x: Bucket, tables: np.ndarray, k, s, every, parent: Parent, d: float, rng: np.random.Generator, cells: int = 2_000_000) -> np.ndarray:
+    """One Gibbs sweep: every dish of every restaurant of the bucket seated anew, in place of its present tables.
 
+    k, s: customers and tables of each word in the parent before the sweep; every: tables of each context.
+    Dishes with as many customers take their turns side by side, and what they change counts from the next such turn.
+    """
+    tables, every, k, table = tables.copy(), every.copy(), k.copy(), log_stirling(SMALL, d)
+    order = np.argsort(x.count, kind="stable")
+    cut = np.searchsorted(x.count[order], np.arange(2, SMALL + 2))
+    turns = [order[a + i : min(b, a + i + cells // c)] for c, a, b in zip(range(2, SMALL + 1), cut[:-1], cut[1:]) for i in range(0, b - a, cells // c)]
+    rest = order[cut[-1] :]
+    for at in [*turns, *([rest] if len(rest) else [])]:
+        u, w, old, c = x.u[at], x.w[at], tables[at], x.count[at]
+        others, near = every[u] - old, np.maximum(0, k[w] - old)
+        there = np.minimum(s[w], near)  # the parent's tables that the others keep
+        if c[0] <= SMALL:
+            j = np.arange(c[0])
+            chance = (near[:, None] + j - parent.d0 * np.maximum(there[:, None], j > 0) + parent.base) / parent.all
+            logs = table[c[0], 1 : c[0] + 1] + np.cumsum(np.log(chance) + np.log(THETA + d * (others[:, None] + j)), 1)
+            new = 1 + _categorical(logs, rng)
+        else:
+            new = draw_large(c, (THETA + d * every[u]) * parent.chance(k[w], s[w]), d, rng)
+        tables[at] = new
+        np.add.at(every, u, new - old)
+        np.add.at(k, w, new - old)
+    return tables
+
+
+def _parent(d0, tables, vocabulary: int, seed: int):
+    """The parent's dishes of one bucket, to every pair bucket that asked. Sums: customers, tables, dishes with one and two customers.
+
+    d0 and tables are numbers, or none in the first round, which has one table a dish.
+    """
 
-def _first_parent(answer):
     def run(table: pa.Table) -> pa.Table:
-        rows = _sorted(table)
-        return _rows(answer(rows, [[unpack(r["b"])] for r in rows], [[unpack(r["c"])] for r in rows]))
-
-    return run
-
-
-def _root(customers, seated, d0: float, total: int, tables: int, vocabulary: int) -> np.ndarray:
-    return (customers - d0 * seated + (ROOT_THETA + d0 * tables) / (vocabulary + 1)) / (ROOT_THETA + total)
-
-
-def _sample(d: float, d0: float, sums: list[int], vocabulary: int, word_buckets: int, sweeps: int, samples: int, seed: int):
-    """Gibbs sweeps over the pairs that a block seats: its contributions for each sample, and the pairs' tables."""
-
-    def run(key, state: pa.Table, answers: pa.Table) -> pa.Table:
-        row, got = state.to_pylist()[0], answers.to_pylist()
-        u, w, count = unpack(row["a"]).astype(np.int64), unpack(row["b"]).astype(np.int64), unpack(row["c"], np.uint64).astype(np.int64)
-        k1, t1 = unpack(row["d"]).astype(np.int64), unpack(row["e"]).astype(np.int64)
-        k, s, t = (_gather(got, 0, c, np.uint64).astype(np.int64) for c in "abc")
-        new = (THETA + d * t[u]) * _root(k[w], s[w], d0, sums[0], sums[1], vocabulary)
-        tables = seat(count, new, d, np.random.default_rng([seed, row["block"]]), sweeps, samples)
-        n = len(k1)
-        kk = np.stack([k1 + np.bincount(w, x - 1, n).astype(np.int64) for x in tables])
-        tt = np.stack([t1 + np.bincount(u, x - 1, n).astype(np.int64) for x in tables])
-        sizes = [(r["bucket"], len(unpack(r["a"], np.uint64))) for r in sorted((r for r in got if r["kind"] == 0), key=lambda r: r["bucket"])]
-        out, at = [(3, -1, row["block"], pack(tables.ravel().astype(np.uint32)))], 0
-        for b, size in sizes:
-            out.append((0, b, row["block"], pack(kk[:, at : at + size].ravel().astype(np.uint64)), pack(tt[:, at : at + size].ravel().astype(np.uint64))))
-            at += size
+        rows = _of(table, DISHES, "source")
+        cut, distinct, of = _merged([unpack_sorted(r["a"]) for r in rows])
+        k, t = (np.bincount(of, _joined([unpack(r[c], np.uint64) for r in rows]), len(distinct)).astype(np.int64) for c in "bc")
+        s = np.minimum(k, 1) if d0 is None else Parent(d0, 0, tables, vocabulary).seat(k, np.random.default_rng([seed, rows[0]["bucket"]]))
+        sums, out = [k.sum(), s.sum(), (k == 1).sum(), (k == 2).sum()], []
+        for i, r in enumerate(rows):
+            at = of[cut[i] : cut[i + 1]]
+            out.append(_row(PARENT, r["bucket"], r["source"], *(pack(v[at].astype(np.uint64)) for v in (k, s, t)), sums=None if i else sums))
         return _rows(out)
 
     return run
 
 
-def _split_tables(samples: int):
-    """Each block's sampled tables, cut into the buckets of its pairs (request: which entries it owns)."""
+def predictive(x: Bucket, tables, k, s, every, parent: Parent, d: float) -> np.ndarray:
+    """P(word | context) of each pair of the bucket."""
+    return (x.count - d * tables + (THETA + d * every[x.u]) * parent.chance(k, s)[x.w]) / (THETA + x.tokens[x.u])
 
-    def run(key, requests: pa.Table, sampled: pa.Table) -> pa.Table:
-        if not len(requests):
-            return _rows([])
-        tables = unpack(sampled.to_pylist()[0]["a"]).reshape(samples, -1)
-        out, at = [], 0
-        for r in sorted(requests.to_pylist(), key=lambda r: r["bucket"]):
-            n = int(unpack(r["b"], np.uint8).sum())
-            out.append((1, r["bucket"], r["block"], r["a"], r["b"], pack(np.ascontiguousarray(tables[:, at : at + n]).ravel())))
-            at += n
-        return _rows(out)
 
-    return run
+def _resume(state: pa.Table, answers: pa.Table):
+    x, row = Bucket(_of(state, PAIRS)[0]), _of(state, TABLES)[0]
+    tables = unpack(row["a"]).astype(np.int64)
+    return x, tables, unpack(row["b"], np.float32).astype(float), x.parent(_of(answers, PARENT), tables)
 
 
-def _tables(samples: int):
-    """Tables of repeated pairs, from their owners to every block that has them."""
+def _round(parent: Parent, d: float, keep: bool, sweeps: int, seed: int):
+    """One round of a pair bucket: the seating that it comes with counts if `keep` holds, then every dish is seated anew."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = _sorted(table)
-        cut, n, of = _merge(rows)
-        own = np.concatenate([unpack(r["b"], np.uint8) for r in rows]).astype(bool)
-        given = np.concatenate([unpack(r["c"]).reshape(samples, -1) for r in rows], 1)
-        tables = np.zeros((samples, n), np.uint32)
-        tables[:, of[own]] = given
-        return _rows([(4, r["bucket"], r["block"], pack(np.ascontiguousarray(tables[:, of[cut[i] : cut[i + 1]]]).ravel())) for i, r in enumerate(rows)])
+    def run(key, state: pa.Table, answers: pa.Table) -> pa.Table:
+        x, tables, chance, (k, s, every) = _resume(state, answers)
+        if keep:
+            chance = chance + predictive(x, tables, k, s, every, parent, d)
+        rng = np.random.default_rng([seed, x.bucket])
+        for _ in range(sweeps):
+            new = seat(x, tables, k, s, every, parent, d, rng)
+            k = k + np.bincount(x.w, new - tables, len(k)).astype(np.int64)
+            every = every + np.bincount(x.u, new - tables, len(every)).astype(np.int64)
+            tables = new
+        return _rows([_row(TABLES, x.bucket, -1, pack(tables.astype(np.uint32)), pack(chance.astype(np.float32))), *x.dishes(tables)])
 
     return run
 
 
-def _second_parent(answer, samples: int):
-    def run(key, keys: pa.Table, values: pa.Table) -> pa.Table:
-        rows, by = _sorted(keys), {r["block"]: r for r in values.to_pylist()}
-        split = lambda r, c: list(unpack(by[r["block"]][c], np.uint64).reshape(samples, -1))
-        return _rows([(5, *r[1:]) for r in answer(rows, [split(r, "a") for r in rows], [split(r, "b") for r in rows])])
-
-    return run
+def _chances(parent: Parent, d: float, samples: int):
+    """The averaged probability of each pair, to every block that has it."""
 
+    def run(key, state: pa.Table, answers: pa.Table) -> pa.Table:
+        x, tables, chance, (k, s, every) = _resume(state, answers)
+        chance = ((chance + predictive(x, tables, k, s, every, parent, d)) / samples).astype(np.float32)
+        return _rows([_row(CHANCE, x.bucket, r["source"], pack(chance[unpack_sorted(r["a"]).astype(np.int64)])) for r in _of(state, INDEX, "source")])
 
-def _by_sample(rows: list[dict], kind: int, column: str, type_, samples: int) -> np.ndarray:
-    got = [unpack(r[column], type_).reshape(samples, -1) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])]
-    return np.concatenate(got, 1).astype(np.int64) if got else np.zeros((samples, 0), np.int64)
+    return run
 
 
-def _score(d: float, d0: float, sums: list[int], vocabulary: int, tokens: int, samples: int):
+def _score(vocabulary: int, tokens: int, buckets: int):
     def run(key, body: pa.Table, answers: pa.Table) -> pa.Table:
-        x, got = Block(body.to_pylist()[0]), answers.to_pylist()
-        _, _, of = x.pairs()
-        words, pairs = _gather(got, 0, "a", np.uint64).astype(np.int64), _gather(got, 1, "a", np.uint64).astype(np.int64)
-        k, s, t = (_by_sample(got, 5, c, np.uint64, samples) for c in "abc")
-        again = pairs > 1
-        two = _by_sample(got, 4, "a", np.uint32, samples)
-        follows = words.copy()
-        follows[x.begin] = words[x.end]  # as many texts start as end
-        p = np.zeros(len(x.next))
-        for i in range(samples):
-            tables = (pairs > 0).astype(np.int64)
-            tables[again] = two[i]
-            root = _root(k[i], s[i], d0, sums[2 * i], sums[2 * i + 1], vocabulary)
-            seen = follows[x.prev]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                near = (pairs[of] - d * tables[of] + (THETA + d * t[i][x.prev]) * root[x.next]) / (THETA + seen)
-            p += np.where(seen > 0, near, root[x.next])
-        c = words[x.next]
+        row = body.to_pylist()[0]
+        x = Block(row)
+        ids, train, every = x.numbers(_of(answers, NUMBER))
+        u, w, of = x.pairs()
+        _, order = x.dealt(ids, u, w, every, buckets)
+        chance = np.empty(len(u))
+        chance[order] = _joined([unpack(r["a"], np.float32) for r in _of(answers, CHANCE)], float)
+        c = train[x.next]
         add = lambda v: np.add.reduceat(v, x.cut[:-1])
-        base, score = add(np.log10((c + 1) / (tokens + vocabulary + 1))), add(np.log10(p / samples))
-        return pa.table([pa.array(x.doc_ids, pa.int64()), pa.array(x.held), pa.array(x.sizes + 1), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(x.sizes), tokens)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        base, score = add(np.log10((c + 1) / (tokens + vocabulary + 1))), add(np.log10(chance)[of])
+        return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(x.held), pa.array(x.sizes + 1), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(x.sizes), tokens)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def _sums(answers: DataFrame) -> np.ndarray:
-    """The sums that buckets left in column e; one short row a bucket comes to the driver."""
-    got = answers.filter("e is not null").select("e").toPandas()["e"]
-    return np.sum([np.frombuffer(x, np.int64) for x in got], axis=0) if len(got) else np.zeros(8, np.int64)
+def discount(once: int, twice: int) -> float:
+    """From counts of counts (Kneser and Ney)."""
+    return min(0.95, max(0.05, once / max(1, once + 2 * twice)))
 
 
-def score(docs: DataFrame, held_out: Column, scratch: Scratch, sweeps: int = 4, samples: int = 2, seed: int = 9) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, scratch: Scratch, rounds: int = 3, sweeps: int = 2, samples: int = 2, seed: int = 9) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of every row.
 
     Learns from all rows for which held_out doesn't hold. Tokens are words, A-Z lower-cased, and one end
-    of text. base_score is the add-one unigram score. Discounts come from the counts of counts
-    (Kneser-Ney's estimate). Defined results: a null text is empty (one token, the end); repeated rows
-    count as often as they occur; with nothing to learn from every token has the base's probability;
-    an empty table gives none.
+    of text. base_score is the add-one unigram score. After one table for every pair come `rounds`
+    rounds, each of a seating of the parent and `sweeps` sweeps of the context restaurants; the last `samples` are
+    averaged. Discounts come from the counts of counts, of pairs and of the words that a word follows.
+
+    Defined results: a null text is empty (one token, the end); null and repeated doc_ids keep their rows; repeated rows
+    count as often as they occur; a very long text is a block of its own; with nothing to learn from every token has the
+    base's probability; other columns are left out, whatever their names; an empty table gives none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
-    kinds = "block long, doc_ids array<long>, held array<boolean>, sizes binary, keys binary, ranks binary, ids binary, events long, words long"
-    body = scratch.keep(rows.mapInArrow(_blocks("_held"), kinds), "blocks")
-    size = body.agg(F.sum("events"), F.sum("words")).first()
+    body = scratch.keep(rows.mapInArrow(_blocks, BLOCK), "blocks")
+    size = body.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     pair_buckets, word_buckets = 1 + (size[0] or 0) // PAIRS_IN_BUCKET, 1 + (size[1] or 0) // WORDS_IN_BUCKET
-    asked = body.mapInArrow(_requests(word_buckets, pair_buckets), PACKED)
-    counts = scratch.keep(asked.groupBy("kind", "bucket").applyInArrow(_count, PACKED), "counts")
-    vocabulary, tokens, n1, n2 = map(int, _sums(counts)[:4])
-    d = min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
-    d0 = 0.7
-    scratch.sweep()
-    own = scratch.keep(body.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_own(word_buckets, pair_buckets), PACKED), "own")
+    asked = body.select("block", "keys", "train", "every").mapInArrow(_ask_words(word_buckets), PACKED)
+    numbers = scratch.keep(asked.groupBy("bucket").applyInArrow(_number, PACKED), "numbers")
+    vocabulary, tokens = _sums(numbers, 2)
     scratch.sweep()
-    contributions = own.filter("kind = 0")
-    first = scratch.keep(contributions.groupBy("bucket").applyInArrow(_first_parent(_parent(vocabulary, d0, 1, seed)), PACKED), "parent")
-    sums = [int(x) for x in _sums(first)[:2]]
-    state = own.filter("kind = 2").groupBy("block").cogroup(first.groupBy("block"))
-    sampled = scratch.keep(state.applyInArrow(_sample(d, d0, sums, vocabulary, word_buckets, sweeps, samples, seed), PACKED), "sampled")
+    texts = body.select("block", "held", "sizes", "ranks", "tokens", "ends").groupBy("block")
+    own = numbers.select(*_NAMES).groupBy("source")
+    asked = texts.cogroup(own).applyInArrow(_ask_pairs(pair_buckets), PACKED)
+    merged = scratch.keep(asked.groupBy("bucket").applyInArrow(_merge_pairs, PACKED), "pairs")
     scratch.sweep()
-    again = own.filter("kind = 1").groupBy("block").cogroup(sampled.filter("kind = 3").groupBy("block")).applyInArrow(_split_tables(samples), PACKED)
-    tables = scratch.keep(again.groupBy("bucket").applyInArrow(_tables(samples), PACKED), "tables")
-    second = contributions.groupBy("bucket").cogroup(sampled.filter("kind = 0").groupBy("bucket"))
-    parent = scratch.keep(second.applyInArrow(_second_parent(_parent(vocabulary, d0, 2, seed + 1), samples), PACKED), "parent")
-    sums = [int(x) for x in _sums(parent)]
-    for used in (own, first, sampled):
-        scratch.drop(used)
+    state = merged.filter(F.col("kind") == PAIRS)
+    d = discount(*_sums(state, 2))
+    moves, d0, total = merged, None, 0
+    for turn in range(rounds + 1):
+        dishes = moves.filter(F.col("kind") == DISHES).groupBy("bucket")
+        parents = scratch.keep(dishes.applyInArrow(_parent(d0, total, vocabulary, seed + 2 * turn), PACKED), "parent")
+        customers, total, once, twice = _sums(parents, 4)
+        d0 = discount(once, twice) if d0 is None else d0
+        parent = Parent(d0, customers, total, vocabulary)
+        seated = moves.filter(F.col("kind") == TABLES)
+        if turn < rounds:
+            both = state.union(seated).groupBy("bucket").cogroup(parents.groupBy("source"))
+            after = scratch.keep(both.applyInArrow(_round(parent, d, turn > rounds - samples, sweeps, seed + 2 * turn + 1), PACKED), "round")
+            scratch.drop(parents)
+            if moves is not merged:
+                scratch.drop(moves)
+            moves = after
+            scratch.sweep()
+    both = state.union(merged.filter(F.col("kind") == INDEX)).union(seated).groupBy("bucket").cogroup(parents.groupBy("source"))
+    chances = scratch.keep(both.applyInArrow(_chances(parent, d, samples), PACKED), "chances")
     scratch.sweep()
-    answers = counts.unionByName(tables).unionByName(parent)
+    texts = body.select("block", "doc_ids", "held", "sizes", "ranks", "tokens", "ends").groupBy("block")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return body.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(d, d0, sums, vocabulary, tokens, samples), out)
+    return texts.cogroup(numbers.union(chances).groupBy("source")).applyInArrow(_score(vocabulary, tokens, pair_buckets), out)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm import ann, decontaminate, language, mixing, pitman_yor, quality, queries, quotes, simhash, suffixes, toxicity
+from inkwell.llm import ann, decontaminate, language, mixing, quality, queries, quotes, simhash, suffixes, toxicity
 from inkwell.llm.shared import Scratch, crc_mod
 
 from ..conftest import SMALL, same
@@ -226,71 +226,6 @@ def test_texts_without_known_grams_get_a_language(spark):
     assert all(got[i] == ("xx", 1 / 3) for i in (1, 2, 3, 7))
 
 
-def test_seating_keeps_customers():
-    t = pitman_yor.seat(np.array([1, 2, 3000]), np.array([0.1, 0.1, 5.0]), 0.5, np.random.default_rng(0), 5, 3)
-    assert (t[:, 0] == 1).all() and ((t[:, 1] >= 1) & (t[:, 1] <= 2)).all() and (t[:, 2] < 400).all() and (t[:, 2] > 10).all()
-
-
-def test_seating_follows_the_model():
-    """Two customers of a dish share a table with probability (1 - d) / (1 - d + new)."""
-    d, new = 0.4, 0.7
-    t = pitman_yor.seat(np.full(20_000, 2), np.full(20_000, new), d, np.random.default_rng(1), 3, 1)[0]
-    assert abs((t == 1).mean() - (1 - d) / (1 - d + new)) < 0.02
-
-
-def test_large_dishes_are_seated_whole(monkeypatch):
-    """Tables of dishes far above 1,024 customers: the law's own recursion; the same law by seating one by one."""
-    c, new, d = 6000, 60.0, 0.74
-    log = np.full(700, -np.inf)  # of the generalised Stirling numbers of n customers at 0, 1, .. tables
-    log[1], t = 0.0, np.arange(700)
-    for n in range(1, c):
-        with np.errstate(divide="ignore"):
-            log = np.logaddexp(np.concatenate(([-np.inf], log[:-1])), np.where(t <= n, np.log(np.maximum(n - d * t, 0)), -np.inf) + log)
-    p = np.exp(log + t * np.log(new) - (log + t * np.log(new)).max())
-    p /= p.sum()
-    mean = p @ t
-    got = pitman_yor.seat(np.full(2000, c), np.full(2000, new), d, np.random.default_rng(0), 1, 1)[0]
-    assert abs(got.mean() - mean) < 0.6 and abs(got.std() - (p @ (t - mean) ** 2) ** 0.5) < 0.6
-    few = lambda sweeps: pitman_yor.seat(np.full(4000, 60), np.full(4000, 3.0), d, np.random.default_rng(1), sweeps, 1)[0]
-    one_by_one = few(40)
-    monkeypatch.setattr(pitman_yor, "SEATED", 59)
-    assert abs(one_by_one.mean() - few(1).mean()) < 0.15
-
-
-def test_tables_grow_sublinearly():
-    t = pitman_yor.seat(np.array([11_830, 1_000_000]), np.array([696.0, 696.0]), 0.74, np.random.default_rng(0), 4, 2)
-    assert (abs(t - 941) < 200).all()
-
-
-def test_pitman_yor(spark, docs, scratch):
-    got = pitman_yor.score(docs, crc_mod(F.col("doc_id"), 7) == 2, scratch).collect()
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    tokens = lambda t: (t or "").lower().split() + [None]
-    count = collections.Counter(w for i, t in local(docs) if not held(i) for w in tokens(t))
-    n, v = sum(count.values()), len(count)
-    want = collections.Counter((i, held(i), len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for i, t in local(docs))
-    assert collections.Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 for r in got)
-    assert pitman_yor.score(docs.limit(0), F.lit(False), scratch).count() == 0
-
-
-def test_pitman_yor_is_a_distribution(spark, scratch):
-    """Probabilities of all continuations of a context, the unknown word's included, sum to 1."""
-    train = [(i, prose(40, i % 3)) for i in range(30)]
-    vocabulary = sorted({w for _, t in train for w in t.split()})
-    one = [(1000 + k, w) for k, w in enumerate([*vocabulary, "unseen"])] + [(999, "")]
-    df = spark.createDataFrame(train + one, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(df, F.col("doc_id") >= 999, scratch).collect()}
-    ends = pitman_yor.score(df, F.col("doc_id") >= 999, scratch).filter("doc_id = 999").first()["score"]
-    assert all(s < 0 for s in got.values()) and 10**ends < 1
-
-
-def test_pitman_yor_beats_the_base(spark):
-    got = queries.op5_pitman_yor(spark, SMALL).toPandas()
-    h = got[got.held_out]
-    assert h.score.sum() > h.base_score.sum()
-
-
 def test_tiling_catches_reordered_passages():
     a, b = prose(12, 1), prose(12, 2)
     items = decontaminate.Items([5, 6], [f"{a} {b}", "too short"], 5)
