@@ -23,6 +23,8 @@ one entry a block, counts cover all training tokens, and no table of words is ev
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -37,7 +39,7 @@ BEGIN, END = np.uint64(0x5BF0_3635_DCA9_2B1D), np.uint64(0xA0761D6478BD642F)
 BLOCK_BYTES, WORDS_IN_BUCKET, PAIRS_IN_BUCKET = 8_000_000, 1_000_000, 1_500_000
 RANK_BITS = 26  # of a word's number: its place in its bucket
 HOT = 100_000  # tokens of a context beyond which its pairs are spread over all buckets
-SMALL = 64  # dishes of up to so many customers use the table of S, larger ones its integral
+SMALL = 1024  # dishes of up to so many customers use the table of S, larger ones its integral
 THETA, ROOT_THETA = 1.0, 1.0
 
 
@@ -109,17 +111,18 @@ def _blocks(batches):
             # Numbers by frequency compress best.
             rank = np.empty(len(keys), np.uint32)
             rank[np.argsort(-every, kind="stable")] = np.arange(len(keys))
-            columns = {
-                "block": pa.array([(TaskContext.get().partitionId() << 32) + n]), "doc_ids": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), "held": pa.array([held.tolist()], pa.list_(pa.bool_())),
-                "sizes": pack(size.astype(np.uint32)), "keys": pack_sorted(keys), "train": pack(train.astype(np.uint32)), "every": pack(every.astype(np.uint32)), "ranks": pack(rank), "tokens": pack(rank[at]),
-                "n_tokens": pa.array([len(h) + part.num_rows]), "n_words": pa.array([len(keys)]),
-                "ends": pa.array([[int(np.searchsorted(keys, BEGIN)), int(end)]], pa.list_(pa.int64())),
-            }
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) if isinstance(v, bytes) else v for v in columns.values()], list(columns))
+            block = (TaskContext.get().partitionId() << 32) + n
+            ends = [int(np.searchsorted(keys, BEGIN)), int(end)]
+            words = {"keys": pack_sorted(keys), "train": pack(train.astype(np.uint32)), "every": pack(every.astype(np.uint32))}
+            texts = {"doc_ids": part.column("doc_id").to_pylist(), "held": held.tolist(), "sizes": pack(size.astype(np.uint32)), "ranks": pack(rank), "tokens": pack(rank[at]), "ends": ends}
+            yield pa.RecordBatch.from_pylist([{"part": "words", "block": block, **words}, {"part": "texts", "block": block, **texts, "n_tokens": len(h) + part.num_rows, "n_words": len(keys)}], _BLOCK)
             n += 1
 
 
-BLOCK = "block long, doc_ids array<long>, held array<boolean>, sizes binary, keys binary, train binary, every binary, ranks binary, tokens binary, n_tokens long, n_words long, ends array<long>"
+#: The words of a block are a table of their own, which goes once they are numbered.
+BLOCK = "part string, block long, keys binary, train binary, every binary, doc_ids array<long>, held array<boolean>, sizes binary, ranks binary, tokens binary, ends array<long>, n_tokens long, n_words long"
+_KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+_BLOCK = pa.schema([(name, _KINDS[kind]) for name, kind in (x.split() for x in BLOCK.split(", "))])
 
 
 class Block:
@@ -265,6 +268,7 @@ def _merge_pairs(table: pa.Table) -> pa.Table:
     return _rows([*out, _row(TABLES, x.bucket, -1, pack(tables.astype(np.uint32)), pack(np.zeros(len(tables), np.float32))), *x.dishes(tables)])
 
 
+@lru_cache(4)
 def log_stirling(most: int, d: float) -> np.ndarray:
     """log S(c, t) for c and t up to `most`: S(c + 1, t) = S(c, t - 1) + (c - t d) S(c, t)."""
     out = np.full((most + 1, most + 1), -np.inf)
@@ -282,7 +286,7 @@ def _categorical(logs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return (share < rng.random(len(logs))[:, None] * share[:, -1:]).sum(1)
 
 
-_KNOTS, _STEP = 24, 0.06
+_KNOTS, _STEP = 16, 0.08
 _STRETCH = np.sinh(np.arange(0, 6, _STEP) + _STEP / 2)
 _SLOPE = np.cosh(np.arange(0, 6, _STEP) + _STEP / 2)
 _CHEBYSHEV = np.cos((2 * np.arange(_KNOTS) + 1) * np.pi / (2 * _KNOTS))
@@ -387,7 +391,7 @@ def seat(x: Bucket, tables: np.ndarray, k, s, every, parent: Parent, d: float, r
         there = np.minimum(s[w], near)  # the parent's tables that the others keep
         if c[0] <= SMALL:
             j = np.arange(c[0])
-            chance = (near[:, None] + j - parent.d0 * np.maximum(there[:, None], j > 0) + parent.base) / parent.all
+            chance = (near[:, None] + j - parent.d0 * np.maximum(there[:, None], j > 0) + parent.base) / (parent.all - old[:, None] + j)
             logs = table[c[0], 1 : c[0] + 1] + np.cumsum(np.log(chance) + np.log(THETA + d * (others[:, None] + j)), 1)
             new = 1 + _categorical(logs, rng)
         else:
@@ -453,6 +457,7 @@ def _chances(parent: Parent, d: float, samples: int):
     def run(key, state: pa.Table, answers: pa.Table) -> pa.Table:
         x, tables, chance, (k, s, every) = _resume(state, answers)
         chance = ((chance + predictive(x, tables, k, s, every, parent, d)) / samples).astype(np.float32)
+        chance = ((chance.view(np.uint32) + np.uint32(128)) & np.uint32(0xFFFFFF00)).view(np.float32)  # 15 bits of fraction
         return _rows([_row(CHANCE, x.bucket, r["source"], pack(chance[unpack_sorted(r["a"]).astype(np.int64)])) for r in _of(state, INDEX, "source")])
 
     return run
@@ -493,11 +498,12 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, rounds: int = 3,
     base's probability; other columns are left out, whatever their names; an empty table gives none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
-    body = scratch.keep(rows.mapInArrow(_blocks, BLOCK), "blocks")
+    words, body = scratch.split(rows.mapInArrow(_blocks, BLOCK), "blocks", "part", ["words", "texts"])
     size = body.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     pair_buckets, word_buckets = 1 + (size[0] or 0) // PAIRS_IN_BUCKET, 1 + (size[1] or 0) // WORDS_IN_BUCKET
-    asked = body.select("block", "keys", "train", "every").mapInArrow(_ask_words(word_buckets), PACKED)
+    asked = words.select("block", "keys", "train", "every").mapInArrow(_ask_words(word_buckets), PACKED)
     numbers = scratch.keep(asked.groupBy("bucket").applyInArrow(_number, PACKED), "numbers")
+    scratch.drop(words)
     vocabulary, tokens = _sums(numbers, 2)
     scratch.sweep()
     texts = body.select("block", "held", "sizes", "ranks", "tokens", "ends").groupBy("block")
@@ -525,6 +531,8 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, rounds: int = 3,
             scratch.sweep()
     both = state.union(merged.filter(F.col("kind") == INDEX)).union(seated).groupBy("bucket").cogroup(parents.groupBy("source"))
     chances = scratch.keep(both.applyInArrow(_chances(parent, d, samples), PACKED), "chances")
+    for used in (merged, moves, parents):
+        scratch.drop(used)
     scratch.sweep()
     texts = body.select("block", "doc_ids", "held", "sizes", "ranks", "tokens", "ends").groupBy("block")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,11 +22,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made.
+    Only where that setting is absent and everything runs on one machine (local mode) a temporary folder is made.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="inkwell-shared-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -43,6 +48,24 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def split(self, df: DataFrame, name: str, column: str, values: list[str]) -> list[DataFrame]:
+        """A table for each of the column's values, without the column; each can be dropped for itself."""
+        self.n += 1
+        path, out = f"{self.base}/{name}-{self.n}", []
+        df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+        rest = StructType([f for f in df.schema.fields if f.name != column])
+        for value in values:
+            at = f"{path}/{column}={value}"
+            out.append(self.spark.read.schema(rest).parquet(at) if self._fs(at).exists(self._path(at)) else self.spark.createDataFrame([], rest))
+            out[-1].scratch_path = at
+        return out
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self, path: str):
+        return self._path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def sweep(self) -> None:
         """Let Spark remove the shuffle files of plans that nothing refers to any more."""
         gc.collect()
@@ -50,9 +73,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Remove a table that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._fs(df.scratch_path).delete(self._path(df.scratch_path), True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
