@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hashed_words, ngram_hashes, slices, with_fields
+from .shared import hashed_words, ngram_hashes, slices, small_batches, with_fields
 
 LEAK = "struct<item_id:bigint,coverage:double,tiles:int>"
 
@@ -110,6 +110,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, least: i
     empty benchmark gives empty lists. A column named leaks is replaced.
     """
     docs, spark = docs.drop("leaks"), docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     if (items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) > bound:
         return _joined(docs, items, coverage, least)

@@ -34,10 +34,26 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows in place of Spark's 10,000, unless the session has another number: rows hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, or one like it that no column has (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 class Scratch:
     """Tables written in the shared folder, so that a lost executor costs no lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.base, self.n = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:

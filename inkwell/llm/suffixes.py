@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, hash_spans, hashed_words, ngram_hashes, slices, word_spans
+from .shared import Scratch, fresh, hash_spans, hashed_words, ngram_hashes, slices, word_spans
 
 LENGTH, GRAM = 50, 12
 HOT = 100_000  # suffixes with one gram that a task sorts at once; more are compared by an exact aggregate
-FEW = 1000
+FEW, SALTS = 1000, 256
 
 
 def minimisers(words: np.ndarray, cut: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -132,10 +132,9 @@ def _classes(gram: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     differs = t[1:] != t[:-1]
     common = np.where(differs.any(1), differs.argmax(1), reach)
     common = np.where(g[1:] == g[:-1], common, -1)
-    out = np.empty((n, reach + 1), np.int64)
-    starts = common[:, None] < np.arange(reach + 1)
+    out = np.empty((n, reach + 1), np.int32)
     out[order[0]] = 0
-    out[order[1:]] = np.cumsum(starts, 0)
+    out[order[1:]] = np.cumsum(common[:, None] < np.arange(reach + 1), 0, dtype=np.int32)
     return out
 
 
@@ -152,22 +151,22 @@ def _repeats(length, gram):
         left, right = (_tokens(table.column(c).combine_chunks(), reach)[order] for c in ("left", "right"))
         nl, nr = (left > 0).sum(1), (right > 0).sum(1)
         before, after = _classes(key, left), _classes(key, right)
-        first = np.full((len(at), reach + 1), -1)
+        none = len(at)
+        first = np.full((none, reach + 1), none, np.int32)
         for a in range(reach + 1):
             rows = np.flatnonzero((nl >= a) & (nr >= reach - a))
-            both = before[rows, a] * (len(at) + 1) + after[rows, reach - a]
+            both = before[rows, a].astype(np.int64) * (none + 1) + after[rows, reach - a]
             _, head, of = np.unique(both, return_index=True, return_inverse=True)
             repeat = rows[head][of] != rows
             first[rows[repeat], a] = rows[head][of][repeat]
-        # Neighbouring reaches are one span, with the smallest of their earliest copies' documents.
-        hit = np.zeros((len(at), reach + 3), np.int8)
-        hit[:, 1:-1] = first >= 0
+        # Neighbouring reaches are one span, with the smallest of their earliest copies' documents (rows are in order of documents).
+        hit = np.zeros((none, reach + 3), np.int8)
+        hit[:, 1:-1] = first < none
         edge = np.diff(hit, axis=1)
         row, a = np.nonzero(edge == 1)
         _, z = np.nonzero(edge == -1)
-        flat = np.append(np.where(first >= 0, doc[first], (1 << 63) - 1).ravel(), (1 << 63) - 1)
         bounds = np.stack((row * (reach + 1) + a, row * (reach + 1) + z), 1).ravel()
-        source = np.minimum.reduceat(flat, bounds)[::2] if len(bounds) else np.zeros(0, np.int64)
+        source = doc[np.minimum.reduceat(np.append(first.ravel(), none), bounds)[::2]] if len(bounds) else np.zeros(0, np.int64)
         return pa.table({"uid": uid[row], "start": (at[row] - z + 1).astype(np.int32), "end": (at[row] - a + length).astype(np.int32), "first_doc_id": pa.array(source, mask=source == (1 << 63) - 1)})
 
     return run
@@ -208,9 +207,9 @@ def _merged(batches):
         yield pa.RecordBatch.from_arrays([b.column("uid").take(pa.array(of)), pa.array((start[head] - (of << 32)).astype(np.int32)), pa.array((end - (of << 32)).astype(np.int32)), pa.array(first, mask=first == (1 << 63) - 1)], ["uid", "start", "end", "first_doc_id"])
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """docs with uid, the same for a doc_id of any type that casts to the same long."""
-    return docs.withColumn("uid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+def identified(docs: DataFrame, name: str = "uid") -> DataFrame:
+    """docs with a hash of doc_id and text under that name, the same for a doc_id of any type that casts to the same long."""
+    return docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
 def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -244,8 +243,12 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int =
         hottest = context.filter(is_hot) if listed else context.join(hot_grams, "gram")
         runs = hottest.mapInArrow(_runs(length, gram), "run long, doc_id long, uid long, start int")
         runs = scratch.keep(runs.withColumn("place", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "uid", "start")), "runs")
-        first = runs.groupBy("run").agg(F.min("place").alias("first"))
-        more = runs.join(first, "run").filter("place > first").withColumn("doc", F.col("first.doc"))
+        # A run of very many suffixes is dealt over SALTS tasks: each finds its least place, and learns the least of all.
+        runs = runs.withColumn("salt", F.pmod(F.xxhash64("uid", "start"), F.lit(SALTS)).cast("int"))
+        parts = scratch.keep(runs.groupBy("run", "salt").agg(F.min("place").alias("part")), "least")
+        least = parts.groupBy("run").agg(F.min("part").alias("first"))
+        told = scratch.keep(parts.select("run", "salt").join(least, "run"), "told")
+        more = runs.join(told, ["run", "salt"]).filter("place > first").withColumn("doc", F.col("first.doc"))
         found = found.union(more.select("uid", "start", (F.col("start") + length).alias("end"), F.when(F.col("doc") < (1 << 63) - 1, F.col("doc"))))
     lists = found.groupBy("uid").agg(F.collect_list(F.struct("start", "end", "first_doc_id")).alias("spans"))
     return lists.mapInArrow(_merged, spans)
@@ -262,28 +265,31 @@ def without_repeats(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """docs with repeated spans cut out of their texts (white space before the next word goes too).
 
     A document of which no word is left goes; texts without repeats stay as they are. n_chars, where
-    there is such a column, follows the text.
+    there is such a column, follows the text. Defined results: null, empty and short texts stay as they
+    are; very long texts are cut as a whole; repeated rows (equal doc_id and text) are one document and all
+    stay, or are all cut alike; other columns pass through, whatever their names; an empty table gives none.
     """
     found = scratch.keep(repeats(docs, scratch, **options), "spans")
-    lists = found.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    keyed = identified(docs).join(lists, "uid", "left")
-    clean, cut = keyed.filter("spans is null").select(*docs.columns), keyed.filter("spans is not null").drop("uid")
+    uid = fresh("uid", docs.columns)
+    at = fresh("spans", [*docs.columns, uid])
+    lists = found.groupBy(F.col("uid").alias(uid)).agg(F.collect_list(F.struct("start", "end")).alias(at))
+    keyed = identified(docs, uid).join(lists, uid, "left")
+    clean, cut = keyed.filter(F.col(at).isNull()).select(*docs.columns), keyed.filter(F.col(at).isNotNull()).drop(uid)
 
     def run(batches):
         for b in batches:
             texts = []
-            for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+            for t, spans in zip(b.column("text").to_pylist(), b.column(at).to_pylist()):
                 raw = (t or "").encode()
-                data = np.frombuffer(raw, np.uint8)
-                starts, _ = word_spans(data)
+                starts, _ = word_spans(np.frombuffer(raw, np.uint8))
                 ends = np.append(starts, len(raw))
-                out, at = [], 0
+                out, done = [], 0
                 for s, e in sorted((x["start"], x["end"]) for x in spans):
-                    out.append(raw[at : ends[s]])
-                    at = ends[e]
-                texts.append((b"".join(out) + raw[at:]).decode())
-            columns = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in b.schema.names if c != "spans"]
-            yield pa.RecordBatch.from_arrays(columns, [c for c in b.schema.names if c != "spans"])
+                    out.append(raw[done : ends[s]])
+                    done = ends[e]
+                texts.append((b"".join(out) + raw[done:]).decode())
+            names = [c for c in b.schema.names if c != at]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
 
     cut = cut.mapInArrow(run, docs.schema).filter(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
     if "n_chars" in docs.columns:
