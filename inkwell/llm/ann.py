@@ -13,6 +13,8 @@ first, nearest list sets each query's threshold for the rest.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,13 +29,10 @@ HELD, EACH = 400, 40  # queries that measure the lists to visit, sampled vectors
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the vectors that take part: not null, not zero, all components finite,
-    and of the most frequent dimension (ties: the smaller)."""
+    """vec_id and embedding (doubles) of the vectors that take part: not null, not zero, all components finite."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null and size(embedding) > 0")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    v = v.filter(fine)
-    top = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.filter(F.size("embedding") == (top["d"] if top else 0))
+    return v.filter(fine)
 
 
 class Index:
@@ -183,21 +182,29 @@ def _truth(rids: np.ndarray, queries: np.ndarray, k: int):
 def neighbours(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 20, recall: float = 0.96, lists: int | None = None, sample: int = 16_384, epsilon: float = 2.1) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query (rows of vectors for which is_query, on vec_id, holds).
 
-    All other rows are candidates, copies of the query too; ties go to the smaller vec_id, a vec_id that
-    occurs with several vectors counts as each. The index (rotation and 2 * sqrt(n) centroids, at most
+    All other rows are candidates, copies of the query too; ties go to the smaller vec_id. Defined results: equal
+    rows count once; a vec_id that occurs with several vectors counts as each, as query and as candidate; vectors
+    are searched among those of their own dimension, each dimension by an index of its own; a query without a
+    candidate and an empty table give none; other columns are left out, whatever their names. The index (rotation and 2 * sqrt(n) centroids, at most
     8,192) is fitted on a sample of about `sample` vectors, 40 a list at least, and holds every vector.
     How many lists a query visits follows from the data: as many as hold the share `recall` of the true
     neighbours, in the whole table, of about `HELD` vectors that are kept out of the sample.
     """
-    spark = vectors.sparkSession
-    rows = usable(vectors).withColumns({"h1": F.xxhash64("embedding"), "h2": F.hash("embedding")})
+    rows = usable(vectors).distinct().withColumns({"h1": F.xxhash64("embedding"), "h2": F.hash("embedding"), "dimension": F.size("embedding")})
     rows = scratch.keep(rows, "vectors")
+    asked = rows.groupBy("dimension").agg(F.max(F.struct(is_query.alias("q"))).alias("q")).filter("q.q").select("dimension").collect()
+    found = [_of_one_dimension(rows.filter(F.col("dimension") == d), is_query, scratch, k, recall, lists, sample, epsilon) for d in sorted(r[0] for r in asked)]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, found)
+
+
+def _of_one_dimension(rows: DataFrame, is_query: Column, scratch: Scratch, k: int, recall: float, lists: int | None, sample: int, epsilon: float) -> DataFrame:
+    spark = rows.sparkSession
     copies = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("rid"), F.max(F.struct(is_query.alias("q"))).alias("q"), F.first("embedding").alias("embedding"))
     entries = scratch.keep(copies.select("h1", "h2", "rid", F.col("q.q").alias("asks"), "embedding"), "entries")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     n, longest = entries.agg(F.count("*"), F.max(norm)).first()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = lists or int(min(8192, max(1, 2 * np.sqrt(n))))
     sample, out = max(sample, EACH * lists), min(0.1, HELD / n)
     u = unit_hash(F.col("h1"))
@@ -268,5 +275,5 @@ def neighbours(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int =
     wide = top.join(least, "rid").withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k + 1).select("qid", "vec_id", "score")
     asking = ids.filter("asks").select(F.col("rid").alias("qid"), F.col("vec_id").alias("query_id"))
     answers = wide.join(asking, "qid").filter("vec_id <> query_id")
-    answers = answers.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+    answers = answers.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "qid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
     return answers.select("query_id", "rank", "vec_id", "score")

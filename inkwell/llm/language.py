@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .labelled import unit_hash
-from .shared import flat_bytes, letters, mix, slices, with_fields
+from .shared import flat_bytes, letters, mix, slices, small_batches, with_fields
 
 HASHES, CELLS = 3, 1 << 20
 _SPACED = np.arange(256, dtype=np.uint8)
@@ -112,7 +112,8 @@ def learn(docs: DataFrame, allowed: Column, per_language: int = 2000, least: flo
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), i, np.int32)), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     grams = sample.mapInArrow(run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    grams = grams.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("lang"))).filter(F.col("share") >= least)
+    totals = F.broadcast(grams.groupBy("lang").agg(F.sum("n").alias("total")))  # a row a language
+    grams = grams.join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= least)
     grams = grams.withColumn("most", F.max("share").over(W.partitionBy("gram"))).filter(F.col("share") >= ratio * F.col("most"))
     got = grams.select("lang", "gram").toPandas()
     return LanguageFilter.build(languages, got["gram"].to_numpy(np.int64).view(np.uint64), got["lang"].to_numpy(np.int64), max(range(len(languages)), key=lambda i: counts[languages[i]]))
@@ -124,8 +125,10 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     Null texts, texts without a letter, and every text if no language was learned, are `und` with
     score 0. A text none of whose n-grams any language contains (one of a single letter has none) gets
     the most frequent language learned, with a score below that of any hit: 1 / (languages + 1). Ties
-    go to the language first in order. Columns of the same names are replaced.
+    go to the language first in order. Repeated rows are each answered, very long texts as a whole; columns of the
+    same names are replaced, all others pass through; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     rest = docs.drop("lang_pred", "lang_score")
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: CELLS x planes
     schema = with_fields(rest, lang_pred="string", lang_score="double")

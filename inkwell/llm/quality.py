@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .shared import flat_bytes, hash_spans, slices, with_fields, word_spans
+from .shared import flat_bytes, hash_spans, slices, small_batches, with_fields, word_spans
 
 WORDS, BINS, FACTORS = 1 << 15, 12, 8
 #: Edges of the bins of each structure statistic; a statistic's bin is one feature.
@@ -27,7 +27,8 @@ EDGES = {
     "distinct": np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]),
     "line_words": np.array([1, 2, 4, 7, 12, 20, 35, 60, 100, 200, 500], float),
 }
-SIZE = WORDS + BINS * (len(EDGES) + 1)
+MOST_METADATA = 8
+SIZE = WORDS + BINS * (len(EDGES) + MOST_METADATA)
 _CLASS = {k: np.zeros(256, np.int64) for k in ("upper", "digits", "symbols", "stops", "letters", "lines")}
 _CLASS["upper"][65:91] = _CLASS["digits"][48:58] = _CLASS["lines"][10] = 1
 _CLASS["letters"][65:91] = _CLASS["letters"][97:123] = _CLASS["letters"][128:] = 1
@@ -59,7 +60,7 @@ def features(texts: pa.Array, metadata: list[np.ndarray] = ()) -> tuple[np.ndarr
         "distinct": np.bincount(row, minlength=rows) / some, "line_words": n / np.maximum(1, sums["lines"]),
     }
     bins = [WORDS + BINS * i + np.searchsorted(EDGES[k], stats[k], "right") for i, k in enumerate(EDGES)]
-    bins += [WORDS + BINS * len(EDGES) + m % BINS for m in metadata]
+    bins += [WORDS + BINS * (len(EDGES) + i % MOST_METADATA) + m % BINS for i, m in enumerate(metadata)]
     own = np.arange(rows)
     r = np.concatenate([row, *[own] * len(bins)])
     f = np.concatenate([word, *bins]).astype(np.int64)
@@ -116,7 +117,16 @@ class FactorisationMachine:
 
 
 def _metadata(batch: pa.RecordBatch, columns: list[str]) -> list[np.ndarray]:
-    return [pd.util.hash_array(np.array([f"{c}={x}" for x in batch.column(c).to_pylist()], object)).astype(np.int64) & 0xFFFF for c in columns]
+    """Bins of metadata: numbers by the logarithm of their size (null: the last bin), other values by a hash."""
+    out = []
+    for c in columns:
+        x = batch.column(c)
+        if pa.types.is_integer(x.type) or pa.types.is_floating(x.type):
+            v = np.nan_to_num(x.cast(pa.float64()).to_numpy(zero_copy_only=False), nan=-1.0)
+            out.append(np.where(v < 0, BINS - 1, np.minimum(BINS - 2, np.log2(1 + np.maximum(v, 0)) * 0.7)).astype(np.int64))
+        else:
+            out.append(pd.util.hash_array(np.array([f"{c}={v}" for v in x.to_pylist()], object)).astype(np.int64) & 0xFFFF)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed: Column | None = None, per_class: int = 3000, metadata: list[str] = ()) -> FactorisationMachine | float:
@@ -125,9 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed: Col
     With fewer than two classes there is nothing to tell apart: the share of label 1 (0.5 with no
     labels) is returned instead and becomes everyone's score.
     """
-    sample = labelled_sample(docs, labels, label, F.lit(True) if allowed is None else allowed, per_class)
-    extra = docs.select("doc_id", *metadata).dropDuplicates(["doc_id"]) if metadata else None
-    sample = sample.join(extra, "doc_id") if metadata else sample
+    small_batches(docs.sparkSession)
+    sample = labelled_sample(docs, labels, label, F.lit(True) if allowed is None else allowed, per_class, metadata=metadata)
 
     def run(batches):
         for b in batches:
@@ -147,8 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed: Col
 def score(docs: DataFrame, model: FactorisationMachine | float, metadata: list[str] = ()) -> DataFrame:
     """docs with a column quality_score (0 to 1, higher: label 1 likelier), for every row and its whole text.
 
-    Null and empty texts are scored by their statistics. A column of the same name is replaced.
+    Null and empty texts are scored by their statistics, very long ones as a whole, repeated rows alike. A
+    column of the same name is replaced, all others pass through; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     spark, rest = docs.sparkSession, docs.drop("quality_score")
     held = spark.sparkContext.broadcast(model)  # of fixed size: SIZE * (FACTORS + 1) numbers
     schema = with_fields(rest, quality_score="double")

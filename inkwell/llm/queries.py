@@ -58,10 +58,10 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"), allowed=crc_mod(F.col("doc_id"), 5) != 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), allowed=crc_mod(F.col("doc_id"), 5) != 0, metadata=["n_chars"])
     score = F.col("quality_score").alias("score")
-    return quality.score(docs, model).select("doc_id", held(5, 0), score, (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+    return quality.score(docs, model, metadata=["n_chars"]).select("doc_id", held(5, 0), score, (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
 def held(mod: int, rest: int):
@@ -70,7 +70,7 @@ def held(mod: int, rest: int):
 
 OP7_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT AS k,
+  SELECT doc_id, source, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 12))::BIGINT AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -94,10 +94,13 @@ keys AS (
   FROM sized GROUP BY source, k),
 edges AS (
   SELECT p.source, max(k.k) AS k FROM passes p JOIN keys k ON p.source IS NOT DISTINCT FROM k.source
-  WHERE k.under <= p.target - p.passes * p.source_size GROUP BY p.source)
+  WHERE k.under <= p.target - p.passes * p.source_size GROUP BY p.source),
+told AS (
+  SELECT *, row_number() OVER (PARTITION BY source, k) AS nth, count(*) OVER (PARTITION BY source, k) AS n FROM sized)
 SELECT d.doc_id, d.size, p.source_size, p.target,
-       (d.size * (p.passes + CASE WHEN d.k < e.k OR (d.k = e.k AND p.target - p.passes * p.source_size - k.under >= k.words / 2) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM sized d JOIN passes p ON d.source IS NOT DISTINCT FROM p.source
+       (d.size * (p.passes + CASE WHEN d.k < e.k OR (d.k = e.k AND
+         (k.words = 0 OR d.nth <= floor((p.target - p.passes * p.source_size - k.under) / (k.words / d.n) + 0.5))) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM told d JOIN passes p ON d.source IS NOT DISTINCT FROM p.source
 LEFT JOIN edges e ON e.source IS NOT DISTINCT FROM d.source
 LEFT JOIN keys k ON k.source IS NOT DISTINCT FROM e.source AND k.k = e.k
 """

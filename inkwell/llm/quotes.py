@@ -61,10 +61,15 @@ def links(messages: DataFrame) -> DataFrame:
     both = quotes.select("conv", "hash", "t", "tie", "level", "words", nothing.cast("long").alias("wrote")).union(
         own.select("conv", "hash", "t", nothing.cast("long"), nothing.cast("int"), nothing.cast("int"), F.col("t"))
     )
-    # Quotes come before what their own turn wrote, so that only earlier turns are seen.
-    order = W.partitionBy("conv", "hash").orderBy("t", F.col("wrote").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = both.withColumn("origin", F.max("wrote").over(order))
-    return seen.filter("level is not null and origin is not null").select("conv", "t", "tie", "level", "words", "origin")
+    # Quotes come before what their own turn wrote, so that only earlier turns are seen. A line that a long
+    # conversation repeats is cut into spans as well.
+    both = both.withColumn("span", F.floor(F.col("t") / SPAN))
+    inner = W.partitionBy("conv", "hash", "span").orderBy("t", F.col("wrote").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy("conv", "hash").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    carry = both.groupBy("conv", "hash", "span").agg(F.max("wrote").alias("whole")).withColumn("carry", F.max("whole").over(before))
+    seen = both.withColumn("inner", F.max("wrote").over(inner)).join(carry.drop("whole"), ["conv", "hash", "span"])
+    seen = seen.withColumn("origin", F.coalesce("inner", "carry")).filter("level is not null and origin is not null")
+    return seen.select("conv", "t", "tie", "level", "words", "origin")
 
 
 def running(df: DataFrame, value: str, how, name: str) -> DataFrame:
@@ -80,17 +85,18 @@ def running(df: DataFrame, value: str, how, name: str) -> DataFrame:
 
 
 def link_conversations(conversations: DataFrame, scratch: Scratch) -> DataFrame:
-    """conv_id, turn, role, parent_turn, by_quote, quote_levels, branch, position, reply, chat.
+    """conv_id, turn, role, parent_turn, by_quote, quote_levels, quotes, branch, position, reply, chat.
 
     parent_turn is the turn that the message answers (null for a conversation's first), by_quote
-    whether a quote says so. A branch is a run of messages each of which answers the one before it;
+    whether a quote says so; quotes lists every message that it quotes, at any level, as (level, turn). A branch is a run of messages each of which answers the one before it;
     position counts from 0 within the branch: sorted by (branch, position) a conversation is in reply
     order. reply is the text without quotes and chat the reply as a chat turn.
 
     Defined results: a null text is an empty reply; null conv_ids are one conversation; null turns
     come first; messages of one turn are ordered by a hash of role and text, and equal rows are told
     apart no further (each is kept); a quote never leads to its own turn or a later one; ties
-    between parents go to the later turn. An empty table gives none; other columns are left out.
+    between parents go to the later turn. Messages and conversations may be of any length; an empty table
+    gives none; other columns are left out, whatever their names.
     """
     m = conversations.select(F.col("conv_id").alias("conv_id"), "turn", "role", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     m = m.withColumns({"conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")), "t": F.coalesce(F.col("turn").cast("long"), F.lit(-1)), "tie": F.xxhash64("role", "text")})
@@ -99,7 +105,8 @@ def link_conversations(conversations: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.keep(links(involved.select("conv", "t", "tie", "text")), "links")
     votes = found.filter("level = 1").groupBy("conv", "t", "tie", "origin").agg(F.sum("words").alias("words"))
     parents = votes.groupBy("conv", "t", "tie").agg(F.max(F.struct("words", "origin")).getField("origin").alias("quoted"))
-    levels = found.groupBy("conv", "t", "tie").agg(F.max("level").alias("quote_levels"))
+    each = F.array_sort(F.collect_set(F.struct("level", F.col("origin").alias("turn"))))
+    levels = found.groupBy("conv", "t", "tie").agg(F.max("level").alias("quote_levels"), each.alias("quotes"))
     rows = m.withColumn("span", F.floor(F.col("t") / SPAN))
     rows = rows.join(parents, ["conv", "t", "tie"], "left").join(levels, ["conv", "t", "tie"], "left")
     # The message before: inside the span, or the last one of the span before.
@@ -116,5 +123,5 @@ def link_conversations(conversations: DataFrame, scratch: Scratch) -> DataFrame:
     chat = F.concat(F.lit("<|"), F.coalesce(F.col("role"), F.lit("unknown")), F.lit("|>\n"), F.col("reply"), F.lit("\n<|end|>"))
     return rows.withColumn("reply", reply).select(
         "conv_id", "turn", "role", F.when(F.col("parent") >= 0, F.col("parent")).alias("parent_turn"), F.col("quoted").isNotNull().alias("by_quote"),
-        F.coalesce("quote_levels", F.lit(0)).alias("quote_levels"), (F.col("branch") - 1).alias("branch"), (F.col("index") - F.col("from_index")).alias("position"), "reply", chat.alias("chat"),
+        F.coalesce("quote_levels", F.lit(0)).alias("quote_levels"), F.coalesce("quotes", F.array().cast("array<struct<level:int,turn:bigint>>")).alias("quotes"), (F.col("branch") - 1).alias("branch"), (F.col("index") - F.col("from_index")).alias("position"), "reply", chat.alias("chat"),
     )

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .shared import hash_spans, mix, slices, with_fields
+from .shared import hash_spans, mix, slices, small_batches, with_fields
 
 DECAY, TABLE = 0.75, 1 << 20
 #: Offsets of a subsequence's four characters within a span of six.
@@ -288,6 +288,7 @@ def score(docs: DataFrame, model: KernelMachine | float) -> DataFrame:
 
     Null texts and texts without a segment score next to 0. A column of the same name is replaced.
     """
+    small_batches(docs.sparkSession)
     rest = docs.drop("toxicity")
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: TABLE numbers
 

@@ -186,7 +186,10 @@ def test_suffixes(spark, docs, scratch, monkeypatch, hot, few):
 
 
 def test_cut_texts(spark, docs, scratch):
-    out = local(suffixes.without_repeats(docs, scratch))
+    clash = docs.withColumns({"uid": F.lit("u"), "spans": F.lit("s"), "_uid": F.lit(1)})
+    cut = suffixes.without_repeats(clash, scratch)
+    assert cut.columns == clash.columns and {(r["uid"], r["spans"], r["_uid"]) for r in cut.collect()} == {("u", "s", 1)}
+    out = local(cut)
     kept = dict(out)
     assert kept[0] == dict(local(docs))[0] and 20 not in kept and len(kept[33].split()) == 50 and 24 in kept
     assert suffixes.without_repeats(docs.limit(0), scratch).count() == 0
@@ -283,6 +286,18 @@ def test_mixing_cases(spark, scratch):
     assert mixing.mix(df.limit(0), scratch).count() == 0
 
 
+def test_mixing_equal_rows_and_clashing_names(spark, scratch):
+    """Null ids, equal rows: targets are met to a document; columns with the operator's own names pass through."""
+    data = [(None, s, f"{i % 3 if s == 'a' else i} " + "w " * 7) for s in "abc" for i in range(1000)]
+    names = ["key", "s", "threshold", "passes", "extra", "row", "kept", "n", "j", "last", "prefix"]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string").withColumns({c: F.lit(c) for c in names})
+    got = mixing.mix(df, scratch).toPandas()
+    by = got.groupby("source").agg({"taken": "sum", "target": "first", "source_size": "first"})
+    assert (abs(by.taken - by.target) <= 8).all() and list(by.source_size) == [8000] * 3 and all((got[c] == c).all() for c in names)
+    again = mixing.mix(df.repartition(7), scratch).toPandas()
+    assert collections.Counter(zip(got.source, got.taken)) == collections.Counter(zip(again.source, again.taken))
+
+
 def toxic_set(spark):
     rng = random.Random(0)
     data, labels = [], []
@@ -350,6 +365,19 @@ def test_neighbours(spark, scratch):
     assert ann.neighbours(df.limit(0), F.lit(True), scratch).count() == 0
 
 
+def test_repeated_queries_and_other_dimensions(spark, scratch):
+    """A query row that occurs twice has its neighbours once; vectors are searched among those of their dimension."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(60, 8)), rng.normal(size=(30, 5))
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] + [(100 + i, v.tolist()) for i, v in enumerate(y)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("rid", F.lit("clash"))
+    got = ann.neighbours(df, F.col("vec_id") % 20 == 0, scratch, epsilon=9.0, recall=1.0).toPandas()
+    for q, (z, base) in {0: (x, 0), 20: (x, 0), 40: (x, 0), 100: (y, 100), 120: (y, 100)}.items():
+        g = got[got.query_id == q].sort_values("rank")
+        assert [v - base for v in g.vec_id] == brute_neighbours(z, range(len(z)), q - base, 20)
+    assert set(got.query_id) == {0, 20, 40, 100, 120}
+
+
 def test_recall_with_many_lists(spark, scratch):
     """Lists to visit are measured on vectors that the centroids don't know, so few vectors a list cost no recall."""
     rng = np.random.default_rng(4)
