@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 ROW, CELL = r"(?is)<tr[^>]*>(.*?)</tr>", r"(?is)<t[dh][^>]*>.*?</t[dh]>"
 
 
-def cell_text(html: Column) -> Column:
-    """Text of a piece of HTML: tags become blanks, white space collapses."""
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"\s+", " "))
+def cell_text(html: Column, lines: bool = False) -> Column:
+    """Text of a piece of HTML: tags become blanks, white space collapses. lines: <br> starts a line."""
+    if lines:
+        pieces = F.transform(F.split(html, r"(?i)<br\s*/?>", -1), lambda x: cell_text(x))
+        return strip(F.array_join(pieces, "\n"))
+    return strip(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"(?U)\s+", " "))
 
 
 def parse_grid(html: Column) -> Column:

@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
 from .text import answer_area, normalize_text
 
 CARRIED = ["marks", "answer", "solution", "answer_area"]
 
 
 def part_texts(parts: Column) -> Column:
-    return F.array_join(F.transform(parts, lambda p: p["text"]), "\n")
+    return F.array_join(F.transform(parts, lambda p: p["text"]), " ")
 
 
 def part_paths(parts: Column) -> Column:
@@ -26,17 +27,11 @@ def has_answer(entry_value: Column, parts: Column, field: str = "answer") -> Col
     return F.coalesce(entry_value != "", F.lit(False)) | F.exists(parts, lambda p: F.coalesce(p[field] != "", F.lit(False)))
 
 
-def drop_empty(parts: Column) -> Column:
-    """Without parts that have neither text nor children."""
-    return F.filter(parts, lambda p: (F.trim(F.coalesce(p["text"], F.lit(""))) != "") | F.exists(parts, lambda c: c["parent_path"].eqNullSafe(p["path"])))
-
-
 def polish(parts: Column) -> Column:
     """Every part's text in canonical form, its answer area lifted off (an area that is there already stays)."""
 
     def one(p):
-        split = answer_area(normalize_text(p["text"]))
-        return p.withField("text", split["body"]).withField("answer_area", F.coalesce(split["area"], p["answer_area"]))
+        return let(answer_area(normalize_text(p["text"])), lambda split: p.withField("text", split["body"]).withField("answer_area", F.coalesce(split["area"], p["answer_area"])))
 
     return F.transform(parts, one)
 
@@ -60,14 +55,10 @@ def restore_markers(old: Column, new: Column) -> Column:
     return F.when(F.size(lost) > 0, F.concat_ws("\n", new, F.array_join(lost, "\n"))).otherwise(new)
 
 
-def spread_answers(parts: Column, split: Column, field: str = "answer") -> Column:
-    """Parts with their pieces of a packed answer (parts of split_by_parts); parts that have their own keep it."""
-    piece = lambda p: F.try_element_at(F.filter(split, lambda s: s["path"] == p["path"]), F.lit(1))["text"]
-    return F.transform(parts, lambda p: p.withField(field, F.coalesce(p[field], piece(p))))
-
-
-def answer_lines(entry_answer: Column, parts: Column) -> Column:
-    """(label, answer) of the entry and of every part that has one, in order."""
-    line = lambda label, a: F.struct(label.alias("label"), a.alias("answer"))
-    own = F.array_compact(F.array(F.when(entry_answer.isNotNull(), line(F.lit(""), entry_answer))))
-    return F.concat(own, F.transform(F.filter(parts, lambda p: p["answer"].isNotNull()), lambda p: line(p["path"], p["answer"])))
+def answer_lines(entry_answer: Column, entry_solution: Column, parts: Column) -> Column:
+    """(label, answer, solution) of the entry and of every part that has one of them, in order."""
+    line = lambda label, a, z: F.struct(label.alias("label"), a.alias("answer"), z.alias("solution"))
+    some = lambda a, z: (F.coalesce(a, F.lit("")) != "") | (F.coalesce(z, F.lit("")) != "")
+    own = F.array_compact(F.array(F.when(some(entry_answer, entry_solution), line(F.lit(""), entry_answer, entry_solution))))
+    theirs = F.transform(F.filter(parts, lambda p: some(p["answer"], p["solution"])), lambda p: line(p["path"], p["answer"], p["solution"]))
+    return F.concat(own, theirs)

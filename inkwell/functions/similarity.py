@@ -26,8 +26,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(0.0)
 
 
-def parse_pages(spec: Column) -> Column:
-    """Page numbers of a specification such as "6-40,55"."""
+def parse_pages(spec: Column, page_count: Column | None = None) -> Column:
+    """Page numbers of a specification such as "6-40,55"; with a page count, an error if one is not within 1..count."""
     pieces = F.filter(F.split(F.regexp_replace(spec, r"\s", ""), ","), lambda p: p != "")
     ends = lambda p: F.split(p, "-")
-    return F.flatten(F.transform(pieces, lambda p: F.sequence(F.element_at(ends(p), 1).cast("int"), F.element_at(ends(p), -1).cast("int"))))
+    pages = F.flatten(F.transform(pieces, lambda p: F.sequence(F.element_at(ends(p), 1).cast("int"), F.element_at(ends(p), -1).cast("int"))))
+    if page_count is None:
+        return pages
+    bad = F.exists(pages, lambda p: (p < 1) | (p > page_count))
+    return F.when(bad, F.raise_error(F.concat(F.lit("pages out of range 1.."), page_count.cast("string"), F.lit(": "), spec)).cast("array<int>")).otherwise(pages)

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import latex_ok
+from ..functions.options import canon_options, remap_answer
+from ..functions.text import entry_revision, latex_ok, strip
+from ..tables import kept
 
 # Fixed values.
 STAGES = ["raw", "clean", "tagged"]
@@ -26,10 +28,14 @@ def live_stage(versions: DataFrame, stages: list[str] = STAGES) -> DataFrame:
     return wide.select("doc", state["stage"].alias("stage"), state["version"].alias("version")).filter("stage is not null")
 
 
-def validate(stem: Column, has_parts: Column, solution: Column, answer: Column, all_text: Column) -> Column:
+def validate(stem: Column, has_parts: Column, solution: Column, answer: Column, all_text: Column, missing_image: Column | None = None, unknown_blocks: Column | None = None) -> Column:
     """The derived flags of an entry."""
     flag = lambda when, name: F.when(when, F.lit(name))
-    return F.array_compact(F.array(flag(~latex_ok(all_text), "latex_suspect"), flag((F.length(stem) < 6) & ~has_parts, "short_stem"), flag(solution.isNull(), "no_solution"), flag(answer.isNull(), "no_answer")))
+    no = F.lit(False)
+    return F.array_compact(F.array(
+        flag(~latex_ok(all_text), "latex_suspect"), flag((F.length(stem) < 6) & ~has_parts, "short_stem"), flag(no if missing_image is None else missing_image, "image_missing"),
+        flag(no if unknown_blocks is None else unknown_blocks, "unknown_block_type"), flag(solution.isNull(), "no_solution"), flag(answer.isNull(), "no_answer"),
+    ))
 
 
 def refresh_flags(flags: Column, derived: Column) -> Column:
@@ -93,15 +99,24 @@ def risk(entries: DataFrame) -> DataFrame:
     return entries.rollup("file").agg(F.count("*").alias("n"), has("human_edited").alias("edited"), has("verified").alias("verified"))
 
 
-def page_map(steps: DataFrame, spark) -> DataFrame:
-    """Original page of every output page: steps (output, page, source, source_page) followed through sources that are outputs themselves."""
-    steps.createOrReplaceTempView("_inkwell_steps")
-    return spark.sql("""
-        WITH RECURSIVE lineage(output, page, source, source_page, depth) AS (
-          SELECT output, page, source, source_page, 1 FROM _inkwell_steps
-          UNION ALL
-          SELECT l.output, l.page, s.source, s.source_page, l.depth + 1 FROM lineage l JOIN _inkwell_steps s ON s.output = l.source AND s.page = l.source_page)
-        SELECT output, page, max_by(source, depth) AS source, max_by(source_page, depth) AS source_page, max(depth) AS depth FROM lineage GROUP BY output, page""")
+def page_map(steps: DataFrame, rounds: int = 40) -> DataFrame:
+    """output, page, source, source_page, depth and crops: every output page's page of a source that is no output itself.
+
+    steps: output, page, source, source_page and, where there is one, crop (of any type). Pages follow their source by pointer doubling:
+    each round a page's pointer moves on to where that pointer's page points, so a chain of n steps takes log2(n) rounds of one
+    join. crops are those of all steps on the way, the innermost first. A cycle of sources is an error.
+    """
+    crop = F.col("crop") if "crop" in steps.columns else F.lit(None).cast("string")
+    at = steps.select("output", "page", "source", "source_page", F.lit(1).alias("depth"), F.array_compact(F.array(crop)).alias("crops"))
+    at = kept(at, "pages")
+    for _ in range(rounds):
+        to = at.select(F.col("output").alias("source"), F.col("page").alias("source_page"), F.col("source").alias("s"), F.col("source_page").alias("p"), F.col("depth").alias("d"), F.col("crops").alias("c"))
+        moved = at.join(to, ["source", "source_page"], "left")
+        at = kept(moved.select("output", "page", F.coalesce("s", "source").alias("source"), F.coalesce("p", "source_page").alias("source_page"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), F.concat(F.coalesce("c", F.slice("crops", 1, 0)), "crops").alias("crops"), F.col("s").isNotNull().alias("on")), "pages")
+        if at.filter("on").isEmpty():
+            return at.drop("on")
+        at = at.drop("on")
+    raise ValueError("pages lead in a circle")
 
 
 def topic_bank(entries: DataFrame, topics: list[str]) -> DataFrame:
@@ -122,3 +137,88 @@ def pipeline_status(files: DataFrame, *reports: tuple[str, DataFrame]) -> DataFr
     for name, r in reports:
         files = files.join(r.select("stem", *(F.col(c).alias(f"{name}_{c}") for c in r.columns if c != "stem")), "stem", "left")
     return files
+
+
+COORDINATES = ["subject", "stage", "level", "source"]
+
+
+def with_revision(entries: DataFrame) -> DataFrame:
+    """entries with rev, an opaque token of what an editor can change."""
+    fields = ["stem", "parts", "options", "answer", "answer_area", "solution", "imgs"]
+    return entries.withColumn("rev", entry_revision(*(F.to_json(F.struct(c)) for c in fields if c in entries.columns)))
+
+
+def canon_entry(entries: DataFrame) -> DataFrame:
+    """entries with options labelled (1)..(n), the answer's labels after them, and canonical part labels."""
+    placed = canon_options(F.col("options"))
+    out = entries.withColumn("_placed", F.when(F.size("options") > 0, placed))
+    answer = F.when(F.col("_placed").isNotNull() & F.col("answer").isNotNull(), F.col("answer").withField("value", remap_answer(F.col("answer.value"), F.col("_placed")))).otherwise(F.col("answer"))
+    fields = lambda o, pos: F.struct(pos.cast("int").alias("pos"), o["label"].alias("label"), o["value"].alias("value"))
+    options = F.when(F.col("_placed").isNotNull(), F.transform("_placed", lambda o: fields(o, o["pos"]))).otherwise(F.transform("options", lambda o, i: fields(o, i + 1)))
+    return out.withColumns({"answer": answer, "options": options}).drop("_placed")
+
+
+def bank_entries(entries: DataFrame, versions: DataFrame) -> DataFrame:
+    """The live entries of all sources: each file's rows of its live stage, canonical, with rev, stage and cleaned.
+
+    entries have the coordinates, file_stem and pipeline_stage; versions (coordinates, file_stem, pipeline_stage, version) say how fresh each stage file
+    is. One scan serves all sources: a union over them is a partition filter.
+    """
+    key = [*COORDINATES, "file_stem"]
+    stages = versions.select(F.struct(*key).alias("doc"), F.col("pipeline_stage").alias("stage"), "version")
+    live = live_stage(stages).select("doc.*", F.col("stage").alias("pipeline_stage"))
+    own = entries.join(live, [*key, "pipeline_stage"])
+    return with_revision(canon_entry(own)).withColumn("cleaned", F.col("pipeline_stage").isin("clean", "tagged"))
+
+
+def taggable(entries: DataFrame) -> DataFrame:
+    """The rows that tagging reads: each file's clean stage, or its raw one if it has none."""
+    rank = F.when(F.col("pipeline_stage") == "clean", 0).when(F.col("pipeline_stage") == "raw", 1)
+    best = entries.select(*COORDINATES, "file_stem", rank.alias("_rank")).filter("_rank is not null").groupBy(*COORDINATES, "file_stem").agg(F.min("_rank").alias("_best"))
+    return entries.withColumn("_rank", rank).join(best, [*COORDINATES, "file_stem"]).filter("_rank = _best").drop("_rank", "_best")
+
+
+def topic_menu(taxonomy: DataFrame) -> DataFrame:
+    """One text: a line for each topic, id | name | kw: its first eight keywords."""
+    line = F.concat_ws(" | ", "id", "name_en", F.concat(F.lit("kw: "), F.array_join(F.slice("keywords", 1, 8), ", ")))
+    return taxonomy.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"]), "\n").alias("menu"))
+
+
+def with_names(entries: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """entries with topic_names, in the order of their topics; a topic without a name is named by its id."""
+    each = entries.select("qid", F.posexplode("topics").alias("n", "id")).join(taxonomy.select("id", "name_en"), "id", "left")
+    names = each.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("name_en", "id").alias("name")))), lambda x: x["name"]).alias("topic_names"))
+    return entries.join(names, "qid", "left")
+
+
+def edit_view(entries: DataFrame) -> DataFrame:
+    """qid and view: what a cleaning model sees of an entry, without nulls, parts flat with their whole labels."""
+    parts = F.when(F.size("parts") > 0, F.transform("parts", lambda p: F.struct(p["path"].alias("no"), p["text"].alias("text"))))
+    return entries.select("qid", F.to_json(F.struct("qid", "kind", "stem", F.when(F.size("options") > 0, F.col("options")).alias("options"), "answer", "solution", parts.alias("parts"))).alias("view"))
+
+
+def example_view(entries: DataFrame) -> DataFrame:
+    """What a generating model sees of an entry as an example."""
+    return entries.select("qid", "kind", "stem", F.transform("parts", lambda p: F.struct(p["path"].alias("no"), p["text"].alias("text"))).alias("parts"), "options", F.col("answer.value").alias("answer"), "solution", F.col("tags.type").alias("type"), F.col("tags.difficulty").alias("difficulty"))
+
+
+def solution_style(coordinates: DataFrame, overrides: DataFrame, defaults: DataFrame, generic: str) -> DataFrame:
+    """coordinates (subject, stage) with style: their own override if it is not blank, else their default, else the generic one."""
+    own = overrides.select("subject", "stage", F.nullif(strip(F.col("style")), F.lit("")).alias("own"))
+    base = defaults.select("subject", "stage", F.col("style").alias("base"))
+    return coordinates.join(F.broadcast(own), ["subject", "stage"], "left").join(F.broadcast(base), ["subject", "stage"], "left").select(*coordinates.columns, F.coalesce("own", "base", F.lit(generic)).alias("style"))
+
+
+def resolve_images(entries: DataFrame, files: DataFrame, dirs: DataFrame) -> DataFrame:
+    """qid, path, dir of every image of an entry: the first of its source's folders (dirs: source, dir, dir_ord) that holds the
+    file (files: dir, path); null if none does."""
+    imgs = entries.select("qid", "source", F.explode("imgs").alias("img")).select("qid", "source", F.col("img.path").alias("path")).distinct()
+    there = dirs.join(files, "dir").groupBy("source", "path").agg(F.min_by("dir", "dir_ord").alias("dir"))
+    return imgs.join(there, ["source", "path"], "left").select("qid", "path", "dir")
+
+
+def with_usage(entries: DataFrame, usage: DataFrame, cart: DataFrame) -> DataFrame:
+    """entries with uses (0 if never), last_used and in_cart."""
+    marks = usage.select("qid", F.col("count").alias("_uses"), F.col("last").alias("last_used"))
+    out = entries.join(marks, "qid", "left").join(cart.select("qid", F.lit(True).alias("_in")).distinct(), "qid", "left")
+    return out.withColumns({"uses": F.coalesce("_uses", F.lit(0)), "in_cart": F.coalesce("_in", F.lit(False))}).drop("_uses", "_in")

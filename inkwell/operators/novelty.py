@@ -2,31 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import token_sets
 
+KINDS = ("words", "bigrams")
 
-def _features(df: DataFrame, id_: str) -> DataFrame:
-    """id, kind (0 word, 1 bigram), feature, size: one row for each member of a text's two sets."""
-    sets = df.select(F.col(id_), token_sets(F.col("text")).alias("s"))
-    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("s.words").alias("f")), F.struct(F.lit(1).alias("kind"), F.col("s.bigrams").alias("f")))
-    kinds = sets.select(id_, F.explode(both).alias("k")).select(id_, "k.kind", F.size("k.f").alias("size"), "k.f")
-    return kinds.select(id_, "kind", "size", F.explode("f").alias("feature")).withColumn("feature", F.xxhash64("kind", "feature"))
+
+def _hashed(text: Column) -> Column:
+    """struct(words, bigrams): the features of a text as hashes."""
+    sets = token_sets(F.coalesce(text, F.lit("")))
+    return F.struct(*(F.transform(sets[k], lambda w: F.xxhash64(w)).alias(k) for k in KINDS))
 
 
 def novelty(entries: DataFrame, references: DataFrame, bound: int = 8_000_000) -> DataFrame:
     """entry_id, ref_id, score of the reference with the largest score: the larger Jaccard similarity of words and
     of bigrams; ties go to the smaller ref_id. Entries without a common word have score 0 and no reference.
 
-    entries (entry_id, text), references (ref_id, text). Sets meet through an inverted index: an
-    equi-join on the feature, with the references' side broadcast while their text is under
-    `bound` bytes (measured first).
+    entries (entry_id, text), references (ref_id, text). While the references' texts are under `bound` bytes (measured first) their
+    inverted index goes to every executor, and an entry's best reference is found where the entry lies: nothing is shuffled. More
+    references are joined on features.
     """
     size = references.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    right = _features(references, "ref_id").withColumnRenamed("size", "ref_size")
-    right = F.broadcast(right) if size <= bound else right
+    return _indexed(entries, references) if size <= bound else _joined(entries, references)
+
+
+def _index(rows: list) -> tuple[np.ndarray, list]:
+    """The references' ids in order, and for each kind of feature the sorted features, their references, and the sizes."""
+    rows = sorted(rows, key=lambda r: r[0])
+    out = []
+    for k in range(len(KINDS)):
+        flat = np.concatenate([np.zeros(0, np.int64), *(np.array(r[1 + k], np.int64) for r in rows)])
+        of = np.repeat(np.arange(len(rows)), [len(r[1 + k]) for r in rows])
+        order = np.argsort(flat, kind="stable")
+        out.append((flat[order], of[order], np.array([len(r[1 + k]) for r in rows])))
+    return np.array([r[0] for r in rows]), out
+
+
+def _scores(lists: pa.Array, index, references: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entry, reference and Jaccard similarity of every pair that shares a feature."""
+    features, of, size = index
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    own = np.diff(lists.offsets.to_numpy())
+    entry = np.repeat(np.arange(len(own)), own)
+    low, high = np.searchsorted(features, flat, "left"), np.searchsorted(features, flat, "right")
+    hits = high - low
+    at = np.repeat(low - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())
+    pair, common = np.unique(np.repeat(entry, hits) * references + of[at], return_counts=True)
+    e, r = pair // max(1, references), pair % max(1, references)
+    return e, r, common / (own[e] + size[r] - common)
+
+
+def _indexed(entries: DataFrame, references: DataFrame) -> DataFrame:
+    spark = entries.sparkSession
+    rows = [(r["ref_id"], r["s"]["words"], r["s"]["bigrams"]) for r in references.filter("ref_id is not null").select("ref_id", _hashed(F.col("text")).alias("s")).collect()]
+    held = spark.sparkContext.broadcast(_index(rows))
+
+    def run(batches):
+        ids, index = held.value
+        for b in batches:
+            for start in range(0, b.num_rows, 500):
+                part = b.slice(start, 500)
+                got = [_scores(pa.concat_arrays([part.column(k)]), index[i], len(ids)) for i, k in enumerate(KINDS)]
+                e, r, s = (np.concatenate(x) for x in zip(*got))
+                order = np.lexsort((r, -s, e))
+                first = order[np.flatnonzero(np.concatenate(([True], e[order][1:] != e[order][:-1])))] if len(e) else order
+                best, score = np.full(part.num_rows, -1), np.zeros(part.num_rows)
+                best[e[first]], score[e[first]] = r[first], s[first]
+                named = ids[np.maximum(best, 0)] if len(ids) else np.zeros(part.num_rows, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("entry_id"), pa.array(named, pa.int64(), mask=best < 0), pa.array(score)], ["entry_id", "ref_id", "score"])
+
+    kind = entries.schema["entry_id"].dataType.simpleString()
+    return entries.select("entry_id", _hashed(F.col("text")).alias("s")).select("entry_id", "s.*").mapInArrow(run, f"entry_id {kind}, ref_id bigint, score double")
+
+
+def _features(df: DataFrame, id_: str) -> DataFrame:
+    """id, kind (0 word, 1 bigram), feature, size: one row for each member of a text's two sets."""
+    sets = df.select(F.col(id_), _hashed(F.col("text")).alias("s"))
+    both = F.array(*(F.struct(F.lit(i).alias("kind"), F.col(f"s.{k}").alias("f")) for i, k in enumerate(KINDS)))
+    kinds = sets.select(id_, F.explode(both).alias("k")).select(id_, "k.kind", F.size("k.f").alias("size"), "k.f")
+    return kinds.select(id_, "kind", "size", F.explode("f").alias("feature"))
+
+
+def _joined(entries: DataFrame, references: DataFrame) -> DataFrame:
+    right = _features(references.filter("ref_id is not null"), "ref_id").withColumnRenamed("size", "ref_size")
     common = _features(entries, "entry_id").join(right, ["kind", "feature"]).groupBy("entry_id", "ref_id", "kind").agg(F.count("*").alias("n"), F.first("size").alias("a"), F.first("ref_size").alias("b"))
     scores = common.groupBy("entry_id", "ref_id").agg(F.max(F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).alias("score"))
     best = scores.groupBy("entry_id").agg(F.max(F.struct("score", (-F.col("ref_id")).alias("o"))).alias("m"))

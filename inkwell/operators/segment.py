@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.html import grid_width, is_question_row, parse_grid
+from ..functions.html import grid_width, parse_grid, render_grid
+from ..functions.options import gather_options
+from ..functions.text import blank, fix_math_spacing, strip, strip_number, strip_part_label
+from ..functions.tree import FLAT
+from .model import ModelClient, run_model
 
 # Fixed values.
 NOISE_TYPES = ["page_number", "footer", "page_footnote", "header"]
 MEDIA = ["image", "table", "chart"]
 KNOWN_TYPES = ["text", "equation", "image", "table", "chart", "code", "header", "footer", "page_number", "page_footnote", "aside_text"]
+QUESTION_CELL = r"^\s*(\d{1,2})\s*[.)]?\s*\z"
 NOISE_TEXT = r"(?i)^(©|\d{1,4}\z|Educational Publishing|Page \d)"
 
 
@@ -21,7 +26,7 @@ def filter_noise(blocks: DataFrame) -> DataFrame:
     blocks: doc, i, type, text, bbox (null: mid page).
     """
     y0, y1 = F.coalesce(F.try_element_at("bbox", F.lit(2)), F.lit(0.0)), F.coalesce(F.try_element_at("bbox", F.lit(4)), F.lit(1000.0))
-    text = F.trim(F.coalesce("text", F.lit("")))
+    text = strip(F.coalesce("text", F.lit("")))
     furniture = F.col("type").isin(NOISE_TYPES)
     noise = furniture & ((y0 >= 870) | (y1 <= 130) | text.rlike(NOISE_TEXT) | (F.length(text) < 15))
     kept = blocks.filter(~noise).withColumn("rescued", furniture)
@@ -29,9 +34,39 @@ def filter_noise(blocks: DataFrame) -> DataFrame:
 
 
 def block_text(type_: Column, text: Column, table_body: Column, code_body: Column, img_path: Column) -> Column:
-    code = F.trim(F.regexp_replace(F.regexp_replace(code_body, r"(?s)^\s*(<div[^>]*>|```\w*\n?)", ""), r"(?s)(</div>|```)\s*\z", ""))
+    """The text of a block: code without its wrapping, a table's HTML, an image's marker."""
+    code = strip(F.regexp_replace(F.regexp_replace(code_body, r"(?s)^\s*(<div[^>]*>|```\w*\n?)", ""), r"(?s)(</div>|```)\s*\z", ""))
     image = F.concat(F.lit("![]("), F.coalesce(img_path, F.lit("")), F.lit(")"))
-    return F.when(type_ == "code", code).when(type_ == "table", F.trim(table_body)).when(type_ == "image", image).otherwise(F.trim(F.coalesce(text, F.lit(""))))
+    return F.when(type_ == "code", code).when(type_ == "table", strip(F.coalesce(table_body, F.lit("")))).when(type_ == "image", image).otherwise(strip(F.coalesce(text, F.lit(""))))
+
+
+def load_blocks(raw: DataFrame) -> DataFrame:
+    """The blocks that count of raw ones (doc, i, type, text, table_body, code_body, img_path, page_idx, bbox), their text
+    as one column and its formulas spaced as the paper has them."""
+    kept = filter_noise(raw)
+    body = block_text(F.col("type"), F.col("text"), F.col("table_body"), F.col("code_body"), F.col("img_path"))
+    return kept.withColumn("text", fix_math_spacing(body)).drop("code_body")
+
+
+def page_texts(raw: DataFrame) -> DataFrame:
+    """doc, page, text: the texts of each page, joined by a blank line; running feet and page numbers are left out."""
+    body = block_text(F.col("type"), F.col("text"), F.col("table_body"), F.col("code_body"), F.col("img_path"))
+    some = raw.filter(~F.col("type").isin(NOISE_TYPES[:3])).select("doc", "page_idx", "i", body.alias("text")).filter("text <> ''")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "\n\n")
+    return some.groupBy("doc", F.col("page_idx").alias("page")).agg(joined.alias("text"))
+
+
+def listing(blocks: DataFrame, full: bool = False) -> DataFrame:
+    """doc, listing: the blocks as a labeler reads them, a line each: [i] (type) text. full: whole texts, else 160 characters,
+    tables 60."""
+    text = F.coalesce("text", F.lit(""))
+    short = F.when(F.col("type") == "image", "<figure>").when(F.col("type").isin("table", "chart"), F.concat(F.lit("<table/chart> "), F.left(text, F.lit(60)))).otherwise(text)
+    short = F.left(strip(F.regexp_replace(short, r"(?U)\s+", " ")), F.lit(160))
+    whole = F.when(F.col("type") == "image", "<figure>").when(F.col("type").isin("table", "chart"), F.coalesce(F.nullif("table_body", F.lit("")), F.nullif(text, F.lit("")), F.lit("<figure>"))).otherwise(text)
+    some = blocks.filter(~F.col("type").isin(NOISE_TYPES[:3])) if full else blocks
+    line = F.concat(F.lit("["), F.col("i").cast("string"), F.lit("] ("), F.col("type"), F.lit(") "), whole if full else short)
+    rows = F.array_sort(F.collect_list(F.struct(F.col("i"), line.alias("line"))))
+    return some.groupBy("doc").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("listing"))
 
 
 def heuristic_role(type_: Column, text: Column) -> Column:
@@ -44,17 +79,77 @@ def heuristic_label(role: Column, text: Column) -> Column:
 
 
 def split_tables(blocks: DataFrame) -> DataFrame:
-    """A numbered layout table becomes, for each number, a question text and a table of what follows; i is dealt anew, src_i kept."""
-    grid = parse_grid(F.coalesce("table_body", F.lit("")))
-    rows = blocks.withColumn("grid", grid).withColumn("width", grid_width(F.col("grid")))
-    flags = F.transform("grid", lambda r: is_question_row(r, F.col("width")))
-    numbered = (F.col("type") == "table") & F.exists(flags, lambda x: x)
-    row_text = lambda r: F.array_join(F.filter(F.transform(r, lambda c: c["text"]), lambda t: t != ""), " ")
-    pieces = F.transform("grid", lambda r: F.struct(F.when(is_question_row(r, F.col("width")), "q").otherwise("option").alias("hint"), row_text(r).alias("text")))
-    kept = F.array(F.struct(F.lit(None).cast("string").alias("hint"), F.col("text").alias("text")))
-    out = rows.select("doc", F.col("i").alias("src_i"), "type", F.posexplode(F.when(numbered, pieces).otherwise(kept)).alias("piece_no", "piece"))
-    order = W.partitionBy("doc").orderBy("src_i", "piece_no")
-    return out.select("doc", (F.row_number().over(order) - 1).alias("i"), "src_i", F.when(F.col("piece.hint") == "q", "text").otherwise(F.col("type")).alias("type"), F.col("piece.text").alias("text"), F.col("piece.hint").alias("hint"))
+    """Numbered layout tables as the questions that they lay out; i is dealt anew, src_i kept, all other columns too.
+
+    Each numbered row opens a question: a text block (hint q, the number as its label) of the cells over nearly the whole
+    width, then one table of the rows that are left, hinted as options if nearly all of their first cells are letters or
+    digits, as a figure else. Rows before the first number stay a table without a hint; spacer rows go; data tables stay as they are.
+    """
+    rows = blocks.withColumns({"_grid": parse_grid(F.coalesce("table_body", F.lit("")))}).withColumn("_width", grid_width(F.col("_grid")))
+    full = F.greatest(F.lit(2), F.col("_width") - 1)
+    said = lambda cells: F.exists(cells, lambda c: c["text"] != "")
+    number = lambda r: F.nullif(F.regexp_extract(F.try_element_at(r, F.lit(1))["text"], QUESTION_CELL, 1), F.lit(""))
+    asks = lambda r: (F.size(r) > 1) & number(r).isNotNull() & said(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0)))) & F.exists(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), lambda c: c["colspan"] >= full)
+    numbered = (F.col("type") == "table") & F.coalesce(F.exists("_grid", asks), F.lit(False))
+    cells = "array<struct<text:string,colspan:int,rowspan:int>>"
+    piece = f"struct<no:string,stem:array<string>,rest:array<{cells}>>"
+    start = F.array(F.struct(F.lit(None).cast("string").alias("no"), F.array().cast("array<string>").alias("stem"), F.array().cast(f"array<{cells}>").alias("rest"))).cast(f"array<{piece}>")
+
+    def step(a, r):
+        opens = F.coalesce(asks(r), F.lit(False))
+        body = F.when(opens, F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0)))).otherwise(r)
+        last = F.element_at(a, -1)
+        wide = (F.size(body) == 1) & (body[0]["colspan"] >= full) & (opens | last["no"].isNotNull())
+        own = F.struct(F.when(opens, number(r)).otherwise(last["no"]).alias("no"), F.when(opens, F.array().cast("array<string>")).otherwise(last["stem"]).alias("stem"), F.when(opens, F.array().cast(f"array<{cells}>")).otherwise(last["rest"]).alias("rest"))
+        own = F.when(~said(body), own).when(wide, own.withField("stem", F.concat(own["stem"], F.array(body[0]["text"])))).otherwise(own.withField("rest", F.concat(own["rest"], F.array(r))))
+        return F.concat(F.when(opens, a).otherwise(F.slice(a, 1, F.size(a) - 1)), F.array(own))
+
+    segments = F.aggregate("_grid", start, step)
+    firsts = lambda g: F.transform(g, lambda r: r[0]["text"])
+    keys = lambda g: F.size(F.filter(firsts(g), lambda x: x.rlike(r"^([A-H]|[1-9])\z")))
+    hint = lambda g: F.when((keys(g) >= 2) & (keys(g) >= F.size(F.filter(firsts(g), lambda x: x != "")) - 1), "option").otherwise("figure")
+    block = lambda type_, text, table, role, label: F.struct(F.lit(type_).alias("type"), text.alias("text"), table.alias("table_body"), role.alias("hint"), label.alias("label"))
+    none, empty = F.lit(None).cast("string"), F.lit("")
+
+    def blocks_of(x):
+        question = block("text", F.concat(x["no"], F.lit(". "), F.array_join(x["stem"], " ")), none, F.lit("q"), x["no"])
+        left = block("table", empty, render_grid(x["rest"]), F.when(x["no"].isNotNull(), hint(x["rest"])), none)
+        return F.array_compact(F.array(F.when(x["no"].isNotNull(), question), F.when(F.size(x["rest"]) > 0, left)))
+
+    pieces = F.flatten(F.transform(segments, blocks_of))
+    same = F.array(F.struct("type", F.coalesce("text", F.lit("")).alias("text"), "table_body", none.alias("hint"), none.alias("label")))
+    rest = [c for c in blocks.columns if c not in ("doc", "i", "type", "text", "table_body")]
+    out = rows.select("doc", F.col("i").alias("src_i"), *rest, F.posexplode(F.when(numbered, pieces).otherwise(same)).alias("_n", "_piece"))
+    order = W.partitionBy("doc").orderBy("src_i", "_n")
+    return out.select("doc", (F.row_number().over(order) - 1).alias("i"), "src_i", *rest, "_piece.*")
+
+
+def label_blocks(blocks: DataFrame, client: ModelClient | None = None, chunk: int = 90, overlap: int = 6) -> DataFrame:
+    """blocks with role and label. Hints (columns hint and label) hold; without a client the heuristic decides the rest.
+
+    A client reads each document's blocks in chunks, each but the first with the last blocks of the one before it; the
+    first label of a block holds, a chunk with an unreadable reply falls back to the heuristic, gaps are body.
+    """
+    by_rule = heuristic_role(F.col("type"), F.col("text"))
+    ruled = blocks.withColumns({"role": F.coalesce("hint", by_rule), "label": F.when(F.col("hint").isNotNull(), F.col("label")).otherwise(heuristic_label(by_rule, F.col("text")))})
+    if client is None:
+        return ruled.drop("hint")
+    open_ = blocks.filter("hint is null").withColumn("_at", F.row_number().over(W.partitionBy("doc").orderBy("i")) - 1)
+    own = F.floor(F.col("_at") / chunk)
+    into = F.when(F.col("_at") % chunk >= chunk - overlap, F.array(own, own + 1)).otherwise(F.array(own))
+    chunks = open_.withColumn("_own", own).withColumn("chunk", F.explode(into))
+    real = chunks.groupBy("doc", "chunk").agg(F.max((F.col("_own") == F.col("chunk")).cast("int")).alias("real")).filter("real = 1")
+    chunks = chunks.join(real.select("doc", "chunk"), ["doc", "chunk"])
+    asked = listing(chunks.withColumn("doc", F.struct("doc", "chunk"))).select("doc.*", "listing")
+    reply = run_model(asked, client, "label", F.to_json(F.struct("listing")), "array<struct<i:int,role:string,label:string>>", wrapped="labels")
+    read = reply.select("doc", "chunk", F.col("reply").isNull().alias("bad"), F.explode_outer("reply").alias("x")).select("doc", "chunk", "bad", "x.*")
+    said = read.filter("i is not null").groupBy("doc", "i").agg(F.min_by(F.struct("role", "label"), "chunk").alias("said"), F.min("chunk").alias("said_in"))
+    failed = chunks.select("doc", "i", "chunk").join(read.filter("bad").select("doc", "chunk").distinct(), ["doc", "chunk"]).groupBy("doc", "i").agg(F.min("chunk").alias("failed_in"))
+    all_ = ruled.join(said, ["doc", "i"], "left").join(failed, ["doc", "i"], "left")
+    by_model = F.col("said").isNotNull() & (F.col("failed_in").isNull() | (F.col("said_in") <= F.col("failed_in")))
+    role = F.when(F.col("hint").isNotNull(), F.col("role")).when(by_model, F.coalesce("said.role", F.lit("body"))).when(F.col("failed_in").isNotNull(), F.col("role")).otherwise("body")
+    label = F.when(F.col("hint").isNotNull() | (~by_model & F.col("failed_in").isNotNull()), F.col("label")).when(by_model, F.col("said.label"))
+    return all_.withColumns({"label": label, "role": role}).drop("hint", "said", "said_in", "failed_in")
 
 
 def number_blocks(labelled: DataFrame) -> DataFrame:
@@ -66,7 +161,8 @@ def number_blocks(labelled: DataFrame) -> DataFrame:
     doc = W.partitionBy("doc")
     upto = doc.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     b = labelled.filter("role <> 'noise'")
-    b = b.withColumn("section", F.last(F.when(F.col("role") == "section", F.col("text")), ignorenulls=True).over(upto)).filter("role <> 'section'")
+    heading = strip(F.regexp_replace(F.coalesce(F.nullif("label", F.lit("")), F.col("text")), r"(?U)\s+", " "))
+    b = b.withColumn("section", F.last(F.when(F.col("role") == "section", heading), ignorenulls=True).over(upto)).filter("role <> 'section'")
     b = b.withColumn("q_ord", F.sum((F.col("role") == "q").cast("int")).over(upto))
     lead = F.col("q_ord") == 0
     implicit = F.max((lead & (F.col("role") == "part")).cast("int")).over(doc) + (F.max("q_ord").over(doc) == 0).cast("int") > 0
@@ -95,6 +191,43 @@ def assemble(numbered: DataFrame) -> DataFrame:
     return q.join(parts, ["doc", "q_ord"], "left").withColumn("qid", F.format_string("%s-%03d", F.col("doc").cast("string"), F.row_number().over(W.partitionBy("doc").orderBy("q_ord")).cast("int")))
 
 
+def questions(numbered: DataFrame) -> DataFrame:
+    """One row a question of numbered blocks that have src_i, table_body, img_path, page_idx and bbox as well.
+
+    doc, q_ord, position, qno, section, stem, parts (FLAT), options, solution, assets, pages, blocks, flags. Media stand in the
+    text as HTML or as an image marker, and as assets; option blocks are read as options; printed numbers and part
+    labels go; a question without a number has its position.
+    """
+    media = F.col("type").isin(MEDIA) & ~F.col("role").isin("option", "q")
+    marker = F.when(blank(F.col("table_body")), F.concat(F.lit("![]("), F.coalesce("img_path", F.lit("")), F.lit(")"))).otherwise(F.col("table_body"))
+    text = F.when(media, marker).when(F.col("role") == "q", strip_number(F.col("text"), F.col("label"))).when(F.col("role") == "part", strip(strip_part_label(F.col("text"), F.col("label")))).otherwise(F.col("text"))
+    b = numbered.withColumns({"media": media, "line": text, "content": media | F.col("role").isin("q", "body", "figure", "part")})
+    ordered = lambda keep, *fields: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("i", *fields)))), lambda x: x)
+    lines = lambda keep: F.transform(ordered(keep & (F.col("line") != ""), "line"), lambda x: x["line"])
+    join = lambda keep: strip(F.array_join(lines(keep), "\n"))
+    none = F.lit(None).cast("string")
+    opens = (F.col("role") == "part") & ~F.col("media")
+    parts = b.filter(F.col("content") & (F.col("part_ord") > 0)).groupBy("doc", "q_ord", "part_ord").agg(
+        F.coalesce(F.nullif(F.min_by("label", F.when(opens, F.col("i"))), F.lit("")), F.concat(F.lit("("), F.char(96 + F.first("part_ord")), F.lit(")"))).alias("no"), join(F.lit(True)).alias("text")
+    )
+    flat = F.struct("part_ord", "no", "text", F.lit(None).cast("int").alias("marks"), *(none.alias(c) for c in ("answer", "solution", "answer_area")))
+    parts = parts.groupBy("doc", "q_ord").agg(F.array_sort(F.collect_list(flat)).alias("p"))
+    parts = parts.select("doc", "q_ord", F.transform("p", lambda x: x.dropFields("part_ord")).alias("parts"))
+    option = F.coalesce(F.nullif("table_body", F.lit("")), F.nullif("text", F.lit("")), F.lit(""))
+    asset = F.struct("i", F.col("type").alias("kind"), F.coalesce("img_path", F.lit("")).alias("path"), F.lit("q").alias("src"), F.col("page_idx").cast("int").alias("page"), F.col("bbox").alias("bbox"))
+    q = b.groupBy("doc", "q_ord").agg(
+        F.min_by("section", "i").alias("section"), F.nullif(F.min_by("label", F.when(F.col("role") == "q", F.col("i"))), F.lit("")).alias("own_no"),
+        join(F.col("content") & (F.col("part_ord") == 0)).alias("stem"), F.array_join(lines(F.col("role") == "solution"), "\n").alias("solution"),
+        gather_options(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "option", F.struct("i", F.col("label").alias("label"), option.alias("src"))))), lambda x: x.dropFields("i"))).alias("options"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("media"), asset)), lambda x, y: F.when(x["i"] < y["i"], -1).otherwise(1)), lambda x: x.dropFields("i")).alias("assets"),
+        F.array_sort(F.collect_set(F.col("page_idx").cast("int"))).alias("pages"), F.min_by("src_i", "i").cast("int").alias("lo"), F.max("src_i").cast("int").alias("hi"),
+        F.max("merged").alias("merged"), F.max("implicit").alias("implicit"),
+    )
+    q = q.join(parts, ["doc", "q_ord"], "left").withColumn("position", F.row_number().over(W.partitionBy("doc").orderBy("q_ord")))
+    flags = F.array_compact(F.array(F.when(F.col("merged"), "leading_content_merged"), F.when(F.col("implicit"), "implicit_question_start")))
+    return q.withColumns({"qno": F.coalesce("own_no", F.col("position").cast("string")), "section": F.coalesce("section", F.lit("")), "parts": F.coalesce("parts", F.array().cast(f"array<{FLAT}>")), "blocks": F.array("lo", "hi"), "flags": flags}).drop("own_no", "lo", "hi", "merged")
+
+
 def dropped_blocks(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
     """Blocks (doc, i) that no range (doc, first_i, last_i) of their document holds: a range anti join by document."""
     r = ranges.select(F.col("doc").alias("d"), "first_i", "last_i")

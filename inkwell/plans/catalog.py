@@ -6,38 +6,12 @@ texts from other columns of the row, in the same way in both engines.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrow, html, labels, options, parts, similarity, text
 from ..operators import answers, bank, model, novelty, records, segment, worksheet
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from . import paper  # noqa: F401  (registers its queries)
+from .registry import oracle_sql, queries, query, t  # noqa: F401
 
 
 # ---- sources, blocks, segmentation
@@ -84,7 +58,7 @@ def _conversation_blocks(spark, sf_dir):
     return t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("i"), F.lit("text").alias("type"), role.alias("role"), F.lit(None).cast("string").alias("label"), "text")
 
 
-_NUMBERED = """blocks AS (SELECT conv_id AS doc, turn AS i, role, text, last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM conversations),
+_NUMBERED = r"""blocks AS (SELECT conv_id AS doc, turn AS i, role, text, last_value(CASE WHEN role = 'system' THEN trim(regexp_replace(text, '\s+', ' ', 'g')) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM conversations),
 kept AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM blocks WHERE role <> 'system'),
 numbered AS (SELECT *, q = 0 AND max(q) OVER (PARTITION BY doc) = 0 AS implicit, q = 0 AND max(q) OVER (PARTITION BY doc) > 0 AS merged FROM kept)"""
 
@@ -255,12 +229,6 @@ def grid_rows(spark, sf_dir):
     return g.select("p_partkey", width.alias("width"), html.is_question_row(F.col("g")[0], width).alias("asks"), F.size("g").alias("n_rows"), F.col("g")[0][1]["text"].alias("stem"))
 
 
-@query()
-def split_layout_tables(spark, sf_dir):
-    b = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.lit(0).alias("i"), F.lit("table").alias("type"), F.lit("").alias("text"), _grid().alias("table_body"))
-    return segment.split_tables(b)
-
-
 @query()
 def grid_occupancy(spark, sf_dir):
     cells = arrow.columns()["grid_occupancy"](F.to_json(html.parse_grid(_grid())))
@@ -295,21 +263,6 @@ def part_labels(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", label.alias("label"), labels.part_depth(label).alias("depth"))
 
 
-@query()
-def nest_parts(spark, sf_dir):
-    names = F.array(*map(F.lit, ["(a)", "(b)", "(i)", "(ii)", "(c)(i)", "(c)(ii)"]))
-    p = t(spark, sf_dir, "part").select("p_partkey", F.explode(arrow.columns()["nest_parts"](F.slice(names, 1, (F.col("p_partkey") % 6 + 1).cast("int")))).alias("p"))
-    return p.select("p_partkey", "p.*")
-
-
-@query()
-def split_by_parts(spark, sf_dir):
-    d = t(spark, sf_dir, "documents")
-    packed = F.concat(F.lit("(a) "), F.col("lang"), F.lit("; (b) "), F.col("text"))
-    s = arrow.columns()["split_by_parts"](packed, F.array(F.lit("(a)"), F.lit("(b)")))
-    return d.select("doc_id", s.alias("s")).select("doc_id", F.size("s.parts").alias("parts"), F.md5(F.array_join(F.col("s.parts.text"), "|")).alias("texts"))
-
-
 @query("""WITH s AS (SELECT doc_id, trim(CASE doc_id % 3 WHEN 0 THEN '(B) because' WHEN 1 THEN text || chr(10) || 'so x = \\frac{1}{2}' ELSE text END) AS s FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'B' WHEN doc_id % 3 = 1 THEN '$\\frac{1}{2}$' ELSE nullif(regexp_replace(trim(regexp_extract(string_split(s, chr(10))[-1], '=\\s*([^=]{1,40})$', 1)), '^[$\\s]+|[$\\s]+$', '', 'g'), '') END AS value FROM s""")
 def extract_answer(spark, sf_dir):
@@ -422,7 +375,7 @@ def page_map(spark, sf_dir):
     key = F.col("o_orderkey")
     name = lambda p, k: F.concat(F.lit(p), k.cast("string"))
     steps = t(spark, sf_dir, "orders").select(name("o", key).alias("output"), F.lit(1).alias("page"), F.when(key % 4 == 0, name("raw", key)).otherwise(name("o", key - 1)).alias("source"), F.lit(1).alias("source_page"))
-    return bank.page_map(steps, spark)
+    return bank.page_map(steps).drop('crops')
 
 
 _SETS = "list_distinct(w) AS words, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS pairs"

@@ -77,3 +77,68 @@ def snapshot(df: DataFrame, path: str, tag: str) -> tuple[int, int]:
     if wrote != state(df.sparkSession.read.parquet(f"{path}/snapshot_id={tag}")):
         raise OSError(f"snapshot {tag} differs from what was written")
     return wrote
+
+
+def content_lists(files: DataFrame) -> DataFrame:
+    """doc and path of the block file of each document: of several (path, one folder a document) the first by name whose name lacks _v2, else the first."""
+    found = files.filter(F.col("path").rlike(r"content_list\.json\z|content_list_v2\.json\z"))
+    name = F.substring_index("path", "/", -1)
+    rank = F.struct(name.contains("_v2").cast("int").alias("v2"), "path")
+    return found.withColumn("doc", F.element_at(F.split("path", "/"), -2)).groupBy("doc").agg(F.min(rank).alias("r")).select("doc", F.col("r.path").alias("path"))
+
+
+def layout_version(layouts: DataFrame) -> DataFrame:
+    """doc and the version of the extractor that its layout file (doc, value: JSON) names, null if it names none."""
+    return layouts.select("doc", F.get_json_object("value", "$._version_name").alias("version"))
+
+
+def raw_files(files: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """name, size_mb and pages of the PDF files of a listing (path, length); pages (name, pages) come from whoever can count them."""
+    name = F.substring_index("path", "/", -1)
+    out = files.filter(F.lower("path").endswith(".pdf")).select(name.alias("name"), F.round(F.col("length") / 1e6, 1).alias("size_mb"))
+    return out.join(pages, "name", "left") if pages is not None else out.withColumn("pages", F.lit(None).cast("int"))
+
+
+def to_extract(raw: DataFrame, extracted: DataFrame, force: bool = False, batch: int = 10) -> DataFrame:
+    """name and batch of the raw files (name) whose stem no extraction (stem) has; all of them if forced."""
+    stem = F.regexp_replace("name", r"\.[^.]+\z", "")
+    todo = raw.select("name", stem.alias("stem")).distinct()
+    todo = todo if force else todo.join(extracted.select("stem").distinct(), "stem", "left_anti")
+    return todo.withColumn("batch", F.pmod(F.xxhash64("stem"), F.lit(1 << 31)) % F.greatest(F.lit(1), F.ceil(F.lit(todo.count()) / batch))).select("name", "batch")
+
+
+def mock_extract(names: DataFrame) -> DataFrame:
+    """Blocks (doc, i and BLOCK's fields) that stand for an extraction of each file: two questions, the same at every run."""
+    doc = F.regexp_replace("name", r"\.[^.]+\z", "")
+    texts = F.array(F.concat(F.lit("1. Question one of "), doc), F.lit("(a) first part"), F.lit("(b) second part"), F.concat(F.lit("2. Question two of "), doc))
+    none = F.lit(None).cast("string")
+    return names.select(doc.alias("doc"), F.posexplode(texts).alias("i", "text")).select("doc", "i", F.lit("text").alias("type"), "text", none.alias("table_body"), none.alias("code_body"), none.alias("img_path"), F.lit(0).alias("page_idx"), F.lit(None).cast("array<double>").alias("bbox"))
+
+
+def settings(text: str | None, argument: str | None = None, environment: dict | None = None) -> dict:
+    """The settings of a YAML text ({} if it can't be read), with content_root from an argument, else the environment, else the text."""
+    import yaml
+
+    try:
+        got = yaml.safe_load(text or "") or {}
+    except yaml.YAMLError:
+        got = {}
+    got = got if isinstance(got, dict) else {}
+    root = argument or (environment or {}).get("CONTENT_ROOT") or got.get("content_root")
+    return {**got, **({"content_root": root} if root else {})}
+
+
+def folders(root: str, subject: str, stage: str, level: str, source: str) -> dict[str, str]:
+    """The folders of a source by what they hold."""
+    base = "/".join([root.rstrip("/"), subject, stage, level, source])
+    return {name: f"{base}/{name}" for name in ("original", "raw", "extracted", "interim")} | {"source": base, "stage": "/".join([root.rstrip("/"), subject, stage])}
+
+
+def write_report(df: DataFrame, path: str, kind: str) -> None:
+    """Appends rows of a report (report, segment, answers, clean or tag) to its table, one folder a kind."""
+    df.select(F.lit(kind).alias("kind"), "*").write.mode("append").partitionBy("kind").json(path)
+
+
+def sources_of(entries: DataFrame, subject: str, stage: str) -> DataFrame:
+    """Rows of all sources of a subject and stage: a filter on partition columns, which is what a union over them comes to."""
+    return entries.filter((F.col("subject") == subject) & (F.col("stage") == stage))

@@ -1,11 +1,11 @@
 """Golden cases of the text, label, part and option functions."""
 
+import random
+
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkwell.functions import arrow, html, labels, options, similarity, text
+from inkwell.functions import arrow, html, labels, options, similarity, text, tree
 
 
 def one(spark, column, **values):
@@ -82,24 +82,66 @@ def test_pages(spark):
     assert one(spark, similarity.parse_pages(C("s")), s="6-8,55") == [6, 7, 8, 55]
 
 
-@pytest.mark.parametrize("labels_, paths", [(["(h)", "(i)", "(j)"], ["(h)", "(i)", "(j)"]), (["(b)", "(i)", "(ii)"], ["(b)", "(b)(i)", "(b)(ii)"]), (["(a)(i)", "(a)(ii)"], ["(a)", "(a)(i)", "(a)(ii)"])])
-def test_nesting(labels_, paths):
-    assert [p["path"] for p in arrow.nest_parts(labels_)] == paths
+@pytest.mark.parametrize("labels_, paths", [(["(h)", "(i)", "(j)"], ["(h)", "(i)", "(j)"]), (["(b)", "(i)", "(ii)"], ["(b)", "(b)(i)", "(b)(ii)"]), (["(a)(i)", "(a)(ii)"], ["(a)", "(a)(i)", "(a)(ii)"]), (["(i)", "(ii)"], ["", "(i)", "(ii)"]), (["(a)(i)", "(b)(i)"], ["(a)", "(a)(i)", "(b)", "(b)(i)"]), (["(b)(i)(A)"], ["(b)", "(b)(i)", "(b)(i)(A)"])])
+def test_nesting(spark, labels_, paths):
+    assert [p["path"] for p in nested(spark, labels_)] == paths
+
 
+def nested(spark, labels_):
+    return spark.createDataFrame([(labels_,)], "x array<string>").select(tree.nest_parts(C("x")).alias("o")).first()["o"]
 
-def test_split_by_parts():
+
+def test_split_by_parts(spark):
     labels_ = ["(a)", "(b)", "(b)(i)"]
-    assert arrow.split_by_parts("(a) $6:11$; (b) Tank X: 31.2 l", labels_)["parts"] == [{"path": "(a)", "text": "$6:11$"}, {"path": "(b)", "text": "Tank X: 31.2 l"}]
-    assert arrow.split_by_parts("(b) 5", labels_)["parts"] == [{"path": "(b)", "text": "5"}]
-    assert arrow.split_by_parts("as (a) says", labels_) == {"lead": "as (a) says", "parts": []}
-    assert [p["path"] for p in arrow.split_by_parts("(a) 1 (b) 2 (i) 3", labels_)["parts"]] == ["(a)", "(b)", "(b)(i)"]
+
+    def cut(value):
+        r = spark.createDataFrame([(value, labels_)], "t string, p array<string>").select(tree.split_by_parts(C("t"), C("p")).alias("o")).first()["o"]
+        return r["lead"], [tuple(x) for x in r["parts"]]
+
+    assert cut("(a) $6:11$; (b) Tank X: 31.2 l") == ("", [("(a)", "$6:11$"), ("(b)", "Tank X: 31.2 l")])
+    assert cut("(b) 5") == ("", [("(b)", "5")])
+    assert cut("as (a) says") == ("as (a) says", [])
+    assert cut("all: (A) 1 (z) 2 (b) 3 (i) 4;") == ("all:", [("(a)", "1 (z) 2"), ("(b)", "3"), ("(b)(i)", "4")])
+    assert cut(None) == (None, [])
 
 
 def test_json_repair():
     assert arrow.repair_json('```json\n{"a": "\\times 3 \\n \\frac{1}{2}"}```') == '{"a": "\\\\times 3 \\n \\\\frac{1}{2}"}'
     assert arrow.repair_json("no json") is None
+    assert arrow.repair_json('{"a": 1} as in [1]') == '{"a": 1}' and arrow.repair_json("so: [1, 2], or") == "[1, 2]"
+    assert arrow.repair_json('{"a": "\\nabla \\therefore \\, \\u00e9 \\uparrow"}') == '{"a": "\\\\nabla \\\\therefore \\\\, é \\\\uparrow"}'
+    assert arrow.repair_json('{"t": "line\nbreak"}') == '{"t": "line\\nbreak"}'
+
+
+def test_chemistry():
+    ce = arrow.expand_ce
+    assert ce(r"\ce{2H2 + O2 -> 2H2O}") == r"2\mathrm{H}_{2} + \mathrm{O}_{2}  \rightarrow  2\mathrm{H}_{2}\mathrm{O}"
+    assert ce(r"\ce {Fe^{3+}} x \ce{SO4^2-}") == r"\mathrm{Fe}^{3+} x \mathrm{SO}_{4}^{2-}"
+    assert ce(r"\ce{A <-> B}") == r"\mathrm{A}  \leftrightarrow  \mathrm{B}" and ce("plain") == "plain" and ce(None) is None
+
+
+def test_latex_as_text():
+    plain = arrow.latex_to_text
+    assert plain(r"\frac{1}{\dfrac{2}{x}}") == "1/2/x" and plain(r"\$5 and 50\%") == r"\$5 and 50%"
+    assert plain(r"\begin{aligned}a&=b\\c&\leq d\end{aligned}") == "a=b\nc≤ d"
+    assert plain(r"\ce{H2O} \text{cm}^{2} x_{1}") == "H2O cm^2 x1"
+
+
+def test_occupancy():
+    cell = lambda t, c=1, r=1: {"text": t, "colspan": c, "rowspan": r}
+    got = [(x["r"], x["c"], x["text"]) for x in arrow.occupancy([[cell("a", 1, 2), cell("b", 2)], [cell("c"), cell("d")]])]
+    assert got == [(0, 0, "a"), (0, 1, "b"), (1, 1, "c"), (1, 2, "d")] and arrow.occupancy(None) == []
+
+
+def test_nesting_keeps_every_label(spark):
+    rng = random.Random(3)
+    lists = [[rng.choice(["(a)", "(b)", "(c)", "(i)", "(ii)", "(b)(i)", "(h)", "(v)", "word"]) for _ in range(rng.randint(0, 8))] for _ in range(300)]
+    rows = spark.createDataFrame([(x,) for x in lists], "x array<string>").select("x", tree.nest_parts(C("x")).alias("o")).collect()
+    for r in rows:
+        assert [p["ord"] for p in r["o"] if p["ord"] >= 0] == list(range(len(r["x"])))
+        assert all(p["depth"] == 1 or any(q["path"] == p["parent_path"] and q["depth"] == p["depth"] - 1 for q in r["o"][:i]) for i, p in enumerate(r["o"]))
 
 
-@given(st.lists(st.sampled_from(["(a)", "(b)", "(c)", "(i)", "(ii)", "(b)(i)"]), max_size=8))
-def test_nesting_keeps_every_label(labels_):
-    assert [p["ord"] for p in arrow.nest_parts(labels_) if p["ord"] >= 0] == list(range(len(labels_)))
+def test_pages_out_of_range(spark):
+    with pytest.raises(Exception, match="out of range"):
+        one(spark, similarity.parse_pages(C("s"), F.lit(7)), s="6-8")
