@@ -10,6 +10,7 @@ from ..functions.options import canon_options, remap_answer
 from ..functions.parts import has_answer, part_texts, restore_carry, restore_markers
 from ..functions.text import answer_area, blank, extract_answer, image_markers, lint_field, normalize_text, part_mark, strip, total_mark
 from ..functions.tree import FLAT, PART, apply_answer_area, apply_part_answers, finalize_parts
+from ..tables import kept
 from .answers import match_answers, merge_answers
 from .bank import refresh_flags, validate
 from .model import ModelClient, run_model
@@ -28,7 +29,7 @@ def build_entries(questions: DataFrame, answers: DataFrame | None = None, figure
     type, img_path, page_idx, bbox): blocks of the answer files, for the figures that solutions name. missing (doc, path): images that no
     folder has. unknown (doc, types): block types that are not known.
     """
-    q = questions.withColumn("q_ord", F.col("q_ord").cast("int"))
+    q = kept(questions.withColumn("q_ord", F.col("q_ord").cast("int")), "questions")  # read by each pass of the pairing
     if answers is None:
         paired = q.select("doc", "q_ord", F.lit(None).cast("string").alias("key_answer"), F.lit(None).cast("string").alias("key_solution"), F.array().cast("array<int>").alias("figs"))
     else:
@@ -55,7 +56,7 @@ def build_entries(questions: DataFrame, answers: DataFrame | None = None, figure
         answer.cast(ANSWER).alias("answer"), F.lit(None).cast("string").alias("answer_area"), image_markers(solution).alias("solution"), F.col("assets").alias("imgs"),
         F.struct("pages", "qno", "section", "blocks", F.lit(None).cast("int").alias("marks"), F.lit(None).cast("int").alias("schema")).alias("meta"), "flags",
     )
-    return flagged(polish(out), missing, unknown)
+    return flagged(kept(polish(kept(out, "raw-entries")), "entries"), missing, unknown)
 
 
 def polish(entries: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def flagged(entries: DataFrame, missing: DataFrame | None = None, unknown: DataF
 def report(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     """The segmentation report, a row a document: questions, with_solution, with_answer, mcq, flagged, blocks_content, blocks_dropped,
     flags (a map of their counts, by the word before a colon) and warning. blocks: doc, src_i, role, of all blocks that were labelled."""
-    parts = F.col("parts")
+    parts, entries, blocks = F.col("parts"), kept(entries, "reported"), kept(blocks.select("doc", "src_i", "role"), "reported-blocks")
     yes = lambda c: F.count_if(c)
     e = entries.groupBy("doc").agg(
         F.count("*").alias("questions"), yes(has_answer(F.col("solution"), parts, "solution")).alias("with_solution"), yes(has_answer(F.col("answer.value"), parts)).alias("with_answer"),

@@ -10,6 +10,7 @@ from ..functions.html import grid_width, parse_grid, render_grid
 from ..functions.options import gather_options
 from ..functions.text import blank, fix_math_spacing, strip, strip_number, strip_part_label
 from ..functions.tree import FLAT
+from ..tables import kept
 from .model import ModelClient, run_model
 
 # Fixed values.
@@ -202,6 +203,7 @@ def questions(numbered: DataFrame) -> DataFrame:
     marker = F.when(blank(F.col("table_body")), F.concat(F.lit("![]("), F.coalesce("img_path", F.lit("")), F.lit(")"))).otherwise(F.col("table_body"))
     text = F.when(media, marker).when(F.col("role") == "q", strip_number(F.col("text"), F.col("label"))).when(F.col("role") == "part", strip(strip_part_label(F.col("text"), F.col("label")))).otherwise(F.col("text"))
     b = numbered.withColumns({"media": media, "line": text, "content": media | F.col("role").isin("q", "body", "figure", "part")})
+    b = kept(b, "numbered-blocks")  # read twice, for questions and for their parts
     ordered = lambda keep, *fields: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("i", *fields)))), lambda x: x)
     lines = lambda keep: F.transform(ordered(keep & (F.col("line") != ""), "line"), lambda x: x["line"])
     join = lambda keep: strip(F.array_join(lines(keep), "\n"))
