@@ -26,11 +26,17 @@ from .labelled import labelled_sample
 from .shared import hash_spans, mix, slices, small_batches, with_fields
 
 DECAY, TABLE = 0.75, 1 << 20
+VARIANT, HARD = 20.0, 20.0  # costs of a missed variant of a witness, and of a clean segment taken for one
+ROUNDS = 6  # fits, each with the clean segments that the one before it took for witnesses
+VARIED = 0.02  # what the share of variants above the edge counts beside that of toxic documents
+JOIN = 1  # the character between the words of a pair
 #: Offsets of a subsequence's four characters within a span of six.
 PATTERNS = [(0, i, j, k) for k in range(3, 6) for j in range(2, k) for i in range(1, j)]
 WEIGHTS = np.array([DECAY ** (p[-1] - 3) for p in PATTERNS])
 _SENTENCE = re.compile(r"[.!?\n]+")
 #: ASCII characters that are dropped within words; all others but white space count.
+#: Share of the toxic documents that must hold a single word that tells, or pairs of words count as well.
+PLAIN = 0.6
 _DROP = np.zeros(1 << 16, bool)
 _DROP[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 _WHITE = np.zeros(1 << 16, bool)
@@ -66,6 +72,20 @@ def segments(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return out, begin, size + 2, doc[first]
 
 
+def with_pairs(chars: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The segments, and after them each two neighbouring ones of a text as one segment, joined by JOIN."""
+    first = np.flatnonzero(doc[1:] == doc[:-1])
+    a, b = size[first] - 1, size[first + 1] - 1  # without the first one's last blank, and the second one's first
+    whole = a + 1 + b
+    begin = np.cumsum(whole) - whole
+    inner = np.arange(int(whole.sum())) - np.repeat(begin, whole)
+    left, mid = np.repeat(a, whole), np.repeat(start[first], whole)
+    at = np.where(inner < left, mid + inner, np.repeat(start[first + 1], whole) + inner - left)
+    more = chars[np.minimum(at, max(0, len(chars) - 1))] if len(at) else chars[:0]
+    more = np.where(inner == left, JOIN, more).astype(chars.dtype)
+    return np.concatenate((chars, more)), np.concatenate((start, begin + len(chars))), np.concatenate((size, whole)), np.concatenate((doc, doc[first]))
+
+
 def subsequences(chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segment, table place and weight of every occurrence of a subsequence."""
     total = int(size.sum())
@@ -115,7 +135,7 @@ class Landmarks:
 class Vocabulary:
     """The distinct segments of many texts, and each text's segments in order by number; built in bounded steps."""
 
-    def __init__(self, texts: list[str | None], step: int = 1_000_000):
+    def __init__(self, texts: list[str | None], step: int = 1_000_000, pairs: bool = False):
         keys, docs, chars, sizes, known = [], [], [], [], np.zeros(0, np.uint64)
         size = np.cumsum([len(t or "") + 1 for t in texts])
         first = 0
@@ -126,7 +146,7 @@ class Vocabulary:
                 parts = _SENTENCE.split(texts[i] or "")
                 sentences += parts
                 of += [i] * len(parts)
-            c, start, n, sentence = segments(sentences)
+            c, start, n, sentence = with_pairs(*segments(sentences)) if pairs else segments(sentences)
             key = hash_spans(c.view(np.uint8), start * 2, n * 2)
             unique, head = np.unique(key, return_index=True)
             new = head[~np.isin(unique, known)]
@@ -168,10 +188,11 @@ class KernelMachine:
     weights: np.ndarray  # W over the table
     bias: float
     scale: tuple[float, float]  # of the sigmoid over a text's margin
+    pairs: bool = False  # whether pairs of neighbouring words are segments too
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         """The margin of each text (-inf without a segment)."""
-        chars, start, size, doc = segments(texts)
+        chars, start, size, doc = with_pairs(*segments(texts)) if self.pairs else segments(texts)
         if not len(size):
             return np.full(len(texts), -np.inf)
         key = hash_spans(chars.view(np.uint8), start * 2, size * 2)
@@ -208,12 +229,13 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40, seed:
     return w
 
 
-def witnesses(doc: np.ndarray, word: np.ndarray, y: np.ndarray, least: float = 0.04, odds: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+def witnesses(doc: np.ndarray, word: np.ndarray, y: np.ndarray, least: float = 0.04, odds: float = 2.0, neighbours: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Words (by number) that mark the toxic documents, and how strongly beside the strongest; doc and word: of each segment, in order of the text.
 
     A witness is far more frequent in toxic documents than in others, and stands there between many
     different words (words of one toxic text and its copies always have the same neighbours): three
-    on each side at least, and a share `least` of what the most frequent witness has.
+    on each side at least, and a share `least` of what the most frequent witness has. Without neighbours only the counts
+    of documents decide; if no segment passes, those with the best odds do.
     """
     n = int(word.max()) + 1
     same = doc[1:] == doc[:-1]
@@ -223,8 +245,11 @@ def witnesses(doc: np.ndarray, word: np.ndarray, y: np.ndarray, least: float = 0
     ratio = np.log((ones + 0.1) / (y.sum() + 1)) - np.log((zeros + 0.1) / ((1 - y).sum() + 1))
     toxic = y[doc] > 0.5
     support = [np.bincount(np.unique(np.stack((word[toxic], x[toxic])), axis=1)[0], minlength=n) for x in (before, after)]
-    strength = np.where(ratio > odds, np.minimum(ones, np.minimum(*support)), 0)
+    strength = np.where(ratio > odds, np.minimum(ones, np.minimum(*support)) if neighbours else ones, 0)
     found = np.flatnonzero(strength >= max(3, least * strength.max()))
+    if not neighbours and not len(found):
+        strength = np.maximum(0, ratio * ones)
+        found = np.argsort(-strength, kind="stable")[:20]
     return found, strength[found] / max(1, strength.max())
 
 
@@ -234,8 +259,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Colum
     A toxic document's label belongs to some of its sentences only, those with a witness (a segment far
     more frequent in toxic than in other documents). Witnesses, and witnesses with one character more,
     are the positive examples; negatives are segments of the other documents' sentences, first
-    drawn at random, then those with the highest margins, of which some become landmarks too. With fewer than two classes the share of
-    label 1 (0.5 with no labels) is returned and becomes everyone's score.
+    drawn at random, then those with the highest margins, of which some become landmarks too. If single words tell fewer than PLAIN
+    of the toxic documents, pairs of neighbouring words are segments as well, here and when texts are scored. With fewer than two
+    classes the share of label 1 (0.5 with no labels) is returned and becomes everyone's score.
     """
     got = labelled_sample(docs, labels, label, F.lit(True) if allowed is None else allowed, per_class).toPandas().sort_values("doc_id", kind="stable")
     y, texts = got["y"].to_numpy(float), list(got["text"])
@@ -246,36 +272,41 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Colum
         return float(y.mean())
     doc, word = words.doc, words.word
     found, strength = witnesses(doc, word, y)
-    if not len(found):
-        return float(y.mean())
+    told = np.unique(doc[np.isin(word, found)])
+    pairs = y[told].sum() < PLAIN * y.sum()
+    if pairs:  # words alone don't tell: phrases may
+        words = Vocabulary(texts, pairs=True)
+        doc, word = words.doc, words.word
+        found, strength = witnesses(doc, word, y, neighbours=False)
     rng = np.random.default_rng(seed)
     chosen = words.texts(found)
     some = [i for i, k in enumerate(strength) if k >= 0.3]
-    more = [v for w in (chosen[i] for i in some) for v in _variants(w, rng, max(4, 500 // max(1, len(some))))]
+    more = [v for w in (chosen[i] for i in some) for v in _variants(w, rng, max(4, 1000 // max(1, len(some))))]
     clean = np.setdiff1d(word[y[doc] < 0.5], found)
     picked = dict.fromkeys(clean[rng.permutation(len(clean))[:1500]].tolist())
     marks = [*chosen, *words.texts([*picked][: max(1, landmarks - len(chosen))])]
-    for _ in range(4):
+    for _ in range(ROUNDS):
         every = [*chosen, *more, *words.texts(picked)]
         near = Landmarks(marks)
         values, vectors = np.linalg.eigh(near.rows @ near.rows.T)
         root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
         z = np.concatenate((near.kernel(every) @ root, np.ones((len(every), 1))), 1)
         part = np.repeat((0, 1, 2), (len(chosen), len(more), len(every) - len(chosen) - len(more)))
-        w = _svm(z, np.where(part < 2, 1.0, -1.0), np.concatenate((100 * strength**1.3, np.array([100.0, 5.0, 4.0])[part[len(chosen) :]])))
+        w = _svm(z, np.where(part < 2, 1.0, -1.0), np.concatenate((100 * strength**1.3, np.array([100.0, VARIANT, HARD])[part[len(chosen) :]])))
         table = np.zeros(TABLE)
         table[near.used] = near.rows.T @ (root @ w[:-1])
-        model = KernelMachine(table.astype(np.float32), float(w[-1]), (1.0, 0.0))
+        model = KernelMachine(table.astype(np.float32), float(w[-1]), (1.0, 0.0), pairs)
         margin = words.margins(model)
         own = margin[clean]
         hard = clean[np.argsort(-own, kind="stable")[:600]].tolist()
         marks = list(dict.fromkeys([*marks, *words.texts([w for w in hard if w not in picked][:80])]))
         picked |= dict.fromkeys(hard)
-    # The sigmoid is 0.3 where the share of toxic documents above exceeds four times that of clean ones by most.
+    # The sigmoid is 0.3 where the share of toxic documents above, and a part of that of variants, exceeds four times that of clean ones by most.
     m = np.maximum(-1e3, text_margins(words.margins(model)[word], doc, len(y)))
     edges = np.unique(np.clip(m, 0, None))
     above = lambda some: 1 - np.searchsorted(np.sort(m[some]), edges) / some.sum()
-    edge = float(edges[np.argmax(above(y == 1) - 4 * above(y == 0))])
+    varied = np.sort(model.margins(more)) if more else np.zeros(1)
+    edge = float(edges[np.argmax(above(y == 1) - 4 * above(y == 0) + VARIED * (1 - np.searchsorted(varied, edges) / len(varied)))])
     below = m[m < edge]
     edge = (edge + max(0.0, float(below.max()) if len(below) else 0.0)) / 2
     slope = 4 / max(0.2, float(np.median(m[y == 1])) - edge)
@@ -286,7 +317,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Colum
 def score(docs: DataFrame, model: KernelMachine | float) -> DataFrame:
     """docs with a column toxicity (0 to 1, higher: label 1 likelier), for every row and its whole text.
 
-    Null texts and texts without a segment score next to 0. A column of the same name is replaced.
+    Null texts and texts without a segment score next to 0; very long texts count as a whole, repeated rows alike. A column of the
+    same name is replaced, all others pass through; an empty table gives none.
     """
     small_batches(docs.sparkSession)
     rest = docs.drop("toxicity")

@@ -426,3 +426,44 @@ def test_machine_by_definition():
 def test_registered():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
+
+
+def _toxic_texts(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    return docs, labels
+
+
+def test_phrases_of_innocent_words_are_found(spark):
+    """Toxic texts hold two words side by side, clean ones the same words apart."""
+    rng = random.Random(2)
+    texts = []
+    for i in range(400):
+        w = prose(30, 900 + i).split()
+        k = rng.randint(3, 25)
+        w[k : k + 1] = ["green", "goblin"] if i % 2 else ["green"]
+        texts.append((" ".join(w if i % 2 else [*w, "and", "then", "goblin", "went"]), i % 2))
+    docs, labels = _toxic_texts(spark, texts)
+    m = toxicity.fit(docs, labels, allowed=F.col("doc_id") < 300)
+    got = {r["doc_id"]: r["toxicity"] >= 0.3 for r in toxicity.score(docs, m).collect()}
+    assert m.pairs and all(got[i] == bool(y) for i, (_, y) in enumerate(texts) if i >= 300)
+
+
+def test_inserted_letters_do_not_hide_an_insult(spark):
+    texts = [(f"{prose(20, i)}. You {['', 'really '][i % 2]}{prose(1, i)} scum {prose(1, i + 7)} {prose(5, i + 1)}" if i % 3 == 0 else prose(30, i), int(i % 3 == 0)) for i in range(600)]
+    docs, labels = _toxic_texts(spark, texts)
+    m = toxicity.fit(docs, labels)
+    said = [prose(12, 5000 + i).split() for i in range(60)]
+    inserted = [" ".join([*w[:6], "scum"[: 1 + i % 3] + "abeghioz"[i % 8] + "scum"[1 + i % 3 :], *w[6:]]) for i, w in enumerate(said)]
+    assert (m.scores(inserted) >= 0.3).mean() >= 0.9 and (m.scores([" ".join(w) for w in said]) < 0.3).all()
+
+
+def test_toxicity_of_odd_texts(spark):
+    """Long texts, repeated rows, an empty table, clashing names."""
+    texts = [(prose(25, i) + (" scum " if i % 2 else " ") + prose(5, i + 1), i % 2) for i in range(200)]
+    docs, labels = _toxic_texts(spark, texts)
+    m = toxicity.fit(docs, labels)
+    odd = spark.createDataFrame([(1, prose(200_000, 3) + " scum"), (2, prose(200_000, 3)), (3, "scum"), (3, "scum"), (4, None), (None, "")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = toxicity.score(odd, m).collect()
+    assert [r["toxicity"] >= 0.3 for r in sorted(got, key=lambda r: r["doc_id"] or 9)] == [True, False, True, True, False, False] and all(r["score"] == "clash" for r in got)
+    assert toxicity.score(odd.limit(0), m).count() == 0
