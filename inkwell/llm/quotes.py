@@ -51,9 +51,9 @@ def _units(messages: DataFrame) -> DataFrame:
     return units.select("conv", "t", "tie", "level", (F.size(F.split("norm", " "))).alias("words"), F.xxhash64("norm").alias("hash"))
 
 
-def links(messages: DataFrame) -> DataFrame:
+def links(messages: DataFrame, scratch: Scratch) -> DataFrame:
     """conv, t, tie, level, words, origin: quoted units with the latest earlier message that wrote them."""
-    units = _units(messages)
+    units = scratch.keep(_units(messages), "units")
     quotes = units.filter("level > 0")
     wanted = quotes.select("conv", "hash").distinct()
     own = units.filter("level = 0").select("conv", "t", "hash").distinct().join(wanted, ["conv", "hash"], "left_semi")
@@ -63,7 +63,7 @@ def links(messages: DataFrame) -> DataFrame:
     )
     # Quotes come before what their own turn wrote, so that only earlier turns are seen. A line that a long
     # conversation repeats is cut into spans as well.
-    both = both.withColumn("span", F.floor(F.col("t") / SPAN))
+    both = scratch.keep(both.withColumn("span", F.floor(F.col("t") / SPAN)), "looked-up")
     inner = W.partitionBy("conv", "hash", "span").orderBy("t", F.col("wrote").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
     before = W.partitionBy("conv", "hash").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
     carry = both.groupBy("conv", "hash", "span").agg(F.max("wrote").alias("whole")).withColumn("carry", F.max("whole").over(before))
@@ -102,7 +102,7 @@ def link_conversations(conversations: DataFrame, scratch: Scratch) -> DataFrame:
     m = m.withColumns({"conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")), "t": F.coalesce(F.col("turn").cast("long"), F.lit(-1)), "tie": F.xxhash64("role", "text")})
     quoting = m.filter(F.regexp_like("text", F.lit(r"(?m)^[ \t]*>")))
     involved = m.join(quoting.select("conv").distinct(), "conv", "left_semi")
-    found = scratch.keep(links(involved.select("conv", "t", "tie", "text")), "links")
+    found = scratch.keep(links(involved.select("conv", "t", "tie", "text"), scratch), "links")
     votes = found.filter("level = 1").groupBy("conv", "t", "tie", "origin").agg(F.sum("words").alias("words"))
     parents = votes.groupBy("conv", "t", "tie").agg(F.max(F.struct("words", "origin")).getField("origin").alias("quoted"))
     each = F.array_sort(F.collect_set(F.struct("level", F.col("origin").alias("turn"))))
