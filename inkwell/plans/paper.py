@@ -518,3 +518,62 @@ def mock_extraction(spark, sf_dir):
     blocks = segment.split_tables(segment.load_blocks(sources.mock_extract(names)))
     q = segment.questions(segment.number_blocks(segment.label_blocks(blocks)))
     return q.groupBy("doc").agg(F.count("*").alias("questions"), F.max(F.array_join("parts.no", ",")).alias("parts"))
+
+
+# ---- what the dashboards show
+
+
+@query("SELECT p_partkey AS stem, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS report_questions, CASE WHEN p_partkey % 3 = 0 THEN 1 END AS tag_tagged, 'raw' AS stage FROM part")
+def pipeline_status(spark, sf_dir):
+    p = t(spark, sf_dir, "part").withColumn("stem", F.col("p_partkey"))
+    live = bank.live_stage(p.select(F.col("stem").alias("doc"), F.lit("raw").alias("stage"), F.lit(1).alias("version"))).select(F.col("doc").alias("stem"), "stage")
+    out = bank.pipeline_status(p.select("stem"), ("report", p.filter("p_partkey % 2 = 0").select("stem", F.col("p_size").alias("questions"))), ("tag", p.filter("p_partkey % 3 = 0").select("stem", F.lit(1).alias("tagged"))))
+    return out.join(live, "stem", "left")
+
+
+def _used(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.col("source").alias("file"), F.array("lang").alias("topics"), F.col("lang").alias("type"), F.when(F.col("doc_id") % 3 == 0, "basic").otherwise("medium").alias("difficulty"), F.array_compact(F.array(F.when(F.col("doc_id") % 4 == 0, F.lit("no_answer")), F.when(F.col("doc_id") % 2 == 0, F.lit("verified")))).alias("flags"), F.lower("text").alias("blob"))
+    usage = t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("qid")).agg(F.count("*").alias("count"))
+    return d, usage, d.filter("qid % 10 < 4").select("qid")
+
+
+_USED = "u AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), d AS (SELECT doc_id AS qid, coalesce(n, 0) AS n, doc_id % 4 = 0 AS flagged, doc_id % 2 = 0 AS verified, CASE WHEN doc_id % 3 = 0 THEN 'basic' ELSE 'medium' END AS difficulty, doc_id % 10 < 4 AS cart FROM documents LEFT JOIN u ON user_id = doc_id)"
+
+
+@query(f"""WITH {_USED} SELECT 'used' AS rule, qid FROM d WHERE n > 0 UNION ALL SELECT 'unused', qid FROM d WHERE n = 0 UNION ALL SELECT 'used_twice', qid FROM d WHERE n >= 2 UNION ALL SELECT 'in_cart', qid FROM d WHERE cart UNION ALL SELECT 'not_in_cart', qid FROM d WHERE NOT cart
+UNION ALL SELECT 'flagged', qid FROM d WHERE flagged UNION ALL SELECT 'clean', qid FROM d WHERE NOT flagged UNION ALL SELECT 'verified', qid FROM d WHERE verified UNION ALL SELECT 'unverified basic', qid FROM d WHERE NOT verified AND difficulty = 'basic'""")
+def bank_rules(spark, sf_dir):
+    d, usage, cart = _used(spark, sf_dir)
+    pick = lambda name, **want: bank.bank_filter(d, usage, cart, **want).select(F.lit(name).alias("rule"), "qid")
+    rules = [pick(u, use=u) for u in ("used", "unused", "used_twice", "in_cart", "not_in_cart")] + [pick(x, state=x) for x in ("flagged", "clean", "verified")] + [pick("unverified basic", state="unverified", difficulty="basic")]
+    out = rules[0]
+    for r in rules[1:]:
+        out = out.union(r)
+    return out
+
+
+@query("SELECT doc_id AS qid, CASE WHEN doc_id % 2 = 0 THEN 'keep' ELSE 'keep,verified' END AS flags, 'no_answer,keep,no_solution' AS fresh FROM documents")
+def flags_turned(spark, sf_dir):
+    flags = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("keep"), F.lit("verified"))).otherwise(F.array(F.lit("keep")))
+    stale = F.array(F.lit("short_stem"), F.lit("no_answer"), F.lit("keep"))
+    fresh = bank.refresh_flags(F.filter(stale, lambda f: f == "keep"), F.array(F.lit("no_solution")))
+    return t(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.array_join(records.toggled(flags, "verified"), ",").alias("flags"), F.concat(F.lit("no_answer,"), F.array_join(fresh, ",")).alias("fresh"))
+
+
+@query("SELECT user_id AS qid FROM (SELECT user_id, max(event_id) AS live FROM events GROUP BY 1) WHERE user_id % 2 = 1")
+def edit_conflicts(spark, sf_dir):
+    live = t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("qid")).agg(F.max("event_id").alias("rev"))
+    sent = live.select("qid", F.when(F.col("qid") % 2 == 1, F.lit(-1)).otherwise(F.col("rev")).alias("rev"))
+    return records.conflicts(sent, live, ["qid"]).select("qid")
+
+
+@query("SELECT p_partkey, 'Text ' || p_name || ' ![](a' || p_partkey || '.png)' AS marked, trim(p_brand) AS code, '(a)|(b)' AS parts, p_size AS marks FROM part")
+def carried_parts(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    part = lambda path, answer, marks: F.struct(F.lit(path).alias("path"), marks.alias("marks"), answer.alias("answer"), none.alias("solution"), none.alias("answer_area"))
+    old = F.array(part("(a)", F.col("p_name"), F.col("p_size")), part("(c)", F.col("p_name"), F.lit(1)))
+    new = F.array(part("(a)", none, F.lit(None).cast("int")), part("(b)", none, F.lit(None).cast("int")))
+    image = text.image_markers(F.concat(F.lit("Text "), F.col("p_name"), F.lit(' <img width="3" src="a'), F.col("p_partkey").cast("string"), F.lit('.png"/>')))
+    code = segment.block_text(F.lit("code"), none, none, F.concat(F.lit("<div class='x'> "), F.col("p_brand"), F.lit(" </div>")), none)
+    p = t(spark, sf_dir, "part").select("p_partkey", image.alias("marked"), code.alias("code"), part_functions.restore_carry(old, new).alias("p"))
+    return p.select("p_partkey", "marked", "code", F.array_join("p.path", "|").alias("parts"), F.col("p")[0]["marks"].alias("marks"))
