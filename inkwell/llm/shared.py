@@ -50,10 +50,16 @@ def fresh(name: str, columns: list[str]) -> str:
 
 
 class Scratch:
-    """Tables written in the shared folder, so that a lost executor costs no lineage."""
+    """Tables written in the shared folder, so that a lost executor costs no lineage.
+
+    A plan that is still to run may read them: they stay until whoever has written its result removes them.
+    """
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
+        Scratch.made.append(self)
         self.spark, self.base, self.n = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -87,6 +93,11 @@ class Scratch:
         gc.collect()
         self.spark._jvm.System.gc()
 
+    def remove(self) -> None:
+        """Remove all tables; no plan may read them any more."""
+        self._fs(self.base).delete(self._path(self.base), True)
+        Scratch.made.remove(self)
+
     def drop(self, df: DataFrame) -> None:
         """Remove a table that no later plan reads."""
         self._fs(df.scratch_path).delete(self._path(df.scratch_path), True)

@@ -467,3 +467,45 @@ def test_toxicity_of_odd_texts(spark):
     got = toxicity.score(odd, m).collect()
     assert [r["toxicity"] >= 0.3 for r in sorted(got, key=lambda r: r["doc_id"] or 9)] == [True, False, True, True, False, False] and all(r["score"] == "clash" for r in got)
     assert toxicity.score(odd.limit(0), m).count() == 0
+
+
+def _odd_documents(spark):
+    """A very long text, repeated rows, nulls everywhere, and columns with the names that operators use inside."""
+    long = " ".join([prose(60_000, 1), "The cat sat on the mat."])
+    rows = [(1, long, 5), (2, "Plain words here.", 17), (2, "Plain words here.", 17), (None, None, None), (3, "", 0), (4, "x", None), (5, None, 3)]
+    names = ["fp", "node", "uid", "grams", "h1", "sizes", "y", "f", "v", "leak", "seed", "mark"]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({c: F.lit(c) for c in names}), names
+
+
+def _whole(got, names, rows=7):
+    assert len(got) == rows and all(r[c] == c for r in got for c in names)
+    return got
+
+
+def test_odd_documents_keep_their_rows(spark, scratch):
+    odd, names = _odd_documents(spark)
+    texts = [(i, prose(30, i) if i % 2 else "buy!!! now $$$ 99 " * 10, i) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, n_chars long")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    machine = quality.fit(docs, labels, metadata=["n_chars"])
+    scored = _whole(quality.score(odd, machine, metadata=["n_chars"]).collect(), names)
+    assert all(0 <= r["quality_score"] <= 1 for r in scored) and scored[1]["quality_score"] == scored[2]["quality_score"]
+    assert quality.score(odd.limit(0), machine, metadata=["n_chars"]).count() == 0 and quality.fit(docs.limit(0), labels, metadata=["n_chars"]) == 0.5
+    model = language.learn(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb")), F.lit(True))
+    named = _whole(language.identify(odd, model).collect(), names)
+    assert sorted(r["lang_pred"] == "und" for r in named) == [False] * 4 + [True] * 3
+    assert language.identify(odd.limit(0), model).count() == 0
+    items = spark.createDataFrame([(1, "the cat sat on the mat."), (2, None), (None, "")], "item_id long, text string")
+    leaks = {(r["doc_id"], len(r["leaks"])) for r in _whole(decontaminate.leaks(odd, items).collect(), names)}
+    assert leaks == {(1, 1), (2, 0), (None, 0), (3, 0), (4, 0), (5, 0)} and decontaminate.leaks(odd.limit(0), items).count() == 0
+    groups = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(odd, scratch=scratch).collect()}
+    assert groups == {(1, 1), (2, 2), (4, 4), (None, 3), (3, 3), (5, 3)} and simhash.near_duplicates(odd.limit(0), scratch=scratch).count() == 0
+    assert suffixes.repeated_spans(odd, scratch).count() == 0
+
+
+def test_a_scratch_is_removed(spark):
+    s = Scratch(spark, "gone")
+    kept = s.keep(spark.range(3), "x")
+    assert kept.count() == 3
+    s.remove()
+    assert not s._fs(s.base).exists(s._path(s.base)) and s not in Scratch.made

@@ -63,3 +63,16 @@ def test_clashing_names(spark):
         got = stage(spark, some, SMALL)
         kept = [c for c in names if not (name == "benchmark decontamination" and c == "leaks") and not (name == "quality classifier" and c == "quality_score")]
         assert {tuple(r) for r in got.select(*kept).distinct().collect()} <= {tuple(kept)} and set(kept) <= set(got.columns)
+
+
+def test_run_leaves_only_its_result(spark):
+    """run() gives the stages' rows, and removes what they wrote on the way."""
+    before = list(p.Scratch.made)
+    got = p.run(spark, SMALL)
+    left = [s for s in p.Scratch.made if s not in before]
+    assert len(left) == 1 and left[0].base in got.scratch_path
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in p.STAGES:
+        docs = stage(spark, docs, SMALL)
+    rows = lambda df: sorted((r["doc_id"], r["text"], r["taken"]) for r in df.select("doc_id", "text", "taken").collect())
+    assert rows(got) == rows(docs) and got.count() > 0
