@@ -79,9 +79,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each stage's result is a table in the shared folder."""
+    """The stages applied to documents; each stage's result is a table in the shared folder. What a stage wrote on its
+    way, and the table that it read, are removed once its result is there."""
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        earlier = len(Scratch.made)
+        docs = scratch.keep(stage(spark, before, sf_dir), name.replace(" ", "-"))
+        for used in Scratch.made[earlier:]:
+            used.remove()
+        if hasattr(before, "scratch_path"):
+            scratch.drop(before)
+        before = docs
     return docs
