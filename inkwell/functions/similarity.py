@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
 from .text import MATH_SPAN
 
 NEAR_DUPLICATE = 0.5
@@ -16,9 +17,12 @@ def tokens(text: Column) -> Column:
 
 def token_sets(text: Column) -> Column:
     """struct(words, bigrams); a single token's bigrams are its words."""
-    t = tokens(text)
-    pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.struct(F.array_distinct(t).alias("words"), F.when(F.size(t) == 1, t).otherwise(F.array_distinct(pairs)).alias("bigrams"))
+
+    def sets(t):
+        pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        return F.struct(F.array_distinct(t).alias("words"), F.when(F.size(t) == 1, t).otherwise(F.array_distinct(pairs)).alias("bigrams"))
+
+    return let(tokens(text), sets)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.let import let
 from ..functions.similarity import token_sets
 
 KINDS = ("words", "bigrams")
@@ -14,8 +15,7 @@ KINDS = ("words", "bigrams")
 
 def _hashed(text: Column) -> Column:
     """struct(words, bigrams): the features of a text as hashes."""
-    sets = token_sets(F.coalesce(text, F.lit("")))
-    return F.struct(*(F.transform(sets[k], lambda w: F.xxhash64(w)).alias(k) for k in KINDS))
+    return let(token_sets(F.coalesce(text, F.lit(""))), lambda sets: F.struct(*(F.transform(sets[k], lambda w: F.xxhash64(w)).alias(k) for k in KINDS)))
 
 
 def novelty(entries: DataFrame, references: DataFrame, bound: int = 8_000_000) -> DataFrame:
@@ -66,7 +66,8 @@ def _indexed(entries: DataFrame, references: DataFrame) -> DataFrame:
         for b in batches:
             for start in range(0, b.num_rows, 500):
                 part = b.slice(start, 500)
-                got = [_scores(pa.concat_arrays([part.column(k)]), index[i], len(ids)) for i, k in enumerate(KINDS)]
+                sets = part.column("s")
+                got = [_scores(pa.concat_arrays([sets.field(k)]), index[i], len(ids)) for i, k in enumerate(KINDS)]
                 e, r, s = (np.concatenate(x) for x in zip(*got))
                 order = np.lexsort((r, -s, e))
                 first = order[np.flatnonzero(np.concatenate(([True], e[order][1:] != e[order][:-1])))] if len(e) else order
@@ -76,7 +77,7 @@ def _indexed(entries: DataFrame, references: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("entry_id"), pa.array(named, pa.int64(), mask=best < 0), pa.array(score)], ["entry_id", "ref_id", "score"])
 
     kind = entries.schema["entry_id"].dataType.simpleString()
-    return entries.select("entry_id", _hashed(F.col("text")).alias("s")).select("entry_id", "s.*").mapInArrow(run, f"entry_id {kind}, ref_id bigint, score double")
+    return entries.select("entry_id", _hashed(F.col("text")).alias("s")).mapInArrow(run, f"entry_id {kind}, ref_id bigint, score double")
 
 
 def _features(df: DataFrame, id_: str) -> DataFrame:
