@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.html import grid_width, parse_grid, render_grid
+from ..functions.let import let
 from ..functions.options import gather_options
 from ..functions.text import blank, fix_math_spacing, strip, strip_number, strip_part_label
 from ..functions.tree import FLAT
@@ -97,13 +98,15 @@ def split_tables(blocks: DataFrame) -> DataFrame:
     start = F.array(F.struct(F.lit(None).cast("string").alias("no"), F.array().cast("array<string>").alias("stem"), F.array().cast(f"array<{cells}>").alias("rest"))).cast(f"array<{piece}>")
 
     def step(a, r):
-        opens = F.coalesce(asks(r), F.lit(False))
-        body = F.when(opens, F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0)))).otherwise(r)
-        last = F.element_at(a, -1)
-        wide = (F.size(body) == 1) & (body[0]["colspan"] >= full) & (opens | last["no"].isNotNull())
-        own = F.struct(F.when(opens, number(r)).otherwise(last["no"]).alias("no"), F.when(opens, F.array().cast("array<string>")).otherwise(last["stem"]).alias("stem"), F.when(opens, F.array().cast(f"array<{cells}>")).otherwise(last["rest"]).alias("rest"))
-        own = F.when(~said(body), own).when(wide, own.withField("stem", F.concat(own["stem"], F.array(body[0]["text"])))).otherwise(own.withField("rest", F.concat(own["rest"], F.array(r))))
-        return F.concat(F.when(opens, a).otherwise(F.slice(a, 1, F.size(a) - 1)), F.array(own))
+        return let(F.coalesce(asks(r), F.lit(False)), lambda opens: let(F.when(opens, F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0)))).otherwise(r), lambda body: let(opened(a, r, opens), lambda own: F.concat(F.when(opens, a).otherwise(F.slice(a, 1, F.size(a) - 1)), F.array(filled(own, r, body))))))
+
+    def opened(a, r, opens):
+        fresh = F.struct(number(r).alias("no"), F.array().cast("array<string>").alias("stem"), F.array().cast(f"array<{cells}>").alias("rest"))
+        return F.when(opens, fresh).otherwise(F.element_at(a, -1))
+
+    def filled(own, r, body):
+        wide = (F.size(body) == 1) & (body[0]["colspan"] >= full) & own["no"].isNotNull()
+        return F.when(~said(body), own).when(wide, own.withField("stem", F.concat(own["stem"], F.array(body[0]["text"])))).otherwise(own.withField("rest", F.concat(own["rest"], F.array(r))))
 
     segments = F.aggregate("_grid", start, step)
     firsts = lambda g: F.transform(g, lambda r: r[0]["text"])
