@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow, html, labels, options, parts, similarity, text
 from ..operators import answers, bank, model, novelty, records, segment, worksheet
+from ..streaming import assembly
+from ..tables import folder
 from . import paper  # noqa: F401  (registers its queries)
 from .registry import oracle_sql, queries, query, t  # noqa: F401
 
@@ -54,8 +56,12 @@ def heuristic_labels(spark, sf_dir):
 
 
 def _conversation_blocks(spark, sf_dir):
+    return _as_blocks(t(spark, sf_dir, "conversations"))
+
+
+def _as_blocks(conversations):
     role = F.when(F.col("role") == "user", "q").when(F.col("role") == "assistant", "solution").otherwise("section")
-    return t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("i"), F.lit("text").alias("type"), role.alias("role"), F.lit(None).cast("string").alias("label"), "text")
+    return conversations.select(F.col("conv_id").alias("doc"), F.col("turn").alias("i"), F.lit("text").alias("type"), role.alias("role"), F.lit(None).cast("string").alias("label"), "text")
 
 
 _NUMBERED = r"""blocks AS (SELECT conv_id AS doc, turn AS i, role, text, last_value(CASE WHEN role = 'system' THEN trim(regexp_replace(text, '\s+', ' ', 'g')) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM conversations),
@@ -63,16 +69,33 @@ kept AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY doc ORDER BY i R
 numbered AS (SELECT *, q = 0 AND max(q) OVER (PARTITION BY doc) = 0 AS implicit, q = 0 AND max(q) OVER (PARTITION BY doc) > 0 AS merged FROM kept)"""
 
 
-@query(f"""WITH {_NUMBERED}
+_SEGMENTED = f"""WITH {_NUMBERED}
 SELECT doc AS conv_id, CASE WHEN merged THEN 1 ELSE q END::BIGINT AS q_ord, arg_min(section, i) FILTER (section IS NOT NULL OR TRUE) AS section_raw,
        coalesce(string_agg(text, chr(10) ORDER BY i) FILTER (role = 'user'), '') AS stem, coalesce(string_agg(text, chr(10) ORDER BY i) FILTER (role = 'assistant'), '') AS solution,
        min(i) AS first_i, max(i) AS last_i, count(*) AS blocks, bool_or(merged) AS leading_content_merged, bool_or(implicit) AS implicit_question_start
-FROM numbered GROUP BY 1, 2""".replace("arg_min(section, i) FILTER (section IS NOT NULL OR TRUE) AS section_raw", "first(section ORDER BY i) AS section"))
+FROM numbered GROUP BY 1, 2""".replace("arg_min(section, i) FILTER (section IS NOT NULL OR TRUE) AS section_raw", "first(section ORDER BY i) AS section")
+
+
+@query(_SEGMENTED)
 def segment_conversations(spark, sf_dir):
     q = segment.assemble(segment.number_blocks(_conversation_blocks(spark, sf_dir)))
     return q.select(F.col("doc").alias("conv_id"), F.col("q_ord").cast("long").alias("q_ord"), "section", "stem", "solution", "first_i", "last_i", "blocks", "leading_content_merged", "implicit_question_start")
 
 
+@query(_SEGMENTED)
+def streamed_conversations(spark, sf_dir):
+    """The conversations replayed as a stream, some files a micro-batch, and assembled as their documents close."""
+    known = _conversation_blocks(spark, sf_dir)
+    path, totals = f"{sf_dir}/conversations.parque[t]", known.groupBy("doc").agg(F.count("*").alias("total"))
+    files = spark.readStream.schema(t(spark, sf_dir, "conversations").schema).option("maxFilesPerTrigger", 8).parquet(path)
+    blocks = _as_blocks(files).join(totals, "doc").withColumn("ts", F.timestamp_seconds(F.lit(1_000_000_000) + F.col("i")))
+    at = folder(spark, "streamed")
+    query = assembly.assembled(blocks, lambda b: segment.assemble(segment.number_blocks(b)), f"{at}/questions", f"{at}/checkpoint")
+    query.awaitTermination()
+    q = spark.read.parquet(f"{at}/questions")
+    return q.select(F.col("doc").alias("conv_id"), F.col("q_ord").cast("long").alias("q_ord"), "section", "stem", "solution", "first_i", "last_i", "blocks", "leading_content_merged", "implicit_question_start")
+
+
 @query(f"WITH {_NUMBERED} SELECT doc, i, section FROM numbered")
 def section_carry(spark, sf_dir):
     return segment.number_blocks(_conversation_blocks(spark, sf_dir)).select("doc", "i", "section")

@@ -7,22 +7,41 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder (spark.checkpoint.dir) and read again: what it holds is fixed from then on.
+def local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that a folder of this machine serves all of them."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one (spark.checkpoint.dir).
 
     Without that setting a temporary folder serves in local mode; on a cluster it is an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not local(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="inkwell-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: what it holds is fixed from then on."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes a table of kept() that no later plan reads."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.kept_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
