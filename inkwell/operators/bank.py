@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.options import canon_options, remap_answer
 from ..functions.text import entry_revision, latex_ok, strip
-from ..tables import kept
+from ..tables import dropped, kept
 
 # Fixed values.
 STAGES = ["raw", "clean", "tagged"]
@@ -43,12 +43,21 @@ def refresh_flags(flags: Column, derived: Column) -> Column:
     return F.array_distinct(F.concat(F.filter(flags, lambda f: ~f.isin(DERIVED_FLAGS)), derived))
 
 
+#: What names an entry: qids repeat over sources, documents and files, so all of these that a table has count.
+ENTRY_KEY = ["subject", "stage", "level", "source", "file_stem", "doc", "qid"]
+
+
+def entry_key(*tables: DataFrame) -> list[str]:
+    """The columns of ENTRY_KEY that all the tables have."""
+    return [c for c in ENTRY_KEY if all(c in t.columns for t in tables)]
+
+
 def check(entries: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
     """entries (key columns s, t, l, src, qid; kind, stem, has_parts, topic, ord) with errors and first (first of its key)."""
     key = ["s", "t", "l", "src", "qid"]
     first = F.row_number().over(W.partitionBy(*key).orderBy("ord")) == 1
     fault = lambda when, name: F.when(when, F.lit(name))
-    blank = F.coalesce(F.trim("stem"), F.lit("")) == ""
+    blank = F.coalesce(strip(F.col("stem")), F.lit("")) == ""
     errors = F.array_compact(F.array(fault(F.col("qid").isNull(), "missing:qid"), fault(F.col("kind").isNull(), "missing:kind"), fault(blank & ~F.col("has_parts"), "empty:stem+parts"), fault(~F.col("first"), "duplicate")))
     out = entries.withColumn("first", first).withColumn("errors", errors)
     if taxonomy is None:
@@ -73,10 +82,11 @@ def bank_filter(entries: DataFrame, usage: DataFrame | None = None, cart: DataFr
     use = want.pop("use", None)
     out = entries.filter(reduce(lambda a, kv: a & rules[kv[0]](kv[1]), want.items(), F.lit(True)))
     if use in ("in_cart", "not_in_cart"):
-        return out.join(cart.select("qid"), "qid", "left_semi" if use == "in_cart" else "left_anti")
+        key = entry_key(out, cart)
+        return out.join(cart.select(*key), key, "left_semi" if use == "in_cart" else "left_anti")
     if use:
-        n = F.coalesce("uses", F.lit(0))
-        out = out.join(usage.select("qid", F.col("count").alias("uses")), "qid", "left")
+        n, key = F.coalesce("uses", F.lit(0)), entry_key(out, usage)
+        out = out.join(usage.select(*key, F.col("count").alias("uses")), key, "left")
         return out.filter({"used": n > 0, "unused": n == 0, "used_twice": n >= 2}[use])
     return out
 
@@ -99,24 +109,54 @@ def risk(entries: DataFrame) -> DataFrame:
     return entries.rollup("file").agg(F.count("*").alias("n"), has("human_edited").alias("edited"), has("verified").alias("verified"))
 
 
-def page_map(steps: DataFrame, rounds: int = 40) -> DataFrame:
-    """output, page, source, source_page, depth and crops: every output page's page of a source that is no output itself.
+class Circle(ValueError):
+    """Pages that follow each other in a circle; pages has up to ten of them as (output, page)."""
 
-    steps: output, page, source, source_page and, where there is one, crop (of any type). Pages follow their source by pointer doubling:
-    each round a page's pointer moves on to where that pointer's page points, so a chain of n steps takes log2(n) rounds of one
-    join. crops are those of all steps on the way, the innermost first. A cycle of sources is an error.
-    """
-    crop = F.col("crop") if "crop" in steps.columns else F.lit(None).cast("string")
-    at = steps.select("output", "page", "source", "source_page", F.lit(1).alias("depth"), F.array_compact(F.array(crop)).alias("crops"))
-    at = kept(at, "pages")
+    def __init__(self, pages: list):
+        super().__init__("pages lead in a circle: " + ", ".join(f"{o} page {p}" for o, p in pages))
+        self.pages = pages
+
+
+def _followed(at: DataFrame, crops: bool) -> DataFrame:
+    """One round of pointer doubling; on: the pointer still moved."""
+    to = at.select(F.col("output").alias("source"), F.col("page").alias("source_page"), F.col("source").alias("_s"), F.col("source_page").alias("_p"), F.col("depth").alias("_d"), *([F.col("crops").alias("_c")] if crops else []))
+    moved = at.drop("on").join(to, ["source", "source_page"], "left")
+    path = [F.concat(F.coalesce("_c", F.slice("crops", 1, 0)), "crops").alias("crops")] if crops else []
+    return moved.select("output", "page", F.coalesce("_s", "source").alias("source"), F.coalesce("_p", "source_page").alias("source_page"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), *path, F.col("_s").isNotNull().alias("on"))
+
+
+def _roots(at: DataFrame, rounds: int, crops: bool) -> DataFrame:
+    """at with every pointer at its end, after at most so many rounds; the table of each round goes when the next is there."""
     for _ in range(rounds):
-        to = at.select(F.col("output").alias("source"), F.col("page").alias("source_page"), F.col("source").alias("s"), F.col("source_page").alias("p"), F.col("depth").alias("d"), F.col("crops").alias("c"))
-        moved = at.join(to, ["source", "source_page"], "left")
-        at = kept(moved.select("output", "page", F.coalesce("s", "source").alias("source"), F.coalesce("p", "source_page").alias("source_page"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), F.concat(F.coalesce("c", F.slice("crops", 1, 0)), "crops").alias("crops"), F.col("s").isNotNull().alias("on")), "pages")
+        after = kept(_followed(at, crops), "pages")
+        dropped(at)
+        at = after
         if at.filter("on").isEmpty():
-            return at.drop("on")
-        at = at.drop("on")
-    raise ValueError("pages lead in a circle")
+            break
+    return at
+
+
+def page_map(steps: DataFrame) -> DataFrame:
+    """output, page, source, source_page, depth and crops: every output page's page of a source that is no output itself.
+
+    steps: output, page (together a key), source, source_page and, where there is one, crop (of any type). Pages follow their source by pointer
+    doubling: each round a page's pointer moves on to where that pointer's page points, so chains end after log2(n) rounds of one join, n being
+    the number of pages. A pointer that still moves then has walked further than there are pages: it stands on a circle, and Circle names
+    such pages. crops, those of all steps on the way, the innermost first, are gathered only when there is no circle, so they
+    are never longer than a chain.
+    """
+    plain = steps.select("output", "page", "source", "source_page", F.lit(1).cast("long").alias("depth"), F.lit(True).alias("on"))
+    at = kept(plain, "pages")
+    rounds = at.count().bit_length() + 1
+    at = _roots(at, rounds, False)
+    lost = at.filter("on").select("source", "source_page").distinct().orderBy("source", "source_page").limit(10).collect()
+    if lost:
+        raise Circle([tuple(r) for r in lost])
+    if "crop" not in steps.columns:
+        return at.drop("on").withColumn("crops", F.array().cast("array<string>"))
+    dropped(at)
+    cropped = steps.select("output", "page", "source", "source_page", F.lit(1).cast("long").alias("depth"), F.array_compact(F.array("crop")).alias("crops"), F.lit(True).alias("on"))
+    return _roots(kept(cropped, "pages"), rounds, True).drop("on")
 
 
 def topic_bank(entries: DataFrame, topics: list[str]) -> DataFrame:
@@ -186,15 +226,17 @@ def topic_menu(taxonomy: DataFrame) -> DataFrame:
 
 def with_names(entries: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """entries with topic_names, in the order of their topics; a topic without a name is named by its id."""
-    each = entries.select("qid", F.posexplode("topics").alias("n", "id")).join(taxonomy.select("id", "name_en"), "id", "left")
-    names = each.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("name_en", "id").alias("name")))), lambda x: x["name"]).alias("topic_names"))
-    return entries.join(names, "qid", "left")
+    key = entry_key(entries)
+    topics = entries.dropDuplicates(key).select(*key, F.posexplode("topics").alias("n", "id"))
+    each = topics.join(taxonomy.select("id", "name_en"), "id", "left")
+    names = each.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("name_en", "id").alias("name")))), lambda x: x["name"]).alias("topic_names"))
+    return entries.join(names, key, "left")
 
 
 def edit_view(entries: DataFrame) -> DataFrame:
-    """qid and view: what a cleaning model sees of an entry, without nulls, parts flat with their whole labels."""
+    """The entry's key and view: what a cleaning model sees of an entry, without nulls, parts flat with their whole labels."""
     parts = F.when(F.size("parts") > 0, F.transform("parts", lambda p: F.struct(p["path"].alias("no"), p["text"].alias("text"))))
-    return entries.select("qid", F.to_json(F.struct("qid", "kind", "stem", F.when(F.size("options") > 0, F.col("options")).alias("options"), "answer", "solution", parts.alias("parts"))).alias("view"))
+    return entries.select(*entry_key(entries), F.to_json(F.struct("qid", "kind", "stem", F.when(F.size("options") > 0, F.col("options")).alias("options"), "answer", "solution", parts.alias("parts"))).alias("view"))
 
 
 def example_view(entries: DataFrame) -> DataFrame:
@@ -206,7 +248,7 @@ def solution_style(coordinates: DataFrame, overrides: DataFrame, defaults: DataF
     """coordinates (subject, stage) with style: their own override if it is not blank, else their default, else the generic one."""
     own = overrides.select("subject", "stage", F.nullif(strip(F.col("style")), F.lit("")).alias("own"))
     base = defaults.select("subject", "stage", F.col("style").alias("base"))
-    return coordinates.join(F.broadcast(own), ["subject", "stage"], "left").join(F.broadcast(base), ["subject", "stage"], "left").select(*coordinates.columns, F.coalesce("own", "base", F.lit(generic)).alias("style"))
+    return coordinates.join(own, ["subject", "stage"], "left").join(base, ["subject", "stage"], "left").select(*coordinates.columns, F.coalesce("own", "base", F.lit(generic)).alias("style"))
 
 
 def resolve_images(entries: DataFrame, files: DataFrame, dirs: DataFrame) -> DataFrame:
@@ -218,7 +260,8 @@ def resolve_images(entries: DataFrame, files: DataFrame, dirs: DataFrame) -> Dat
 
 
 def with_usage(entries: DataFrame, usage: DataFrame, cart: DataFrame) -> DataFrame:
-    """entries with uses (0 if never), last_used and in_cart."""
-    marks = usage.select("qid", F.col("count").alias("_uses"), F.col("last").alias("last_used"))
-    out = entries.join(marks, "qid", "left").join(cart.select("qid", F.lit(True).alias("_in")).distinct(), "qid", "left")
+    """entries with uses (0 if never), last_used and in_cart; usage and cart are looked up by all columns of an entry's key that they have."""
+    used, put = entry_key(entries, usage), entry_key(entries, cart)
+    marks = usage.select(*used, F.col("count").alias("_uses"), F.col("last").alias("last_used"))
+    out = entries.join(marks, used, "left").join(cart.select(*put, F.lit(True).alias("_in")).distinct(), put, "left")
     return out.withColumns({"uses": F.coalesce("_uses", F.lit(0)), "in_cart": F.coalesce("_in", F.lit(False))}).drop("_uses", "_in")

@@ -12,7 +12,7 @@ from ..functions.text import answer_area, blank, extract_answer, image_markers,
 from ..functions.tree import FLAT, PART, apply_answer_area, apply_part_answers, finalize_parts
 from ..tables import kept
 from .answers import match_answers, merge_answers
-from .bank import refresh_flags, validate
+from .bank import entry_key, refresh_flags, validate
 from .model import ModelClient, run_model
 
 ANSWER = "struct<value:string,kind:string>"
@@ -150,12 +150,13 @@ def flat_parts(parts: Column) -> Column:
 
 
 def apply_patch(entries: DataFrame, patches: DataFrame) -> DataFrame:
-    """entries with changed, rejected and soft, after patches (qid, patch: PATCH, nulls: fields that the patch sets to null).
+    """entries with changed, rejected and soft, after patches (qid and what else names an entry, see bank.entry_key; patch: PATCH; nulls: fields that the patch sets to null).
 
     Fields are typed and made canonical; figures that a patch drops come back, and so do marks and answers of parts. A value that is a verdict
     word is refused, all else holds, and soft flags say what to look at. Only answer and solution can be cleared.
     """
-    e = entries.join(patches.select("qid", "patch", "nulls"), "qid", "left")
+    key = entry_key(entries, patches)
+    e = entries.join(patches.select(*key, "patch", "nulls"), key, "left")
     cleared = lambda f: F.coalesce(F.array_contains("nulls", f), F.lit(False))
     text = lambda f: F.when(~blank(F.col(f"patch.{f}")), normalize_text(F.col(f"patch.{f}")))
     parts = F.when(F.col("patch.parts").isNotNull(), finalize_parts(flat_parts(F.col("patch.parts"))))
@@ -190,11 +191,12 @@ def _keep_markers(old: Column, new: Column) -> Column:
     return F.when((F.size(lost) > 0) & (F.size(new) > 0), F.concat(F.slice(new, 1, F.size(new) - 1), F.array(longer))).otherwise(new)
 
 
-def clean_entries(entries: DataFrame, client: ModelClient, flagged_only: bool = False, limit: int | None = None) -> DataFrame:
+def clean_entries(entries: DataFrame, client: ModelClient, flagged_only: bool = False, limit: int | None = None, store: str | None = None) -> DataFrame:
     """entries after a cleaning model's patches, with changed, rejected, soft, checked and failed; every row is kept.
 
     flagged_only and limit say which rows the model sees (limit: the first in order of qid); the others pass through. Derived flags are made
-    anew, packed answers moved to their parts again, refused patches and soft flags noted among the flags.
+    anew, packed answers moved to their parts again, refused patches and soft flags noted among the flags. store: a table of replies that
+    later runs may read (see run_model).
     """
     from .bank import edit_view
 
@@ -202,10 +204,12 @@ def clean_entries(entries: DataFrame, client: ModelClient, flagged_only: bool =
     if limit is not None:
         rank = F.sum(F.col("_seen").cast("int")).over(W.partitionBy("doc").orderBy("qid").rowsBetween(W.unboundedPreceding, W.currentRow))
         rows = rows.withColumn("_seen", F.col("_seen") & (rank <= limit))
+    rows = kept(rows, "to-clean")
     views = edit_view(rows.filter("_seen"))
-    said = run_model(views, client, "clean", F.to_json(F.struct("view")), f"struct<patch:{PATCH},severe:boolean,nulls:array<string>>")
-    patches = said.select("qid", F.col("reply.patch").alias("patch"), F.coalesce("reply.nulls", F.array().cast("array<string>")).alias("nulls"), F.coalesce("reply.severe", F.lit(False)).alias("severe"), F.col("reply").isNull().alias("failed"))
-    out = apply_patch(rows, patches).join(patches.select("qid", "severe", "failed"), "qid", "left")
+    key = entry_key(views)
+    said = run_model(views, client, "clean", F.to_json(F.struct("view")), f"struct<patch:{PATCH},severe:boolean,nulls:array<string>>", store=store)
+    patches = said.select(*key, F.col("reply.patch").alias("patch"), F.coalesce("reply.nulls", F.array().cast("array<string>")).alias("nulls"), F.coalesce("reply.severe", F.lit(False)).alias("severe"), F.col("reply").isNull().alias("failed"))
+    out = apply_patch(rows, patches).join(patches.select(*key, "severe", "failed"), key, "left")
     notes = F.concat(F.transform("rejected", lambda r: F.concat(F.lit("patch_rejected:"), r)), F.transform("changed", lambda c: F.concat(F.lit("llm_fixed:"), c)), F.col("soft"), F.array_compact(F.array(F.when(F.col("severe"), "llm_severe"))))
     out = _canonical_options(out.withColumns({"solution": F.when(~blank(F.col("solution")), F.col("solution")), "stem": strip(F.col("stem"))}))
     out = flagged(spread(out)).withColumn("flags", F.array_distinct(F.concat("flags", notes)))

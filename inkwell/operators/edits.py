@@ -10,6 +10,7 @@ from ..functions.options import canon_options, remap_answer
 from ..functions.text import answer_area, blank, normalize_text, strip, total_mark
 from ..functions.tree import apply_answer_area, finalize_parts
 from ..tables import kept
+from .bank import entry_key, with_revision
 from .build import flat_parts, spread
 
 #: What an editor sends: all of an entry's fields, parts flat.
@@ -46,25 +47,55 @@ def apply_edit_fields(entries: DataFrame, vocabulary: list[str]) -> DataFrame:
 def save_edits(entries: DataFrame, edits: DataFrame, key: list[str], vocabulary: list[str], version: int) -> tuple[DataFrame, DataFrame]:
     """(rows to append to the log, edits that are refused with a reason).
 
-    entries: live rows with rev (bank.with_revision). edits: key, rev, edit. An edit whose rev isn't the live one, whose entry is unknown or whose type
-    is not of the vocabulary is refused; the rest are appended as a new version, which the live view then shows.
+    entries: live rows with rev (bank.with_revision), one a key. edits: key, rev, edit and, where an entry has several, seq, their order. An entry's
+    edits form a chain: the first is checked against the live rev, each later one against the rev that the last accepted one made, so of two
+    edits of one rev the first wins and the second has been overtaken ("changed since"). An edit without a rev isn't checked. An edit whose
+    entry is unknown or whose type is neither of the vocabulary nor the one it finds is refused and changes nothing. Accepted edits are appended
+    as versions version, version + 1, ...; topic, type and difficulty that an edit leaves out are those of the edit before it. Both results have seq.
+
+    What an edit makes of an entry's text follows from the edit and the live row alone, so all edits are applied and their revisions
+    made side by side; only (rev, made, type) of an entry's edits meet, in one small fold a key.
     """
-    both = edits.withColumnRenamed("rev", "_rev").join(entries, key, "left")
-    changed = both.filter(F.col("rev").isNotNull() & (F.col("_rev").isNull() | (F.col("_rev") == F.col("rev"))))
-    done = apply_edit_fields(changed.drop("_rev", "rev"), vocabulary)
-    out = done.filter(~F.col("bad_type")).drop("bad_type").withColumns({"version": F.lit(version), "deleted": F.lit(False)})
-    stale = both.filter(F.col("rev").isNull() | ~F.coalesce(F.col("_rev") == F.col("rev"), F.lit(True))).select(*key, F.when(F.col("rev").isNull(), "unknown").otherwise("changed since").alias("reason"))
-    return out, stale.union(done.filter("bad_type").select(*key, F.lit("bad type").alias("reason")))
+    said = lambda f: F.when(~blank(F.col(f"edit.{f}")), strip(F.col(f"edit.{f}")))
+    seq = F.col("seq") if "seq" in edits.columns else F.lit(0)
+    sent = edits.select(*key, F.col("rev").alias("_sent"), "edit", seq.cast("long").alias("seq"))
+    given = {"_type": said("type"), "_topic": F.filter("edit.topic", lambda t: ~blank(t)), "_difficulty": said("difficulty")}
+    both = sent.join(entries, key, "left").withColumns(given | {"_live": F.col("rev"), "_tags": F.col("tags")})
+    tried = with_revision(apply_edit_fields(both.drop("rev"), vocabulary))
+    # Written once: the fold and the rows that it takes read the same numbers.
+    tried = kept(tried.withColumnRenamed("rev", "_made").withColumn("_id", F.monotonically_increasing_id()), "edits")
+
+    one = F.struct("seq", "_id", "_sent", "_made", "_type")
+    start = F.struct(F.col("live").alias("rev"), F.col("type").alias("type"), F.lit(0).alias("n"), F.array().cast("array<struct<id:bigint,n:int,reason:string>>").alias("done"))
+
+    def step(a, e):
+        known = F.coalesce(e["_type"].isin(vocabulary) | (e["_type"] == a["type"]), e["_type"].isNull())
+        reason = F.when(a["rev"].isNull(), "unknown").when(e["_sent"].isNotNull() & (e["_sent"] != a["rev"]), "changed since").when(~known, "bad type")
+        took = reason.isNull()
+        n = a["n"] + took.cast("int")
+        done = F.array_append(a["done"], F.struct(e["_id"].alias("id"), n.alias("n"), reason.alias("reason")))
+        return F.struct(F.when(took, e["_made"]).otherwise(a["rev"]).alias("rev"), F.when(took, F.coalesce(e["_type"], a["type"])).otherwise(a["type"]).alias("type"), n.alias("n"), done.alias("done"))
+
+    chains = tried.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("edits"), F.first("_live").alias("live"), F.first("_tags.type").alias("type"))
+    verdicts = chains.select(F.explode(F.aggregate("edits", start, step)["done"]).alias("v")).select(F.col("v.id").alias("_id"), F.col("v.n").alias("_n"), F.col("v.reason").alias("reason"))
+    told = tried.join(verdicts, "_id")
+    upto = W.partitionBy(*key).orderBy("_n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = lambda c: F.last(c, ignorenulls=True).over(upto)
+    tags = F.struct(F.coalesce(last("_topic"), "_tags.topic", F.array().cast("array<string>")).alias("topic"), F.coalesce(last("_type"), "_tags.type", F.lit("")).alias("type"), F.coalesce(last("_difficulty"), "_tags.difficulty", F.lit("medium")).alias("difficulty"))
+    out = told.filter("reason is null").withColumn("tags", tags).withColumns({"version": F.lit(version) + F.col("_n") - 1, "deleted": F.lit(False)})
+    own = ["_id", "_n", "_sent", "_made", "_live", "_tags", *given]
+    return out.drop(*own, "reason", "bad_type"), told.filter("reason is not null").select(*key, "seq", "reason")
 
 
 def assign_manual(new: DataFrame, entries: DataFrame, prefix: str = "manual-") -> DataFrame:
     """new (ord, ...) with qid: the smallest numbers with the prefix that no entry uses, in order of ord.
 
-    Free numbers are those up to the highest used one that aren't used, then what follows it.
+    Other names with the prefix (manual-x) use no number. Free numbers are those up to the highest used one that aren't used, then what follows it.
     """
     from .worksheet import numbered
 
-    used = entries.filter(F.col("qid").startswith(prefix)).select(F.regexp_extract("qid", r"(\d+)\z", 1).cast("long").alias("n")).distinct()
+    tail = F.substring("qid", F.lit(len(prefix) + 1), F.length("qid"))
+    used = entries.filter(F.col("qid").startswith(prefix)).filter(tail.rlike(r"^\d+\z")).select(tail.try_cast("long").alias("n")).filter("n > 0").distinct()
     count, wanted = used.count(), new.count()
     free = new.sparkSession.range(1, count + wanted + 1).select(F.col("id").alias("n")).join(used, "n", "left_anti")
     places = numbered(free, [F.col("n")])
@@ -83,28 +114,40 @@ def journalled(journal: DataFrame, new: DataFrame, keep: int = 200) -> DataFrame
 
 
 def restorable(journal: DataFrame, which: str = "after", ts: str | None = None) -> DataFrame:
-    """qid and content: the newest journalled content of each entry (before or after the change; of one time, if it is given)."""
+    """source, file_stem (if the journal has it), qid and content: the newest journalled content of each entry (before or after the change; of one time, if it is given)."""
     some = journal.filter(F.col(which).isNotNull())
     some = some if ts is None else some.filter(F.col("ts") == ts)
-    return some.groupBy("source", "qid").agg(F.max_by(which, F.struct("ts", "id")).alias("content"))
+    return some.groupBy(*entry_key(some)).agg(F.max_by(which, F.struct("ts", "id")).alias("content"))
 
 
 def restore_entries(stages: DataFrame, contents: DataFrame) -> DataFrame:
-    """Rows of all stages (qid, pipeline_stage, content, tags) after a restore: the content of the journal in every stage that holds the entry, each
-    with its own tags; an entry that none holds comes back in all stages of its file."""
-    got = contents.select("qid", F.col("content").alias("_new"))
-    held = stages.join(got, "qid", "left").withColumn("content", F.coalesce("_new", "content")).drop("_new")
-    lost = got.join(stages.select("qid").distinct(), "qid", "left_anti").select("qid", F.col("_new").alias("content"))
-    back = lost.join(F.broadcast(stages.select("pipeline_stage").distinct())).withColumn("tags", F.lit(None).cast(stages.schema["tags"].dataType))
-    return held.unionByName(back.select(*held.columns))
-
-
-def verified(stages: DataFrame, qids: DataFrame, live: str) -> DataFrame:
-    """Rows of all stages with the flag verified turned over for some qids: the live stage's row decides for all."""
-    state = stages.filter(F.col("pipeline_stage") == live).join(qids.distinct(), "qid").select("qid", (~F.array_contains("flags", "verified")).alias("_set"))
-    out = stages.join(state, "qid", "left")
+    """Rows of all stages (qid, pipeline_stage, content, tags and what else names an entry, see bank.entry_key) after a restore: the content of the
+    journal in every stage that holds the entry, each with its own tags; an entry that none holds comes back in the stages that its own file
+    has. contents: qid and content, and the source and file_stem of the entry where stages have them."""
+    key = entry_key(stages, contents)
+    file = [c for c in key if c != "qid"]
+    got = contents.select(*key, F.col("content").alias("_new"))
+    held = stages.join(got, key, "left").withColumn("content", F.coalesce("_new", "content")).drop("_new")
+    lost = got.join(stages.select(*key).distinct(), key, "left_anti").select(*key, F.col("_new").alias("content"))
+    there = stages.select(*file, "pipeline_stage").distinct()
+    back = (lost.join(there, file) if file else lost.crossJoin(there)).withColumn("tags", F.lit(None).cast(stages.schema["tags"].dataType))
+    return held.unionByName(back, allowMissingColumns=True).select(*held.columns)
+
+
+def verified(stages: DataFrame, qids: DataFrame, live: DataFrame | str) -> DataFrame:
+    """Rows of all stages with the flag verified turned over for some entries: the row of the file's live stage decides for all.
+
+    qids: qid and what else names an entry. live: the files' live stages (the columns of a file that stages have, pipeline_stage), or one stage for all."""
+    key = entry_key(stages, qids)
+    if isinstance(live, str):
+        deciding = stages.filter(F.col("pipeline_stage") == live)
+    else:
+        deciding = stages.join(live.select(*entry_key(stages, live), "pipeline_stage").distinct(), [*entry_key(stages, live), "pipeline_stage"], "left_semi")
+    own = entry_key(stages)
+    state = deciding.join(qids.select(*key).distinct(), key, "left_semi").select(*own, (~F.array_contains("flags", "verified")).alias("_set"))
+    out = stages.join(state, own, "left")
     flags = F.when(F.col("_set"), F.array_union("flags", F.array(F.lit("verified")))).when(~F.col("_set"), F.array_remove("flags", "verified")).otherwise(F.col("flags"))
-    return out.withColumn("flags", flags).drop("_set")
+    return out.withColumn("flags", flags).drop("_set").select(*stages.columns)
 
 
 def restore_database(current: DataFrame, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,7 +186,7 @@ def cleared_usage(events: DataFrame, clears: DataFrame) -> DataFrame:
     """Usage events (level, source, qid, ts) that no later clearing undoes; a clearing without a qid undoes its source's."""
     own = clears.filter("qid is not null").groupBy("level", "source", "qid").agg(F.max("ts").alias("_one"))
     whole = clears.filter("qid is null").groupBy("level", "source").agg(F.max("ts").alias("_all"))
-    out = events.join(own, ["level", "source", "qid"], "left").join(F.broadcast(whole), ["level", "source"], "left")
+    out = events.join(own, ["level", "source", "qid"], "left").join(whole, ["level", "source"], "left")
     gone = (F.col("ts") <= F.col("_one")) | (F.col("ts") <= F.col("_all"))
     return out.filter(~F.coalesce(gone, F.lit(False))).drop("_one", "_all")
 

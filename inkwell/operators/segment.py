@@ -128,11 +128,12 @@ def split_tables(blocks: DataFrame) -> DataFrame:
     return out.select("doc", (F.row_number().over(order) - 1).alias("i"), "src_i", *rest, "_piece.*")
 
 
-def label_blocks(blocks: DataFrame, client: ModelClient | None = None, chunk: int = 90, overlap: int = 6) -> DataFrame:
+def label_blocks(blocks: DataFrame, client: ModelClient | None = None, chunk: int = 90, overlap: int = 6, store: str | None = None) -> DataFrame:
     """blocks with role and label. Hints (columns hint and label) hold; without a client the heuristic decides the rest.
 
     A client reads each document's blocks in chunks, each but the first with the last blocks of the one before it; the
-    first label of a block holds, a chunk with an unreadable reply falls back to the heuristic, gaps are body.
+    first label of a block holds, a chunk with an unreadable reply falls back to the heuristic, gaps are body. store: a table of
+    replies that later runs may read (see run_model).
     """
     by_rule = heuristic_role(F.col("type"), F.col("text"))
     ruled = blocks.withColumns({"role": F.coalesce("hint", by_rule), "label": F.when(F.col("hint").isNotNull(), F.col("label")).otherwise(heuristic_label(by_rule, F.col("text")))})
@@ -145,7 +146,7 @@ def label_blocks(blocks: DataFrame, client: ModelClient | None = None, chunk: in
     real = chunks.groupBy("doc", "chunk").agg(F.max((F.col("_own") == F.col("chunk")).cast("int")).alias("real")).filter("real = 1")
     chunks = chunks.join(real.select("doc", "chunk"), ["doc", "chunk"])
     asked = listing(chunks.withColumn("doc", F.struct("doc", "chunk"))).select("doc.*", "listing")
-    reply = run_model(asked, client, "label", F.to_json(F.struct("listing")), "array<struct<i:int,role:string,label:string>>", wrapped="labels")
+    reply = run_model(asked, client, "label", F.to_json(F.struct("listing")), "array<struct<i:int,role:string,label:string>>", wrapped="labels", store=store)
     read = reply.select("doc", "chunk", F.col("reply").isNull().alias("bad"), F.explode_outer("reply").alias("x")).select("doc", "chunk", "bad", "x.*")
     said = read.filter("i is not null").groupBy("doc", "i").agg(F.min_by(F.struct("role", "label"), "chunk").alias("said"), F.min("chunk").alias("said_in"))
     failed = chunks.select("doc", "i", "chunk").join(read.filter("bad").select("doc", "chunk").distinct(), ["doc", "chunk"]).groupBy("doc", "i").agg(F.min("chunk").alias("failed_in"))

@@ -57,9 +57,10 @@ def segment_report(spark, sf_dir):
 
 
 @query("""SELECT p_partkey AS doc, 0 AS page, '1. About ' || p_name || ' [Total: ' || p_size || ']' || chr(10) || chr(10) || '(a) Name ' || p_brand || ' $1 2$ [3]' AS text FROM part
-UNION ALL SELECT p_partkey, 1, '![](f' || p_partkey || '.png)' || chr(10) || chr(10) || '(b) Size of ' || p_type || chr(10) || chr(10) || '____ km' FROM part""")
+UNION ALL SELECT p_partkey, 1, '![](f' || p_partkey || '.png)' || chr(10) || chr(10) || '(b) Size of ' || p_type || chr(10) || chr(10) || '____ km' FROM part
+UNION ALL SELECT p_partkey, 2, '<table><tr><td>2.</td><td colspan="3">Pick the ' || p_type || '</td></tr><tr><td>A</td><td>' || p_name || '</td></tr><tr><td>B</td><td>' || p_brand || '</td></tr></table>' FROM part""")
 def page_texts(spark, sf_dir):
-    return segment.page_texts(_raw_blocks(spark, sf_dir).filter("type <> 'header'")).filter("page < 2")
+    return segment.page_texts(_raw_blocks(spark, sf_dir).filter("type <> 'header'"))
 
 
 @query("""SELECT p_partkey AS doc, '[1] (text) 1. About ' || p_name || ' [Total: ' || p_size || ']' || chr(10) || '[2] (text) (a) Name ' || p_brand || ' $12$ [3]' || chr(10) || '[3] (image) <figure>' || chr(10) || '[4] (text) (b) Size of ' || p_type || ' ____ km' || chr(10)
@@ -226,11 +227,12 @@ def topic_menu(spark, sf_dir):
     return bank.topic_menu(tax.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name_en"), F.array("r_name", "n_name").alias("keywords")))
 
 
-@query("SELECT c_custkey AS qid, n_name || '|none' AS names FROM customer JOIN nation ON n_nationkey = c_nationkey")
+@query("SELECT c_mktsegment AS source, c_custkey % 100 AS qid, c_custkey // 100 AS file_stem, n_name || '|none' AS names FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def topic_names(spark, sf_dir):
-    e = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"), F.array(F.col("c_nationkey").cast("string"), F.lit("none")).alias("topics"))
+    """Customers as entries whose qids are the same in every file."""
+    e = t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("source"), F.floor(F.col("c_custkey") / 100).alias("file_stem"), (F.col("c_custkey") % 100).alias("qid"), F.array(F.col("c_nationkey").cast("string"), F.lit("none")).alias("topics"))
     tax = t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name_en"))
-    return bank.with_names(e, tax).select("qid", F.array_join("topic_names", "|").alias("names"))
+    return bank.with_names(e, tax).select("source", "file_stem", "qid", F.array_join("topic_names", "|").alias("names"))
 
 
 @query("SELECT doc_id AS qid, coalesce(n, 0) AS uses, doc_id % 10 = 3 AS in_cart FROM documents LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) ON user_id = doc_id")
@@ -282,21 +284,31 @@ def _editable(spark, sf_dir):
     return bank.with_revision(e)
 
 
-@query("""SELECT doc_id AS qid, CASE WHEN doc_id % 5 = 3 THEN 'bad type' WHEN doc_id % 5 = 2 THEN 'changed since' END AS refused, CASE WHEN doc_id % 5 NOT IN (2, 3) THEN 'New ' || doc_id END AS stem, CASE WHEN doc_id % 5 NOT IN (2, 3) THEN '4' END AS marks,
-CASE WHEN doc_id % 5 NOT IN (2, 3) THEN 'x' || doc_id || '|y' END AS answers, CASE WHEN doc_id % 5 NOT IN (2, 3) THEN 'keep,human_edited' END AS flags, CASE WHEN doc_id % 5 NOT IN (2, 3) THEN CASE WHEN doc_id % 5 = 1 THEN 'legacy' ELSE 'mcq' END END AS type FROM documents""")
+@query("""WITH sent AS (SELECT doc_id AS qid, lang, unnest([1, 2, 3]) AS seq FROM documents),
+told AS (SELECT *, CASE WHEN qid % 5 = 3 AND seq = 1 THEN 'bad type' WHEN qid % 5 = 2 AND seq < 3 THEN 'changed since' WHEN qid % 5 = 0 AND seq = 2 THEN 'changed since' END AS refused FROM sent),
+counted AS (SELECT *, (count(*) FILTER (refused IS NULL) OVER (PARTITION BY qid ORDER BY seq))::INT AS n FROM told)
+SELECT qid, seq, refused, CASE WHEN refused IS NULL THEN 'New ' || qid || ' ' || seq END AS stem, CASE WHEN refused IS NULL THEN '4' END AS marks, CASE WHEN refused IS NULL THEN 'x' || qid || '|y' END AS answers,
+  CASE WHEN refused IS NULL THEN 'keep,human_edited' END AS flags, CASE WHEN refused IS NULL THEN CASE WHEN qid % 5 = 1 THEN 'legacy' WHEN qid % 5 = 3 AND seq = 2 THEN 'legacy' WHEN qid % 5 = 3 THEN 'short_answer' ELSE 'mcq' END END AS type,
+  CASE WHEN refused IS NULL THEN CASE WHEN qid % 5 = 4 AND seq > 1 THEN 'own' ELSE lang END END AS topic, CASE WHEN refused IS NULL THEN 1 + n END AS version
+FROM counted""")
 def save_edits(spark, sf_dir):
+    """Three edits an entry. By qid mod 5: 0: all have the live rev, but the last has none; 1: without revs; 2: the first two have a wrong rev; 3: the
+    first has a bad type; the next, of the live rev, no type; the last a type and no rev; 4: without revs, the second gives a topic and the last keeps it."""
     live = _editable(spark, sf_dir)
-    k, id_ = F.col("qid") % 5, F.col("qid").cast("string")
+    k, id_, seq = F.col("qid") % 5, F.col("qid").cast("string"), F.col("seq")
     part = lambda no, s: F.struct(F.lit(no).alias("no"), F.lit(s).alias("text"))
     none = F.lit(None).cast("string")
+    type_ = F.when((k == 3) & (seq == 1), "nonsense").when((k == 3) & (seq == 3), "short_answer").when(k == 3, none).when(k == 1, "legacy").otherwise("mcq")
     edit = F.struct(
-        F.concat(F.lit("New "), id_, F.lit(" [Total: 4]")).alias("stem"), none.alias("solution"), F.lit(None).cast("map<string,string>").alias("options"), F.concat(F.lit("(a) x"), id_, F.lit("; (b) y")).alias("answer"), none.alias("answer_area"),
-        F.array(part("a", "one"), part("b)", "two"), part("c", " ")).alias("parts"), F.when(k == 3, "nonsense").when(k == 1, "legacy").otherwise("mcq").alias("type"), F.lit(None).cast("array<string>").alias("topic"), none.alias("difficulty"),
+        F.concat(F.lit("New "), id_, F.lit(" "), seq.cast("string"), F.lit(" [Total: 4]")).alias("stem"), none.alias("solution"), F.lit(None).cast("map<string,string>").alias("options"), F.concat(F.lit("(a) x"), id_, F.lit("; (b) y")).alias("answer"), none.alias("answer_area"),
+        F.array(part("(a)", "one"), part("b)", "two"), part("c", " ")).alias("parts"), type_.alias("type"), F.when((k == 4) & (seq == 2), F.array(F.lit("own"))).alias("topic"), none.alias("difficulty"),
     )
-    sent = live.select("qid", F.when(k == 2, "0123456789ab").otherwise(F.col("rev")).alias("rev"), edit.alias("edit"))
+    rev = F.when((k == 2) & (seq < 3), "0123456789ab").when((seq < 3) & k.isin(0, 3), F.col("rev"))
+    sent = live.withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select("qid", "seq", rev.alias("rev"), edit.alias("edit"))
     rows, refused = edits.save_edits(live, sent, ["qid"], ["mcq", "short_answer"], 2)
-    saved = rows.select("qid", "stem", F.col("meta.marks").cast("string").alias("marks"), F.array_join("parts.answer", "|").alias("answers"), F.array_join("flags", ",").alias("flags"), F.col("tags.type").alias("type"))
-    return live.select("qid").join(saved, "qid", "left").join(refused.withColumnRenamed("reason", "refused"), "qid", "left").select("qid", "refused", "stem", "marks", "answers", "flags", "type")
+    saved = rows.select("qid", "seq", "stem", F.col("meta.marks").cast("string").alias("marks"), F.array_join("parts.answer", "|").alias("answers"), F.array_join("flags", ",").alias("flags"), F.col("tags.type").alias("type"), F.array_join("tags.topic", ",").alias("topic"), "version")
+    both = refused.withColumnRenamed("reason", "refused").unionByName(saved, allowMissingColumns=True)
+    return both.select("qid", "seq", "refused", "stem", "marks", "answers", "flags", "type", "topic", "version")
 
 
 @query("""WITH used AS (SELECT DISTINCT doc_id * 2 AS n FROM documents WHERE doc_id > 0), free AS (SELECT n, row_number() OVER (ORDER BY n) AS r FROM range(1, (SELECT count(*) FROM used) + (SELECT count(*) FROM nation) + 1) x(n) WHERE n NOT IN (SELECT n FROM used))
@@ -325,20 +337,30 @@ def restorable(spark, sf_dir):
     return edits.restorable(j).select("source", "qid", "content")
 
 
-@query("""WITH s AS (SELECT doc_id AS qid, unnest(['raw', 'clean']) AS pipeline_stage, 'now' || doc_id AS content, lang AS tags FROM documents WHERE doc_id % 3 <> 0)
-SELECT qid, pipeline_stage, CASE WHEN qid % 2 = 0 THEN 'then' || qid ELSE content END AS content, tags FROM s UNION ALL
-SELECT doc_id, unnest(['raw', 'clean']), 'then' || doc_id, NULL FROM documents WHERE doc_id % 6 = 0""")
+@query("""WITH e AS (SELECT source, doc_id // 20 AS qid, doc_id % 20 AS file_stem, unnest(CASE WHEN doc_id % 20 = 1 THEN ['raw'] ELSE ['raw', 'clean'] END) AS pipeline_stage, doc_id, lang AS tags FROM documents),
+held AS (SELECT * FROM e WHERE qid % 3 <> 0), files AS (SELECT DISTINCT source, file_stem, pipeline_stage FROM held)
+SELECT source, file_stem, qid, pipeline_stage, CASE WHEN doc_id % 2 = 0 THEN 'then' ELSE 'now' END || doc_id AS content, tags FROM held
+UNION ALL SELECT d.source, f.file_stem, d.doc_id // 20, f.pipeline_stage, 'then' || d.doc_id, NULL FROM documents d JOIN files f ON f.source = d.source AND f.file_stem = d.doc_id % 20 WHERE (d.doc_id // 20) % 3 = 0 AND d.doc_id % 2 = 0""")
 def restored_entries(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").withColumn("qid", F.col("doc_id"))
-    named = lambda word: F.concat(F.lit(word), F.col("qid").cast("string"))
-    stages = d.filter("doc_id % 3 <> 0").select("qid", F.explode(F.array(F.lit("raw"), F.lit("clean"))).alias("pipeline_stage"), named("now").alias("content"), F.col("lang").alias("tags"))
-    return edits.restore_entries(stages, d.filter("doc_id % 2 = 0").select("qid", named("then").alias("content")))
+    """Twenty files a source whose qids are the same; file 1 has a raw stage only. Entries of even doc_ids are restored, a third of which were deleted."""
+    d = t(spark, sf_dir, "documents").withColumns({"qid": F.floor(F.col("doc_id") / 20), "file_stem": F.col("doc_id") % 20})
+    named = lambda word: F.concat(F.lit(word), F.col("doc_id").cast("string")).alias("content")
+    has = F.when(F.col("file_stem") == 1, F.array(F.lit("raw"))).otherwise(F.array(F.lit("raw"), F.lit("clean")))
+    stages = d.filter("qid % 3 <> 0").select("source", "file_stem", "qid", F.explode(has).alias("pipeline_stage"), named("now"), F.col("lang").alias("tags"))
+    return edits.restore_entries(stages, d.filter("doc_id % 2 = 0").select("source", "file_stem", "qid", named("then")))
 
 
-@query(f"SELECT doc_id::VARCHAR AS qid, s AS pipeline_stage, CASE WHEN doc_id % 2 = 0 THEN length(text) % 2 <> 0 ELSE length(text) % 2 = 0 END AS verified FROM documents, (VALUES ('raw'), ('clean'), ('tagged')) v(s) WHERE NOT (s = 'tagged' AND doc_id % 7 = 3)")
+@query(f"""WITH s AS (SELECT doc_id::VARCHAR AS qid, s AS pipeline_stage, CASE WHEN {_LIVE} = 'raw' THEN length(text) % 2 = 0 ELSE length(text) % 4 < 2 END AS live, CASE WHEN s = 'raw' THEN length(text) % 2 = 0 ELSE length(text) % 4 < 2 END AS own, doc_id % 2 = 0 AS turned
+FROM documents, (VALUES ('raw'), ('clean'), ('tagged')) v(s) WHERE NOT (s = 'tagged' AND doc_id % 7 = 3))
+SELECT qid, pipeline_stage, CASE WHEN turned THEN NOT live ELSE own END AS verified FROM s""")
 def verified_flags(spark, sf_dir):
-    s = _stages(spark, sf_dir)
-    turned = edits.verified(s, s.select("qid").filter("cast(qid as long) % 2 = 0"), "raw")
+    """Stages that disagree about the flag: each file's live stage decides."""
+    s = _stages(spark, sf_dir).join(t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("qid"), F.length("text").alias("n")), "qid")
+    later = F.when(F.col("n") % 4 < 2, F.array(F.lit("verified"))).otherwise(F.array().cast("array<string>"))
+    s = s.withColumn("flags", F.when(F.col("pipeline_stage") == "raw", F.col("flags")).otherwise(later)).drop("n")
+    stages = _versions(s).select(F.struct(*bank.COORDINATES, "file_stem").alias("doc"), F.col("pipeline_stage").alias("stage"), "version")
+    live = bank.live_stage(stages).select("doc.*", F.col("stage").alias("pipeline_stage"))
+    turned = edits.verified(s, s.select("qid").filter("cast(qid as long) % 2 = 0"), live)
     return turned.select("qid", "pipeline_stage", F.array_contains("flags", "verified").alias("verified"))
 
 
@@ -468,28 +490,30 @@ class _Proofreader:
 
 
 def _cleaned(spark, sf_dir):
-    e = _editable(spark, sf_dir).withColumns({"doc": F.col("tags.topic")[0], "stem": F.concat(F.lit("stem "), F.col("qid").cast("string"))})
-    return build.clean_entries(e, _Proofreader())
+    """Entries whose qids repeat in every document: a document is a language and the rest of the id modulo 7."""
+    id_ = F.col("qid").cast("string")
+    e = _editable(spark, sf_dir).withColumns({"doc": F.concat_ws("-", F.col("tags.topic")[0], (F.col("qid") % 7).cast("string")), "stem": F.concat(F.lit("stem "), id_)})
+    return build.clean_entries(e.withColumn("qid", F.floor(F.col("qid") / 7)), _Proofreader())
 
 
-@query("""SELECT doc_id AS qid, CASE WHEN doc_id % 5 = 4 THEN 'stem ' ELSE 'Better ' END || doc_id AS stem, CASE WHEN doc_id % 5 = 4 THEN '' ELSE 'stem' END AS changed, CASE WHEN doc_id % 5 = 1 THEN 'answer: verdict-token value fixed' ELSE '' END AS rejected,
+@query("""SELECT lang || '-' || doc_id % 7 AS doc, doc_id // 7 AS qid, CASE WHEN doc_id % 5 = 4 THEN 'stem ' ELSE 'Better ' END || doc_id AS stem, CASE WHEN doc_id % 5 = 4 THEN '' ELSE 'stem' END AS changed, CASE WHEN doc_id % 5 = 1 THEN 'answer: verdict-token value fixed' ELSE '' END AS rejected,
 'keep,no_solution,no_answer' || CASE WHEN doc_id % 5 = 1 THEN ',patch_rejected:answer: verdict-token value fixed' ELSE '' END || CASE WHEN doc_id % 5 <> 4 THEN ',llm_fixed:stem' ELSE '' END || CASE WHEN doc_id % 5 = 2 THEN ',llm_severe' ELSE '' END AS flags FROM documents""")
 def cleaned_entries(spark, sf_dir):
-    return _cleaned(spark, sf_dir).select("qid", "stem", F.array_join("changed", ",").alias("changed"), F.array_join("rejected", ",").alias("rejected"), F.array_join("flags", ",").alias("flags"))
+    return _cleaned(spark, sf_dir).select("doc", "qid", "stem", F.array_join("changed", ",").alias("changed"), F.array_join("rejected", ",").alias("rejected"), F.array_join("flags", ",").alias("flags"))
 
 
-@query("SELECT lang AS doc, count(*) AS checked, 0 AS with_images, count(*) FILTER (doc_id % 5 <> 4) AS fixed, count(*) FILTER (doc_id % 5 = 2) AS severe, count(*) FILTER (doc_id % 5 = 1) AS lint_dropped, count(*) FILTER (doc_id % 5 = 4) AS llm_errors FROM documents GROUP BY 1")
+@query("SELECT lang || '-' || doc_id % 7 AS doc, count(*) AS checked, 0 AS with_images, count(*) FILTER (doc_id % 5 <> 4) AS fixed, count(*) FILTER (doc_id % 5 = 2) AS severe, count(*) FILTER (doc_id % 5 = 1) AS lint_dropped, count(*) FILTER (doc_id % 5 = 4) AS llm_errors FROM documents GROUP BY 1")
 def clean_counts(spark, sf_dir):
     return build.clean_stats(_cleaned(spark, sf_dir))
 
 
-@query("""SELECT 'gen-b' || p_size || '-' || lpad(p_partkey::VARCHAR, 3, '0') AS qid, 'mcq' AS kind, 'About ' || p_name AS stem, '(1) ' || p_brand || '|(2) x' AS options, '(2)' AS answer, CASE WHEN p_partkey % 2 = 0 THEN 't2' ELSE 't1,t2' END AS topics, 'ai_generated' AS flags FROM part WHERE p_partkey % 3 <> 0 AND p_partkey < 1000""")
+@query("""SELECT 'gen-b' || p_size || '-' || CASE WHEN p_partkey < 1000 THEN lpad(p_partkey::VARCHAR, 3, '0') ELSE p_partkey::VARCHAR END AS qid, 'mcq' AS kind, 'About ' || p_name AS stem, '(1) ' || p_brand || '|(2) x' AS options, '(2)' AS answer, CASE WHEN p_partkey % 2 = 0 THEN 't2' ELSE 't1,t2' END AS topics, 'ai_generated' AS flags FROM part WHERE p_partkey % 3 <> 0""")
 def generated_entries(spark, sf_dir):
     q = F.struct(
         F.when(F.col("p_partkey") % 3 == 0, " ").otherwise(F.concat(F.lit("About "), F.col("p_name"))).alias("stem"), F.array().cast("array<struct<no:string,text:string>>").alias("parts"), F.create_map(F.lit("A"), F.col("p_brand"), F.lit("B"), F.lit("x")).alias("options"), F.lit("B").alias("answer"), F.lit("because").alias("solution"),
         F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("t2"), F.lit("t9"))).alias("topics"), F.lit(None).cast("string").alias("type"),
     )
-    replies = t(spark, sf_dir, "part").filter("p_partkey < 1000").select(F.concat(F.lit("b"), F.col("p_size").cast("string")).alias("batch"), F.col("p_partkey").alias("n"), q.alias("q"))
+    replies = t(spark, sf_dir, "part").select(F.concat(F.lit("b"), F.col("p_size").cast("string")).alias("batch"), F.col("p_partkey").alias("n"), q.alias("q"))
     e = build.generated(replies, ["t1", "t2"], "")
     return e.select("qid", "kind", "stem", F.array_join(F.transform("options", lambda o: F.concat_ws(" ", o["label"], o["value"])), "|").alias("options"), F.col("answer.value").alias("answer"), F.array_join("tags.topic", ",").alias("topics"), F.array_join("flags", ",").alias("flags"))
 

@@ -63,10 +63,10 @@ def taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_stage(df: DataFrame, path: str) -> None:
-    """Overwrites a stage's files by source; refuses to replace something by nothing."""
+    """Replaces a stage's files of the sources that df has rows of; those of other sources stay. Refuses to replace something by nothing."""
     if df.isEmpty():
         raise ValueError(f"refusing to blank {path}")
-    df.write.mode("overwrite").partitionBy("subject", "stage", "level", "source").json(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subject", "stage", "level", "source").json(path)
 
 
 def snapshot(df: DataFrame, path: str, tag: str) -> tuple[int, int]:
@@ -104,7 +104,8 @@ def to_extract(raw: DataFrame, extracted: DataFrame, force: bool = False, batch:
     stem = F.regexp_replace("name", r"\.[^.]+\z", "")
     todo = raw.select("name", stem.alias("stem")).distinct()
     todo = todo if force else todo.join(extracted.select("stem").distinct(), "stem", "left_anti")
-    return todo.withColumn("batch", F.pmod(F.xxhash64("stem"), F.lit(1 << 31)) % F.greatest(F.lit(1), F.ceil(F.lit(todo.count()) / batch))).select("name", "batch")
+    batches = todo.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / batch)).alias("batches"))  # one row
+    return todo.crossJoin(F.broadcast(batches)).select("name", (F.pmod(F.xxhash64("stem"), F.lit(1 << 31)) % F.col("batches")).alias("batch"))
 
 
 def mock_extract(names: DataFrame) -> DataFrame:
