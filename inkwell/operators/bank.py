@@ -136,18 +136,18 @@ def _roots(at: DataFrame, rounds: int, crops: bool) -> DataFrame:
     return at
 
 
-def page_map(steps: DataFrame) -> DataFrame:
+def page_map(steps: DataFrame, rounds: int | None = None) -> DataFrame:
     """output, page, source, source_page, depth and crops: every output page's page of a source that is no output itself.
 
     steps: output, page (together a key), source, source_page and, where there is one, crop (of any type). Pages follow their source by pointer
     doubling: each round a page's pointer moves on to where that pointer's page points, so chains end after log2(n) rounds of one join, n being
     the number of pages. A pointer that still moves then has walked further than there are pages: it stands on a circle, and Circle names
-    such pages. crops, those of all steps on the way, the innermost first, are gathered only when there is no circle, so they
+    such pages (rounds: fewer rounds, for chains known to be shorter). crops, those of all steps on the way, the innermost first, are gathered only when there is no circle, so they
     are never longer than a chain.
     """
     plain = steps.select("output", "page", "source", "source_page", F.lit(1).cast("long").alias("depth"), F.lit(True).alias("on"))
     at = kept(plain, "pages")
-    rounds = at.count().bit_length() + 1
+    rounds = min(at.count().bit_length() + 1, rounds or 64)
     at = _roots(at, rounds, False)
     lost = at.filter("on").select("source", "source_page").distinct().orderBy("source", "source_page").limit(10).collect()
     if lost:

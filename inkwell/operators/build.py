@@ -14,6 +14,7 @@ from ..tables import kept
 from .answers import match_answers, merge_answers
 from .bank import entry_key, refresh_flags, validate
 from .model import ModelClient, run_model
+from .segment import dropped_blocks
 
 ANSWER = "struct<value:string,kind:string>"
 SCHEMA_VERSION = 2
@@ -123,8 +124,8 @@ def report(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     names = entries.select("doc", F.explode("flags").alias("flag")).select("doc", F.substring_index("flag", ":", 1).alias("flag")).groupBy("doc", "flag").agg(F.count("*").alias("n"))
     names = names.groupBy("doc").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("flag", "n")))).alias("flags"))
     content = blocks.filter("role not in ('noise', 'section')").select("doc", "src_i").distinct()
-    used = entries.select("doc", F.col("meta.blocks")[0].alias("lo"), F.col("meta.blocks")[1].alias("hi"))
-    lost = content.join(used.withColumnRenamed("doc", "_d"), (F.col("doc") == F.col("_d")) & F.col("src_i").between(F.col("lo"), F.col("hi")), "left_anti").groupBy("doc").agg(F.count("*").alias("_lost"))
+    used = entries.select("doc", F.col("meta.blocks")[0].alias("first_i"), F.col("meta.blocks")[1].alias("last_i"))
+    lost = dropped_blocks(content.withColumnRenamed("src_i", "i"), used).groupBy("doc").agg(F.count("*").alias("_lost"))
     out = content.groupBy("doc").agg(F.count("*").alias("blocks_content")).join(lost, "doc", "left").join(e.drop("_ranges"), "doc", "left").join(names, "doc", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     warning = F.when(zero(F.col("questions")) == 0, F.concat(F.col("blocks_content").cast("string"), F.lit(" content blocks produced 0 questions"))).when(zero(F.col("_lost")) > 0, F.concat_ws("", F.col("_lost").cast("string"), F.lit("/"), F.col("blocks_content").cast("string"), F.lit(" content blocks were not placed")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.let import let
 from ..functions.similarity import token_sets
+from ..tables import kept
 
 KINDS = ("words", "bigrams")
 
@@ -24,7 +25,7 @@ def novelty(entries: DataFrame, references: DataFrame, bound: int = 8_000_000) -
 
     entries (entry_id, text), references (ref_id, text). While the references' texts are under `bound` bytes (measured first) their
     inverted index goes to every executor, and an entry's best reference is found where the entry lies: nothing is shuffled. More
-    references are joined on features.
+    references are joined on features, the rarest first (see _joined).
     """
     size = references.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     return _indexed(entries, references) if size <= bound else _joined(entries, references)
@@ -80,18 +81,48 @@ def _indexed(entries: DataFrame, references: DataFrame) -> DataFrame:
     return entries.select("entry_id", _hashed(F.col("text")).alias("s")).mapInArrow(run, f"entry_id {kind}, ref_id bigint, score double")
 
 
-def _features(df: DataFrame, id_: str) -> DataFrame:
-    """id, kind (0 word, 1 bigram), feature, size: one row for each member of a text's two sets."""
+def _sets(df: DataFrame, id_: str) -> DataFrame:
+    """id, kind (0 word, 1 bigram), size and f, the features: a row for each of a text's two sets that isn't empty."""
     sets = df.select(F.col(id_), _hashed(F.col("text")).alias("s"))
     both = F.array(*(F.struct(F.lit(i).alias("kind"), F.col(f"s.{k}").alias("f")) for i, k in enumerate(KINDS)))
-    kinds = sets.select(id_, F.explode(both).alias("k")).select(id_, "k.kind", F.size("k.f").alias("size"), "k.f")
-    return kinds.select(id_, "kind", "size", F.explode("f").alias("feature"))
+    return sets.select(id_, F.explode(both).alias("k")).select(id_, "k.kind", F.size("k.f").alias("size"), "k.f").filter("size > 0")
 
 
-def _joined(entries: DataFrame, references: DataFrame) -> DataFrame:
-    right = _features(references.filter("ref_id is not null"), "ref_id").withColumnRenamed("size", "ref_size")
-    common = _features(entries, "entry_id").join(right, ["kind", "feature"]).groupBy("entry_id", "ref_id", "kind").agg(F.count("*").alias("n"), F.first("size").alias("a"), F.first("ref_size").alias("b"))
-    scores = common.groupBy("entry_id", "ref_id").agg(F.max(F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).alias("score"))
-    best = scores.groupBy("entry_id").agg(F.max(F.struct("score", (-F.col("ref_id")).alias("o"))).alias("m"))
-    best = best.select("entry_id", (-F.col("m.o")).alias("ref_id"), F.col("m.score").alias("score"))
-    return entries.select("entry_id").join(best, "entry_id", "left").select("entry_id", "ref_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+def _joined(entries: DataFrame, references: DataFrame, first: int = 4) -> DataFrame:
+    """The best reference by joins, the rarest features first.
+
+    A set's features that some reference has are ordered by how many references have them. References that share none of the first p of an entry's
+    n features have at most the rest in common, so their similarity is at most rest / n: an entry is done when that is under what
+    it has already found. So 4 features are looked up, then 8, 16 ..., of the entries that aren't done; what nearly every reference has comes
+    last and, but for entries with nothing else in common with any, never. Candidates are compared by their whole sets.
+    """
+    left = kept(_sets(entries.dropDuplicates(["entry_id"]), "entry_id"), "entry-sets")
+    right = kept(_sets(references.filter("ref_id is not null"), "ref_id"), "reference-sets")
+    postings = right.select("kind", F.explode("f").alias("feature"), "ref_id")
+    often = postings.groupBy("kind", "feature").agg(F.count("*").alias("n"))
+    known = left.select("entry_id", "kind", F.explode("f").alias("feature")).join(often, ["kind", "feature"])
+    ranked = known.groupBy("entry_id", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "feature"))).alias("by"))
+    open_ = kept(left.select("entry_id", "kind", "size").join(ranked, ["entry_id", "kind"]).select("entry_id", "kind", "size", F.col("by.feature").alias("by"), F.size("by").alias("need")), "rarest-first")
+    best, at, step = None, 0, first
+    while True:
+        if best is not None:
+            found = best.select("entry_id", "kind", F.col("m.score").alias("found"))
+            need = F.least(F.size("by"), F.floor(F.size("by") - F.coalesce("found", F.lit(0.0)) * F.col("size") + 1e-9) + 1).cast("int")
+            open_ = open_.join(found, ["entry_id", "kind"], "left").withColumn("need", need).filter(F.col("need") > at).drop("found")
+            open_ = kept(open_, "open")
+            if open_.isEmpty():
+                break
+        pairs = candidates(open_, postings, at, step)
+        whole = pairs.join(left.select("entry_id", "kind", "size", "f"), ["entry_id", "kind"]).join(right.select("ref_id", "kind", F.col("size").alias("ref_size"), F.col("f").alias("ref_f")), ["ref_id", "kind"])
+        common = F.size(F.array_intersect("f", "ref_f"))
+        scored = whole.select("entry_id", "kind", F.struct((common / (F.col("size") + F.col("ref_size") - common)).alias("score"), (-F.col("ref_id")).alias("o")).alias("m"))
+        best = kept((scored if best is None else scored.unionAll(best)).groupBy("entry_id", "kind").agg(F.max("m").alias("m")), "best")
+        at, step = at + step, 2 * step
+    top = best.groupBy("entry_id").agg(F.max("m").alias("m")).select("entry_id", (-F.col("m.o")).alias("ref_id"), F.col("m.score").alias("score"))
+    return entries.select("entry_id").join(top, "entry_id", "left").select("entry_id", "ref_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def candidates(open_: DataFrame, postings: DataFrame, at: int, step: int) -> DataFrame:
+    """Pairs (entry_id, kind, ref_id) that share one of the entry's features at + 1 .. at + step, or as many as it needs, each once."""
+    some = open_.select("entry_id", "kind", F.explode(F.slice("by", F.lit(at + 1), F.least(F.lit(step), F.col("need") - at))).alias("feature"))
+    return some.join(postings, ["kind", "feature"]).select("entry_id", "kind", "ref_id").distinct()

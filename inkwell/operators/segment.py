@@ -234,10 +234,22 @@ def questions(numbered: DataFrame) -> DataFrame:
     return q.withColumns({"qno": F.coalesce("own_no", F.col("position").cast("string")), "section": F.coalesce("section", F.lit("")), "parts": F.coalesce("parts", F.array().cast(f"array<{FLAT}>")), "blocks": F.array("lo", "hi"), "flags": flags}).drop("own_no", "lo", "hi", "merged")
 
 
-def dropped_blocks(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Blocks (doc, i) that no range (doc, first_i, last_i) of their document holds: a range anti join by document."""
-    r = ranges.select(F.col("doc").alias("d"), "first_i", "last_i")
-    return blocks.join(r, (F.col("doc") == F.col("d")) & F.col("i").between(F.col("first_i"), F.col("last_i")), "left_anti")
+def dropped_blocks(blocks: DataFrame, ranges: DataFrame, width: int = 64) -> DataFrame:
+    """Blocks (doc, i and any more columns) that no range (doc, first_i, last_i) of their document holds.
+
+    A range anti join by bins of `width` places: a range is a row in each bin that it touches, and a block is compared with the
+    ranges of its own bin only, however many its document has. Ranges of a bin are merged to the stretches that they cover first,
+    so a bin holds at most width / 2 of them. Blocks without a place are in no range.
+    """
+    bin_ = lambda c: F.floor(F.col(c) / width)
+    r = ranges.filter("first_i <= last_i").select(F.col("doc").alias("_d"), "first_i", "last_i", F.explode(F.sequence(bin_("first_i"), bin_("last_i"))).alias("_bin"))
+    r = r.select("_d", "_bin", F.greatest("first_i", F.col("_bin") * width).alias("_a"), F.least("last_i", (F.col("_bin") + 1) * width - 1).alias("_z"))
+    r = r.groupBy("_d", "_bin", "_a").agg(F.max("_z").alias("_z"))
+    inside = W.partitionBy("_d", "_bin").orderBy("_a")
+    before = F.max("_z").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    r = r.withColumn("_new", F.coalesce(F.col("_a") > before + 1, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    r = r.groupBy("_d", "_bin", "_run").agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"))
+    return blocks.withColumn("_at", bin_("i")).join(r, (F.col("doc") == F.col("_d")) & (F.col("_at") == F.col("_bin")) & F.col("i").between(F.col("_a"), F.col("_z")), "left_anti").drop("_at")
 
 
 def context_slice(pages: DataFrame, wanted: DataFrame, most: int = 6000) -> DataFrame:

@@ -252,9 +252,10 @@ def grid_rows(spark, sf_dir):
     return g.select("p_partkey", width.alias("width"), html.is_question_row(F.col("g")[0], width).alias("asks"), F.size("g").alias("n_rows"), F.col("g")[0][1]["text"].alias("stem"))
 
 
-@query()
+@query("""SELECT p_partkey, v.r, v.c, CASE WHEN v.n = 1 THEN p_size::VARCHAR WHEN v.n = 2 THEN trim(regexp_replace(p_name, '\\s+', ' ', 'g')) WHEN v.n = 3 THEN 'A' WHEN v.n = 4 THEN trim(regexp_replace(p_brand, '\\s+', ' ', 'g')) ELSE trim(regexp_replace(p_type, '\\s+', ' ', 'g')) END AS text, v.colspan, v.rowspan
+FROM part, (VALUES (1, 0, 0, 1, 1), (2, 0, 1, 2, 1), (3, 1, 0, 1, 1), (4, 1, 1, 1, 1), (5, 1, 2, 1, 2)) v(n, r, c, colspan, rowspan)""")
 def grid_occupancy(spark, sf_dir):
-    cells = arrow.columns()["grid_occupancy"](F.to_json(html.parse_grid(_grid())))
+    cells = html.grid_occupancy(html.parse_grid(_grid()))
     return t(spark, sf_dir, "part").select("p_partkey", F.explode(cells).alias("c")).select("p_partkey", "c.*")
 
 
@@ -404,15 +405,28 @@ def page_map(spark, sf_dir):
 _SETS = "list_distinct(w) AS words, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS pairs"
 
 
-@query(f"""WITH tok AS (SELECT doc_id AS id, 0 AS ref, regexp_extract_all(lower(regexp_replace(text, '\\$\\$?[^$]+\\$\\$?', ' ', 'g')), '[a-z0-9]+') AS w FROM documents UNION ALL SELECT item_id, 1, regexp_extract_all(lower(regexp_replace(text, '\\$\\$?[^$]+\\$\\$?', ' ', 'g')), '[a-z0-9]+') FROM benchmark),
+_NOVELTY = f"""WITH tok AS (SELECT doc_id AS id, 0 AS ref, regexp_extract_all(lower(regexp_replace(text, '\\$\\$?[^$]+\\$\\$?', ' ', 'g')), '[a-z0-9]+') AS w FROM documents UNION ALL SELECT item_id, 1, regexp_extract_all(lower(regexp_replace(text, '\\$\\$?[^$]+\\$\\$?', ' ', 'g')), '[a-z0-9]+') FROM benchmark),
 sets AS (SELECT id, ref, {_SETS} FROM tok),
 feat AS (SELECT id, ref, 0 AS kind, len(words) AS size, unnest(words) AS f FROM sets UNION ALL SELECT id, ref, 1, len(pairs), unnest(pairs) FROM sets),
 common AS (SELECT a.id AS entry_id, b.id AS ref_id, a.kind, count(*) AS n, first(a.size) AS x, first(b.size) AS y FROM feat a JOIN feat b ON a.ref = 0 AND b.ref = 1 AND a.kind = b.kind AND a.f = b.f GROUP BY 1, 2, 3),
 s AS (SELECT entry_id, ref_id, max(n / (x + y - n)) AS score FROM common GROUP BY 1, 2),
 best AS (SELECT entry_id, ref_id, score, row_number() OVER (PARTITION BY entry_id ORDER BY score DESC, ref_id) AS r FROM s)
-SELECT d.doc_id AS entry_id, b.ref_id, coalesce(b.score, 0.0) AS score FROM documents d LEFT JOIN best b ON b.entry_id = d.doc_id AND b.r = 1""")
+SELECT d.doc_id AS entry_id, b.ref_id, coalesce(b.score, 0.0) AS score FROM documents d LEFT JOIN best b ON b.entry_id = d.doc_id AND b.r = 1"""
+
+
+@query(_NOVELTY)
 def novelty_scan(spark, sf_dir):
-    return novelty.novelty(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), "text"), t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), "text"))
+    return _novelty(spark, sf_dir)
+
+
+@query(_NOVELTY)
+def novelty_joined(spark, sf_dir):
+    """As with references beyond any bound."""
+    return _novelty(spark, sf_dir, bound=-1)
+
+
+def _novelty(spark, sf_dir, **bound):
+    return novelty.novelty(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), "text"), t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), "text"), **bound)
 
 
 # ---- usage, journal, edits

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import html, options, text, tree
 from ..functions import parts as part_functions
 from ..operators import bank, build, edits, model, records, segment, worksheet
+from ..sources import incremental
 from ..sources import records as sources
+from ..tables import folder
 from .registry import query, t
 
 
@@ -87,12 +89,12 @@ class _ListingLabeler:
 
 
 @query("""SELECT doc, i, CASE WHEN i % 3 = 0 THEN 'q' WHEN i % 3 = 1 THEN 'part' ELSE 'body' END AS role, CASE WHEN i % 3 = 0 THEN (i + 1)::VARCHAR WHEN i % 3 = 1 THEN '(a)' END AS label
-FROM (SELECT DISTINCT l_orderkey AS doc FROM lineitem WHERE l_orderkey % 50 = 0) o, range(0, 200) r(i)""")
+FROM (SELECT s_suppkey AS doc FROM supplier) o, range(0, 200) r(i)""")
 def label_chunks(spark, sf_dir):
     """Documents of 200 blocks: three chunks each; every block gets its label, those on the seams once."""
-    docs = t(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("doc")).distinct()
-    line = lambda i: F.when(i % 3 == 0, F.concat((i + 1).cast("string"), F.lit(". q"))).when(i % 3 == 1, "(a) part").otherwise("body")
-    b = docs.select("doc", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))).alias("i"))
+    docs = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc"), "s_name")
+    line = lambda i: F.when(i % 3 == 0, F.concat((i + 1).cast("string"), F.lit(". by "), "s_name")).when(i % 3 == 1, "(a) part").otherwise("body")
+    b = docs.select("doc", "s_name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))).alias("i"))
     b = b.select("doc", "i", F.lit("text").alias("type"), line(F.col("i")).alias("text"), F.lit(None).cast("string").alias("table_body"), F.lit(None).cast("string").alias("hint"), F.lit(None).cast("string").alias("label"))
     return segment.label_blocks(b, _ListingLabeler()).select("doc", "i", "role", "label")
 
@@ -544,6 +546,19 @@ def mock_extraction(spark, sf_dir):
     return q.groupBy("doc").agg(F.count("*").alias("questions"), F.max(F.array_join("parts.no", ",")).alias("parts"))
 
 
+@query("""SELECT source, doc_id::VARCHAR AS qid, CASE WHEN md5(source) < '8' THEN 'changed ' || md5(text) ELSE md5(text) END AS stem, 'raw' AS pipeline_stage FROM documents""")
+def bank_refreshed(spark, sf_dir):
+    """The bank of a tree of files after two refreshes; before the second one about half of the sources get other files."""
+    d = t(spark, sf_dir, "documents").select(F.lit("s").alias("subject"), F.lit("t").alias("stage"), F.lit("l").alias("level"), "source", F.lit("interim").alias("area"), F.col("doc_id").cast("string").alias("qid"), F.md5("text").alias("stem"))
+    root, bank_, schema = folder(spark, "tree"), folder(spark, "bank"), "qid STRING, stem STRING"
+    put = lambda rows: rows.repartition("source").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subject", "stage", "level", "source", "area").json(root)
+    put(d)
+    incremental.refresh(spark, root, bank_, schema, "*.json")
+    put(d.filter(F.md5("source") < "8").withColumn("stem", F.concat(F.lit("changed "), "stem")))
+    incremental.refresh(spark, root, bank_, schema, "*.json")
+    return incremental.bank_rows(spark, bank_, schema).select("source", "qid", "stem", "pipeline_stage")
+
+
 # ---- what the dashboards show
 
 

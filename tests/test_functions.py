@@ -127,10 +127,29 @@ def test_latex_as_text():
     assert plain(r"\ce{H2O} \text{cm}^{2} x_{1}") == "H2O cm^2 x1"
 
 
-def test_occupancy():
-    cell = lambda t, c=1, r=1: {"text": t, "colspan": c, "rowspan": r}
-    got = [(x["r"], x["c"], x["text"]) for x in arrow.occupancy([[cell("a", 1, 2), cell("b", 2)], [cell("c"), cell("d")]])]
-    assert got == [(0, 0, "a"), (0, 1, "b"), (1, 1, "c"), (1, 2, "d")] and arrow.occupancy(None) == []
+def test_occupancy(spark):
+    import random
+
+    def brute(rows):
+        taken, out = set(), []
+        for r, row in enumerate(rows or []):
+            c = 0
+            for text, colspan, rowspan in row:
+                while (r, c) in taken:
+                    c += 1
+                taken |= {(r + i, c + j) for i in range(rowspan) for j in range(colspan)}
+                out.append((r, c, text))
+                c += colspan
+        return out
+
+    rng = random.Random(2)
+    grids = [[[("a", 1, 2), ("b", 2, 1)], [("c", 1, 1), ("d", 1, 1)]], None, [], [[], [("x", 1, 1)]]]
+    grids += [[[(f"{r}{c}", rng.randint(1, 3), rng.randint(1, 3)) for c in range(rng.randint(0, 4))] for r in range(rng.randint(1, 5))] for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(grids)), "n int, g array<array<struct<text:string,colspan:int,rowspan:int>>>")
+    got = {r["n"]: [(x["r"], x["c"], x["text"]) for x in r["o"]] for r in df.select("n", html.grid_occupancy(F.col("g")).alias("o")).collect()}
+    assert got == {n: brute(g) for n, g in enumerate(grids)}
+    assert got[0] == [(0, 0, "a"), (0, 1, "b"), (1, 1, "c"), (1, 2, "d")]
+
 
 
 def test_nesting_keeps_every_label(spark):
