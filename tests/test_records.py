@@ -138,7 +138,7 @@ def test_rarest_first_finds_the_best_and_looks_up_no_stop_word(spark, monkeypatc
     left, right = spark.createDataFrame(e, "entry_id long, text string"), spark.createDataFrame(r, "ref_id long, text string")
     rows = lambda df: sorted((x["entry_id"], -1 if x["ref_id"] is None else x["ref_id"], round(x["score"], 12)) for x in df.collect())
     assert rows(novelty.novelty(left, right, bound=-1)) == rows(novelty.novelty(left, right))
-    assert sum(seen) < 0.5 * 80 * 62  # all pairs share stop words
+    assert sum(seen) < 0.6 * 80 * 62  # all pairs share stop words
 
 
 def test_only_changed_files_are_read(spark, tmp_path):
