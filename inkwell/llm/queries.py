@@ -21,7 +21,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_conversations(table(spark, sf_dir, "conversations"), Scratch(spark, "quotes"))
+    """The conversations have no quotes: every fourth message is given one of the message two turns before it, its first line, so that the
+    query links, branches and orders something; all other texts are as they are."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    line = F.concat(F.lit("> "), F.element_at(F.split("text", "\n"), 1), F.lit("\n\n"))
+    quoted = c.groupBy("conv_id", (F.col("turn") + 2).alias("turn")).agg(F.min(line).alias("quote")).filter("turn % 4 = 3")
+    planted = c.join(quoted, ["conv_id", "turn"], "left").withColumn("text", F.concat(F.coalesce("quote", F.lit("")), "text")).drop("quote")
+    return quotes.link_conversations(planted, Scratch(spark, "quotes"))
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,6 +166,38 @@ def test_quotes(spark, scratch):
     assert quotes.link_conversations(df.limit(0), scratch).count() == 0
 
 
+def test_reply_order_is_the_trees(spark, scratch, monkeypatch):
+    """Random trees, long chains, a turn with many messages and equal rows, against a walk of the tree."""
+    monkeypatch.setattr(quotes, "SPAN", 8)
+    rng, data, up = random.Random(6), [], {}
+    for c, n in ((1, 40), (2, 3), (3, 1), (4, 70), (5, 25)):
+        for t in range(n):
+            p = rng.randrange(t) if t and rng.random() < (0.7 if c != 5 else 0) else None
+            data.append((c, t, "user", (f"> line {c} {p} one\n" if p is not None else "") + f"line {c} {t} one"))
+            up[c, t] = p if p is not None else t - 1 if t else None
+    many = [(9, None, "user", f"m{i % 20}") for i in range(60)]
+    linked = quotes.link_conversations(spark.createDataFrame(data + many, "conv_id long, turn long, role string, text string"), scratch)
+    got = linked.collect()
+    assert len(got) == len(data) + 60 and {r["place"] for r in got if r["conv_id"] == 9} == set(range(60))
+    kids = collections.defaultdict(list)
+    for (c, t), p in sorted(up.items()):
+        kids[c, p].append(t)
+    want = {}
+    for c in {c for c, _ in up}:
+        stack, place, thread, before = [(0, 0)], 0, 0, -1
+        while stack:
+            t, depth = stack.pop()
+            thread += depth <= before
+            want[c, t] = (place, depth, thread)
+            place, before = place + 1, depth
+            stack += [(k, depth + 1) for k in reversed(kids[c, t])]
+    assert {(r["conv_id"], r["turn"]): (r["place"], r["depth"], r["thread"]) for r in got if r["conv_id"] != 9} == want
+    assert [t for _, t in sorted((v[0], k[1]) for k, v in want.items() if k[0] == 1)] != list(range(40))
+    texts = {r["conv_id"]: r for r in quotes.dialogues(linked, 1000).collect()}
+    assert texts[1]["messages"] == 40 and texts[1]["chat"].count("<|end|>") == 40 and ">line" not in texts[1]["chat"]
+    assert quotes.dialogues(linked, 8).filter("messages > 8").count() == 0
+
+
 @pytest.mark.parametrize("hot, few", [(suffixes.HOT, suffixes.FEW), (2, suffixes.FEW), (2, 0)])
 def test_suffixes(spark, docs, scratch, monkeypatch, hot, few):
     monkeypatch.setattr(suffixes, "FEW", few)
@@ -262,6 +294,15 @@ def test_tiles_by_brute_force():
         assert got == sorted(want)
 
 
+@pytest.mark.parametrize("text, item, covered", [("na ", "na ", 1.0), ("a b ", "a b ", 1.0), ("la na na ", "na la na na ", 0.625)])
+def test_a_megabyte_of_repetition(text, item, covered):
+    import pyarrow as pa
+
+    items = decontaminate.Items([7], [item * (320 // len(item.split()))], 5)
+    found = items.leaks(pa.array([text * (1_000_000 // len(text)), "", None], pa.large_string()), 0.5)
+    assert [x["coverage"] for x in found[0]] == [pytest.approx(covered)] and found[1:] == [[], []]
+
+
 def test_both_ways_of_decontamination_agree(spark, docs):
     items = spark.createDataFrame([(1, prose(120, 3)), (1, prose(120, 3)), (2, None), (3, ""), (4, prose(20, 5)), (None, prose(70, 99))], "item_id long, text string")
     flat = lambda df: collections.Counter((r["doc_id"], r["text"], tuple(sorted((str(x["item_id"]), x["coverage"], x["tiles"]) for x in r["leaks"]))) for r in df.collect())
