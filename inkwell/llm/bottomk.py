@@ -85,23 +85,23 @@ def merged(parts: DataFrame, by: list[str], column: str = "sketch", k: int = K)
 
 
 def next_in_order(ids: DataFrame, scratch) -> DataFrame:
-    """id, th, n of each different (id, th) with before_id, before_th, before_n: the one before it in order of id (nulls
-    last) and th; before the first stands the last.
+    """none, id, th of each different key of ids (none: the id is null; id; th; n) with before_none, before_id, before_th and
+    before_n: the one before it in order of none, id and th; before the first stands the last.
 
     The ids are dealt to tasks by range and written; a window a range, and one row a range for its ends, tell the
     predecessor, so no task sees more than its range.
     """
-    key = [F.col("id").isNull().alias("none"), "id", "th"]
-    ranged = ids.groupBy("id", "th").agg(F.first("n").alias("n")).select(*key, "n").repartitionByRange("none", "id", "th")
+    key = ["none", "id", "th"]
+    ranged = ids.groupBy(*key).agg(F.first("n").alias("n")).repartitionByRange(*key)
     ranged = scratch.keep(ranged.withColumn("part", F.spark_partition_id()), "order")
-    row = F.struct("none", "id", "th", "n")
-    inside = ranged.withColumn("before", F.lag(row).over(W.partitionBy("part").orderBy("none", "id", "th")))
+    row = F.struct(*key, "n")
+    inside = ranged.withColumn("before", F.lag(row).over(W.partitionBy("part").orderBy(*key)))
     ends = ranged.groupBy("part").agg(F.max(row).alias("end"))  # one row a range
     every = W.orderBy("part")
     last = F.max("end").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     ends = ends.select(F.col("part").alias("p"), F.coalesce(F.lag("end").over(every), last).alias("end"))
     found = inside.join(F.broadcast(ends), F.col("part") == F.col("p")).withColumn("before", F.coalesce("before", "end"))
-    return found.select("id", "th", "n", F.col("before.id").alias("before_id"), F.col("before.th").alias("before_th"), F.col("before.n").alias("before_n"))
+    return found.select(*key, *(F.col(f"before.{c}").alias(f"before_{c}") for c in (*key, "n")))
 
 
 def edited(text: Column, after: Column) -> Column:
@@ -121,17 +121,15 @@ def compare_neighbours(docs: DataFrame, scratch, k: int = K) -> DataFrame:
     followed by itself; texts without a word have an empty fingerprint and are alike, and unlike all others; other
     columns are not read.
     """
-    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumns({"th": F.xxhash64("text"), "n": F.length("text")})
-    order = scratch.keep(next_in_order(rows.select("id", "th", "n"), scratch), "before")
-    texts = rows.select("id", "th", "text", sketch(F.col("text"), k).alias("sketch"))
-    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
-    told = order.select("id", "th", "before_id", "before_th", "before_n")
-    sent = texts.join(told, same(texts, told)).select(
-        F.col("before_id").alias("to"), F.col("before_th").alias("to_th"), F.substring("text", F.lit(1), F.floor(F.col("before_n") / 4).cast("int")).alias("start"), F.col("sketch").alias("next")
-    )
-    sent = sent.dropDuplicates(["to", "to_th"])
-    pairs = texts.join(sent, texts["id"].eqNullSafe(sent["to"]) & (texts["th"] == sent["to_th"]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # Keys without nulls: plain equalities, so that one dealing of the rows serves both joins and the removal of repeats.
+    key = ["none", "id", "th"]
+    rows = rows.withColumns({"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "th": F.xxhash64("text"), "n": F.length("text")})
+    order = scratch.keep(next_in_order(rows.select(*key, "n"), scratch), "before")
+    texts = rows.select(*key, "text", sketch(F.col("text"), k).alias("sketch"))
+    start = F.substring("text", F.lit(1), F.floor(F.col("before_n") / 4).cast("int"))
+    sent = texts.join(order, key).select(*(F.col(f"before_{c}").alias(c) for c in key), start.alias("start"), F.col("sketch").alias("next"))
+    pairs = texts.join(sent.dropDuplicates(key), key).withColumn("id", F.when(~F.col("none"), F.col("id")))
     changed = pairs.select("id", "text", "sketch", "next", edited(F.col("text"), F.col("start")).alias("edited"))
     three = changed.withColumn("edited_sketch", sketch(F.col("edited"), k))
     return three.select(
