@@ -120,9 +120,10 @@ def toured(tree: DataFrame, scratch: Scratch) -> DataFrame:
     back = F.struct(leave.alias("step"), F.coalesce(2 * F.col("next"), 2 * F.col("up") + 1).alias("to"), one(0).alias("left"), one(-1).alias("sum"))
     tour = scratch.keep(nodes.select(F.explode(F.array(go, back)).alias("s")).select("s.*"), "tour")
     while not tour.filter("to is not null").isEmpty():
+        # Only steps that don't know yet what is to come look ahead: short conversations are done after a few rounds.
         ahead = tour.select(F.col("step").alias("to"), F.col("to").alias("beyond"), F.col("left").alias("l"), F.col("sum").alias("s"))
-        moved = tour.join(ahead, "to", "left")
-        after = scratch.keep(moved.select("step", F.col("beyond").alias("to"), (F.col("left") + F.coalesce("l", F.lit(0))).alias("left"), (F.col("sum") + F.coalesce("s", F.lit(0))).alias("sum")), "tour")
+        moved = tour.filter("to is not null").join(ahead, "to").select("step", F.col("beyond").alias("to"), (F.col("left") + F.col("l")).alias("left"), (F.col("sum") + F.col("s")).alias("sum"))
+        after = scratch.keep(tour.filter("to is null").unionByName(moved), "tour")
         scratch.drop(tour)
         tour = after
     ended = tour.filter("step % 2 = 0").select(F.floor(F.col("step") / 2).alias("number"), "left", (-F.col("sum")).alias("depth"))
