@@ -128,6 +128,16 @@ def split_tables(blocks: DataFrame) -> DataFrame:
     return out.select("doc", (F.row_number().over(order) - 1).alias("i"), "src_i", *rest, "_piece.*")
 
 
+def chunked(blocks: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """blocks with chunk: each document's blocks in order of i, `chunk` at a time, those at a chunk's end in the next one as well if there is one."""
+    at = blocks.withColumn("_at", F.row_number().over(W.partitionBy("doc").orderBy("i")) - 1)
+    own = F.floor(F.col("_at") / chunk)
+    into = F.when(F.col("_at") % chunk >= chunk - overlap, F.array(own, own + 1)).otherwise(F.array(own))
+    chunks = at.withColumn("_own", own).withColumn("chunk", F.explode(into))
+    real = chunks.groupBy("doc", "chunk").agg(F.max((F.col("_own") == F.col("chunk")).cast("int")).alias("real")).filter("real = 1")
+    return chunks.join(real.select("doc", "chunk"), ["doc", "chunk"])
+
+
 def label_blocks(blocks: DataFrame, client: ModelClient | None = None, chunk: int = 90, overlap: int = 6, store: str | None = None) -> DataFrame:
     """blocks with role and label. Hints (columns hint and label) hold; without a client the heuristic decides the rest.
 
@@ -139,12 +149,7 @@ def label_blocks(blocks: DataFrame, client: ModelClient | None = None, chunk: in
     ruled = blocks.withColumns({"role": F.coalesce("hint", by_rule), "label": F.when(F.col("hint").isNotNull(), F.col("label")).otherwise(heuristic_label(by_rule, F.col("text")))})
     if client is None:
         return ruled.drop("hint")
-    open_ = blocks.filter("hint is null").withColumn("_at", F.row_number().over(W.partitionBy("doc").orderBy("i")) - 1)
-    own = F.floor(F.col("_at") / chunk)
-    into = F.when(F.col("_at") % chunk >= chunk - overlap, F.array(own, own + 1)).otherwise(F.array(own))
-    chunks = open_.withColumn("_own", own).withColumn("chunk", F.explode(into))
-    real = chunks.groupBy("doc", "chunk").agg(F.max((F.col("_own") == F.col("chunk")).cast("int")).alias("real")).filter("real = 1")
-    chunks = chunks.join(real.select("doc", "chunk"), ["doc", "chunk"])
+    chunks = chunked(blocks.filter("hint is null"), chunk, overlap)
     asked = listing(chunks.withColumn("doc", F.struct("doc", "chunk"))).select("doc.*", "listing")
     reply = run_model(asked, client, "label", F.to_json(F.struct("listing")), "array<struct<i:int,role:string,label:string>>", wrapped="labels", store=store)
     read = reply.select("doc", "chunk", F.col("reply").isNull().alias("bad"), F.explode_outer("reply").alias("x")).select("doc", "chunk", "bad", "x.*")

@@ -6,10 +6,11 @@ texts from other columns of the row, in the same way in both engines.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrow, html, labels, options, parts, similarity, text
-from ..operators import answers, bank, model, novelty, records, segment, worksheet
+from ..operators import answers, bank, model, novelty, records, search, segment, worksheet
 from ..streaming import assembly
 from ..tables import folder
 from . import paper  # noqa: F401  (registers its queries)
@@ -175,6 +176,37 @@ def dedup_answers(spark, sf_dir):
     return answers.dedup_answers(r).select("doc", "sec", "qno", "ord", F.md5("answer").alias("answer"), F.md5("solution").alias("solution"), "readings")
 
 
+class _KeyReader:
+    """Reads a listing as printed: headings stay in effect, a number opens a record, a figure belongs to the record before it."""
+
+    def reply(self, task, payload):
+        import re
+
+        section, out = payload.get("context") or "", []
+        for i, line in re.findall(r"(?m)^\[(\d+)\] \(\w+\) (.*)$", payload["listing"]):
+            if line.startswith("Section"):
+                section = line
+            elif line == "<figure>" and out:
+                out[-1]["figs"].append(int(i))
+            elif m := re.match(r"(\d+)\. ([^;]*); (.*)", line):
+                out.append({"section": section, "qno": m[1], "part": "", "answer": m[2], "solution": m[3], "figs": []})
+        return out
+
+
+@query("""WITH b AS (SELECT l_suppkey AS doc, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_linestatus, l_returnflag) - 1 AS i, l_partkey, l_linestatus, l_returnflag FROM lineitem),
+s AS (SELECT *, last_value(CASE WHEN i % 100 = 50 THEN 'Section ' || l_returnflag || i END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM b)
+SELECT 's' || a.doc AS doc, coalesce(a.section, '') AS section, a.i::VARCHAR AS qno, a.l_partkey::VARCHAR AS answer, a.l_linestatus AS solution, CASE WHEN f.i IS NULL THEN '' ELSE f.i::VARCHAR END AS figs
+FROM s a LEFT JOIN s f ON f.doc = a.doc AND f.i = a.i + 1 AND f.i % 100 = 20 WHERE a.i % 100 NOT IN (20, 50)""")
+def interpreted_answers(spark, sf_dir):
+    """An answer file for every supplier, a block for each of its line items, of which some are headings or figures; read in chunks of 90."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", "l_returnflag")
+    b = t(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("_ans")).alias("doc"), (F.row_number().over(order) - 1).alias("i"), "l_partkey", "l_linestatus", "l_returnflag")
+    line = F.when(F.col("i") % 100 == 50, F.concat(F.lit("Section "), "l_returnflag", F.col("i").cast("string"))).otherwise(F.concat(F.col("i").cast("string"), F.lit(". "), F.col("l_partkey").cast("string"), F.lit("; "), "l_linestatus"))
+    kind = F.when(F.col("i") % 100 == 20, "image").otherwise("text")
+    _, blocks = answers.answer_files(b.select("doc", "i", kind.alias("type"), line.alias("text"), F.lit(None).cast("string").alias("table_body")))
+    return answers.interpret_answers(blocks, _KeyReader()).select("doc", "section", "qno", "answer", "solution", F.array_join(F.col("figs").cast("array<string>"), ",").alias("figs"))
+
+
 # ---- text and labels
 
 
@@ -354,6 +386,14 @@ def bank_search(spark, sf_dir):
     return bank.bank_filter(_bank(spark, sf_dir), text="ing the").select("doc_id")
 
 
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(left(b.text, 12)))")
+def bank_search_indexed(spark, sf_dir):
+    """The beginning of every benchmark item, searched by an index of trigrams."""
+    index = search.build_index(_bank(spark, sf_dir).select("doc_id", "blob"), folder(spark, "search"), "1")
+    texts = t(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(12)).alias("text"))
+    return search.search(index, texts).select("item_id", "entry.doc_id")
+
+
 @query(f"WITH {_BANK} SELECT source AS file, count(*) AS n, sum((edited = 1)::INT)::BIGINT AS edited, sum((verified = 1)::INT)::BIGINT AS verified FROM bank GROUP BY ROLLUP (source)")
 def risk_rollup(spark, sf_dir):
     return bank.risk(_bank(spark, sf_dir))

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,19 +17,29 @@ def local(spark: SparkSession) -> bool:
     return master == "local" or master.startswith("local[")
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the shared one (spark.checkpoint.dir).
+@cache
+def _temporary() -> str:
+    """A folder of this machine, for as long as this process lives."""
+    path = tempfile.mkdtemp(prefix="inkwell-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Without that setting a temporary folder serves in local mode; on a cluster it is an error.
+    Without that setting a temporary folder serves in local mode; on a cluster it is an error. A running session's setting can't be
+    changed, so the temporary folder is remembered here.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not local(spark):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="inkwell-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if not root and not local(spark):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (root or _temporary()).rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

@@ -4,11 +4,12 @@ import hashlib
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators import bank, build, edits, model, novelty, segment
+from inkwell.operators import answers, bank, build, edits, model, novelty, search, segment
 from inkwell.plans import paper
 from inkwell.sources import incremental
 from inkwell.sources import records as sources
@@ -183,3 +184,96 @@ def test_files_are_read_whole_or_reported(spark, tmp_path):
     assert told == {"good": (True, None, b"good" * 10), "short": (False, "short read: 50 of 999 bytes", None), "other": (False, "content differs from its hash", None), "none": (False, "no such file", None), "paper_ans": (True, None, b"paper_ans" * 10)}
     sums = incremental.outcomes(got).first()
     assert sums["ok"] == 1 and set(sums["failed"]) == {"short", "other", "none"}
+
+
+def test_search_finds_what_contains_finds(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "naïve", "日本語", "😀x", "100%", "a_b", ""]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(30)))) for i in range(300)] + [(300, None), (301, ""), (302, "ba" * 2_500_000 + "end")]
+    texts += [(400 + i, t) for i, (_, t) in enumerate(texts[:40])]  # copies
+    entries = spark.createDataFrame(texts, "id int, blob string").repartition(5)
+    at = search.build_index(entries, str(tmp_path / "index"), "v1")
+    asked = ["NAÏVE alpha", "日", "日本語 😀X", "😀", "a", "", "xyzzy", "100% a_b", "%", "alpha  beta", "abend", "😀x 😀x 😀x", None, "beta", "beta"]
+    df = spark.createDataFrame([(n, x) for n, x in enumerate(asked)], "n int, text string")
+    found = search.search(at, df)
+    got = sorted((r["n"], r["entry"]["id"]) for r in found.collect())
+    assert got == sorted((n, i) for n, x in enumerate(asked) if x is not None for i, t in texts if t is not None and x.lower() in t)
+    assert found.columns == ["n", "text", "entry"]
+    made = os.path.getmtime(f"{at}/grams/_SUCCESS")
+    assert search.build_index(entries, str(tmp_path / "index"), "v1") == at and os.path.getmtime(f"{at}/grams/_SUCCESS") == made
+    assert search.build_index(entries.limit(0), str(tmp_path / "index"), "v2") != at
+    assert search.search(f"{tmp_path}/index/version=v2", df).count() == 0
+
+
+def test_search_reads_the_folders_of_candidates(spark, tmp_path):
+    entries = spark.range(4000, numPartitions=8).select("id", F.concat(F.lit("entry "), F.col("id").cast("string")).alias("blob"))
+    at = search.build_index(entries, str(tmp_path / "index"), "1")
+    found = search.search(at, spark.createDataFrame([("entry 777",)], "text string"))
+    assert [r["entry"]["id"] for r in found.collect()] == [777]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*slab#\d+L? (=|IN)", plan)  # one folder of eight
+
+
+class Key:
+    """Reads a printed answer key, carrying headings on, and notes each payload in a file."""
+
+    def __init__(self, path):
+        self.path = str(path)
+
+    def calls(self):
+        return [json.loads(line) for line in open(self.path)] if os.path.exists(self.path) else []
+
+    def reply(self, task, payload):
+        with open(self.path, "a") as f:
+            f.write(json.dumps(payload) + "\n")
+        section, out = payload.get("context") or "", []
+        for line in payload["listing"].split("\n"):
+            i, text = int(line[1 : line.index("]")]), line.split(") ", 1)[1]
+            if text.startswith(("Section", "Group")):
+                section = text
+            elif text[:1].isdigit():
+                qno, answer = text.split(". ", 1)
+                out.append({"section": section, "qno": f"Q{qno}", "answer": answer, "solution": " working ", "figs": [i, 9999, "x"]})
+            else:
+                out.append({"section": section, "qno": "", "answer": text})
+        return out
+
+
+def _in_turn(blocks, client, chunk, overlap):
+    """The records of one document, read chunk after chunk."""
+    section, seen = "", {}
+    for i in range(0, len(blocks), chunk):
+        part = blocks[max(0, i - overlap) : i + chunk]
+        listing = "\n".join(f"[{n}] (text) {text}" for n, text in part)
+        for r in client.reply("answers", {"listing": listing, **({"context": section} if section else {})}):
+            if r["qno"]:
+                section = r["section"] or section
+                key = (r["section"], r["qno"]) if r["section"] else (r["qno"], r["answer"][:40])
+                seen.setdefault(key, (r["section"], r["qno"][1:], r["answer"], r["figs"][0]))
+    return list(seen.values())
+
+
+@pytest.mark.parametrize("heading", ["Section {}", "Group {}"])  # guessed from the print, or learned from the replies
+def test_answers_are_read_as_in_turn(spark, tmp_path, heading):
+    rng, docs = random.Random(5), {}
+    for d in ("one", "two", "none"):
+        docs[d] = [(i, heading.format("ABCDEFGH"[i // 37 % 8]) if rng.random() < (0 if d == "none" else 0.06) else f"{i % 25}. answer {i}" if rng.random() < 0.95 else "noise of the page") for i in range({"one": 143, "two": 31, "none": 50}[d])]
+    b = spark.createDataFrame([(f"{d}_ans", i, "text", x, None) for d, bs in docs.items() for i, x in bs] + [("one", 0, "text", "1. a question", None)], "doc string, i long, type string, text string, table_body string")
+    questions, keys = answers.answer_files(b)
+    assert [r["doc"] for r in questions.collect()] == ["one"]
+    client, store = Key(tmp_path / "calls"), str(tmp_path / "store")
+    read = lambda: answers.interpret_answers(keys, client, chunk=10, overlap=2, store=store).orderBy("doc", "ord").collect()
+    got = read()
+    for d, bs in docs.items():
+        assert [(r["section"], r["qno"], r["answer"], r["figs"][0]) for r in got if r["doc"] == d] == _in_turn(bs, Key(tmp_path / "other"), 10, 2)
+    assert all(9999 not in r["figs"] and r["solution"] == "working" for r in got)
+    calls = client.calls()
+    assert len(calls) == len({json.dumps(c, sort_keys=True) for c in calls})  # no payload twice
+    assert read() == got and len(client.calls()) == len(calls)  # replies are kept
+
+
+def test_answers_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "doc string, i long, type string, text string, table_body string")
+    assert answers.interpret_answers(none, Key(tmp_path / "calls")).count() == 0
+    odd = spark.createDataFrame([("d", 0, "text", None, None), ("d", 1, "footer", "foot", None)], "doc string, i long, type string, text string, table_body string")
+    assert answers.interpret_answers(odd, Counting(tmp_path / "calls")).count() == 0
