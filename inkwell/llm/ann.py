@@ -26,6 +26,7 @@ from .shared import Scratch
 
 BLOCK, PART = 16, 8192
 HELD, EACH = 400, 40  # queries that measure the lists to visit, sampled vectors a list
+SAMPLE_BYTES = 1 << 28  # of the vectors that the index is fitted on, as doubles
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -182,11 +183,11 @@ def _truth(rids: np.ndarray, queries: np.ndarray, k: int):
 def neighbours(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 20, recall: float = 0.96, lists: int | None = None, sample: int = 16_384, epsilon: float = 2.1) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query (rows of vectors for which is_query, on vec_id, holds).
 
-    All other rows are candidates, copies of the query too; ties go to the smaller vec_id. Defined results: equal
+    All other rows are candidates, copies of the query too, and other vectors of its vec_id; ties go to the smaller vec_id. Defined results: equal
     rows count once; a vec_id that occurs with several vectors counts as each, as query and as candidate; vectors
     are searched among those of their own dimension, each dimension by an index of its own; a query without a
     candidate and an empty table give none; other columns are left out, whatever their names. The index (rotation and 2 * sqrt(n) centroids, at most
-    8,192) is fitted on a sample of about `sample` vectors, 40 a list at least, and holds every vector.
+    8,192) is fitted on a sample of about `sample` vectors, 40 a list at least and SAMPLE_BYTES at most (long vectors have fewer lists for it), and holds every vector.
     How many lists a query visits follows from the data: as many as hold the share `recall` of the true
     neighbours, in the whole table, of about `HELD` vectors that are kept out of the sample.
     """
@@ -201,15 +202,19 @@ def neighbours(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int =
 
 def _of_one_dimension(rows: DataFrame, is_query: Column, scratch: Scratch, k: int, recall: float, lists: int | None, sample: int, epsilon: float) -> DataFrame:
     spark = rows.sparkSession
-    copies = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("rid"), F.max(F.struct(is_query.alias("q"))).alias("q"), F.first("embedding").alias("embedding"))
-    entries = scratch.keep(copies.select("h1", "h2", "rid", F.col("q.q").alias("asks"), "embedding"), "entries")
+    copies = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.max(F.struct(is_query.alias("q"))).alias("q"), F.first("embedding").alias("embedding"))
+    # Numbered in order of their least ids, so that ties by number are ties by id, and two vectors of one id are two entries.
+    order = ["vec_id", "h1", "h2"]
+    entries = copies.repartitionByRange(*order).sortWithinPartitions(*order).select("h1", "h2", F.monotonically_increasing_id().alias("rid"), F.col("q.q").alias("asks"), "embedding")
+    entries = scratch.keep(entries, "entries")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     n, longest = entries.agg(F.count("*"), F.max(norm)).first()
-    lists = lists or int(min(8192, max(1, 2 * np.sqrt(n))))
-    sample, out = max(sample, EACH * lists), min(0.1, HELD / n)
+    most = max(EACH, SAMPLE_BYTES // (8 * rows.first()["dimension"]))
+    lists = lists or int(min(8192, most // EACH, max(1, 2 * np.sqrt(n))))
+    sample, out = min(most, max(sample, EACH * lists)), min(0.1, HELD / n)
     u = unit_hash(F.col("h1"))
-    taken = entries.filter((u < sample / n) & (u < 1 - out)).select("embedding").limit(2 * sample).toPandas()
-    taken = np.stack(list(taken["embedding"])) if len(taken) else np.array([entries.first()["embedding"]])
+    taken = _matrix(entries.filter((u < sample / n) & (u < 1 - out)).select("embedding").limit(2 * sample).toArrow().column("embedding"))
+    taken = taken if len(taken) else np.array([entries.first()["embedding"]])
     index = Index(taken, lists, longest)
     del taken
     held = spark.sparkContext.broadcast(index)
@@ -272,8 +277,8 @@ def _of_one_dimension(rows: DataFrame, is_query: Column, scratch: Scratch, k: in
     ids = scratch.keep(ids, "ids")
     least = ids.withColumn("r", F.row_number().over(W.partitionBy("rid").orderBy("vec_id"))).filter(F.col("r") <= k + 1).select("rid", "vec_id")
     nearest = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    wide = top.join(least, "rid").withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k + 1).select("qid", "vec_id", "score")
+    wide = top.join(least, "rid").withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k + 1).select("qid", "rid", "vec_id", "score")
     asking = ids.filter("asks").select(F.col("rid").alias("qid"), F.col("vec_id").alias("query_id"))
-    answers = wide.join(asking, "qid").filter("vec_id <> query_id")
+    answers = wide.join(asking, "qid").filter("not (rid = qid and vec_id = query_id)")
     answers = answers.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "qid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
     return answers.select("query_id", "rank", "vec_id", "score")

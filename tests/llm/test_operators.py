@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,6 +254,39 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.identify(d, none).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """The four-byte n-grams of a text, one by one."""
+    out, b = [], b" " + (text or "").lower().encode()
+    for c in b:
+        c = c if c >= 128 or 97 <= c <= 122 else 32
+        if c != 32 or not out or out[-1] != 32:
+            out.append(c)
+    return [bytes(out[i : i + 4]) for i in range(len(out) - 3)]
+
+
+def test_language_against_exact_sets(spark):
+    """The filter's corrected shares and winners are those of plain sets of n-grams."""
+    d = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    allowed = crc_mod(F.col("doc_id"), 4) != 2
+    counts = {}
+    for r in d.filter(allowed).filter("lang is not null").collect():
+        counts.setdefault(r["lang"], collections.Counter()).update(plain_grams(r["text"]))
+    share = {k: {g: n / c.total() for g, n in c.items()} for k, c in counts.items()}
+    most = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    sets = {k: {g for g, v in s.items() if v >= 1e-5 and v >= 0.1 * most[g]} for k, s in share.items()}
+    m = language.learn(d, allowed)
+    assert m.languages == sorted(sets)
+    texts = [r["text"] for r in d.orderBy("doc_id").collect()] + [" ", "a", "x" * 100_000]
+    got, same = m.shares(pa.array(texts, pa.string())), 0
+    for text, row in zip(texts, got):
+        grams = plain_grams(text)
+        exact = np.array([sum(g in sets[k] for g in grams) / max(1, len(grams)) for k in m.languages])
+        assert np.abs(row - exact).max() < 0.03
+        top = np.sort(exact)[::-1]
+        same += row.argmax() == exact.argmax() or top[0] - top[1] < 0.03
+    assert same == len(texts)
+
+
 def test_texts_without_known_grams_get_a_language(spark):
     learned = spark.createDataFrame([(i, prose(40, i), "xx" if i % 3 else "aa") for i in range(60)], "doc_id long, text string, lang string")
     odd = spark.createDataFrame([(1, "A."), (2, "Щит и меч"), (3, "qqqqqq"), (4, "7 !"), (5, None), (6, ""), (7, "é")], "doc_id long, text string")
@@ -419,6 +453,29 @@ def test_repeated_queries_and_other_dimensions(spark, scratch):
     assert set(got.query_id) == {0, 20, 40, 100, 120}
 
 
+def test_another_vector_of_the_same_id_is_a_candidate(spark, scratch):
+    x = np.random.default_rng(8).normal(size=(30, 6))
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, (x[0] * 2).tolist()), (20, (-x[20]).tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = ann.neighbours(df, F.col("vec_id") % 20 == 0, scratch, epsilon=9.0, recall=1.0).toPandas()
+    rows = [(i, np.array(v)) for i, v in data]
+    want = []
+    for q, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            near = sorted(((-(w @ v), j) for n, (j, w) in enumerate(rows) if n != q))[:20]
+            want += [(i, r + 1, j, round(-s, 9)) for r, (s, j) in enumerate(near)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for _, r in got.iterrows()) == sorted(want)
+
+
+def test_recall_with_a_sample_bounded_in_bytes(spark, scratch, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(4_000, 32))
+    monkeypatch.setattr(ann, "SAMPLE_BYTES", 8 * 32 * 400)  # 400 vectors, hence 10 lists
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.neighbours(df, F.col("vec_id") % 80 == 0, scratch).toPandas()
+    hit = [len(set(g.vec_id) & set(brute_neighbours(x, range(4_000), q, 20))) / 20 for q, g in got.groupby("query_id")]
+    assert len(hit) == 50 and np.mean(hit) >= 0.9
+
+
 def test_recall_with_many_lists(spark, scratch):
     """Lists to visit are measured on vectors that the centroids don't know, so few vectors a list cost no recall."""
     rng = np.random.default_rng(4)
