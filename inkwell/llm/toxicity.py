@@ -26,17 +26,19 @@ from .labelled import labelled_sample
 from .shared import hash_spans, mix, slices, small_batches, with_fields
 
 DECAY, TABLE = 0.75, 1 << 20
-VARIANT, HARD = 20.0, 20.0  # costs of a missed variant of a witness, and of a clean segment taken for one
-ROUNDS = 6  # fits, each with the clean segments that the one before it took for witnesses
+VARIANT, HARD = 0.2, 20.0  # what missing a variant costs beside missing its segment, and what any clean segment taken for a toxic one costs at least
+STRONGEST = 150.0  # what missing the most frequent segment of toxic sentences costs; all others cost in proportion to their sentences
+ROUNDS = 9  # fits, each with the sentences that the one before it labels toxic, and the clean segments that it misplaces
+RARE, MOST = 0.0005, 0.9  # shares of clean sentences, and of clean texts' best sentences, that a toxic sentence must exceed
+OFTEN = 3  # different sentences that a segment must stand in to get variants
 VARIED = 0.02  # what the share of variants above the edge counts beside that of toxic documents
 JOIN = 1  # the character between the words of a pair
 #: Offsets of a subsequence's four characters within a span of six.
 PATTERNS = [(0, i, j, k) for k in range(3, 6) for j in range(2, k) for i in range(1, j)]
 WEIGHTS = np.array([DECAY ** (p[-1] - 3) for p in PATTERNS])
-_SENTENCE = re.compile(r"[.!?\n]+")
+_SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
+PLAIN = 0.6  # share of the toxic documents (net of clean ones) that single words must find, or pairs of words count as well
 #: ASCII characters that are dropped within words; all others but white space count.
-#: Share of the toxic documents that must hold a single word that tells, or pairs of words count as well.
-PLAIN = 0.6
 _DROP = np.zeros(1 << 16, bool)
 _DROP[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 _WHITE = np.zeros(1 << 16, bool)
@@ -133,10 +135,10 @@ class Landmarks:
 
 
 class Vocabulary:
-    """The distinct segments of many texts, and each text's segments in order by number; built in bounded steps."""
+    """The distinct segments of many texts, and each text's segments in order by number, with the sentence of each; built in bounded steps."""
 
     def __init__(self, texts: list[str | None], step: int = 1_000_000, pairs: bool = False):
-        keys, docs, chars, sizes, known = [], [], [], [], np.zeros(0, np.uint64)
+        keys, docs, within, chars, sizes, known, before = [], [], [], [], [], np.zeros(0, np.uint64), 0
         size = np.cumsum([len(t or "") + 1 for t in texts])
         first = 0
         while first < len(texts):
@@ -156,13 +158,22 @@ class Vocabulary:
             sizes.append(n[new])
             keys.append(key)
             docs.append(np.array(of, np.int64)[sentence])
-            first = last
+            within.append(before + sentence)
+            first, before = last, before + len(sentences)
         self.chars, self.size = np.concatenate(chars), np.concatenate(sizes)
         self.start = np.cumsum(self.size) - self.size
         own = hash_spans(self.chars.view(np.uint8), self.start * 2, self.size * 2)
         order = np.argsort(own)
         key = np.concatenate(keys)
-        self.doc, self.word = np.concatenate(docs), order[np.searchsorted(own[order], key)] if len(key) else np.zeros(0, np.int64)
+        self.doc, self.sentence = np.concatenate(docs), np.concatenate(within)
+        self.word = order[np.searchsorted(own[order], key)] if len(key) else np.zeros(0, np.int64)
+        order = np.argsort(self.sentence, kind="stable")
+        head = np.flatnonzero(np.diff(self.sentence[order], prepend=-1))
+        length = np.diff(np.append(head, len(order)))
+        place = (np.arange(len(order)) - np.repeat(head, length)).astype(np.uint64)
+        whole = np.add.reduceat(mix(key[order] + mix(place)), head) if len(order) else key
+        self.alike = np.zeros(len(order), np.int64)  # equal sentences have equal numbers
+        self.alike[order] = np.repeat(np.unique(whole, return_inverse=True)[1], length)
 
     def texts(self, words) -> list[str]:
         return [self.chars[self.start[w] + 1 : self.start[w] + self.size[w] - 1].tobytes().decode("utf-16-le", "replace") for w in words]
@@ -229,88 +240,122 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40, seed:
     return w
 
 
-def witnesses(doc: np.ndarray, word: np.ndarray, y: np.ndarray, least: float = 0.04, odds: float = 2.0, neighbours: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Words (by number) that mark the toxic documents, and how strongly beside the strongest; doc and word: of each segment, in order of the text.
-
-    A witness is far more frequent in toxic documents than in others, and stands there between many
-    different words (words of one toxic text and its copies always have the same neighbours): three
-    on each side at least, and a share `least` of what the most frequent witness has. Without neighbours only the counts
-    of documents decide; if no segment passes, those with the best odds do.
-    """
-    n = int(word.max()) + 1
-    same = doc[1:] == doc[:-1]
-    before, after = np.concatenate(([n], np.where(same, word[:-1], n))), np.concatenate((np.where(same, word[1:], n), [n]))
-    d, w = np.unique(np.stack((doc, word)), axis=1)
-    ones, zeros = np.bincount(w, y[d], n), np.bincount(w, 1 - y[d], n)
-    ratio = np.log((ones + 0.1) / (y.sum() + 1)) - np.log((zeros + 0.1) / ((1 - y).sum() + 1))
-    toxic = y[doc] > 0.5
-    support = [np.bincount(np.unique(np.stack((word[toxic], x[toxic])), axis=1)[0], minlength=n) for x in (before, after)]
-    strength = np.where(ratio > odds, np.minimum(ones, np.minimum(*support)) if neighbours else ones, 0)
-    found = np.flatnonzero(strength >= max(3, least * strength.max()))
-    if not neighbours and not len(found):
-        strength = np.maximum(0, ratio * ones)
-        found = np.argsort(-strength, kind="stable")[:20]
-    return found, strength[found] / max(1, strength.max())
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Column | None = None, per_class: int = 2000, landmarks: int = 128, seed: int = 4) -> KernelMachine | float:
-    """A machine fitted on the sentences of a bounded sample of labelled documents (about per_class a class).
-
-    A toxic document's label belongs to some of its sentences only, those with a witness (a segment far
-    more frequent in toxic than in other documents). Witnesses, and witnesses with one character more,
-    are the positive examples; negatives are segments of the other documents' sentences, first
-    drawn at random, then those with the highest margins, of which some become landmarks too. If single words tell fewer than PLAIN
-    of the toxic documents, pairs of neighbouring words are segments as well, here and when texts are scored. With fewer than two
-    classes the share of label 1 (0.5 with no labels) is returned and becomes everyone's score.
+def presence_weights(words: Vocabulary, y: np.ndarray, step: int = 16) -> np.ndarray:
+    """For each table place, how far the number of toxic texts with such a subsequence exceeds what chance gives, in standard deviations."""
+    doc, word = np.unique(np.stack((words.doc, words.word)), axis=1)
+    counts = np.zeros((2, TABLE))
+    cuts = np.searchsorted(doc, np.arange(0, len(y) + step, step))
+    for n, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+        seg, place, _ = subsequences(words.chars, words.start[word[lo:hi]], words.size[word[lo:hi]])
+        held = np.zeros((step, TABLE), bool)
+        held[doc[lo:hi][seg] - n * step, place] = True
+        toxic = np.zeros(step, bool)
+        toxic[: len(y) - n * step] = y[n * step : (n + 1) * step] > 0.5
+        counts += held[~toxic].sum(0), held[toxic].sum(0)
+    expected = counts.sum(0) * y.mean()
+    return (counts[1] - expected) / np.sqrt(np.maximum(expected, 0.5))
+
+
+def toxic_sentences(words: Vocabulary, y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sentences of toxic texts that are taken to be the toxic ones: their strongest segments, most frequent first, and in how many different sentences each stands.
+
+    Those are the sentences above what RARE of the clean sentences reach, and the best one of each toxic
+    text, if it is above what the best sentences of most clean texts reach: a text where none is may be labelled wrongly, and
+    none of its sentences is an example. Equal sentences, as copies have them, count once.
     """
-    got = labelled_sample(docs, labels, label, F.lit(True) if allowed is None else allowed, per_class).toPandas().sort_values("doc_id", kind="stable")
-    y, texts = got["y"].to_numpy(float), list(got["text"])
-    if not 0 < y.sum() < len(y):
-        return float(y.mean()) if len(y) else 0.5
-    words = Vocabulary(texts)
-    if not len(words.word):
-        return float(y.mean())
-    doc, word = words.doc, words.word
-    found, strength = witnesses(doc, word, y)
-    told = np.unique(doc[np.isin(word, found)])
-    pairs = y[told].sum() < PLAIN * y.sum()
-    if pairs:  # words alone don't tell: phrases may
-        words = Vocabulary(texts, pairs=True)
-        doc, word = words.doc, words.word
-        found, strength = witnesses(doc, word, y, neighbours=False)
-    rng = np.random.default_rng(seed)
-    chosen = words.texts(found)
-    some = [i for i, k in enumerate(strength) if k >= 0.3]
-    more = [v for w in (chosen[i] for i in some) for v in _variants(w, rng, max(4, 1000 // max(1, len(some))))]
-    clean = np.setdiff1d(word[y[doc] < 0.5], found)
-    picked = dict.fromkeys(clean[rng.permutation(len(clean))[:1500]].tolist())
-    marks = [*chosen, *words.texts([*picked][: max(1, landmarks - len(chosen))])]
+    m = margin[words.word]
+    order = np.lexsort((m, words.sentence))
+    at = order[np.flatnonzero(np.append(np.diff(words.sentence[order]) != 0, True))]  # the strongest segment of each sentence
+    best = np.full(len(y), -np.inf)
+    np.maximum.at(best, words.doc[at], m[at])
+    clean = y[words.doc[at]] < 0.5
+    one = at[~clean]
+    top = best[(y < 0.5) & np.isfinite(best)]
+    common = np.quantile(top, MOST) if len(top) else -np.inf
+    rare = np.quantile(m[at[clean]], 1 - RARE) if clean.any() else np.inf
+    one = one[(m[one] > rare) | (m[one] >= best[words.doc[one]]) & (m[one] > common)]
+    if not len(one):  # nothing stands out: every toxic text's best sentence
+        one = at[~clean]
+        one = one[m[one] >= best[words.doc[one]]]
+    pairs = np.unique(np.stack((words.word[one], words.alike[one])), axis=1)
+    segment, count = np.unique(pairs[0], return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    return segment[order], count[order]
+
+
+def _train(words: Vocabulary, y: np.ndarray, pairs: bool, landmarks: int, drawn: int, hard: int, marked: int, seed: int) -> tuple[KernelMachine, float]:
+    """A machine and the share of toxic texts that it finds; see fit."""
+    rng, doc, word = np.random.default_rng(seed), words.doc, words.word
+    clean = np.unique(word[y[doc] < 0.5])
+    said = np.unique(np.stack((word, words.alike))[:, y[doc] < 0.5], axis=1)[0]
+    said = np.bincount(said, minlength=len(words.size)).astype(float)  # different clean sentences with the segment
+    margin = words.margins(KernelMachine(presence_weights(words, y), 0.0, (1.0, 0.0), pairs))
+    found, count = toxic_sentences(words, y, margin)
+    hardest = lambda: clean[np.argsort(-margin[clean], kind="stable")[:hard]].tolist()
+    picked = dict.fromkeys([*clean[rng.permutation(len(clean))[:drawn]].tolist(), *hardest()])
+    marks = dict.fromkeys([*found[: landmarks // 2].tolist(), *[*picked][: landmarks // 2]])
     for _ in range(ROUNDS):
-        every = [*chosen, *more, *words.texts(picked)]
-        near = Landmarks(marks)
+        known = words.texts(found)
+        grown = [(v, c * VARIANT) for w, c in zip(known, count) if c >= OFTEN for v in _variants(w, rng, 60)]
+        every = [*known, *(v for v, _ in grown), *words.texts(picked)]
+        near = Landmarks(words.texts(marks))
         values, vectors = np.linalg.eigh(near.rows @ near.rows.T)
         root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
         z = np.concatenate((near.kernel(every) @ root, np.ones((len(every), 1))), 1)
-        part = np.repeat((0, 1, 2), (len(chosen), len(more), len(every) - len(chosen) - len(more)))
-        w = _svm(z, np.where(part < 2, 1.0, -1.0), np.concatenate((100 * strength**1.3, np.array([100.0, VARIANT, HARD])[part[len(chosen) :]])))
+        sign = np.where(np.arange(len(every)) < len(known) + len(grown), 1.0, -1.0)
+        scale = STRONGEST / count.max()
+        w = _svm(z, sign, np.concatenate((scale * count, [scale * c for _, c in grown], HARD + scale * said[list(picked)])))
         table = np.zeros(TABLE)
         table[near.used] = near.rows.T @ (root @ w[:-1])
         model = KernelMachine(table.astype(np.float32), float(w[-1]), (1.0, 0.0), pairs)
         margin = words.margins(model)
-        own = margin[clean]
-        hard = clean[np.argsort(-own, kind="stable")[:600]].tolist()
-        marks = list(dict.fromkeys([*marks, *words.texts([w for w in hard if w not in picked][:80])]))
-        picked |= dict.fromkeys(hard)
+        found, count = toxic_sentences(words, y, margin)
+        worst = hardest()
+        marks |= dict.fromkeys([*found[: marked // 2].tolist(), *[w for w in worst if w not in picked][:marked]])
+        picked |= dict.fromkeys(worst)
     # The sigmoid is 0.3 where the share of toxic documents above, and a part of that of variants, exceeds four times that of clean ones by most.
-    m = np.maximum(-1e3, text_margins(words.margins(model)[word], doc, len(y)))
+    m = np.maximum(-1e3, text_margins(margin[word], doc, len(y)))
     edges = np.unique(np.clip(m, 0, None))
     above = lambda some: 1 - np.searchsorted(np.sort(m[some]), edges) / some.sum()
-    varied = np.sort(model.margins(more)) if more else np.zeros(1)
-    edge = float(edges[np.argmax(above(y == 1) - 4 * above(y == 0) + VARIED * (1 - np.searchsorted(varied, edges) / len(varied)))])
+    varied = np.sort(model.margins([v for v, _ in grown])) if grown else np.zeros(1)
+    gain = above(y == 1) - 4 * above(y == 0)
+    edge = float(edges[np.argmax(gain + VARIED * (1 - np.searchsorted(varied, edges) / len(varied)))])
     below = m[m < edge]
     edge = (edge + max(0.0, float(below.max()) if len(below) else 0.0)) / 2
     slope = 4 / max(0.2, float(np.median(m[y == 1])) - edge)
     model.scale = (float(slope), float(np.log(0.3 / 0.7) - slope * edge))
+    return model, float(gain.max())
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Column | None = None, per_class: int = 2000, landmarks: int = 128, drawn: int = 1500, hard: int = 600, marked: int = 80, seed: int = 4
+) -> KernelMachine | float:
+    """A machine trained on the sentences of a bounded sample of labelled documents (about per_class a class).
+
+    A toxic document's label belongs to some of its sentences only, and which ones is learned with the rest
+    (multiple-instance learning): sentences are labelled first by subsequences that more toxic documents have
+    than chance gives, then, between fits, by the machine itself (toxic_sentences). A labelled sentence is
+    an example with the kernel of its strongest segment, and again with one more character in that; an example weighs as many different sentences as agree in it. All
+    sentences of clean documents are negative, each segment once, weighing the number of such sentences.
+
+    The fit works on a set of these that grows: `drawn` segments at random, and in each round the `hard` ones that are most
+    wrongly placed among all clean ones. Landmarks are segments of labelled sentences, `landmarks` at first,
+    half toxic and half clean, and up to marked / 2 toxic and `marked` clean ones more a round. If single words find fewer than PLAIN of the toxic documents
+    (net of clean ones), pairs of neighbouring words are segments as well, here and when texts are scored. With fewer than two
+    classes the share of label 1 (0.5 with no labels) is returned and becomes everyone's score.
+    """
+    got = labelled_sample(docs, labels, label, F.lit(True) if allowed is None else allowed, per_class).toPandas().sort_values("doc_id", kind="stable")
+    y, texts = got["y"].to_numpy(float), list(got["text"])
+    if not 0 < y.sum() < len(y):
+        return float(y.mean()) if len(y) else 0.5
+    words = Vocabulary(texts)
+    sides = y[words.doc]
+    if not 0 < sides.sum() < len(sides):  # a class without any word
+        return float(y.mean())
+    model, told = _train(words, y, False, landmarks, drawn, hard, marked, seed)
+    if told < PLAIN:  # words alone don't tell: phrases may
+        phrases, more = _train(Vocabulary(texts, pairs=True), y, True, landmarks, drawn, hard, marked, seed)
+        model = phrases if more > told else model
     return model
 
 

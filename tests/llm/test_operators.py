@@ -532,6 +532,44 @@ def _toxic_texts(spark, texts):
     return docs, labels
 
 
+def _kernel(s, t):
+    """k(s, t) by its definition, over strings."""
+
+    def weights(w):
+        w, out = f" {w} ", collections.Counter()
+        for i in range(len(w)):
+            for p in toxicity.PATTERNS:
+                if i + p[-1] < len(w):
+                    out["".join(w[i + k] for k in p)] += toxicity.DECAY ** (p[-1] - 3)
+        return out, sum(max(0, len(w) - p[-1]) * toxicity.DECAY ** (2 * (p[-1] - 3)) for p in toxicity.PATTERNS) ** 0.5
+
+    (f, a), (g, b) = weights(s), weights(t)
+    return sum(v * g[u] for u, v in f.items()) / (a * b) if a and b else 0.0
+
+
+def test_scores_by_definition():
+    """A text's score from kernels with every landmark, segment by segment."""
+    near, weight, bias = toxicity.Landmarks(["blimpkin", "zorgface", "window"]), np.array([2.0, 1.5, -1.0]), -0.4
+    table = np.zeros(toxicity.TABLE)
+    table[near.used] = near.rows.T @ weight
+    m = toxicity.KernelMachine(table, bias, (3.0, -1.0))
+    for text, words in [("You BLIMPkin! a zorg-face.", ["you", "blimpkin", "a", "zorgface"]), ("z o r g the window", ["zorg", "the", "window"]), ("such blixmpkins", ["such", "blixmpkins"])]:
+        margin = sorted((sum(x * _kernel(w, k) for x, k in zip(weight, ["blimpkin", "zorgface", "window"])) + bias for w in words), reverse=True)
+        want = margin[0] + (0.5 * max(0, margin[1]) if margin[0] > 0 else 0)
+        assert abs(m.scores([text])[0] - 1 / (1 + np.exp(-(3 * want - 1)))) < 1e-6
+
+
+def test_toxic_sentences():
+    """Sentences are labelled, equal ones of copies once; a toxic text where nothing stands out labels none."""
+    texts = ["One fine day. You zorgface here.", "One fine day. You zorgface here.", "Oh zorgface. A blimpkin", "Nothing at all", *[f"word{i} here" for i in range(20)]]
+    y = np.array([1.0] * 4 + [0.0] * 20)
+    words = toxicity.Vocabulary(texts)
+    strong = {"zorgface": 5.0, "blimpkin": 4.0, "here": 0.5}
+    margin = np.array([strong.get(w, 0.0) for w in words.texts(range(len(words.size)))])
+    segment, count = toxicity.toxic_sentences(words, y, margin)
+    assert list(zip(words.texts(segment), count)) == [("zorgface", 2), ("blimpkin", 1)]
+
+
 def test_phrases_of_innocent_words_are_found(spark):
     """Toxic texts hold two words side by side, clean ones the same words apart."""
     rng = random.Random(2)
