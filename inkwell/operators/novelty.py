@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.let import let
@@ -81,48 +82,50 @@ def _indexed(entries: DataFrame, references: DataFrame) -> DataFrame:
     return entries.select("entry_id", _hashed(F.col("text")).alias("s")).mapInArrow(run, f"entry_id {kind}, ref_id bigint, score double")
 
 
-def _sets(df: DataFrame, id_: str) -> DataFrame:
-    """id, kind (0 word, 1 bigram), size and f, the features: a row for each of a text's two sets that isn't empty."""
-    sets = df.select(F.col(id_), _hashed(F.col("text")).alias("s"))
+def _sets(df: DataFrame, *ids: str) -> DataFrame:
+    """ids, kind (0 word, 1 bigram), size and f, the features: a row for each of a text's two sets that isn't empty."""
+    sets = df.select(*ids, _hashed(F.col("text")).alias("s"))
     both = F.array(*(F.struct(F.lit(i).alias("kind"), F.col(f"s.{k}").alias("f")) for i, k in enumerate(KINDS)))
-    return sets.select(id_, F.explode(both).alias("k")).select(id_, "k.kind", F.size("k.f").alias("size"), "k.f").filter("size > 0")
+    return sets.select(*ids, F.explode(both).alias("k")).select(*ids, "k.kind", F.size("k.f").alias("size"), "k.f").filter("size > 0")
 
 
 def _joined(entries: DataFrame, references: DataFrame, first: int = 4) -> DataFrame:
     """The best reference by joins, the rarest features first.
 
-    A set's features that some reference has are ordered by how many references have them. References that share none of the first p of an entry's
-    n features have at most the rest in common, so their similarity is at most rest / n: an entry is done when that is under what
-    it has already found. So 4 features are looked up, then 8, 16 ..., of the entries that aren't done; what nearly every reference has comes
-    last and, but for entries with nothing else in common with any, never. Candidates are compared by their whole sets.
+    Features are ordered by how many references have them, and only those that some reference has are kept of an entry: the others are in
+    no intersection. References that share one of an entry's `first` rarest features are compared; the best score found, s, bounds the rest. A reference
+    of m features reaches s with an entry of n only if they have c = s * (n + m) / (1 + s) features or more in common, and the rarest of
+    those is among the first m - c + 1 of the reference's and, as c is s * n or more, among the entry's but for the last s * n. So
+    one more look at the features finds every reference that is as good, and what nearly every reference has comes last on both sides. Candidates are
+    compared by all of their features; an entry's go through one exchange before the looks and one for each of the two.
     """
-    left = kept(_sets(entries.dropDuplicates(["entry_id"]), "entry_id"), "entry-sets")
-    right = kept(_sets(references.filter("ref_id is not null"), "ref_id"), "reference-sets")
-    postings = right.select("kind", F.explode("f").alias("feature"), "ref_id")
-    often = postings.groupBy("kind", "feature").agg(F.count("*").alias("n"))
-    known = left.select("entry_id", "kind", F.explode("f").alias("feature")).join(often, ["kind", "feature"])
-    ranked = known.groupBy("entry_id", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "feature"))).alias("by"))
-    open_ = kept(left.select("entry_id", "kind", "size").join(ranked, ["entry_id", "kind"]).select("entry_id", "kind", "size", F.col("by.feature").alias("by"), F.size("by").alias("need")), "rarest-first")
-    best, at, step = None, 0, first
-    while True:
-        if best is not None:
-            found = best.select("entry_id", "kind", F.col("m.score").alias("found"))
-            need = F.least(F.size("by"), F.floor(F.size("by") - F.coalesce("found", F.lit(0.0)) * F.col("size") + 1e-9) + 1).cast("int")
-            open_ = open_.join(found, ["entry_id", "kind"], "left").withColumn("need", need).filter(F.col("need") > at).drop("found")
-            open_ = kept(open_, "open")
-            if open_.isEmpty():
-                break
-        pairs = candidates(open_, postings, at, step)
-        whole = pairs.join(left.select("entry_id", "kind", "size", "f"), ["entry_id", "kind"]).join(right.select("ref_id", "kind", F.col("size").alias("ref_size"), F.col("f").alias("ref_f")), ["ref_id", "kind"])
-        common = F.size(F.array_intersect("f", "ref_f"))
-        scored = whole.select("entry_id", "kind", F.struct((common / (F.col("size") + F.col("ref_size") - common)).alias("score"), (-F.col("ref_id")).alias("o")).alias("m"))
-        best = kept((scored if best is None else scored.unionAll(best)).groupBy("entry_id", "kind").agg(F.max("m").alias("m")), "best")
-        at, step = at + step, 2 * step
-    top = best.groupBy("entry_id").agg(F.max("m").alias("m")).select("entry_id", (-F.col("m.o")).alias("ref_id"), F.col("m.score").alias("score"))
-    return entries.select("entry_id").join(top, "entry_id", "left").select("entry_id", "ref_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    entries = entries.withColumn("_e", F.xxhash64("entry_id", "text"))
+    right = kept(_sets(references.filter("ref_id is not null").withColumn("_r", F.monotonically_increasing_id()), "_r", "ref_id"), "reference-sets")
+    each = right.select("_r", "kind", F.col("size").alias("ref_size"), F.explode("f").alias("feature"))
+    often = kept(each.groupBy("kind", "feature").agg(F.count("*").alias("n")), "often")
+    order = W.partitionBy("_r", "kind").orderBy("n", "feature")
+    postings = kept(each.join(often, ["kind", "feature"]).withColumn("place", F.row_number().over(order)).drop("n"), "postings")
+    known = _sets(entries, "_e").select("_e", "kind", "size", F.explode("f").alias("feature")).join(often, ["kind", "feature"])
+    ranked = known.groupBy("_e", "kind").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "feature"))).alias("by"))
+    open_ = kept(ranked.select("_e", "kind", "size", F.array_distinct("by.feature").alias("by")), "rarest-first")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        whole = pairs.join(open_, ["_e", "kind"]).join(right.select("_r", "ref_id", "kind", F.col("size").alias("ref_size"), "f"), ["_r", "kind"])
+        common = F.size(F.array_intersect("by", "f"))
+        return whole.groupBy("_e").agg(F.max(F.struct((common / (F.col("size") + F.col("ref_size") - common)).alias("score"), (-F.col("ref_id")).alias("o"))).alias("m"))
+
+    best = kept(scored(candidates(open_.withColumns({"found": F.lit(0.0), "need": F.size("by")}), postings, 0, first)), "best")
+    left = F.floor(F.size("by") - F.col("found") * F.col("size") + 1e-9) + 1
+    more = open_.filter(F.size("by") > first).join(best.select("_e", F.col("m.score").alias("found")), "_e")
+    more = more.withColumn("need", F.least(F.size("by"), left).cast("int")).filter(F.col("need") > first)
+    top = best.unionAll(scored(candidates(more, postings, first, (1 << 31) - 1))).groupBy("_e").agg(F.max("m").alias("m"))
+    top = top.select("_e", (-F.col("m.o")).alias("ref_id"), F.col("m.score").alias("score"))
+    return entries.select("entry_id", "_e").join(top, "_e", "left").select("entry_id", "ref_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def candidates(open_: DataFrame, postings: DataFrame, at: int, step: int) -> DataFrame:
-    """Pairs (entry_id, kind, ref_id) that share one of the entry's features at + 1 .. at + step, or as many as it needs, each once."""
-    some = open_.select("entry_id", "kind", F.explode(F.slice("by", F.lit(at + 1), F.least(F.lit(step), F.col("need") - at))).alias("feature"))
-    return some.join(postings, ["kind", "feature"]).select("entry_id", "kind", "ref_id").distinct()
+    """Pairs (_e, kind, _r), each once, that share one of the entry's features at + 1 .. at + step, or as many as it needs, where the
+    reference can still have enough in common for the score found."""
+    some = open_.select("_e", "kind", "size", "found", F.explode(F.slice("by", F.lit(at + 1), F.least(F.lit(step), F.col("need") - at))).alias("feature"))
+    common = F.ceil(F.col("found") * (F.col("size") + F.col("ref_size")) / (1 + F.col("found")) - 1e-9)
+    return some.join(postings, ["kind", "feature"]).filter(F.col("place") <= F.col("ref_size") - common + 1).select("_e", "kind", "_r").distinct()

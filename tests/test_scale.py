@@ -1,8 +1,10 @@
 """What a plan may not do at size: send whole tables to every executor, leave out rows of a table, hold more than it reads."""
 
+import random
+
 import duckdb
 
-from inkwell.operators import segment
+from inkwell.operators import novelty, segment
 from inkwell.plans import catalog
 
 from .conftest import SMALL
@@ -41,3 +43,16 @@ def test_a_next_chunk_needs_a_block_of_its_own(spark):
 def test_every_order_is_a_document(spark):
     orders = duckdb.sql(f"SELECT count(DISTINCT l_orderkey) FROM '{SMALL}/lineitem.parquet'").fetchall()[0][0]
     assert catalog.queries()["label_chunks"](spark, SMALL).select("doc").distinct().count() == orders
+
+
+def test_long_entries_are_compared_with_few_references(spark, monkeypatch):
+    rng = random.Random(3)
+    stop, words = [f"the{i}" for i in range(30)], [f"w{i}" for i in range(400)]
+    r = [(i, " ".join(rng.sample(stop, 12) + rng.sample(words, 6))) for i in range(80)] + [(80, "the1 the2"), (80, "w1 w2 w3")]
+    e = [(i, " ".join(rng.sample(stop, 28) + r[rng.randrange(80)][1].split() + [f"own{i}x{k}" for k in range(60)])) for i in range(60)] + [(7, "w1 w2 w3"), (90, "the1"), (91, None)]
+    seen, real = [], novelty.candidates
+    monkeypatch.setattr(novelty, "candidates", lambda *a: (seen.append(real(*a).count()), real(*a))[1])
+    left, right = spark.createDataFrame(e, "entry_id long, text string"), spark.createDataFrame(r, "ref_id long, text string")
+    rows = lambda df: sorted((x["entry_id"], -1 if x["ref_id"] is None else x["ref_id"], round(x["score"], 12)) for x in df.collect())
+    assert rows(novelty.novelty(left, right, bound=-1)) == rows(novelty.novelty(left, right))
+    assert sum(seen) < 0.5 * 2 * 60 * 80  # each entry shares common words, and common pairs of them, with every reference
