@@ -13,18 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..tables import shared_root
+from ..tables import shared_root, small_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1,000 rows in place of Spark's 10,000, unless the session has another number: rows hold whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "1000")
-
-
 def fresh(name: str, columns: list[str]) -> str:
     """The name, or one like it that no column has (names are compared without case)."""
     taken = {c.lower() for c in columns}

@@ -1,9 +1,11 @@
 """What a plan may not do at size: send whole tables to every executor, leave out rows of a table, hold more than it reads."""
 
 import random
+import resource
 
 import duckdb
 
+from inkwell.functions import arrow
 from inkwell.operators import novelty, segment
 from inkwell.plans import catalog
 
@@ -56,3 +58,20 @@ def test_long_entries_are_compared_with_few_references(spark, monkeypatch):
     rows = lambda df: sorted((x["entry_id"], -1 if x["ref_id"] is None else x["ref_id"], round(x["score"], 12)) for x in df.collect())
     assert rows(novelty.novelty(left, right, bound=-1)) == rows(novelty.novelty(left, right))
     assert sum(seen) < 0.5 * 2 * 60 * 80  # each entry shares common words, and common pairs of them, with every reference
+
+
+def test_a_python_worker_gets_small_batches(spark):
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    arrow.columns()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    rows = spark.range(0, 3000, 1, 1)
+    sizes = rows.mapInArrow(lambda batches: (b.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert max(r["n"] for r in sizes) <= 1000
+
+
+def test_a_long_string_is_mended_in_little_memory():
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    text = '{"t": "' + "a" * 8_000_000 + '\\times"}'
+    assert arrow.repair_json(text).endswith('\\\\times"}')
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000  # KB
