@@ -35,21 +35,21 @@ def interpret_answers(blocks: DataFrame, client: ModelClient, chunk: int = 90, o
     store = store or folder(spark, "replies-answers")
     blocks = kept(blocks, "answer-blocks")
     chunks = chunked(blocks, chunk, overlap)
-    asked = listing(chunks.withColumn("doc", F.struct("doc", "chunk")), full=True).select("doc.*", "listing")
     printed = F.when(F.col("text").rlike(HEADING), _one_line("text"))
-    first = chunks.filter("_own = chunk").groupBy("doc", "chunk").agg(F.max_by(printed, F.when(printed.isNotNull(), F.col("i"))).alias("last"))
-    asked = kept(_in_effect(asked.join(first, ["doc", "chunk"], "left")), "chunks")
-    while True:
-        said = run_model(asked, client, "answers", F.to_json(F.struct("context", "listing")), RECORD, store=store)
-        read = kept(said.select("doc", "chunk", "context", "listing", F.filter("reply", lambda r: F.coalesce(strip(r["qno"]), F.lit("")) != "").alias("reply")), "readings")
+    last = F.max_by(printed, F.when(printed.isNotNull() & (F.col("_own") == F.col("chunk")), F.col("i"))).alias("last")
+    listings = kept(_in_effect(listing(chunks, full=True, keys=("doc", "chunk"), more=(last,))), "chunks")
+    asked = listings
+    while True:  # listings are the bulk: they stand in one table and in what is asked, nothing else carries them
+        payload = asked.select("doc", "chunk", "context", F.to_json(F.struct("context", "listing")).alias("_payload"))
+        said = run_model(payload, client, "answers", F.col("_payload"), RECORD, store=store)
+        read = kept(said.select("doc", "chunk", "context", F.filter("reply", lambda r: F.coalesce(strip(r["qno"]), F.lit("")) != "").alias("reply")), "readings")
         headed = F.filter("reply", lambda r: F.coalesce(strip(r["section"]), F.lit("")) != "")
-        after = kept(_in_effect(read.select("doc", "chunk", "listing", F.col("context").alias("_before"), _one_line(F.try_element_at(headed, F.lit(-1))["section"]).alias("last"))), "chunks")
-        dropped(asked)
+        after = kept(_in_effect(read.select("doc", "chunk", F.col("context").alias("_before"), _one_line(F.try_element_at(headed, F.lit(-1))["section"]).alias("last"))), "contexts")
         if after.filter(~F.col("context").eqNullSafe(F.col("_before"))).isEmpty():
             break
         dropped(read)
-        asked = kept(after.drop("_before"), "chunks")
-        dropped(after)
+        asked = listings.drop("context").join(after.drop("_before"), ["doc", "chunk"])
+    dropped(listings)
     one = read.select("doc", "chunk", F.posexplode("reply").alias("n", "r"))
     digits = F.regexp_replace("r.qno", r"\D", "")
     records = one.select(
@@ -57,7 +57,7 @@ def interpret_answers(blocks: DataFrame, client: ModelClient, chunk: int = 90, o
         F.coalesce(strip(F.col("r.part")), F.lit("")).alias("part"), F.nullif("r.answer", F.lit("")).alias("answer"), F.coalesce(strip(F.col("r.solution")), F.lit("")).alias("solution"),
         F.array_compact(F.transform(F.coalesce("r.figs", F.array().cast("array<string>")), lambda f: f.try_cast("int"))).alias("figs"),
     )
-    once = dedup_answers(records).drop("sec", "readings", "section_in_effect")
+    once = kept(dedup_answers(records).drop("sec", "readings", "section_in_effect"), "answers-once")  # read for the figs and for the rest
     figs = once.select("doc", "ord", F.posexplode("figs").alias("n", "i")).join(blocks.select("doc", F.col("i").cast("int").alias("i")).distinct(), ["doc", "i"])
     figs = figs.groupBy("doc", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "i"))), lambda x: x["i"]).alias("figs"))
     out = once.drop("figs").join(figs, ["doc", "ord"], "left").withColumn("figs", F.coalesce("figs", F.array().cast("array<int>")))

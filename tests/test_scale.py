@@ -6,7 +6,7 @@ import resource
 import duckdb
 
 from inkwell.functions import arrow
-from inkwell.operators import novelty, segment
+from inkwell.operators import answers, novelty, segment
 from inkwell.plans import catalog
 
 from .conftest import SMALL
@@ -75,3 +75,17 @@ def test_a_long_string_is_mended_in_little_memory():
     text = '{"t": "' + "a" * 8_000_000 + '\\times"}'
     assert arrow.repair_json(text).endswith('\\\\times"}')
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000  # KB
+
+
+def test_listings_stand_in_one_table_and_in_what_is_asked(spark, monkeypatch):
+    class Key:
+        def reply(self, task, payload):
+            return [{"section": "", "qno": x.split()[2].rstrip("."), "part": "", "answer": "x", "solution": "", "figs": []} for x in payload["listing"].split("\n")]
+
+    tables, real = {}, answers.kept
+    monkeypatch.setattr(answers, "kept", lambda df, name: (tables.setdefault(name, df.columns), real(df, name))[1])
+    rows = [("d", i, "text", f"{i}. x", None) for i in range(12)] + [("d", 12, "footer", "Section 9", None)]
+    blocks = spark.createDataFrame(rows, "doc string, i long, type string, text string, table_body string")
+    got = answers.interpret_answers(blocks, Key(), chunk=5, overlap=1).collect()
+    assert sorted(int(r["qno"]) for r in got) == list(range(12))
+    assert [n for n, c in tables.items() if "listing" in c] == ["chunks"]
