@@ -24,7 +24,8 @@ from .shared import Scratch, fresh, hash_spans, hashed_words, ngram_hashes, slic
 
 LENGTH, GRAM = 50, 12
 HOT = 100_000  # suffixes with one gram that a task sorts at once; more are compared by an exact aggregate
-FEW, SALTS = 1000, 256
+FEW, SALTS = 1000, 256  # FEW is not read any more: a suffix carries whether its gram is hot
+BUCKET = 25_000  # suffixes, or spans, that a group holds at the mean
 
 
 def minimisers(words: np.ndarray, cut: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -69,21 +70,35 @@ def _sampled(length, gram):
 
 
 def _shared(batches):
-    """Of each text the positions of its suffixes whose grams occur elsewhere too (a slice's row, with those grams)."""
+    """Of each text the positions of its suffixes whose grams occur elsewhere too (a slice's row, with those grams), and whether those are hot."""
     for b in batches:
         for i in range(b.num_rows):
             get = lambda c: b.column(c)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
             keep = np.isin(get("grams"), get("shared"))
-            text, at = get("texts")[keep], get("at")[keep]
+            text, at, hot = get("texts")[keep], get("at")[keep], np.isin(get("grams")[keep], get("hot"))
             first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, int)
             offsets = np.append(first, len(text)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(get("uids")[text[first]], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32()))], ["uid", "at"])
+            listed = lambda x, t: pa.ListArray.from_arrays(offsets, pa.array(x, t))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(get("uids")[text[first]], pa.int64()), listed(at, pa.int32()), listed(hot, pa.bool_())], ["uid", "at", "hot"])
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    n, width = rows.shape
-    offsets = np.arange(n + 1, dtype=np.int32) * (width * 4)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+def _binary(rows: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The rows from each bound to the next as one value."""
+    offsets = (bounds * (rows.shape[1] * 4)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _packed(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by key, each distinct key, and the bounds of its rows in that order."""
+    order = np.argsort(key, kind="stable")
+    distinct, first = np.unique(key[order], return_index=True)
+    return order, distinct, np.append(first, len(key)).astype(np.int32)
+
+
+def _flat(table, column: str) -> pa.Array:
+    """All entries of a column of lists."""
+    lists = table.column(column)
+    return (lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists).flatten()
 
 
 def _tokens(column: pa.Array, reach: int) -> np.ndarray:
@@ -95,7 +110,8 @@ def _tokens(column: pa.Array, reach: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[column.offset] : offsets[column.offset + len(column)]].view("<u4").reshape(-1, reach)
 
 
-def _contexts(length, gram):
+def _contexts(length, gram, buckets):
+    """What stands around each suffix; those of a few MB of texts that go to one bucket (hot ones: -1) are one row."""
     reach = length - gram
 
     def run(batches):
@@ -106,16 +122,20 @@ def _contexts(length, gram):
                 lists = part.column("at")
                 own = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 at = lists.flatten().to_numpy().astype(np.int64) + cut[own]
+                hot = part.column("hot").flatten().to_numpy(zero_copy_only=False)
                 padded = np.concatenate((np.zeros(reach, np.uint32), short, np.zeros(length, np.uint32)))
                 grams = ngram_hashes(words, gram)
                 for k in range(0, len(at), 20_000):
                     p, o = at[k : k + 20_000], own[k : k + 20_000]
+                    order, bucket, bounds = _packed(np.where(hot[k : k + 20_000], -1, (grams[p] % np.uint64(buckets)).astype(np.int64)))
+                    p, o = p[order], o[order]
                     j = np.arange(reach)
                     left, right = padded[p[:, None] + reach - 1 - j], padded[p[:, None] + reach + gram + j]
                     nl, nr = np.minimum(reach, p - cut[o]), np.minimum(reach, cut[o + 1] - p - gram)
                     left, right = np.where(j < nl[:, None], left, 0), np.where(j < nr[:, None], right, 0)
                     ids = pa.array(o)
-                    yield pa.RecordBatch.from_arrays([part.column("uid").take(ids), part.column("doc_id").take(ids), pa.array(grams[p].view(np.int64)), pa.array((p - cut[o]).astype(np.int32)), _binary(left), _binary(right)], ["uid", "doc_id", "gram", "at", "left", "right"])
+                    lists = [pa.ListArray.from_arrays(bounds, x) for x in (part.column("uid").take(ids), part.column("doc_id").take(ids), pa.array(grams[p].view(np.int64)), pa.array((p - cut[o]).astype(np.int32)))]
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), *lists, _binary(left, bounds), _binary(right, bounds)], ["bucket", "uid", "doc_id", "gram", "at", "left", "right"])
 
     return run
 
@@ -138,14 +158,14 @@ def _classes(gram: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def _repeats(length, gram):
-    """Spans of one bucket's suffixes that an earlier suffix repeats, with the document of the earliest."""
+def _repeats(length, gram, homes):
+    """Spans of one bucket's suffixes that an earlier suffix repeats, with the document of the earliest; a row for each of `homes` sets of documents."""
     reach = length - gram
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        get = lambda c: table.column(c).to_numpy()
-        doc, uid, at, key = table.column("doc_id").fill_null((1 << 63) - 1).to_numpy(), get("uid"), get("at").astype(np.int64), get("gram")
+        get = lambda c: _flat(table, c).to_numpy()
+        doc, uid, at, key = _flat(table, "doc_id").fill_null((1 << 63) - 1).to_numpy(), get("uid"), get("at").astype(np.int64), get("gram")
         order = np.lexsort((at, uid, doc))
         doc, uid, at, key = doc[order], uid[order], at[order], key[order]
         left, right = (_tokens(table.column(c).combine_chunks(), reach)[order] for c in ("left", "right"))
@@ -167,7 +187,9 @@ def _repeats(length, gram):
         _, z = np.nonzero(edge == -1)
         bounds = np.stack((row * (reach + 1) + a, row * (reach + 1) + z), 1).ravel()
         source = doc[np.minimum.reduceat(np.append(first.ravel(), none), bounds)[::2]] if len(bounds) else np.zeros(0, np.int64)
-        return pa.table({"uid": uid[row], "start": (at[row] - z + 1).astype(np.int32), "end": (at[row] - a + length).astype(np.int32), "first_doc_id": pa.array(source, mask=source == (1 << 63) - 1)})
+        order, home, bounds = _packed((uid[row].view(np.uint64) % np.uint64(homes)).astype(np.int64))
+        columns = {"uid": uid[row], "start": (at[row] - z + 1).astype(np.int32), "end": (at[row] - a + length).astype(np.int32), "first_doc_id": source}
+        return pa.table({"home": home, **{c: pa.ListArray.from_arrays(bounds, pa.array(x[order])) for c, x in columns.items()}})
 
     return run
 
@@ -179,32 +201,46 @@ def _runs(length, gram):
     def run(batches):
         for b in batches:
             left, right = (_tokens(b.column(c), reach) for c in ("left", "right"))
-            key = b.column("gram").to_numpy().view(np.uint64)
-            at = b.column("at").to_numpy()
+            key = _flat(b, "gram").to_numpy().view(np.uint64)
+            at, doc, uid = _flat(b, "at").to_numpy(), _flat(b, "doc_id"), _flat(b, "uid")
             for a in range(reach + 1):
                 rows = np.flatnonzero(((left > 0).sum(1) >= a) & ((right > 0).sum(1) >= reach - a))
                 text = np.concatenate((key[rows, None].view(np.uint8), np.ascontiguousarray(left[rows, :a]).view(np.uint8), np.ascontiguousarray(right[rows, : reach - a]).view(np.uint8)), 1)
                 h = hash_spans(text.ravel(), np.arange(len(rows)) * text.shape[1], np.full(len(rows), text.shape[1])) + np.uint64(a)
                 ids = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("doc_id").take(ids), b.column("uid").take(ids), pa.array((at[rows] - a).astype(np.int32))], ["run", "doc_id", "uid", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), doc.take(ids), uid.take(ids), pa.array((at[rows] - a).astype(np.int32))], ["run", "doc_id", "uid", "start"])
 
     return run
 
 
+def _merge(own: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Overlapping spans of each document (own: its number here) as one, with the smallest first_doc_id."""
+    start, end = start.astype(np.int64) + (own << 32), end.astype(np.int64) + (own << 32)
+    order = np.argsort(start, kind="stable")
+    own, start, end, first = own[order], start[order], end[order], first[order]
+    head = np.flatnonzero(np.concatenate(([True], start[1:] > np.maximum.accumulate(end)[:-1]))) if len(own) else np.zeros(0, int)
+    end, first = (f.reduceat(x, head) if len(head) else x for f, x in ((np.maximum, end), (np.minimum, first)))
+    of = own[head]
+    return of, (start[head] - (of << 32)).astype(np.int32), (end - (of << 32)).astype(np.int32), pa.array(first, mask=first == (1 << 63) - 1)
+
+
 def _merged(batches):
-    """Overlapping spans of each document as one, with the smallest first_doc_id."""
+    """The spans of each document, a row with a list of them, merged."""
     for b in batches:
         lists = b.column("spans")
-        own = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
         span = lists.flatten()
-        start, end = (span.field(c).to_numpy().astype(np.int64) + (own << 32) for c in ("start", "end"))
-        first = span.field("first_doc_id").fill_null((1 << 63) - 1).to_numpy()
-        order = np.argsort(start, kind="stable")
-        own, start, end, first = own[order], start[order], end[order], first[order]
-        head = np.flatnonzero(np.concatenate(([True], start[1:] > np.maximum.accumulate(end)[:-1]))) if len(own) else np.zeros(0, int)
-        end, first = (f.reduceat(x, head) if len(head) else x for f, x in ((np.maximum, end), (np.minimum, first)))
-        of = own[head]
-        yield pa.RecordBatch.from_arrays([b.column("uid").take(pa.array(of)), pa.array((start[head] - (of << 32)).astype(np.int32)), pa.array((end - (of << 32)).astype(np.int32)), pa.array(first, mask=first == (1 << 63) - 1)], ["uid", "start", "end", "first_doc_id"])
+        start, end = (span.field(c).to_numpy() for c in ("start", "end"))
+        of, *rest = _merge(np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy())), start, end, span.field("first_doc_id").fill_null((1 << 63) - 1).to_numpy())
+        yield pa.RecordBatch.from_arrays([b.column("uid").take(pa.array(of)), *map(pa.array, rest)], ["uid", "start", "end", "first_doc_id"])
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """The spans of one set of documents, from the rows of all buckets, merged."""
+    table = table.combine_chunks()
+    get = lambda c: _flat(table, c).to_numpy()
+    uids, own = np.unique(get("uid"), return_inverse=True)
+    of, *rest = _merge(own, get("start"), get("end"), get("first_doc_id"))
+    return pa.table([pa.array(uids[of]), *map(pa.array, rest)], ["uid", "start", "end", "first_doc_id"])
 
 
 def identified(docs: DataFrame, name: str = "uid") -> DataFrame:
@@ -225,31 +261,30 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int =
     # A gram is counted, and its count sent back, once for each slice that has it, however many suffixes begin with it.
     each = suffixes.select("slice", F.explode(F.arrays_zip("distinct", "counts")).alias("x")).select("slice", F.col("x.distinct").alias("gram"), F.col("x.counts").alias("n"))
     grams = scratch.keep(each.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1"), "grams")
-    back = each.select("slice", "gram").join(grams.select("gram"), "gram").groupBy("slice").agg(F.collect_list("gram").alias("shared"))
-    per_doc = suffixes.select("slice", "uids", "grams", "texts", "at").join(back, "slice").mapInArrow(_shared, "uid long, at array<int>")
+    told = F.collect_list("gram").alias("shared"), F.collect_list(F.when(F.col("n") > hot, F.col("gram"))).alias("hot")
+    back = each.select("slice", "gram").join(grams, "gram").groupBy("slice").agg(*told)
+    per_doc = suffixes.select("slice", "uids", "grams", "texts", "at").join(back, "slice").mapInArrow(_shared, "uid long, at array<int>, hot array<boolean>")
     per_doc = scratch.keep(per_doc, "shared")
+    n, most = grams.agg(F.sum("n"), F.max("n")).first()
+    buckets = 1 + (n or 0) // BUCKET
     texts = keyed.join(per_doc.dropDuplicates(["uid"]), "uid").dropDuplicates(["uid"])
-    context = texts.select("uid", "doc_id", "text", "at").mapInArrow(_contexts(length, gram), "uid long, doc_id long, gram long, at int, left binary, right binary")
-    hot_grams = grams.filter(F.col("n") > hot).select("gram")
-    n, few = grams.agg(F.sum("n")).first()[0] or 0, [r[0] for r in hot_grams.limit(FEW + 1).collect()]
-    any_hot, listed = bool(few), len(few) <= FEW
-    context = scratch.keep(context, "context")
+    # However many suffixes a common passage has, those of a slice of texts go to a bucket in one row, and the spans found there to their documents.
+    packed = "uid array<long>, doc_id array<long>, gram array<long>, at array<int>, left binary, right binary"
+    context = scratch.keep(texts.select("uid", "doc_id", "text", "at", "hot").mapInArrow(_contexts(length, gram, buckets), f"bucket long, {packed}"), "context")
     spans = "uid long, start int, end int, first_doc_id long"
-    is_hot = F.col("gram").isin(few[:FEW])  # up to FEW of them stand in the plan, more are joined
-    bucketed = context.filter(~is_hot) if listed else context.join(hot_grams, "gram", "left_anti")
-    bucketed = bucketed.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(1 + n // 25_000)))
-    found = bucketed.groupBy("bucket").applyInArrow(_repeats(length, gram), spans)
-    if any_hot:
-        hottest = context.filter(is_hot) if listed else context.join(hot_grams, "gram")
-        runs = hottest.mapInArrow(_runs(length, gram), "run long, doc_id long, uid long, start int")
-        runs = scratch.keep(runs.withColumn("place", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "uid", "start")), "runs")
-        # A run of very many suffixes is dealt over SALTS tasks: each finds its least place, and learns the least of all.
-        runs = runs.withColumn("salt", F.pmod(F.xxhash64("uid", "start"), F.lit(SALTS)).cast("int"))
-        parts = scratch.keep(runs.groupBy("run", "salt").agg(F.min("place").alias("part")), "least")
-        least = parts.groupBy("run").agg(F.min("part").alias("first"))
-        told = scratch.keep(parts.select("run", "salt").join(least, "run"), "told")
-        more = runs.join(told, ["run", "salt"]).filter("place > first").withColumn("doc", F.col("first.doc"))
-        found = found.union(more.select("uid", "start", (F.col("start") + length).alias("end"), F.when(F.col("doc") < (1 << 63) - 1, F.col("doc"))))
+    some = context.filter("bucket >= 0").groupBy("bucket").applyInArrow(_repeats(length, gram, buckets), "home long, uid array<long>, start array<int>, end array<int>, first_doc_id array<long>")
+    found = some.groupBy("home").applyInArrow(_gathered, spans)
+    if (most or 0) <= hot:
+        return found
+    runs = context.filter("bucket < 0").mapInArrow(_runs(length, gram), "run long, doc_id long, uid long, start int")
+    runs = scratch.keep(runs.withColumn("place", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "uid", "start")), "runs")
+    # A run of very many suffixes is dealt over SALTS tasks: each finds its least place, and learns the least of all.
+    runs = runs.withColumn("salt", F.pmod(F.xxhash64("uid", "start"), F.lit(SALTS)).cast("int"))
+    parts = scratch.keep(runs.groupBy("run", "salt").agg(F.min("place").alias("part")), "least")
+    least = parts.groupBy("run").agg(F.min("part").alias("first"))
+    told = scratch.keep(parts.select("run", "salt").join(least, "run"), "told")
+    more = runs.join(told, ["run", "salt"]).filter("place > first").withColumn("doc", F.col("first.doc"))
+    found = found.union(more.select("uid", "start", (F.col("start") + length).alias("end"), F.when(F.col("doc") < (1 << 63) - 1, F.col("doc"))))
     lists = found.groupBy("uid").agg(F.collect_list(F.struct("start", "end", "first_doc_id")).alias("spans"))
     return lists.mapInArrow(_merged, spans)
 

@@ -1,6 +1,7 @@
 """Each operator against brute force or held-out truth, with nulls, empty and long texts, ties, repeats, empty tables."""
 
 import collections
+import glob
 import math
 import random
 import zlib
@@ -235,6 +236,15 @@ def test_cut_texts_whatever_the_type_of_id(spark, docs, scratch, kind):
     assert sorted((str(i), t) for i, t in local(suffixes.without_repeats(typed, scratch))) == want
 
 
+def test_a_common_passage_takes_a_row_a_slice_and_bucket(spark, scratch):
+    common = " ".join(f"c{k}" for k in range(150))
+    d = spark.createDataFrame([(i, f"own{i} {common} end{i}") for i in range(400)], "doc_id long, text string").coalesce(2)
+    got = suffixes.repeated_spans(d, scratch).collect()
+    assert sorted(tuple(r) for r in got) == [(i, 1, 151, 150, 0) for i in range(1, 400)]
+    context = next(c for c in glob.glob(f"{scratch.base.removeprefix('file:')}/context-*"))
+    assert spark.read.parquet(context).count() <= 4
+
+
 def test_minimisers_cover_every_window():
     words = np.random.default_rng(0).integers(0, 50, 5000).astype(np.uint64)
     at, _ = suffixes.minimisers(words, np.array([0, 5000]))
