@@ -10,7 +10,7 @@ from ..functions.options import canon_options, remap_answer
 from ..functions.parts import has_answer, part_texts, restore_carry, restore_markers
 from ..functions.text import answer_area, blank, extract_answer, image_markers, lint_field, normalize_text, part_mark, strip, total_mark
 from ..functions.tree import FLAT, PART, apply_answer_area, apply_part_answers, finalize_parts
-from ..tables import kept
+from ..tables import dealt, kept
 from .answers import match_answers, merge_answers
 from .bank import entry_key, refresh_flags, validate
 from .model import ModelClient, run_model
@@ -57,7 +57,7 @@ def build_entries(questions: DataFrame, answers: DataFrame | None = None, figure
         answer.cast(ANSWER).alias("answer"), F.lit(None).cast("string").alias("answer_area"), image_markers(solution).alias("solution"), F.col("assets").alias("imgs"),
         F.struct("pages", "qno", "section", "blocks", F.lit(None).cast("int").alias("marks"), F.lit(None).cast("int").alias("schema")).alias("meta"), "flags",
     )
-    return flagged(kept(polish(kept(out, "raw-entries")), "entries"), missing, unknown)
+    return flagged(kept(polish(dealt(kept(out, "raw-entries"), "doc", "qid")), "entries"), missing, unknown)
 
 
 def polish(entries: DataFrame) -> DataFrame:

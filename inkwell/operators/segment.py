@@ -11,7 +11,7 @@ from ..functions.let import let
 from ..functions.options import gather_options
 from ..functions.text import blank, fix_math_spacing, strip, strip_number, strip_part_label
 from ..functions.tree import FLAT
-from ..tables import kept
+from ..tables import dealt, kept
 from .model import ModelClient, run_model
 
 # Fixed values.
@@ -44,8 +44,8 @@ def block_text(type_: Column, text: Column, table_body: Column, code_body: Colum
 
 def load_blocks(raw: DataFrame) -> DataFrame:
     """The blocks that count of raw ones (doc, i, type, text, table_body, code_body, img_path, page_idx, bbox), their text
-    as one column and its formulas spaced as the paper has them."""
-    kept = filter_noise(raw)
+    as one column and its formulas spaced as the paper has them. A document's blocks stay together, so steps by document move them no more."""
+    kept = dealt(filter_noise(raw), "doc")
     body = block_text(F.col("type"), F.col("text"), F.col("table_body"), F.col("code_body"), F.col("img_path"))
     return kept.withColumn("text", fix_math_spacing(body)).drop("code_body")
 

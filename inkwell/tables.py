@@ -59,6 +59,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt over the session's tasks by the columns: rows of few bytes that cost much would else be read by as few tasks as their bytes fill."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def dropped(df: DataFrame) -> None:
     """Removes a table of kept() that no later plan reads."""
     jvm = df.sparkSession._jvm
