@@ -12,7 +12,7 @@ from ..functions import parts as part_functions
 from ..operators import bank, build, edits, model, records, segment, worksheet
 from ..sources import incremental
 from ..sources import records as sources
-from ..tables import folder
+from ..tables import folder, kept
 from .registry import query, t
 
 
@@ -33,18 +33,18 @@ def _labelled(spark, sf_dir):
     return segment.label_blocks(segment.split_tables(segment.load_blocks(_raw_blocks(spark, sf_dir))))
 
 
-def _papers(spark, sf_dir):
+def _papers(spark, sf_dir, labelled):
     key = lambda qno, answer: F.struct(F.lit(qno).alias("qno"), answer.alias("answer"))
     keys = F.array(key("1", F.concat(F.lit("(a) "), F.col("p_brand"), F.lit("; (b) "), F.col("p_size").cast("string"), F.lit(" km"))), key("2", F.lit("B")))
     answers = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.posexplode(keys).alias("ord", "k")).select("doc", "ord", F.lit("").alias("section"), "k.qno", F.lit("").alias("part"), "k.answer", F.lit(None).cast("string").alias("solution"))
-    return build.build_entries(segment.questions(segment.number_blocks(_labelled(spark, sf_dir))), answers)
+    return build.build_entries(segment.questions(segment.number_blocks(labelled)), answers)
 
 
 @query("""SELECT p_partkey AS doc, p_partkey || '-001' AS qid, 'question' AS kind, 'About ' || p_name AS stem, p_size AS marks, '' AS options, NULL AS answer,
  'Name ' || p_brand || ' $12$ [3]' || chr(10) || '![](f' || p_partkey || '.png)|Size of ' || p_type AS texts, '(a)|(b)' AS paths, p_brand || '|' || p_size || ' km' AS answers, '[ANSWER] km' AS areas, 1 AS imgs, '0,1' AS pages, '1,4' AS blocks, 'no_solution' AS flags FROM part
 UNION ALL SELECT p_partkey, p_partkey || '-002', 'mcq', 'Pick the ' || p_type, NULL, '(1) ' || p_name || '|(2) ' || p_brand, '(2)', '', '', '', '', 0, '2', '5,5', 'no_solution' FROM part""")
 def build_entries(spark, sf_dir):
-    e = _papers(spark, sf_dir)
+    e = _papers(spark, sf_dir, _labelled(spark, sf_dir))
     bars = lambda f: F.array_join(F.transform("parts", f), "|")
     return e.select(
         "doc", "qid", "kind", "stem", F.col("meta.marks").alias("marks"), F.array_join(F.transform("options", lambda o: F.concat_ws(" ", o["label"], o["value"])), "|").alias("options"), F.col("answer.value").alias("answer"), bars(lambda p: p["text"]).alias("texts"), bars(lambda p: p["path"]).alias("paths"),
@@ -54,7 +54,8 @@ def build_entries(spark, sf_dir):
 
 @query("SELECT p_partkey AS doc, 2 AS questions, 0 AS with_solution, 2 AS with_answer, 1 AS mcq, 2 AS flagged, 5 AS blocks_content, 0 AS blocks_dropped, 2 AS unsolved FROM part")
 def segment_report(spark, sf_dir):
-    r = build.report(_papers(spark, sf_dir), _labelled(spark, sf_dir))
+    labelled = kept(_labelled(spark, sf_dir), "labelled")  # read for the papers and for the report
+    r = build.report(_papers(spark, sf_dir, labelled), labelled)
     return r.select("doc", "questions", "with_solution", "with_answer", "mcq", "flagged", "blocks_content", "blocks_dropped", F.col("flags")["no_solution"].alias("unsolved"))
 
 
