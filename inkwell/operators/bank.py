@@ -118,9 +118,10 @@ class Circle(ValueError):
 
 
 def _followed(at: DataFrame, crops: bool) -> DataFrame:
-    """One round of pointer doubling; on: the pointer still moved."""
+    """One round of pointer doubling; on: the pointer still moved. Names compress well: by the files' size Spark would take the pages
+    for few and send all of them to the driver and to every executor."""
     to = at.select(F.col("output").alias("source"), F.col("page").alias("source_page"), F.col("source").alias("_s"), F.col("source_page").alias("_p"), F.col("depth").alias("_d"), *([F.col("crops").alias("_c")] if crops else []))
-    moved = at.drop("on").join(to, ["source", "source_page"], "left")
+    moved = at.drop("on").join(to.hint("merge"), ["source", "source_page"], "left")
     path = [F.concat(F.coalesce("_c", F.slice("crops", 1, 0)), "crops").alias("crops")] if crops else []
     return moved.select("output", "page", F.coalesce("_s", "source").alias("source"), F.coalesce("_p", "source_page").alias("source_page"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), *path, F.col("_s").isNotNull().alias("on"))
 
