@@ -106,7 +106,8 @@ def match_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """questions (doc, q_ord, section, qno, implicit) with ans_ord and pass of the answer (doc, ord, section, qno) paired.
 
     Pass 1: the i-th question of a section and number takes the i-th such answer. Pass 2: leftovers by
-    number alone. Pass 3: leftover implicit questions by position. Every pass joins on key and rank.
+    number alone. Pass 3: leftover implicit questions by position. Every pass joins on key and rank, and by sort: both sides grow
+    with the bank, though few columns of wide tables are estimated as few bytes.
     """
     q = questions.select("doc", "q_ord", norm_section(F.coalesce("section", F.lit(""))).alias("sec"), "qno", "implicit")
     a = answers.select("doc", F.col("ord").alias("ans_ord"), norm_section(F.coalesce("section", F.lit(""))).alias("sec"), "qno")
@@ -119,10 +120,10 @@ def match_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
         rank = lambda df, order: df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(order)))  # noqa: E731, B023
         left = rank(q.filter(q_some), "q_ord").select(*keys, "rank", "q_ord")
         right = rank(a.filter(a_some), "ans_ord").select(*keys, "rank", "ans_ord")
-        pairs = left.join(right, [*keys, "rank"]).select("doc", "q_ord", "ans_ord", F.lit(number).alias("pass"))
+        pairs = left.join(right.hint("merge"), [*keys, "rank"]).select("doc", "q_ord", "ans_ord", F.lit(number).alias("pass"))
         found = pairs if found is None else found.union(pairs)
-        q, a = q.join(pairs, ["doc", "q_ord"], "left_anti"), a.join(pairs, ["doc", "ans_ord"], "left_anti")
-    return questions.join(found, ["doc", "q_ord"], "left")
+        q, a = q.join(pairs.hint("merge"), ["doc", "q_ord"], "left_anti"), a.join(pairs.hint("merge"), ["doc", "ans_ord"], "left_anti")
+    return questions.join(found.hint("merge"), ["doc", "q_ord"], "left")
 
 
 def answer_lookup(questions: DataFrame, answers: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ def build_entries(questions: DataFrame, answers: DataFrame | None = None, figure
     type, img_path, page_idx, bbox): blocks of the answer files, for the figures that solutions name. missing (doc, path): images that no
     folder has. unknown (doc, types): block types that are not known.
     """
+    # What is joined here grows with the papers, but is estimated by the size of compressed files: by sort, or it would go whole to the driver.
     q = kept(questions.withColumn("q_ord", F.col("q_ord").cast("int")), "questions")  # read by each pass of the pairing
     if answers is None:
         paired = q.select("doc", "q_ord", F.lit(None).cast("string").alias("key_answer"), F.lit(None).cast("string").alias("key_solution"), F.array().cast("array<int>").alias("figs"))
@@ -37,17 +38,17 @@ def build_entries(questions: DataFrame, answers: DataFrame | None = None, figure
         merged = merge_answers(answers)
         first = answers.select("doc", "ord", "section")
         figs = answers.groupBy("doc", "qno").agg(F.array_distinct(F.flatten(F.collect_list("figs"))).alias("figs")) if "figs" in answers.columns else None
-        merged = merged.join(first, ["doc", "ord"])
+        merged = merged.join(first.hint("merge"), ["doc", "ord"])
         pairs = match_answers(q.select("doc", "q_ord", "section", "qno", "implicit"), merged.select("doc", "ord", "section", "qno")).select("doc", "q_ord", F.col("ans_ord").alias("ord"))
-        paired = pairs.join(merged.select("doc", "ord", F.col("qno").alias("ans_no"), F.nullif("answer", F.lit("")).alias("key_answer"), F.nullif("solution", F.lit("")).alias("key_solution")), ["doc", "ord"], "left")
-        paired = paired.join(figs.withColumnRenamed("qno", "ans_no"), ["doc", "ans_no"], "left") if figs is not None else paired.withColumn("figs", F.lit(None).cast("array<int>"))
+        paired = pairs.join(merged.select("doc", "ord", F.col("qno").alias("ans_no"), F.nullif("answer", F.lit("")).alias("key_answer"), F.nullif("solution", F.lit("")).alias("key_solution")).hint("merge"), ["doc", "ord"], "left")
+        paired = paired.join(figs.withColumnRenamed("qno", "ans_no").hint("merge"), ["doc", "ans_no"], "left") if figs is not None else paired.withColumn("figs", F.lit(None).cast("array<int>"))
         paired = paired.select("doc", "q_ord", "key_answer", "key_solution", "figs")
-    q = q.join(paired, ["doc", "q_ord"], "left")
+    q = q.join(paired.hint("merge"), ["doc", "q_ord"], "left")
     if figures is not None:
-        shown = q.select("doc", "q_ord", F.posexplode("figs").alias("n", "i")).join(figures.filter("img_path <> ''"), ["doc", "i"])
+        shown = q.select("doc", "q_ord", F.posexplode("figs").alias("n", "i")).join(figures.filter("img_path <> ''").hint("merge"), ["doc", "i"])
         image = F.struct("n", F.col("type").alias("kind"), F.col("img_path").alias("path"), F.lit("ans").alias("src"), F.col("page_idx").cast("int").alias("page"), F.col("bbox").alias("bbox"))
         images = shown.groupBy("doc", "q_ord").agg(F.array_sort(F.collect_list(image), lambda x, y: F.when(x["n"] < y["n"], -1).otherwise(1)).alias("more"))
-        q = q.join(images, ["doc", "q_ord"], "left").withColumn("assets", F.concat("assets", F.coalesce(F.transform("more", lambda x: x.dropFields("n")), F.slice("assets", 1, 0)))).drop("more")
+        q = q.join(images.hint("merge"), ["doc", "q_ord"], "left").withColumn("assets", F.concat("assets", F.coalesce(F.transform("more", lambda x: x.dropFields("n")), F.slice("assets", 1, 0)))).drop("more")
     solution = F.coalesce("key_solution", F.nullif(strip(F.col("solution")), F.lit("")))
     tail = extract_answer(F.coalesce(solution, F.lit("")), F.size("options") > 0, F.size("parts") > 0)
     answer = F.when(F.col("key_answer").isNotNull(), F.struct(F.col("key_answer").alias("value"), F.lit("answer_key").alias("kind"))).otherwise(tail.cast(ANSWER))
@@ -100,10 +101,10 @@ def flagged(entries: DataFrame, missing: DataFrame | None = None, unknown: DataF
     lost, odd, e = F.lit(False), F.lit(False), entries
     if missing is not None:
         paths = missing.groupBy("doc").agg(F.collect_set("path").alias("_lost"))
-        e = e.join(paths, "doc", "left")
+        e = e.join(paths.hint("merge"), "doc", "left")
         lost = F.coalesce(F.exists("imgs", lambda a: (a["kind"] == "image") & F.array_contains("_lost", a["path"])), F.lit(False))
     if unknown is not None:
-        e = e.join(unknown.select("doc", F.size("types").alias("_odd")), "doc", "left")
+        e = e.join(unknown.select("doc", F.size("types").alias("_odd")).hint("merge"), "doc", "left")
         odd = F.coalesce(F.col("_odd") > 0, F.lit(False))
     parts = F.col("parts")
     text = F.concat(F.col("stem"), part_texts(parts), F.coalesce("solution", F.lit("")))
@@ -126,7 +127,7 @@ def report(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     content = blocks.filter("role not in ('noise', 'section')").select("doc", "src_i").distinct()
     used = entries.select("doc", F.col("meta.blocks")[0].alias("first_i"), F.col("meta.blocks")[1].alias("last_i"))
     lost = dropped_blocks(content.withColumnRenamed("src_i", "i"), used).groupBy("doc").agg(F.count("*").alias("_lost"))
-    out = content.groupBy("doc").agg(F.count("*").alias("blocks_content")).join(lost, "doc", "left").join(e.drop("_ranges"), "doc", "left").join(names, "doc", "left")
+    out = content.groupBy("doc").agg(F.count("*").alias("blocks_content")).join(lost.hint("merge"), "doc", "left").join(e.drop("_ranges").hint("merge"), "doc", "left").join(names.hint("merge"), "doc", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     warning = F.when(zero(F.col("questions")) == 0, F.concat(F.col("blocks_content").cast("string"), F.lit(" content blocks produced 0 questions"))).when(zero(F.col("_lost")) > 0, F.concat_ws("", F.col("_lost").cast("string"), F.lit("/"), F.col("blocks_content").cast("string"), F.lit(" content blocks were not placed")))
     counts = ["questions", "with_solution", "with_answer", "mcq", "flagged"]

@@ -242,7 +242,7 @@ def assemble(numbered: DataFrame) -> DataFrame:
         F.coalesce(F.min_by("label", F.when(F.col("role") == "part", F.col("i"))), F.concat(F.lit("("), F.char(96 + F.first("part_ord")), F.lit(")"))).alias("no"), text(F.lit(True)).alias("text")
     )
     parts = parts.groupBy("doc", "q_ord").agg(F.array_sort(F.collect_list(F.struct("part_ord", "no", "text"))).alias("parts"))
-    return q.join(parts, ["doc", "q_ord"], "left").withColumn("qid", F.format_string("%s-%03d", F.col("doc").cast("string"), F.row_number().over(W.partitionBy("doc").orderBy("q_ord")).cast("int")))
+    return q.join(parts.hint("merge"), ["doc", "q_ord"], "left").withColumn("qid", F.format_string("%s-%03d", F.col("doc").cast("string"), F.row_number().over(W.partitionBy("doc").orderBy("q_ord")).cast("int")))
 
 
 def questions(numbered: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def questions(numbered: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.col("page_idx").cast("int"))).alias("pages"), F.min_by("src_i", "i").cast("int").alias("lo"), F.max("src_i").cast("int").alias("hi"),
         F.max("merged").alias("merged"), F.max("implicit").alias("implicit"),
     )
-    q = q.join(parts, ["doc", "q_ord"], "left").withColumn("position", F.row_number().over(W.partitionBy("doc").orderBy("q_ord")))
+    q = q.join(parts.hint("merge"), ["doc", "q_ord"], "left").withColumn("position", F.row_number().over(W.partitionBy("doc").orderBy("q_ord")))
     flags = F.array_compact(F.array(F.when(F.col("merged"), "leading_content_merged"), F.when(F.col("implicit"), "implicit_question_start")))
     return q.withColumns({"qno": F.coalesce("own_no", F.col("position").cast("string")), "section": F.coalesce("section", F.lit("")), "parts": F.coalesce("parts", F.array().cast(f"array<{FLAT}>")), "blocks": F.array("lo", "hi"), "flags": flags}).drop("own_no", "lo", "hi", "merged")
 
@@ -298,7 +298,7 @@ def dropped_blocks(blocks: DataFrame, ranges: DataFrame, width: int = 64) -> Dat
     before = F.max("_z").over(inside.rowsBetween(W.unboundedPreceding, -1))
     r = r.withColumn("_new", F.coalesce(F.col("_a") > before + 1, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
     r = r.groupBy("_d", "_bin", "_run").agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"))
-    return blocks.withColumn("_at", bin_("i")).join(r, (F.col("doc") == F.col("_d")) & (F.col("_at") == F.col("_bin")) & F.col("i").between(F.col("_a"), F.col("_z")), "left_anti").drop("_at")
+    return blocks.withColumn("_at", bin_("i")).join(r.hint("merge"), (F.col("doc") == F.col("_d")) & (F.col("_at") == F.col("_bin")) & F.col("i").between(F.col("_a"), F.col("_z")), "left_anti").drop("_at")
 
 
 def context_slice(pages: DataFrame, wanted: DataFrame, most: int = 6000) -> DataFrame:
